@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, token_counts
+from quarry.llm import ngram_join, packing, token_counts
 from quarry.llm._session import read_table
 
 
@@ -20,5 +20,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts}
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join}
 ORACLE_SQL: dict[str, str] = {}
