@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ngram_join, packing, token_counts
+from quarry.llm import ngram_join, packing, phrase_dedup, token_counts
 from quarry.llm._session import read_table
 
 
@@ -25,5 +25,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join}
+
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrase_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup}
 ORACLE_SQL: dict[str, str] = {}
