@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ngram_join, packing, phrase_dedup, token_counts
+from quarry.llm import line_rules, ngram_join, packing, phrase_dedup, token_counts, url_filters
 from quarry.llm._session import read_table
 
+#: Rules given for the url query, before the patterns.
+URL_RULES = (
+    url_filters.host_rule("net/", "block"),
+    url_filters.host_rule("example.net/en/", "allow"),
+    url_filters.host_rule("example.com/de/", "block"),
+    url_filters.host_rule("org/fr/", "allow"),
+    *url_filters.PATTERNS,
+)
+
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"))
@@ -31,5 +40,15 @@ def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup}
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+    return line_rules.judge(read_table(spark, sf_dir, "documents")).select(*columns)
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup, "op7_url_filters": op7_url_filters, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
