@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_rules, ngram_join, packing, phrase_dedup, token_counts, url_filters
+from quarry.llm import html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secrets, template_decontam, token_counts, url_filters
 from quarry.llm._session import read_table
 
 #: Rules given for the url query, before the patterns.
@@ -18,6 +18,11 @@ URL_RULES = (
 )
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", "kind", "sha256", "probability")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,5 +55,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup, "op7_url_filters": op7_url_filters, "op10_quality_rules": op10_quality_rules}
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    machine = quality_fm.train(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_fm.score(docs, machine)
+    return scored.select("doc_id", quality_fm.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+
+def op9_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_main.main_text(pages, html_main.learn(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_html_extraction": op3_html_extraction, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup, "op5_quality_classifier": op5_quality_classifier, "op7_url_filters": op7_url_filters, "op9_template_decontam": op9_template_decontam, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}

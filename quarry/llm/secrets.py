@@ -1,0 +1,238 @@
+"""Secret scans with a random forest against false positives.
+
+Candidates are found by their form: values assigned to a key word, known prefixes, and long runs that mix character
+classes. Each is described by its length, the transitions between its characters' classes, how far the words of its
+own text and a list of common words cover it, the path it comes from and the words beside it. A random forest trained
+on labelled findings then tells secrets from look-alikes (digests, identifiers, placeholders, addresses).
+
+Labelled findings are a table (before, candidate, after, path, label); ``labelled_findings`` makes one of
+``FINDINGS`` rows from fixed rules and a seed, so that the library needs no real secrets.
+
+Defined results: null and empty texts have no findings; a finding's span counts code points; overlapping candidates
+give one finding, the longer, then the earlier; repeated rows each get theirs; a null path is an empty one; an empty
+table gives none; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm._session import cut, join_ids
+
+#: Labelled findings in the training table, and the forest's size.
+FINDINGS, TREES, DEPTH = 4000, 30, 8
+_KEYS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
+_KEYED = re.compile(rf"(?:^|[^A-Za-z])(?:{_KEYS})[A-Za-z_]*[\"']?\s*$", re.I)
+_ASSIGN = re.compile(r"[:=]")
+_VALUE = re.compile(r"[:=]?\s*[\"']?([^\s\"'<>,;]{6,})")
+_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*")
+_EDGE = "\"'`.,;:!?()[]{}<>#*$%&|~^"
+#: Words that look-alikes are often made of.
+COMMON = ("the and for that with this from have test example sample user name data value file page index table image model default config version build release branch commit package module class function object string number secret password token access key api".split())
+_BESIDE = {
+    "keyed": re.compile(rf"(?:{_KEYS})", re.I),
+    "digest": re.compile(r"\b(sha\d*|md5|commit|checksum|digest|hash|etag|revision|integrity|fingerprint)\b", re.I),
+    "identifier": re.compile(r"\b(uuid|guid|id|isbn|serial|ticket|order|session|trace|request|build|version)\b", re.I),
+    "placeholder": re.compile(r"example|sample|dummy|placeholder|changeme|your|xxx|test|fake|redacted", re.I),
+}
+_UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
+
+
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of spans that may be secrets."""
+    found: list[tuple[int, int, str]] = []
+    for m in _ASSIGN.finditer(text):
+        if _KEYED.search(text[max(0, m.start() - 40) : m.start()]):
+            v = _VALUE.match(text, m.end())
+            if v and not v.group(1).startswith("//"):
+                end = v.start(1) + len(v.group(1).rstrip(_EDGE))
+                if end - v.start(1) >= 6:
+                    found.append((v.start(1), end, "assigned"))
+    seen = set()
+    for word in text.split():
+        if len(word) < 16 or word in seen or (word.isalpha() and not (word.isupper() and len(word) == 20)):
+            continue
+        seen.add(word)
+        core = word.strip(_EDGE)
+        known = _KNOWN.search(core)
+        if known:
+            inner, kind = known.group(), "known"
+        else:
+            inner, kind = core.rpartition("=")[2].strip(_EDGE) if "=" in core.rstrip("=") else core, "mixed"
+            if len(inner) < 16 or not any(map(str.isdigit, inner)):
+                continue
+        at = text.find(inner)
+        while at >= 0:
+            found.append((at, at + len(inner), kind))
+            at = text.find(inner, at + len(inner))
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
+        if all(b <= c or a >= d for c, d, _ in out):
+            out.append((a, b, kind))
+    return sorted(out)
+
+
+def _class(c: str) -> str:
+    return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o"
+
+
+def describe(value: str, before: str, after: str, path: str, vocabulary: set[str]) -> list[float]:
+    """Features of a candidate: form, transitions, coverage, path, neighbours."""
+    n = max(len(value), 1)
+    classes = [_class(c) for c in value]
+    steps = Counter(zip(classes, classes[1:], strict=False))
+    pairs = max(n - 1, 1)
+    share = Counter(classes)
+    letters = Counter(value)
+    entropy = -sum(k / n * math.log2(k / n) for k in letters.values())
+    vowels = sum(c in "aeiouAEIOU" for c in value)
+    runs = re.findall(r"[^\W\d_]{3,}", value)
+    covered = sum(len(r) for r in runs if r.lower() in vocabulary)
+    common = sum(len(w) for w in COMMON if w in value.lower() and len(w) >= 4)
+    left = before[-40:]
+    return [
+        math.log(n),
+        entropy,
+        entropy / max(math.log2(n), 1),
+        *(share[c] / n for c in "dulo"),
+        sum(v for (a, b), v in steps.items() if a != b) / pairs,
+        steps["l", "d"] / pairs,
+        steps["d", "l"] / pairs,
+        steps["u", "d"] / pairs,
+        vowels / max(share["l"] + share["u"], 1),
+        covered / n,
+        min(1.0, common / n),
+        max(map(len, runs), default=0) / n,
+        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))),
+        float(bool(_UUID.match(value))),
+        float("@" in value),
+        float("/" in value or ".com" in value or ".org" in value or ".net" in value),
+        float(bool(_KNOWN.fullmatch(value))),
+        float(bool(re.search(r"[:=]\s*[\"']?\Z", left))),
+        float(left[-1:] in "\"'" and bool(left)),
+        *(float(bool(p.search(left))) for p in _BESIDE.values()),
+        float(bool(_BESIDE["placeholder"].search(value))),
+        float(bool(re.search(r"test|example|doc|sample|fixture", path, re.I))),
+        float(bool(re.search(r"\.(env|ya?ml|json|ini|conf|properties|tf|sh)\Z", path, re.I))),
+        float(after[:1] in "\"'" and bool(after)),
+    ]
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str, str, str, float]]:
+    """(before, candidate, after, path, label): secrets of common forms and look-alikes, half each."""
+    rng = random.Random(seed)
+    hexes, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    syllables = "the an er on ti re st en ed ha es or ing ou de la que ment ung sch ver".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    phrase = lambda: " ".join(word() for _ in range(rng.randint(1, 5))) + " "
+    paths = ["", "src3", "app/settings.py", "config/prod.env", "deploy.yaml", "docs/guide.md", "tests/test_login.py", "web/page.html", "notes.txt"]
+    keys = "password passwd secret token api_key access_key auth_token client_secret pwd API_KEY db_password".split()
+    sign = lambda: rng.choice(["=", " = ", ": ", "=\"", " = \"", ": \"", "='"])
+    secrets = [
+        lambda: (phrase(), rng.choice(["AKIA", "AKIA", "ASIA"]) + pick(upper, 16)),
+        lambda: (phrase() + "aws_access_key_id" + sign(), "AKIA" + pick(upper, 16)),
+        lambda: (phrase() + rng.choice(keys) + sign(), pick(hexes, rng.choice([16, 18, 20, 24, 32, 40, 64]))),
+        lambda: (phrase() + rng.choice(keys) + sign(), pick(mixed, rng.randint(10, 44))),
+        lambda: (phrase() + rng.choice(keys) + sign(), pick(mixed + "!#%&*-_", rng.randint(9, 20))),
+        lambda: (phrase(), "ghp_" + pick(mixed, 36)),
+        lambda: (phrase(), "sk-" + pick(mixed, rng.choice([32, 48]))),
+        lambda: (phrase(), "xoxb-" + pick("0123456789", 11) + "-" + pick(mixed, 24)),
+        lambda: (phrase(), "eyJ" + pick(mixed, 20) + "." + pick(mixed, 40) + "." + pick(mixed, 30)),
+    ]
+    alikes = [
+        lambda: (phrase() + rng.choice(["commit ", "sha256:", "md5 ", "checksum ", "revision ", "etag: "]), pick(hexes, rng.choice([32, 40, 64]))),
+        lambda: (phrase(), pick(hexes, rng.choice([32, 40]))),
+        lambda: (phrase() + rng.choice(["", "id=", "uuid: ", "request "]), "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12))),
+        lambda: (phrase(), f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com"),
+        lambda: (phrase() + rng.choice(keys) + sign(), rng.choice(["changeme", "your-token-here", "example123", "xxxxxxxxxxxx", "<password>", "${PASSWORD}", "os.environ", "placeholder", "test1234", "None/null", "redacted", "required", "forgotten"])),
+        lambda: (phrase() + rng.choice(keys) + ": ", word() + word() + word()),
+        lambda: (phrase(), f"https://{word()}.example.com/{word()}/{rng.randint(1, 9999)}"),
+        lambda: (phrase(), f"{word()}_{word()}_{word()}_{rng.randint(1, 999)}"),
+        lambda: (phrase() + rng.choice(["version ", "build ", ""]), f"{rng.randint(1, 20)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}-{word()}{rng.randint(1, 99)}"),
+        lambda: (phrase(), f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}T{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:00Z"),
+        lambda: (phrase(), f"{word()}{rng.choice('#*$%&|')}{word()}{rng.randint(1, 9)}{word()}{word()}"),
+        lambda: (phrase(), f"+{rng.randint(1, 99)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-{rng.randint(1000, 9999)}"),
+        lambda: (phrase(), "AKIA" + "IOSFODNN7EXAMPLE"),
+        lambda: (phrase(), f"{word()}-{word()}-{word()}-{rng.randint(1, 99)}.html"),
+    ]
+    out = []
+    for i in range(n):
+        label = i % 2
+        before, value = rng.choice(secrets if label else alikes)()
+        quote = before[-1:] if before[-1:] in "\"'" else ""
+        out.append((before, value, quote + " " + phrase(), rng.choice(paths), float(label)))
+    return out
+
+
+def train(spark: SparkSession, findings: list[tuple[str, str, str, str, float]] | None = None) -> RandomForestClassificationModel:
+    """Fits the forest to labelled findings (before, candidate, after, path, label)."""
+    rows = []
+    for before, value, after, path, label in findings or labelled_findings():
+        vocabulary = {w.lower() for w in re.findall(r"[^\W\d_]+", f"{before} {after}")} - {value.lower()}
+        rows.append((describe(value, before, after, path, vocabulary), label))
+    table = spark.createDataFrame(rows, "x array<double>, label double").coalesce(1)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=3, maxBins=32, featureSubsetStrategy="sqrt")
+    return forest.fit(cut(table.select(array_to_vector("x").alias("features"), "label")))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """(key, id, start, end, kind, sha256, x): all candidates with their features."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, starts, ends, kinds, hashes, xs = [], [], [], [], [], []
+            for i, (text, path) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                text = text.as_py() or ""
+                found = candidates(text)
+                if found:
+                    vocabulary = {w.lower().strip(_EDGE) for w in text.split() if w.isalpha() or w[:-1].isalpha()}
+                for a, b, what in found:
+                    at.append(i)
+                    starts.append(a)
+                    ends.append(b)
+                    kinds.append(what)
+                    hashes.append(hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest())
+                    xs.append(describe(text[a:b], text[max(0, a - 60) : a], text[b : b + 20], path, vocabulary))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(3).take(take), batch.column(0).take(take), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.string()), pa.array(hashes, pa.string()), pa.array(xs, pa.list_(pa.float64()))],
+                names=["key", "id", "start", "end", "kind", "sha256", "x"],
+            )
+
+    return rows.select("id", "text", "path", "key").mapInArrow(run, f"key long, id {kind}, start long, end long, kind string, sha256 string, x array<double>")
+
+
+def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """The findings that the forest takes for secrets: (key, id, start, end, kind, sha256, probability)."""
+    found = find(docs, id_col, text_col, path_col)
+    scored = model.transform(found.withColumn("features", array_to_vector("x")))
+    scored = scored.select("key", "id", "start", "end", "kind", "sha256", vector_to_array("probability")[1].alias("probability"))
+    return scored.where("probability >= 0.5")
+
+
+def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = "<SECRET>") -> DataFrame:
+    """All documents, each secret replaced by ``mark``; all columns as given."""
+    spans = scan(docs, model, id_col, text_col, path_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    spans = cut(spans.withColumnRenamed("key", "__key"))
+    joined = join_ids(docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))), spans, "__key", spans.count(), "left")
+    # pieces between secrets: from the end of one to the start of the next
+    text = F.col(text_col)
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(F.array_join(pieces, mark))).select(*docs.columns)
