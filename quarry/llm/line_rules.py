@@ -1,7 +1,7 @@
 """Line-first cleaning, with DataFrame functions only.
 
-Rules judge each line first: punctuation (a longer line without any sentence mark), navigation (many separators, or
-nearly all words set off by them), and boilerplate (symbols or capitals nearly throughout). Failing lines go; then a
+Rules judge each line first: punctuation (a longer line without any sentence mark), navigation (words set off by many
+separators), and boilerplate (every tenth character a symbol, or capitals throughout). Failing lines go; then a
 document goes if its kept lines hold less than half of the characters of its words, if it lacks words, or if repeated
 three-word windows cover more than half of them.
 
@@ -20,74 +20,85 @@ SYMBOLS = "#*$%&|<>"
 KEEP_SHARE = 0.5
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text: runs of characters other than space and U+0009 to U+000D."""
-    return F.filter(F.split(text, GAP), lambda w: w != "")
+def _without(text: Column, characters: str) -> Column:
+    """A text without some characters, by plain searches (cheaper than a regular expression)."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.length(text) - F.length(_without(text, characters))
+
 
+def words_of(text: Column) -> Column:
+    """Words of a text: runs of characters other than space and U+0009 to U+000D."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words is navigation, boilerplate or unpunctuated; lines without words do no harm."""
-    size = F.length(F.regexp_replace(line, GAP, ""))
-    n = F.size(F.split(F.trim(line), GAP))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    symbols = _count(line, SYMBOLS)
-    unpunctuated = (n >= 10) & ~line.rlike(r"[.!?;:…\"')\]]")
-    navigation = (_count(line, "|»›•") * 4 >= n) & (n >= 3)
-    boilerplate = (symbols * 10 >= size) | ((n >= 4) & (letters >= 20) & (capitals * 10 >= letters * 6)) | (letters * 2 < size)
-    return (size > 0) & (unpunctuated | navigation | boilerplate)
 
+def described(line: Column) -> Column:
+    """A line with its length, and its length without spaces, which are so counted once."""
+    return F.struct(line.alias("text"), F.length(line).alias("length"), F.length(F.replace(line, F.lit(" "), F.lit(""))).alias("size"))
 
-def repeated_words(words: Column) -> Column:
-    """Number of words in three-word windows that occur twice or more in the text.
 
-    Windows are hashed with their place, repeats are adjacent after a sort, and the places covered are counted as a
-    union of ranges: at most three words for each repeated window, less where the next one overlaps."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    triples = F.zip_with(pairs, F.slice(hashes, 3, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    return F.filter(triples, lambda x: x.isNotNull())
+def line_fails(line: Column, symbols: Column) -> Column:
+    """Whether a described line is unpunctuated, navigation or boilerplate; ``symbols``: whether its text has any."""
+    text, size = line["text"], line["size"]
+    n = line["length"] - size + 1
+    start = F.substring(text, 2, 2)
+    unpunctuated = (n >= 10) & ~text.rlike(r"[.!?;:…\"')\]]")
+    navigation = (n >= 3) & (_count(text, "|»›•") * 4 >= n)
+    shouted = (n >= 4) & (size >= 20) & (start == F.upper(start)) & (text == F.upper(text)) & (text != F.lower(text))
+    return (size > 0) & (unpunctuated | navigation | shouted | (symbols & (_count(text, SYMBOLS) * 10 >= size)))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base counts, and the characters that the failing lines hold."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("t")).select(id_col, "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("lines"))
-    rows = rows.select("*", F.sort_array(repeated_words(F.col("w"))).alias("sorted"))
-    # hashes that occur twice: equal neighbours in the sorted array
-    twice = F.array_distinct(F.filter(F.zip_with(F.col("sorted"), F.slice("sorted", 2, F.greatest(F.size("sorted"), F.lit(1))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-    rows = rows.select("*", twice.alias("twice"))
-    return rows.select(
+    """Base counts, and the characters that the failing lines hold.
+
+    Three-word windows are hashed once; a text whose hashes are all different has no repeats. Else the hashes that
+    occur twice are the equal neighbours of the sorted array, and the words under them are counted as a union of
+    ranges: at most three for each window, less where the next one overlaps."""
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.select(id_col, "t", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("lines"))
+    window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    rows = rows.select(
         id_col,
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", GAP, "")).cast("long").alias("word_chars"),
+        F.length(_without(F.col("t"), " \n\t\r\x0b\x0c")).cast("long").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _covered(F.col("w"), F.col("twice")).cast("long").alias("n_repeat_words"),
-        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.when(line_fails(x), F.length(F.regexp_replace(x, GAP, ""))).otherwise(0)).alias("lost_chars"),
+        F.transform("lines", described).alias("lines"),
+        F.when(F.size("w") >= 3, window).otherwise(F.array().cast("array<bigint>")).alias("g"),
+    )
+    rows = rows.select("*", (F.size(F.array_distinct("g")) < F.size("g")).alias("repeats"))
+    rows = rows.select("*", F.when(F.col("repeats"), F.sort_array("g")).alias("sorted"))
+    twice = F.array_distinct(F.filter("sorted", lambda x, i: x == F.get("sorted", i + 1)))
+    rows = rows.select("*", F.when(F.col("repeats"), twice).alias("twice"))
+    return rows.select(
+        id_col,
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        F.when(F.col("repeats"), _covered(F.col("g"), F.col("twice"))).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.when(line_fails(x, F.col("n_symbols") > 0), x["size"]).otherwise(0)).alias("lost_chars"),
     )
 
 
-def _covered(words: Column, twice: Column) -> Column:
+def _covered(hashes: Column, twice: Column) -> Column:
     """Words under a repeated window. Few repeats are looked up in a list; many are found by sorting places by hash."""
-    hashes = repeated_words(words)
-    last = F.lit(2**31 - 1)
     few = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
     placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    size = F.greatest(F.size(placed), F.lit(1))
-    beside = F.zip_with(placed, F.slice(placed, 2, size), lambda a, b: F.struct(a["i"].alias("i"), (a["h"] == b["h"]).alias("same"), b["i"].alias("j")))
+    beside = F.zip_with(placed, F.slice(placed, 2, F.size(placed)), lambda a, b: F.struct(a["i"].alias("i"), (a["h"] == b["h"]).alias("same"), b["i"].alias("j")))
     same = F.filter(beside, lambda x: x["same"])
     many = F.array_sort(F.array_distinct(F.concat(F.transform(same, lambda x: x["i"]), F.transform(same, lambda x: x["j"]))))
 
     def union(places: Column) -> Column:
-        ranges = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b, last) - a))
-        return F.aggregate(ranges, F.lit(0), lambda n, x: n + x)
+        gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+        return F.aggregate(gaps, F.lit(0), lambda n, x: n + x)
 
-    return F.when(F.size(twice) == 0, F.lit(0)).when(F.size(twice) <= 16, union(few)).otherwise(union(many))
+    return F.when(F.size(twice) <= 16, union(few)).otherwise(union(many))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +111,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines (text column replaced, all other columns as given)."""
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: ~line_fails(x))
+    lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), described), lambda x: ~line_fails(x, F.lit(True))), lambda x: x["text"])
     verdicts = judge(docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).distinct(), "key").where("kept").select(F.col("key").alias("__kept_key"))
     kept = docs.withColumn("__kept_key", F.xxhash64(F.col(text_col))).join(verdicts, "__kept_key", "left_semi").drop("__kept_key")
     return kept.withColumn(text_col, F.array_join(lines, "\n"))
