@@ -225,8 +225,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     return scored.where("probability >= 0.5")
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = "<SECRET>") -> DataFrame:
-    """All documents, each secret replaced by ``mark``; all columns as given."""
+def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, mark: str = "<SECRET>") -> DataFrame:
+    """All documents, each secret replaced by ``mark``; all columns as given, but for the length of changed texts."""
     spans = scan(docs, model, id_col, text_col, path_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
     spans = cut(spans.withColumnRenamed("key", "__key"))
     joined = join_ids(docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))), spans, "__key", spans.count(), "left")
@@ -235,4 +235,8 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
     ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(F.array_join(pieces, mark))).select(*docs.columns)
+    changed = F.array_join(pieces, mark)
+    out = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), changed))
+    if length_col and length_col in docs.columns:
+        out = out.withColumn(length_col, F.coalesce(F.length("__text"), F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.coalesce("__text", text)).select(*docs.columns)
