@@ -79,6 +79,13 @@ class Words:
             out = (total[k:] - total[:-k]) * down[:n]
         return mix(out + np.uint64(k))
 
+    def ranges(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from begin up to end, for each pair."""
+        up, down = powers("word", len(self.hash))
+        total = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(self.hash * up[: len(self.hash)], out=total[1:])
+        return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
 
 def batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about BATCH_BYTES each."""

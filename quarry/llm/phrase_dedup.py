@@ -3,14 +3,15 @@
 A window is ``width`` consecutive words of one text; a word goes if a window over it starts somewhere else, too.
 
 1. Anchors: each window is known by the smallest hash among its 8-word grams (the leftmost, if equal), so equal windows
-   have equal anchors. A text has about one anchor per 15 words. Anchors that occur once are dropped.
-2. Confirmation: the stretch of text around each recurring anchor holds exactly the windows of that anchor. Equal
-   stretches are counted first, then the windows of distinct stretches; windows that start twice are confirmed.
-3. Automata: the confirmed windows of a stretch, merged, are phrases. They are dealt into shards by anchor, each of
-   which compiles one Aho-Corasick automaton, and the stretches of all documents stream through their shard's automaton
-   to locate every occurrence. Stretches of a shard are dealt to as many tasks as their number asks for, so a passage
-   that a third of all documents share is no hot spot.
-4. Removal: located spans are joined back by document, which keeps the words that none covers.
+   have equal anchors. A text has about one anchor per 12 words, and the stretch of text around it holds exactly its
+   windows. Anchors that occur once are dropped.
+2. Confirmation: where all stretches of an anchor are equal, all their windows recur. Else each distinct stretch is
+   looked up once, and its windows are counted; those that start twice or more are confirmed. Confirmed windows that
+   touch or overlap are one phrase.
+3. Automata: documents that hold phrases are dealt into shards of at most ``SHARD_CHARS`` characters. The phrases of a
+   shard are compiled to one Aho-Corasick automaton, through which its documents stream to locate every occurrence.
+   Shards are cut by documents, so a passage that a third of all documents share makes no shard larger.
+4. Removal: the words that no located phrase covers are kept.
 
 Defined results: null and empty texts have no words; texts shorter than the window keep all; repeated rows are
 occurrences of their own, so rows that share an id are told apart by content and lose the same words if equal; extra
@@ -23,17 +24,18 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _words
-from quarry.llm._session import cut, join_ids, stored
+from quarry.llm._session import BROADCAST_ROWS, cut, stored
 
 GRAM = 8
-#: Distinct stretches whose phrases go into one automaton, and stretches that stream through one copy of it.
-SHARD_PHRASES, SHARD_STREAM = 4_000, 40_000
+#: Characters of the documents of one shard; its automaton has no more nodes than that, but for one longer document.
+SHARD_CHARS = 1_000_000
+#: Word ranges that are broadcast to the documents, at most; more are joined by a shuffle.
+BROADCAST_RANGES = 200_000
 
 
 def anchors(words: _words.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +64,7 @@ def anchors(words: _words.Words, width: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(key, anchor, first, last) of each anchor of each row."""
+    """(key, anchor, stretch, first, last) of each anchor of each row: the hash of its stretch, and its windows' starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,140 +73,148 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
                 words = _words.Words(texts[lo:hi])
                 hashes, of, first, last = anchors(words, width)
                 if len(of):
-                    begin = words.bounds[of]
+                    stretch, begin = words.ranges(first, last + width), words.bounds[of]
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(of + lo)), pa.array(hashes.view(np.int64)), pa.array((first - begin).astype(np.int32)), pa.array((last - begin).astype(np.int32))],
-                        names=["key", "anchor", "first", "last"],
+                        [keys.take(pa.array(of + lo)), *(pa.array(x.view(np.int64)) for x in (hashes, stretch)), *(pa.array((x - begin).astype(np.int32)) for x in (first, last))],
+                        names=["key", "anchor", "stretch", "first", "last"],
                     )
 
-    return docs.mapInArrow(run, "key long, anchor long, first int, last int")
+    return docs.mapInArrow(run, "key long, anchor long, stretch long, first int, last int")
 
 
-def _stretches(docs: DataFrame, width: int) -> DataFrame:
-    """(key, anchor, first, stretch) of the recurring anchors listed with each text; a stretch's words are joined by one space."""
+def _windows(docs: DataFrame, width: int) -> DataFrame:
+    """(anchor, stretch, copies, at, window) of the stretches listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                keys, hashes, firsts, out = [], [], [], []
-                part = batch.slice(lo, 64)
-                for key, text, found in zip(*(part.column(c).to_pylist() for c in ("key", "text", "found")), strict=True):
-                    words = _split(text)
-                    for a in found:
-                        keys.append(key)
-                        hashes.append(a["anchor"])
-                        firsts.append(a["first"])
-                        out.append(" ".join(words[a["first"] : a["last"] + width]))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int32()), pa.array(out, pa.string())], names=["key", "anchor", "first", "stretch"])
-
-    return docs.select("key", "text", "found").mapInArrow(run, "key long, anchor long, first int, stretch string")
-
-
-_SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-
-
-def _split(text: str | None) -> list[str]:
-    return [w for w in (text or "").translate(_SEPARATORS).split(" ") if w]
-
-
-def _windows(stretches: DataFrame, width: int) -> DataFrame:
-    """(stretch_id, at, window, copies) of each window of distinct stretches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, listed = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in _words.batches(texts):
                 words = _words.Words(texts[lo:hi])
                 hashes = words.windows(width)
-                count = np.diff(words.bounds) - width + 1
-                rows = np.repeat(np.arange(hi - lo), count)
-                at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-                take = pa.array(rows + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(at.astype(np.int32)), pa.array(hashes[words.bounds[rows] + at].view(np.int64)), batch.column(2).take(take)],
-                    names=["stretch_id", "at", "window", "copies"],
-                )
-
-    return stretches.select("stretch_id", "stretch", "copies").mapInArrow(run, "stretch_id long, at int, window long, copies long")
-
-
-def _locate(width: int):
-    """Streams one lot of stretches through the automaton of its shard's phrases."""
-
-    def run(phrases: pd.DataFrame, lot: pd.DataFrame) -> pd.DataFrame:
-        automaton = ahocorasick.Automaton()
-        for stretch, starts in zip(phrases["stretch"], phrases["starts"], strict=True):
-            words = stretch.split(" ")
-            starts = sorted(starts)
-            begin = starts[0]
-            for here, after in zip(starts, [*starts[1:], None], strict=True):
-                if after is None or after > here + width:  # windows that touch or overlap are one phrase
-                    phrase = " ".join(words[begin : here + width])
-                    automaton.add_word(f" {phrase} ", len(phrase) + 1)
-                    begin = after
-        automaton.make_automaton()
-        keys, begins, ends = [], [], []
-        for key, first, stretch in zip(lot["key"], lot["first"], lot["stretch"], strict=True):
-            text = f" {stretch} "
-            spans = sorted((end - length, end) for end, length in automaton.iter(text)) if len(automaton) else []
-            reach = 0
-            for a, b in spans:
-                if b > reach:  # the words from a character on: each follows a space
-                    begin = text.count(" ", 0, max(a, reach) + 1) - 1
-                    keys.append(key)
-                    begins.append(first + begin)
-                    ends.append(first + begin + text.count(" ", max(a, reach), b))
-                    reach = b
-        return pd.DataFrame({"key": pd.array(keys, "int64"), "begin": pd.array(begins, "int32"), "end": pd.array(ends, "int32")})
-
-    return run
+                rows: list[tuple] = []
+                places = []
+                for i in range(lo, hi):
+                    for s in listed[i].as_py():
+                        at = np.arange(s["first"], s["last"] + 1)
+                        places.append(words.bounds[i - lo] + at)
+                        rows += [(s["anchor"], s["stretch"], s["copies"], x) for x in (at - s["first"]).tolist()]
+                if rows:
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[np.concatenate(places)].view(np.int64))], names=["anchor", "stretch", "copies", "at", "window"])
+
+    return docs.select("text", "listed").mapInArrow(run, "anchor long, stretch long, copies long, at int, window long")
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
+    """Documents (key, ...) that have ranges (key, array): broadcast if few, else the documents that have any are picked
+    first, by broadcast keys if those are few, and then shuffled to their ranges."""
+    ranges = cut(ranges)
+    n, keys = ranges.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)), F.count("*")).first()
+    if n <= BROADCAST_RANGES:
+        return docs.join(F.broadcast(ranges), "key")
+    if keys <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(ranges.select("key")), "key", "left_semi")
+    return docs.join(ranges, "key")
 
 
 def repeated_spans(docs: DataFrame, width: int = 35) -> DataFrame:
-    """(key, spans) of documents (key, text) that hold repeated passages: arrays of word ranges [begin, end)."""
-    found = stored(_anchor_rows(docs.select("key", "text"), width), "anchors")
-    recurring = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hits = cut(found.join(recurring, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("found")))
-    stretches = stored(_stretches(join_ids(docs, hits, "key", hits.count()), width), "stretches").withColumn("stretch_id", F.xxhash64("stretch"))
-    distinct = cut(stretches.groupBy("stretch_id", "anchor").agg(F.count("*").alias("copies"), F.first("stretch").alias("stretch")))
-    windows = _windows(distinct, width)
-    single = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    confirmed = windows.join(single, "window").groupBy("stretch_id").agg(F.collect_set("at").alias("starts"))
-    phrases = cut(distinct.join(confirmed, "stretch_id").select("stretch_id", "anchor", "stretch", "starts", "copies"))
-    shards = max(1, -(-phrases.count() // SHARD_PHRASES))
-    shard = F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards))
-    lots = phrases.groupBy(shard.alias("shard")).agg(F.ceil(F.sum("copies") / SHARD_STREAM).alias("lots"))
-    dealt = phrases.withColumn("shard", shard).join(lots, "shard").select("shard", "stretch", "starts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"))
-    streamed = stretches.join(phrases.select("stretch_id", "anchor"), ["stretch_id", "anchor"]).withColumn("shard", shard).join(lots, "shard")
-    streamed = streamed.select("shard", F.pmod(F.xxhash64("key", "first"), F.col("lots")).alias("lot"), "key", "first", "stretch")
-    spans = dealt.groupBy("shard", "lot").cogroup(streamed.groupBy("shard", "lot")).applyInPandas(_locate(width), "key long, begin int, end int")
-    return spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    """(key, spans) of documents (key, text) that hold repeated passages: word ranges [begin, end), in no order."""
+    docs = docs.select("key", "text")
+    found = stored(_anchor_rows(docs, width), "anchors")
+    recurring = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
+    occurrences = stored(found.join(recurring.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "occurrences")
+    mixed = occurrences.where("mixed")
+    distinct = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("key", "first", "last")).alias("one"))
+    listed = distinct.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "stretch", "copies", "one.first", "one.last")).alias("listed"))
+    windows = cut(_windows(_with_ranges(docs, listed, "listed").dropDuplicates(["key"]), width))
+    repeated = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+    starts = windows.join(repeated, "window").groupBy("anchor", "stretch").agg(F.collect_set("at").alias("starts"))
+    span = lambda begin: F.struct(begin.cast("int").alias("begin"), (begin + width).cast("int").alias("end"))
+    whole = occurrences.where("NOT mixed").select("key", F.array(F.struct(F.col("first").alias("begin"), (F.col("last") + width).alias("end"))).alias("spans"))
+    parts = mixed.join(starts, ["anchor", "stretch"]).select("key", F.transform("starts", lambda s: span(F.col("first") + s)).alias("spans"))
+    return whole.union(parts).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def phrases(words: list[str], spans: list[dict]) -> list[str]:
+    """The phrases of a document: its spans, merged where they touch or overlap, between spaces."""
+    out, begin, end = [], None, None
+    for s in [*sorted(spans, key=lambda s: s["begin"]), None]:
+        if s is not None and end is not None and s["begin"] <= end:
+            end = max(end, s["end"])
+            continue
+        if end is not None:
+            out.append(" " + " ".join(words[begin:end]) + " ")
+        if s is not None:
+            begin, end = s["begin"], s["end"]
+    return out
+
+
+def locate(automaton: ahocorasick.Automaton, words: list[str]) -> list[tuple[int, int]]:
+    """Disjoint ascending word ranges that the automaton's phrases cover."""
+    text = " " + " ".join(words) + " "
+    out, reach, at, index = [], 0, 0, 0
+    for a, b in sorted((end - length + 1, end) for end, length in automaton.iter(text)):
+        if b > reach:
+            a = max(a, reach)
+            index += text.count(" ", at, a)  # spaces before a: the word after the space at a has that number
+            n = text.count(" ", a, b)
+            out.append((index, index + n))
+            index, at, reach = index + n, b, b
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     # rows are told apart by id and content: equal rows lose the same words
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    spans = cut(repeated_spans(rows.select("key", "text"), width))
-    joined = join_ids(rows, spans, "key", spans.count(), "left")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    spans = cut(repeated_spans(rows, width))
+    n = spans.count()
+    with_spans = _with_ranges(rows, spans, "spans").select("id", "text", "spans")
+    without = rows.join(F.broadcast(spans.select("key")) if n <= BROADCAST_ROWS else spans.select("key"), "key", "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+
+    def removed(shard: list[tuple]) -> pa.RecordBatch:
+        automaton = ahocorasick.Automaton()
+        for _, words, found in shard:
+            for phrase in phrases(words, found or []):
+                automaton.add_word(phrase, len(phrase))
+        if len(automaton):
+            automaton.make_automaton()
+        ids, total, gone, kept = [], [], [], []
+        for doc_id, words, found in shard:
+            left, reach = [], 0
+            for begin, end in locate(automaton, words) if found else ():
+                left += words[reach:begin]
+                reach = end
+            left += words[reach:]
+            ids.append(doc_id)
+            total.append(len(words))
+            gone.append(len(words) - len(left))
+            kept.append(" ".join(left))
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nonlocal id_type
+        shard, chars = [], 0
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                total, removed, kept = [], [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = _split(text)
-                    left, reach = [], 0
-                    for s in found or ():
-                        left += words[reach : s["begin"]] if s["begin"] > reach else []
-                        reach = max(reach, s["end"])
-                    left += words[reach:]
-                    total.append(len(words))
-                    removed.append(len(words) - len(left))
-                    kept.append(" ".join(left))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
-
-    return joined.select(F.col(id_col), "text", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+            id_type = batch.column(0).type
+            for doc_id, text, found in zip(*batch.columns, strict=True):
+                text = text.as_py()
+                shard.append((doc_id.as_py(), split(text), found.as_py()))
+                chars += len(text or "")
+                if chars >= SHARD_CHARS:
+                    yield removed(shard)
+                    shard, chars = [], 0
+        if shard:
+            yield removed(shard)
+
+    id_type = None
+    return with_spans.union(without).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+
+
+_SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+
+
+def split(text: str | None) -> list[str]:
+    """Words: runs of characters other than space and U+0009 to U+000D."""
+    return [w for w in (text or "").translate(_SEPARATORS).split(" ") if w]
