@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._session import BROADCAST_ROWS, cut, join_ids
 
-#: Words in a window (a power of two), the words of it that must not be placeholders, and the share of windows.
+#: Words in a window, the words of it that must not be placeholders, and the share of windows.
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 #: Units of measure that count as one type.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "usd", "eur", "gbp", "percent", "euros", "dollars", "meters", "metres", "miles", "hours", "minutes", "seconds", "days", "weeks", "months", "years")
@@ -31,12 +31,12 @@ def words_of(text: Column) -> Column:
 
 
 def template(word: Column) -> Column:
-    """A word or its placeholder."""
+    """A word or its placeholder; words that begin with a to z, nearly all, take two comparisons."""
     first = F.substring(word, 1, 1)
     return (
-        F.when(first == _START, F.lower(F.substring(word, 2, 1_000_000)))
+        F.when((word >= "a") & (word < "{"), F.when(word.isin(*UNITS), F.lit("<unit>")).otherwise(word))
         .when((first >= "0") & (first <= "9"), F.lit("<num>"))
-        .when(word.isin(*UNITS), F.lit("<unit>"))
+        .when(first == _START, F.lower(F.substring(word, 2, 1_000_000)))
         .when(first != F.lower(first), F.lit("<name>"))
         .otherwise(word)
     )
@@ -46,28 +46,21 @@ def _placeholder(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
 
-def _from(values: Column, k: int) -> Column:
-    return F.slice(values, k, F.greatest(F.size(values), F.lit(1)))
+def with_windows(rows: DataFrame, words: Column) -> DataFrame:
+    """Adds ``windows``: the hash of the template window from each word on. To be exploded as outer rows: for inner ones
+    the optimizer would first ask for the array's size, in a filter that computes all hashes for each window.
 
-
-def _pairwise(values: Column, gap: int) -> Column:
-    """Hash of each value with the one ``gap`` places on; null at the end."""
-    return F.zip_with(values, _from(values, gap + 1), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))
-
-
-def window_hashes(templates: Column) -> Column:
-    """Hash of the window from each word on; null at the end."""
-    out, gap = F.transform(templates, lambda w: F.xxhash64(w)), 1
-    while gap < WINDOW:
-        out, gap = _pairwise(out, gap), 2 * gap
-    return out
+    Word hashes are a column of their own, which the windows name WINDOW times, so they are computed once a text."""
+    hashed = rows.withColumn("__h", F.transform(words, lambda w: F.xxhash64(template(w))))
+    window = F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))
+    return hashed.withColumn("windows", F.when(F.size("__h") >= WINDOW, window)).drop("__h")
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, item_windows, place, hash, raw) of the benchmark's windows with enough literal words."""
     rows = benchmark.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("raw")).dropDuplicates()
-    rows = rows.select("item", "raw", F.transform("raw", template).alias("t")).where(f"size(t) >= {WINDOW}")
-    rows = rows.select("item", "raw", "t", F.posexplode(window_hashes(F.col("t"))).alias("place", "hash")).where("hash IS NOT NULL")
+    rows = with_windows(rows, F.col("raw")).withColumn("t", F.transform("raw", template))
+    rows = rows.select("item", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
     literal = F.size(F.filter(F.slice("t", F.col("place") + 1, WINDOW), lambda w: ~_placeholder(w)))
     rows = rows.where(literal >= LITERAL).select("item", "place", "hash", F.slice("raw", F.col("place") + 1, WINDOW).alias("item_raw"))
     sizes = rows.groupBy("item").agg(F.count("*").alias("item_windows"))
@@ -79,7 +72,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = cut(_items(benchmark, item_col, item_text))
     small = items.count() <= BROADCAST_ROWS
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    exploded = keyed.select("key", F.posexplode(window_hashes(F.transform(words_of(F.col("text")), template))).alias("at", "hash"))
+    exploded = with_windows(keyed, words_of(F.col("text"))).select("key", F.posexplode_outer("windows").alias("at", "hash"))
     wanted = items.select("hash").distinct()
     hits = exploded.join(F.broadcast(wanted) if small else wanted, "hash")
     found = cut(hits.groupBy("key", "hash").agg(F.min("at").alias("at")))
@@ -89,7 +82,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     chosen = cut(enough.select("key", "item", "windows", "item_windows"))
     held = found.join(chosen.select("key").distinct(), "key").groupBy("key").agg(F.collect_list(F.struct("hash", "at")).alias("held"))
     texts = join_ids(keyed, held, "key", chosen.count()).dropDuplicates(["key"])
-    raws = texts.select("key", "doc", "held", words_of(F.col("text")).alias("raw")).select("key", "doc", F.explode(F.transform("held", lambda x: F.struct(x["hash"].alias("hash"), F.slice("raw", x["at"] + 1, WINDOW).alias("doc_raw")))).alias("x"))
+    raws = texts.select("key", "doc", "held", words_of(F.col("text")).alias("raw")).select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["hash"].alias("hash"), F.slice("raw", x["at"] + 1, WINDOW).alias("doc_raw")))).alias("x"))
     slots = raws.select("key", "doc", "x.*").join(items, "hash").join(chosen.select("key", "item"), ["key", "item"])
     values = F.filter(F.arrays_zip("item_raw", "doc_raw"), lambda p: _placeholder(template(p["item_raw"])))
     slots = slots.select("key", "doc", "item", F.explode_outer(values).alias("v"))
