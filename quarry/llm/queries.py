@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secrets, template_decontam, token_counts, url_filters
+from quarry.llm import html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
 from quarry.llm._session import read_table
+from quarry.llm.oracles import ORACLE_SQL
 
 #: Rules given for the url query, before the patterns.
 URL_RULES = (
@@ -19,7 +20,7 @@ URL_RULES = (
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read_table(spark, sf_dir, "documents"), secrets.train(spark))
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"), secret_scan.train(spark))
     return found.select(F.col("id").alias("doc_id"), "start", "end", "kind", "sha256", "probability")
 
 
@@ -76,4 +77,5 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_packing": op2_packing, "op3_html_extraction": op3_html_extraction, "op4_token_counts": op4_token_counts, "op6_ngram_join": op6_ngram_join, "op8_phrase_dedup": op8_phrase_dedup, "op5_quality_classifier": op5_quality_classifier, "op7_url_filters": op7_url_filters, "op9_template_decontam": op9_template_decontam, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
