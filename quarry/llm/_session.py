@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with an eager checkpoint in the shared folder."""
+    """Cuts lineage with an eager checkpoint in the shared folder.
+
+    Shuffle files of a cut lineage go when the driver's JVM collects its garbage, which Spark asks for only every half
+    hour; asking here keeps the executors' disks from filling with them."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller parts, so a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._session import slices
+
 #: Labelled pages for the weights, and features kept of them, at most.
 SAMPLE, FEATURES = 400, 1000
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|<!(?:[^>])*>", re.S | re.I)
@@ -154,7 +156,7 @@ def main_text(pages: DataFrame, weights: dict[str, float], id_col: str = "page_i
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(page.as_py(), weights) for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, *range(2, batch.num_columns))), pa.array(texts, pa.string())], schema=pa.schema([*(batch.schema.field(i) for i in (0, *range(2, batch.num_columns))), pa.field("text", pa.string())]))
 

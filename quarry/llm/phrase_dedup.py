@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _words
-from quarry.llm._session import BROADCAST_ROWS, cut, stored
+from quarry.llm._session import BROADCAST_ROWS, cut, slices, stored
 
 GRAM = 8
 #: Characters of the documents of one shard; its automaton has no more nodes than that, but for one longer document.
@@ -67,7 +67,7 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
     """(key, anchor, stretch, first, last) of each anchor of each row: the hash of its stretch, and its windows' starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for lo, hi in _words.batches(texts):
                 words = _words.Words(texts[lo:hi])
@@ -86,7 +86,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
     """(anchor, stretch, copies, at, window) of the stretches listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, listed = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in _words.batches(texts):
                 words = _words.Words(texts[lo:hi])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._session import slices
+
 #: Buckets of hashed words, rank of the interactions, and labelled rows of each class in the sample, at most.
 BUCKETS, RANK, SAMPLE = 512, 8, 2000
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\[\]=_~^\\]")
@@ -73,7 +75,7 @@ def features(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.nda
     for w, c in counts.items():
         b = memo.get(w)
         if b is None:
-            if len(memo) > 200_000:
+            if len(memo) > 50_000:
                 memo.clear()
             b = memo[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS
         held[b] += c
@@ -137,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             at, x = zip(*(features(t, memo) for t in batch.column(1).to_pylist()), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["id", "y", "at", "x"])
 
@@ -154,7 +156,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             z = np.array([machine.margin(*features(t.as_py(), memo)) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[id_col, "score"])
 
@@ -167,7 +169,7 @@ def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             good = [machine.margin(*features(t.as_py(), memo)) >= 0 for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))

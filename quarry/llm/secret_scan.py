@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm._session import cut, join_ids
+from quarry.llm._session import cut, join_ids, slices
 
 #: Labelled findings in the training table, and the forest's size.
 FINDINGS, TREES, DEPTH = 4000, 30, 8
@@ -194,7 +194,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, starts, ends, kinds, hashes, xs = [], [], [], [], [], []
             for i, (text, path) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 text = text.as_py() or ""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _bpe
-from quarry.llm._session import shared_dir
+from quarry.llm._session import shared_dir, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 
@@ -32,7 +32,7 @@ def encode_misses(misses: DataFrame, tokenizer: str) -> DataFrame:
     version = _bpe.version(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             counts = [len(_bpe.encode(t, tokenizer)) for t in texts]
             sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

@@ -1,0 +1,343 @@
+"""The training-data operators against brute-force versions, with nulls, empty and long texts, ties, repeated rows,
+empty tables and extra columns of clashing names."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import _bpe, _words, html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, queries, secret_scan, template_decontam, token_counts, url_filters
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, key string, a int, spans string, score string"
+
+
+def lower(text):
+    return re.sub("[A-Z]+", lambda m: m.group().lower(), text or "")
+
+
+@pytest.fixture(scope="session")
+def texts():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choice(vocabulary, 60 + 10 * i)) for i in range(12)]
+    out = [None, "", "  \n\t ", "one", "Two words", "a b c", "x " * 300, "é\x85ü ñ o p 漢字 😀 <|endoftext|> tail", "Zwölf Boxkämpfer\r\n\n jagen\x0bViktor\x0c quer"]
+    for text in base:
+        out += [text, text]
+        words = text.split()
+        for k in range(8):  # near copies around the threshold
+            near = list(words)
+            for at in rng.choice(len(near), k, replace=False):
+                near[at] = f"n{rng.integers(9)}"
+            out.append(" ".join(near))
+        out.append("Lead in. " + " ".join(words[5:50]) + " tail words")
+    out.append(" ".join(rng.choice(vocabulary, 20000)))
+    return out
+
+
+@pytest.fixture(scope="session")
+def docs(spark, texts):
+    rows = [(i, t, "src", "k", 1, "s", "x") for i, t in enumerate(texts)]
+    rows += [rows[0], rows[1], rows[10], rows[10]]  # repeated rows
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_words_are_cut_and_hashed_alike(texts):
+    for lo, hi in _words.batches(texts):
+        words = _words.Words(texts[lo:hi])
+        for i in range(lo, hi):
+            a, b = words.bounds[i - lo], words.bounds[i - lo + 1]
+            got = [words.bytes[s:e].decode() for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True)]
+            assert got == WORD.findall(texts[i] or "")
+    one, other = _words.Words(["b c d"]), _words.Words(["zz a b c d e"])
+    assert one.windows(3)[0] == other.windows(3)[2] and one.hash[0] == other.hash[2]
+    assert len(set(_words.Words(["ab a b aab"]).hash.tolist())) == 4
+
+
+def test_fast_ids_are_those_of_the_library(texts):
+    rng = np.random.default_rng(0)
+    latin = "".join(chr(c) for c in range(0x250))
+    more = ["".join(rng.choice(list(latin), 80)) for _ in range(200)] + ["can't  won't\n\n  x y 12345", "<|endoftext|>", "漢字かな混じり"]
+    library = _bpe._library("byte_bpe_50k.json")
+    for text in [t or "" for t in texts] + more:
+        assert _bpe.encode(text, "byte_bpe_50k.json") == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing(spark, docs, none):
+    for capacity in (2048, 64):
+        got = packing.pack_documents(docs, capacity).collect()
+        sequences, pieces = defaultdict(list), defaultdict(list)
+        for r in got:
+            assert r.length * 4 == len(r.ids) > 0
+            sequences[r.sequence_id].append((r.offset, r.length))
+            pieces[r.doc_id].append(r)
+        for parts in sequences.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        copies = Counter(rows_of(docs))
+        for (doc_id, text), k in copies.items():
+            ids = _bpe.encode(text, "byte_bpe_50k.json") + [1]
+            assert len(ids) == pieces[doc_id][0].doc_tokens
+            want = Counter()
+            for r in pieces[doc_id]:
+                assert _bpe.as_bytes(ids)[4 * r.start : 4 * (r.start + r.length)] == r.ids
+                want.update(range(r.start, r.start + r.length))
+            assert set(want.values()) == {k} and len(want) == len(ids)
+    assert packing.pack_documents(none).count() == 0
+    full = packing.sequences(packing.pack_documents(docs)).collect()
+    for r in full:
+        assert len(r.ids) == 4 * (r.length + r.padding) and (r.length + r.padding == 2048 or r.length & (r.length - 1) == 0)
+
+
+def test_differencing_is_even():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 512, 2000).tolist()
+    k = -(-sum(lengths) // 2048) + 2
+    loads = np.bincount(packing.difference(lengths, k), weights=lengths, minlength=k)
+    assert loads.max() - loads.min() < 40
+    windows = packing.pack(lengths, 2048)
+    assert np.bincount(windows, weights=lengths).max() <= 2048 and sum(lengths) / (2048 * (windows.max() + 1)) > 0.98
+    assert packing.pack([], 10).tolist() == [] and packing.pack([10, 10], 10).tolist() in ([0, 1], [1, 0])
+
+
+def test_token_counts_and_cache(spark, docs, none, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    for round_ in range(2):  # the second run finds all in the cache
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect()}
+        assert token_counts.count_tokens(docs, path).count() == docs.count()
+        for doc_id, text in rows_of(docs):
+            assert got[doc_id] == (len((text or "").encode()), len(_bpe.encode(text, "byte_bpe_50k.json"))), doc_id
+        assert spark.read.parquet(path).count() == len({t or "" for _, t in rows_of(docs)})
+    other = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path, "piece_bpe_32k.model").collect()}
+    for doc_id, text in rows_of(docs):
+        assert other[doc_id] == len(_bpe._library("piece_bpe_32k.model").encode(text or ""))
+    assert token_counts.count_tokens(none, path).count() == 0
+
+
+def brute_groups(rows, n, percent):
+    sets = {}
+    for doc_id, text in rows:
+        w = WORD.findall(lower(text))
+        sets[doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_ngram_join(docs, none, n, percent):
+    got = ngram_join.similar_groups(docs, n, percent).collect()
+    assert len(got) == docs.count()
+    want = brute_groups(rows_of(docs), n, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert ngram_join.similar_groups(none, n, percent).count() == 0
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs, n, percent).collect())
+    assert kept == sorted(d for d, (_, c) in want.items() if c == d)
+
+
+def test_ngram_join_finds_links_away_from_the_pivot(spark):
+    """A chain of edits: each text links with the next alone, so most links are not with a pivot."""
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        for at in rng.choice(200, 3, replace=False):
+            words[at] = f"c{i}x{at}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (1, 95)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(docs, n, percent).collect()}
+        assert got == brute_groups(rows, n, percent)
+
+
+def brute_removal(rows, width):
+    count = Counter()
+    for _, text in rows:
+        w = WORD.findall(text or "")
+        count.update(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+    out = []
+    for doc_id, text in rows:
+        w = WORD.findall(text or "")
+        gone = {j for i in range(len(w) - width + 1) if count[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+        out.append((doc_id, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("width", [35, 12])
+def test_phrase_removal(docs, none, width):
+    assert sorted(map(tuple, phrase_dedup.remove_repeats(docs, width).collect())) == brute_removal(rows_of(docs), width)
+    assert phrase_dedup.remove_repeats(none, width).count() == 0
+
+
+def test_phrase_removal_by_shuffled_ranges(docs, monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "BROADCAST_RANGES", 0)
+    monkeypatch.setattr(phrase_dedup, "SHARD_CHARS", 2000)
+    assert sorted(map(tuple, phrase_dedup.remove_repeats(docs, 35).collect())) == brute_removal(rows_of(docs), 35)
+
+
+def test_line_rules(spark, docs, none):
+    junk = [(900, "\n".join(["alpha | beta | gamma | delta | eps | zeta"] * 12)), (901, "\n".join(f"Line{i} says{i} that{i} all{i} is{i} well{i} and{i} good here. It{i} ends." for i in range(9))), (902, "BUY NOW!! " * 40), (903, "word*** " * 60), (904, "same line here\n" * 30), (905, " ".join(f"t{i % 40} u{i % 40} v{i % 40}" for i in range(200)))]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string"))
+    got = {r.doc_id: r for r in line_rules.judge(more).collect()}
+    for doc_id, text in rows_of(more):
+        text = text or ""
+        w = WORD.findall(text)
+        triples = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {j for i, t in enumerate(zip(w, w[1:], w[2:], strict=False)) if triples[t] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        r = got[doc_id]
+        want = (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, doc_id
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+    assert [got[i].kept for i in (900, 901, 902, 903, 904)] == [False, True, False, False, False]
+    assert line_rules.judge(none).count() == 0
+    assert {r.doc_id for r in line_rules.clean(more).collect()} == {d for d, r in got.items() if r.kept}
+
+
+def test_url_filters(spark):
+    urls = ["http://a.Example.NET/en/1?x=/fr/", "https://x.net/", "https://x.net", "https://net/q", "http://w.org/fr/a", "http://w.org/de", "http://s.example.com/de/1#y", "http://www.cheap-pills.example.com/en/", "https://casino-x.example.org/fr/1", "mailto:someone", None, "", "http://xnet/", "http://a.net:80/x", "http://h#/path", "HTTP://Q.ORG/FR/"]
+    pages = spark.createDataFrame([(i, u, "k", "v") for i, u in enumerate(urls)] + [(0, urls[0], "k", "v")], "page_id long, url string, host string, verdict string")
+    got = {r.page_id: tuple(r)[1:] for r in url_filters.judge(pages, queries.URL_RULES).collect()}
+    assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow")
+    assert got[1] == ("x.net", "/", "net/", "block") and got[2] == ("x.net", "", None, "allow")
+    assert got[3][2:] == ("net/", "block") and got[4][2:] == ("org/fr/", "allow") and got[5][2:] == (None, "allow")
+    assert got[6] == ("s.example.com", "/de/1", "example.com/de/", "block")
+    assert got[7][2:] == (None, "block") and got[8][2:] == ("org/fr/", "allow")
+    assert got[9] == got[10] == got[11] == ("", "", None, "allow")
+    assert got[12][2] is None and got[13][2] is None and got[14][:2] == ("h", "") and got[15] == ("q.org", "/FR/", None, "allow")
+    assert url_filters.judge(pages.where("false"), queries.URL_RULES).count() == 0
+    assert url_filters.judge(pages, queries.URL_RULES).count() == len(urls) + 1
+
+
+def test_decontamination(spark, none):
+    items = [(1, "A train leaves Boston at 60 km per hour and reaches Denver after 12 hours of travel. How far is it?"), (2, None), (3, "short one"), (4, "Every clean window of this question has only plain words in it and nothing else at all.")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    like = "A train leaves {} at {} km per hour and reaches {} after {} hours of travel. How far is it?"
+    rows = [(10, "Intro text. " + like.format("Paris", 80, "Rome", 15) + " Bye."), (11, "clean words only here"), (12, None), (13, ""), (14, items[3][1].lower()), (15, items[0][1]), (16, "every clean window of this other text is nothing like plain words"), (10, "again clean")]
+    docs = spark.createDataFrame([(*r, "k", 1) for r in rows], "doc_id long, text string, key string, item int")
+    got = {(r.doc_id, r.item_id): r.changed for r in template_decontam.leaks(docs, bench).collect()}
+    assert got == {(10, 1): 4, (14, 4): 0, (15, 1): 0}
+    # the same value must stand for the same value: here one name has two replacements
+    twice = spark.createDataFrame([(1, "Then Anna gives the red apples to Anna and the old pears again to Anna before the long day ends.")], "item_id int, text string")
+    mixed = spark.createDataFrame([(1, "Then Bert gives the red apples to Carl and the old pears again to Dora before the long day ends."), (2, "Then Bert gives the red apples to Bert and the old pears again to Bert before the long day ends.")], "doc_id long, text string")
+    assert [(r.doc_id, r.changed) for r in template_decontam.leaks(mixed, twice).collect()] == [(2, 1)]
+    assert sorted(r.doc_id for r in template_decontam.decontaminate(docs, bench).collect()) == [11, 12, 13, 16]
+    assert template_decontam.leaks(none, bench).count() == 0 and template_decontam.leaks(docs, bench.where("false")).count() == 0
+
+
+def test_decontamination_finds_planted_items(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = {r.item_id: words(r.text) for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        text = " " + " ".join(words(r.text)) + " "
+        want |= {(r.doc_id, i) for i, w in items.items() if " " + " ".join(w) + " " in text}
+    got = {(r.doc_id, r.item_id) for r in template_decontam.leaks(docs, bench).collect()}
+    assert want <= got and len(got) <= len(want) + 2
+
+
+def test_quality_classifier(spark, docs, none):
+    whole, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = queries.op5_quality_classifier(spark, "/root/testdata/sf0.01").join(labels, "doc_id", "left").toPandas()
+    assert len(got) == whole.count() and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+    assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out, strict=True))
+    held = got[got.held_out & got.quality.notna()]
+    assert ((held.quality == 1) == (held.predicted == 1)).mean() > 0.97
+    machine = quality_fm.train(docs, labels.where("false"))
+    assert {r.score for r in quality_fm.score(docs, machine).collect()} == {0.5}
+    assert quality_fm.score(none, machine).count() == 0 and quality_fm.keep_good(docs, machine).columns == docs.columns
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(2)
+    m = quality_fm.Machine(0.3, rng.normal(size=12), rng.normal(size=(12, 4)))
+    at, x = np.array([0, 3, 7, 9]), rng.normal(size=4)
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(4) for j in range(i + 1, 4))
+    assert m.margin(at, x) == pytest.approx(m.bias + m.weights[at] @ x + pairs)
+
+
+def test_secrets(spark, docs, none):
+    key, token = "AKIA" + "SJDZWJNP6ZRYWK44", "9eb9c654e721b4f812088970e66a6345cee33dd6"
+    rows = [
+        (1, f"the end of {key} and more words"), (2, f'set token = "{token}" here'), (3, "password=7602ad27cf5550de1c st"), (4, f"fixed in commit {token} by them"),
+        (5, "mail hsr.29@mail5.example.com please"), (6, "password: changeme and so on"), (7, None), (8, ""), (9, f"{key} {key}"), (10, "see https://www.example.com/a/b/c/1234567 for it"), (2, f'set token = "{token}" here'),
+    ]
+    table = spark.createDataFrame([(*r, None, "k", 5) for r in rows], "doc_id long, text string, source string, key string, n_chars long")
+    model = secret_scan.train(spark)
+    found = secret_scan.scan(table, model).collect()
+    assert sorted(r.id for r in found) == [1, 2, 2, 3, 9, 9]
+    one = next(r for r in found if r.id == 1)
+    assert rows[0][1][one.start : one.end] == key and one.sha256 == hashlib.sha256(key.encode()).hexdigest()
+    clean = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(table, model, length_col="n_chars").collect()}
+    assert clean[1][0] == "the end of <SECRET> and more words" and clean[9][0] == "<SECRET> <SECRET>" and clean[9][1] == 17 and clean[4] == (rows[3][1], 5) and clean[7] == (None, 5)
+    assert secret_scan.redact(table, model).columns == table.columns and secret_scan.redact(table, model).count() == len(rows)
+    assert secret_scan.scan(none, model).count() == 0
+
+
+def test_forest_holds_out():
+    """Accuracy on labelled findings of another seed."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = []
+    for before, value, after, path, label in secret_scan.labelled_findings(1000, seed=99):
+        rows.append((secret_scan.describe(value, before, after, path, set(before.lower().split())), label))
+    scored = secret_scan.train(spark).transform(spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label"))
+    assert scored.where(F.col("prediction") == F.col("label")).count() > 950
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header>Site head</header><nav><ul>
+<li><a href="/">Home page</a></ul></nav><div class="ad">Buy now please</div><article><h1>Title &amp; more</h1><p>Some <b>bo</b>ld   text<br>here
+<p>Fish&nbsp;&lt;chips&gt;</p></article><div class="comments"><p>I liked it</p></div><footer>&copy; foot</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, None, "plain words"), (5, "u", "<p>a<p>b<!-- x --> c <script>if(a<b){}</script>d"), (6, "u", "<nav>only a menu</nav>"), (1, "u", PAGE), (7, "u", "<article><p>" + "long text " * 20000)]
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    weights = html_main.learn(pages)
+    got = {r.page_id: r.text for r in html_main.main_text(pages, weights).collect()}
+    assert got[1] == "Title & more Some bold text here Fish <chips>"
+    assert got[2] == got[3] == got[6] == "" and got[4] == "plain words" and got[5] == "a b c d" and len(got[7].split()) == 40000
+    assert html_main.main_text(pages, weights).count() == len(rows)
+    assert html_main.main_text(pages.where("false"), html_main.learn(pages.where("false"))).count() == 0
+
+
+def test_html_of_all_marked_pages(spark):
+    import html
+
+    got = {r.page_id: r for r in queries.op3_html_extraction(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S).group(1)
+        want = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", inner))).split())
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
