@@ -40,4 +40,4 @@ def at_most(df: DataFrame, name: str, key: list[str], limit: int) -> DataFrame:
 
 def contained(child: DataFrame, parent: DataFrame, name: str, child_key: str, parent_key: str) -> DataFrame:
     """Child rows without a parent."""
-    return _row(child.join(parent.select(parent_key).distinct(), F.col(child_key) == F.col(parent_key), "left_anti"), name, F.count("*"))
+    return _row(child.join(parent.select(F.col(parent_key).alias("__p")).distinct(), F.col(child_key) == F.col("__p"), "left_anti"), name, F.count("*"))

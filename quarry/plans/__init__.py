@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "sampling", "sequences", "spatial", "metrics")
+MODULES = ("relational", "sampling", "sequences", "spatial", "metrics", "events")
 
 
 def _merged(name: str) -> dict:
