@@ -7,9 +7,12 @@ ones, so boilerplate that many documents share makes no candidates. The order is
 of each candidate pair is counted separately in each fragment, and the counts are summed per pair.
 
 Within the documents of one gram, all are compared with one pivot first, which settles a group of near copies with one
-pair each. Only what is still in another component than its partners is compared further, where the distances to the
-pivot (Jaccard distance is a metric) do not rule the link out. So no links between different sets are lost, and no
-group is expanded into all its pairs.
+pair each. What does not link to its pivot is then joined by differences: with D(x) the symmetric difference of x and
+the pivot p, that of x and y is |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so x and y link only if their differences overlap by
+a number that grows with them. Copies with edits of their own share few differences, so the same prefix filter, over
+differences ordered by frequency, leaves few pairs to compare. Documents far from the pivot get another pivot in the next round, as
+the triangle inequality keeps them from linking with those near it. No link between different sets is lost, and no group is
+expanded into all its pairs.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer words than n has one
 gram, the whole sequence; repeated rows are copies; rows that share an id are one document, of which the set of the
@@ -18,6 +21,7 @@ smallest digest is compared; rows without an id have no component; extra columns
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.llm import _words
-from quarry.llm._session import cut, join_ids
+from quarry.llm._session import cut, join_ids, slices, stored
 
 #: Fragments of the global order in which overlaps are counted.
-FRAGMENTS = 4
+FRAGMENTS = 2
+#: The Jaccard distances beyond which a document is given another pivot, for each round of pivots; beyond the last one
+#: documents share no more than boilerplate with their pivot, and those of like size are compared directly.
+FAR = (0.6, 0.6, 0.92)
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -72,7 +79,7 @@ def describe(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, d1, d2 = [], [], []
             for grams in gram_sets(batch.column(1).to_pylist(), n):
                 a, b = _digest(grams)
@@ -89,7 +96,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             want = batch.column(1).to_pylist()
             rows, sizes, out = [], [], []
             for i, grams in enumerate(gram_sets(batch.column(2).to_pylist(), n)):
@@ -114,7 +121,7 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
     limits = np.array([(1 << 64) // FRAGMENTS * f for f in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             want, ids = batch.column(1).to_pylist(), batch.column(0)
             rows, parts = [], []
             for i, grams in enumerate(gram_sets(batch.column(2).to_pylist(), n)):
@@ -129,15 +136,18 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc", "d1", "text").mapInArrow(run, f"doc {kind}, fragment int, grams array<long>").dropDuplicates(["doc", "fragment"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """Adds the overlap of each pair (a, b): the sum of the overlaps counted in each fragment."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    wanted = cut(wanted.join(reps.select("doc", "d1"), "doc"))
-    parts = _fragments(join_ids(texts, wanted, "doc", wanted.count()), n)
-    spread = pairs.select("a", "b", "size_a", "size_b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+def _side_by_side(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the grams of both in each fragment; only fragments of their documents travel."""
+    wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+    parts = join_ids(parts, wanted, "doc", wanted.count(), "left_semi")
+    spread = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     left = spread.join(parts.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("grams_a")), ["a", "fragment"])
-    both = left.join(parts.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
-    counted = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
+    return left.join(parts.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The overlap of each pair (a, b, size_a, size_b): the sum of the overlaps counted in each fragment."""
+    counted = _side_by_side(pairs, parts).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("shared"))
     return counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
 
 
@@ -169,21 +179,34 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     able = reps.where(F.col("size") >= least).select("doc", "d1")
     grams = _prefixes(join_ids(texts, able, "doc", able.count()), n, percent)
-    blocks = cut(_blocks(grams, percent))
-    star = blocks.join(blocks.groupBy("gram").agg(F.min_by(F.struct("doc", "size"), F.col("doc")).alias("pivot")), "gram")
-    fits = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    first = star.where(F.col("doc") != F.col("pivot.doc")).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
-    first = cut(verify(cut(first.where(fits).distinct()), texts, reps, n))
+    blocks = stored(_blocks(grams, percent), "blocks")
+    members = cut(blocks.select("doc").distinct().join(reps.select("doc", "d1"), "doc"))
+    parts = stored(_fragments(join_ids(texts, members, "doc", members.count()), n), "fragments")
     linked = F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent
-    links = first.where(linked).select("a", "b")
+    distance = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
+    compared = []
+    for limit in FAR:
+        # the pivot of a gram is the document with the most grams in common with others: that from which copies were made
+        degrees = blocks.join(blocks.groupBy("doc").agg(F.count("*").alias("degree")), "doc")
+        pivots = degrees.groupBy("gram").agg(F.min_by(F.struct("doc", "size"), F.struct(-F.col("degree"), "doc")).alias("pivot"))
+        star = blocks.join(pivots, "gram").where(F.col("doc") != F.col("pivot.doc"))
+        star = star.select("gram", F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
+        pairs = cut(overlaps(cut(star.drop("gram").distinct()), parts).select("*", linked.alias("linked"), distance.alias("distance")))
+        compared.append(pairs.where(F.col("distance") <= limit + 1 - percent / 100 + 1e-9))
+        far = star.join(pairs.where(F.col("distance") > limit).select("a", "b", "distance"), ["a", "b"]).select("gram", F.col("b").alias("doc"), F.col("size_b").alias("size"), "distance")
+        several = far.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
+        far = cut(far.join(several, "gram"))
+        blocks = far.select("gram", "doc", "size")
+        if not blocks.limit(1).count():
+            break
+    left = cut(_far_pairs(far, percent))
+    links = cut(functools.reduce(DataFrame.union, compared).where("linked").select("a", "b").distinct())
     labels = components(links)
-    rest = cut(_residual(star, first, labels, fits, percent))
+    rest = cut(functools.reduce(DataFrame.union, (_by_differences(pairs, parts, labels, percent) for pairs in compared), left).distinct())
     if rest.limit(1).count():
-        later = cut(verify(rest, texts, reps, n)).where(linked).select("a", "b")
+        later = cut(overlaps(rest, parts).where(linked).select("a", "b"))
         if later.limit(1).count():
-            # components of the first round are joined, not built anew
-            links = links.union(later)
-            labels = components(links)
+            labels = components(links.union(later))
     found = one.join(reps.select("d1", "d2", "doc"), ["d1", "d2"]).join(labels, "doc", "left").select("doc_id", F.coalesce("component", "doc").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return described.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", alone.alias("component_id"))
@@ -201,15 +224,70 @@ def _blocks(grams: DataFrame, percent: int) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("kept") - keep + 1).select("gram", "doc", "size")
 
 
-def _residual(star: DataFrame, first: DataFrame, labels: DataFrame, fits, percent: int) -> DataFrame:
-    """Pairs within a block, of different components, whose distances to the pivot allow a link."""
-    distance = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
-    known = first.select(F.col("a").alias("pivot_doc"), F.col("b").alias("doc"), distance.alias("d"))
-    rows = star.select("gram", "doc", "size", F.col("pivot.doc").alias("pivot_doc")).where("doc <> pivot_doc").join(known, ["pivot_doc", "doc"], "left")
-    rows = rows.join(labels, "doc", "left").select("gram", "doc", "size", "d", F.coalesce("component", "doc").alias("component"))
-    far = F.coalesce(F.col("d"), F.lit(9.0)) > 1 - percent / 100 + 1e-9
-    loose = rows.where(far).select("gram", *(F.col(c).alias(f"{c}_a") for c in ("doc", "size", "d", "component")))
-    others = rows.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("doc", "size", "d", "component")), far.alias("far_b"))
-    near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= 1 - percent / 100 + 1e-9)
-    both = loose.join(others, "gram").where((F.col("component_a") != F.col("component_b")) & near & fits & (~F.col("far_b") | (F.col("doc_a") < F.col("doc_b"))))
-    return both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"), F.when(F.col("doc_a") < F.col("doc_b"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(F.col("doc_a") < F.col("doc_b"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
+def _far_pairs(far: DataFrame, percent: int) -> DataFrame:
+    """Pairs of what is far from every pivot: documents that share a rare gram, of like sizes and distances to their
+    last pivot."""
+    one = far.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("doc", "size", "distance")))
+    other = far.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("doc", "size", "distance")))
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
+    both = one.join(other, "gram").where((F.col("doc_a") < F.col("doc_b")) & fits & near)
+    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "size_a", "size_b").distinct()
+
+
+def _by_differences(pairs: DataFrame, parts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of one pivot, of different components and not both linked to the pivot, whose
+    differences from it may overlap enough for a link."""
+    open_ = pairs.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("a")
+    pairs = cut(pairs.join(open_, "a"))
+    typed = lambda grams, added: F.transform(grams, lambda g: F.struct(g.alias("element"), F.lit(added).alias("added")))
+    differ = F.concat(typed(F.array_except("grams_b", "grams_a"), True), typed(F.array_except("grams_a", "grams_b"), False))
+    elements = _side_by_side(pairs.select("a", "b"), parts).select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.explode_outer(differ).alias("e")).where("e IS NOT NULL").select("pivot", "doc", "e.*")
+    delta = (100 - percent) / (100 + percent)  # linked: |A ^ B| <= delta (|A| + |B|)
+    size, pivot_size, d = F.col("size"), F.col("size_a"), F.col("d")
+    lost = F.col("size_a") - F.col("shared")
+    members = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "linked", "size_a", F.col("size_b").alias("size"), (lost + F.col("size_b") - F.col("shared")).alias("d"), lost.alias("lost"))
+    members = members.join(labels.withColumnRenamed("component", "own"), "doc", "left").withColumn("component", F.coalesce("own", "doc"))
+    # of d differences, those shared with any linked partner, and with one that isn't linked to the pivot, at least
+    any_partner = F.greatest(F.lit(1.0), F.ceil(d - delta * (size + size * 100 / percent) - 1e-6))
+    with_loose = F.greatest(any_partner, F.ceil((d + delta * (pivot_size - size)) / 2 - 1e-6))
+    members = members.select("pivot", "doc", "linked", "size", "d", "lost", "component", any_partner.alias("least_any"), with_loose.alias("least_loose"))
+    common = elements.groupBy("pivot", "element").agg(F.count("*").alias("docs")).where("docs > 1")
+    w = W.partitionBy("pivot", "doc")
+    ranked = elements.join(common, ["pivot", "element"]).select("*", F.row_number().over(w.orderBy(F.desc("added"), "docs", "element")).alias("rank"), F.count("*").over(w).alias("kept"))
+    rows = ranked.join(members, ["pivot", "doc"]).where(F.col("rank") <= F.col("kept") - F.col("least_any") + 1)
+    own = ("doc", "linked", "size", "d", "lost", "component", "after", "listed")
+    rows = stored(rows.withColumn("listed", F.col("rank") <= F.col("kept") - F.col("least_loose") + 1).withColumn("after", F.col("kept") - F.col("rank")).select("pivot", "element", "added", *own), "differences")
+    side = lambda frame, s: frame.select("pivot", "element", *(["added"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in own))
+    both = side(rows.where("NOT linked"), "a").join(side(rows.where("listed"), "b"), ["pivot", "element"])
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    near = F.abs(F.col("d_a") - F.col("d_b")) <= delta * (F.col("size_a") + F.col("size_b")) + 1e-6
+    loose = F.col("linked_b") | (F.col("listed_a") & (F.col("doc_a") < F.col("doc_b")))
+    # what the pair must share: at its first shared difference that many are left on both sides, and as grams that the
+    # pivot lost make up only so many of them, the first is one that was added, where those are not enough
+    least = F.greatest(F.lit(1.0), F.ceil((F.col("d_a") + F.col("d_b") - delta * (F.col("size_a") + F.col("size_b"))) / 2 - 1e-6))
+    enough = (F.least("after_a", "after_b") + 1 >= least) & (F.col("added") | (least <= F.least("lost_a", "lost_b")))
+    both = both.where((F.col("component_a") != F.col("component_b")) & fits & near & loose & enough)
+    first = F.col("doc_a") < F.col("doc_b")
+    return both.select(
+        F.least("doc_a", "doc_b").alias("a"),
+        F.greatest("doc_a", "doc_b").alias("b"),
+        F.when(first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"),
+        F.when(first, F.col("size_b")).otherwise(F.col("size_a")).alias("size_b"),
+    ).distinct()
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that with the smallest id, all columns as given; of rows that share an id one stays,
+    and rows without an id or without words stay."""
+    groups = cut(similar_groups(docs, n, percent, id_col, text_col).where(F.col(id_col).isNotNull()))
+    gone = groups.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    kept = join_ids(docs, gone, id_col, gone.count(), "left_anti")
+    repeated = cut(groups.where(F.col("component_id") == F.col(id_col)).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
+    k = repeated.count()
+    if not k:
+        return kept
+    # of equal ids the row with the smallest hash stays
+    several = join_ids(kept, repeated, id_col, k, "left_semi")
+    one = several.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("row")).select("row.*")
+    return join_ids(kept, repeated, id_col, k, "left_anti").unionByName(one)

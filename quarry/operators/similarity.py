@@ -10,8 +10,13 @@ from pyspark.sql import Window as W
 def shingles(text: Column, n: int) -> Column:
     """Distinct word n-grams of a text, lower-cased; none for shorter texts."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+
+    def grams(w: Column) -> Column:
+        # w is a variable, so the text is split once, not once for each gram
+        return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))).otherwise(empty)
+
+    return F.element_at(F.transform(F.array(words), grams), 1)
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, left_id: str, right_id: str, items: str = "items") -> DataFrame:
