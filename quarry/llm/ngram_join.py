@@ -35,9 +35,10 @@ from quarry.llm._session import cut, join_ids, slices, stored
 
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 2
-#: The Jaccard distances beyond which a document is given another pivot, for each round of pivots; beyond the last one
-#: documents share no more than boilerplate with their pivot, and those of like size are compared directly.
-FAR = (0.6, 0.6, 0.92)
+#: For each round of pivots, the Jaccard distance up to which differences from the pivot are joined. Documents whose
+#: partners may be farther than that get another pivot; after the last round, where documents share no more than
+#: boilerplate with their pivot, those of like size are compared directly.
+NEAR = (0.7, 0.7, 0.96)
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -185,15 +186,15 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     linked = F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent
     distance = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     compared = []
-    for limit in FAR:
+    for limit in NEAR:
         # the pivot of a gram is the document with the most grams in common with others: that from which copies were made
         degrees = blocks.join(blocks.groupBy("doc").agg(F.count("*").alias("degree")), "doc")
         pivots = degrees.groupBy("gram").agg(F.min_by(F.struct("doc", "size"), F.struct(-F.col("degree"), "doc")).alias("pivot"))
         star = blocks.join(pivots, "gram").where(F.col("doc") != F.col("pivot.doc"))
         star = star.select("gram", F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
         pairs = cut(overlaps(cut(star.drop("gram").distinct()), parts).select("*", linked.alias("linked"), distance.alias("distance")))
-        compared.append(pairs.where(F.col("distance") <= limit + 1 - percent / 100 + 1e-9))
-        far = star.join(pairs.where(F.col("distance") > limit).select("a", "b", "distance"), ["a", "b"]).select("gram", F.col("b").alias("doc"), F.col("size_b").alias("size"), "distance")
+        compared.append(pairs.where(F.col("distance") <= limit))
+        far = star.join(pairs.where(F.col("distance") > limit - (1 - percent / 100) - 1e-9).select("a", "b", "distance"), ["a", "b"]).select("gram", F.col("b").alias("doc"), F.col("size_b").alias("size"), "distance")
         several = far.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
         far = cut(far.join(several, "gram"))
         blocks = far.select("gram", "doc", "size")
