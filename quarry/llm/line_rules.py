@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._session import cut
+
 GAP = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
 #: Of a document's word characters, the share that must be left after its failing lines are gone.
@@ -112,6 +114,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines (text column replaced, all other columns as given)."""
     lines = F.transform(F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), described), lambda x: ~line_fails(x, F.lit(True))), lambda x: x["text"])
-    verdicts = judge(docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).distinct(), "key").where("kept").select(F.col("key").alias("__kept_key"))
+    judged = judge(docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key")).distinct(), "key", "text")
+    # cut, as a filter pushed below the verdict would repeat its steps inside each other for every word
+    verdicts = cut(judged.select(F.col("key").alias("__kept_key"), "kept")).where("kept").select("__kept_key")
     kept = docs.withColumn("__kept_key", F.xxhash64(F.col(text_col))).join(verdicts, "__kept_key", "left_semi").drop("__kept_key")
     return kept.withColumn(text_col, F.array_join(lines, "\n"))
