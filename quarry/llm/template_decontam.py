@@ -4,7 +4,12 @@ Words become templates: numbers, names (capitalised words within a sentence) and
 all other words are lower-cased. Windows of ``WINDOW`` template words are hashed; those of the documents are joined
 with those of the benchmark. Where a window matches, the values in its slots are compared: each value of the item must
 stand for one value of the document throughout, so questions with consistently replaced numbers or names are caught
-and chance matches of placeholders are not. An item has leaked into a document that holds half of its windows.
+and chance matches of placeholders are not. An item has leaked into a document that holds half of its windows with
+consistent values at one of its places: in one alignment (position less place), in alignments less than a window apart
+(edits), in a run of ascending places (longer insertions), or by the first position of each window.
+
+Texts are read in up to four ways, of which one match is enough: numbers with separators or decimals as one word or as
+several, and capitals that begin a sentence as plain words or as names.
 
 Defined results: null and empty texts hold no window, and neither do items of fewer words than a window; repeated rows are judged alike, and rows that share an id are told apart by content; extra columns are
 ignored.
@@ -12,8 +17,12 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarry.llm._session import BROADCAST_ROWS, cut, join_ids
 
@@ -21,22 +30,32 @@ from quarry.llm._session import BROADCAST_ROWS, cut, join_ids
 WINDOW, LITERAL, SHARE = 8, 4, 0.5
 #: Units of measure that count as one type.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "usd", "eur", "gbp", "percent", "euros", "dollars", "meters", "metres", "miles", "hours", "minutes", "seconds", "days", "weeks", "months", "years")
-_START = "\u0002"
-
-
-def words_of(text: Column) -> Column:
-    """Words (letters and digits); the first of a sentence is marked, so that its capital is not taken for a name."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}")
-    return F.filter(F.split(marked, rf"[^\p{{L}}\p{{N}}{_START}]+"), lambda w: w != "")
-
-
-def template(word: Column) -> Column:
-    """A word or its placeholder; words that begin with a to z, nearly all, take two comparisons."""
+_START, _POINT = "\u0002", "\u0003"
+#: Between the digits of one number: separators of thousands, then of decimals.
+_THOUSANDS = r"(?<=(?<!\d)\d{1,3}|[,.'\u2019_ \u00a0\u202f]\d{3})[,'\u2019_ \u00a0\u202f](?=\d{3}(?!\d))"
+_DECIMAL = r"(?<=\d)[.,](?=\d)"
+_SEPARATED = r"\d[,.'\u2019_ \u00a0\u202f]\d"
+
+
+def words_of(text: Column, units: bool = False) -> Column:
+    """Words (letters and digits); the first of a sentence is marked, so that its capital is not taken for a name. As
+    ``units``, numbers with separators or decimals are one word."""
+    text = F.coalesce(text, F.lit(""))
+    if units:
+        joined = F.regexp_replace(F.regexp_replace(text, _THOUSANDS, ""), _DECIMAL, _POINT)
+        text = F.when(text.rlike(_SEPARATED), joined).otherwise(text)
+    marked = F.regexp_replace(text, r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}")
+    return F.filter(F.split(marked, rf"[^\p{{L}}\p{{N}}{_START}{_POINT if units else ''}]+"), lambda w: w != "")
+
+
+def template(word: Column, names: bool = False) -> Column:
+    """A word or its placeholder; words that begin with a to z, nearly all, take two comparisons. With ``names``, words
+    that begin a sentence with a capital are names."""
     first = F.substring(word, 1, 1)
     return (
         F.when((word >= "a") & (word < "{"), F.when(word.isin(*UNITS), F.lit("<unit>")).otherwise(word))
         .when((first >= "0") & (first <= "9"), F.lit("<num>"))
-        .when(first == _START, F.lower(F.substring(word, 2, 1_000_000)))
+        .when(first == _START, F.lit("<name>") if names else F.lower(F.substring(word, 2, 1_000_000)))
         .when(first != F.lower(first), F.lit("<name>"))
         .otherwise(word)
     )
@@ -46,51 +65,114 @@ def _placeholder(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
 
-def with_windows(rows: DataFrame, words: Column) -> DataFrame:
-    """Adds ``windows``: the hash of the template window from each word on. To be exploded as outer rows: for inner ones
-    the optimizer would first ask for the array's size, in a filter that computes all hashes for each window.
+def _template(names: bool) -> Callable[[Column], Column]:
+    return lambda w: template(w, names)
+
 
-    Word hashes are a column of their own, which the windows name WINDOW times, so they are computed once a text."""
-    hashed = rows.withColumn("__h", F.transform(words, lambda w: F.xxhash64(template(w))))
-    window = F.transform(F.sequence(F.lit(0), F.size("__h") - WINDOW), lambda i: F.xxhash64(*(F.get("__h", i + k) for k in range(WINDOW))))
-    return hashed.withColumn("windows", F.when(F.size("__h") >= WINDOW, window)).drop("__h")
+def _hash(names: bool) -> Callable[[Column], Column]:
+    return lambda w: F.xxhash64(template(w, names))
+
+
+def _hashes(hashed: str) -> Column:
+    window = F.transform(F.sequence(F.lit(0), F.size(hashed) - WINDOW), lambda i: F.xxhash64(*(F.get(hashed, i + k) for k in range(WINDOW))))
+    return F.when(F.size(hashed) >= WINDOW, window)
+
+
+def with_windows(rows: DataFrame, words: dict[int, Column]) -> DataFrame:
+    """Adds ``readings``: structs (units, windows) with the hash of the template window from each word on, for the words
+    of each way to read numbers; those with capitals as names are null where they are the same as without. To be
+    exploded as outer rows: for inner ones the optimizer would first ask for the array's size, in a filter that
+    computes all hashes for each window.
+
+    Word hashes are columns of their own, which the windows name WINDOW times, so they are computed once a text."""
+    readings = []
+    for units, w in words.items():
+        rows = rows.withColumn(f"__w{units}", w)
+    for units in words:
+        for names in (0, 1):
+            rows = rows.withColumn(f"__h{units}{names}", F.transform(f"__w{units}", _hash(bool(names))))
+    for units in words:
+        for names in (0, 1):
+            rows = rows.withColumn(f"__v{units}{names}", _hashes(f"__h{units}{names}"))
+    for units in words:
+        other = F.zip_with(f"__v{units}0", f"__v{units}1", lambda a, b: F.when(a != b, b))
+        readings += [F.struct(F.lit(units).alias("units"), v.alias("windows")) for v in (F.col(f"__v{units}0"), other)]
+    return rows.withColumn("readings", F.array(*readings)).drop(*(c for c in rows.columns if c.startswith("__")))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, item_windows, place, hash, raw) of the benchmark's windows with enough literal words."""
-    rows = benchmark.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("raw")).dropDuplicates()
-    rows = with_windows(rows, F.col("raw")).withColumn("t", F.transform("raw", template))
-    rows = rows.select("item", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
-    literal = F.size(F.filter(F.slice("t", F.col("place") + 1, WINDOW), lambda w: ~_placeholder(w)))
-    rows = rows.where(literal >= LITERAL).select("item", "place", "hash", F.slice("raw", F.col("place") + 1, WINDOW).alias("item_raw"))
-    sizes = rows.groupBy("item").agg(F.count("*").alias("item_windows"))
-    return rows.join(sizes, "item")
+    """(item, reading, item_windows, place, hash, item_raw, slot) of the benchmark's windows with enough literal words;
+    a reading is one text of an item, read in one way."""
+    rows = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates()
+    ways = []
+    for units in (True, False):
+        for names in (False, True):
+            way = rows if units else rows.where(F.col("text").rlike(_SEPARATED))
+            way = way.select("item", F.xxhash64(F.col("text"), F.lit(units), F.lit(names)).alias("reading"), words_of(F.col("text"), units).alias("raw"))
+            ways.append(way.withColumn("t", F.transform("raw", _template(names))))
+    rows = reduce(DataFrame.union, ways).withColumn("__h", F.transform("t", lambda w: F.xxhash64(w))).withColumn("windows", _hashes("__h"))
+    rows = rows.select("item", "reading", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
+    t = F.slice("t", F.col("place") + 1, WINDOW)
+    rows = rows.where(F.size(F.filter(t, lambda w: ~_placeholder(w))) >= LITERAL)
+    rows = rows.select("item", "reading", "place", "hash", _values(F.slice("raw", F.col("place") + 1, WINDOW)).alias("item_raw"), F.transform(t, _placeholder).alias("slot"))
+    return rows.join(rows.groupBy("item", "reading").agg(F.count("*").alias("item_windows")), ["item", "reading"])
+
+
+def _values(raw: Column) -> Column:
+    """Words without their marks."""
+    return F.transform(raw, lambda w: F.ltrim(w, F.lit(_START)))
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    """Adds ``place_of``: the places of the document to which a match of (key, units, item, reading, place, at) belongs.
+    Each is (kind, number): one alignment, alignments less than a window apart, ascending places, first positions."""
+    group = ["key", "units", "item", "reading"]
+    near, run = W.partitionBy(*group).orderBy("shift"), W.partitionBy(*group).orderBy("at", "place")
+    pairs = pairs.withColumn("shift", F.col("at") - F.col("place"))
+    pairs = pairs.withColumn("__near", F.when(F.col("shift") - F.lag("shift").over(near) >= WINDOW, 1).otherwise(0)).withColumn("__run", F.when(F.col("place") <= F.lag("place").over(run), 1).otherwise(0))
+    pairs = pairs.withColumn("__near", F.sum("__near").over(near)).withColumn("__run", F.sum("__run").over(run)).withColumn("__first", F.min("at").over(W.partitionBy(*group, "hash")))
+    place = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"))
+    found = F.array(place(0, F.col("shift")), place(1, F.col("__near")), place(2, F.col("__run")), F.when(F.col("at") == F.col("__first"), place(3, F.lit(0))))
+    return pairs.withColumn("place_of", F.filter(found, lambda x: x.isNotNull())).drop("shift", "__near", "__run", "__first")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, changed): items that leaked, and in how many slots values differ."""
+    """(doc_id, item_id, windows, item_windows, changed): items that leaked, and in how many slots values differ, at the
+    place that holds the largest share of windows."""
     items = cut(_items(benchmark, item_col, item_text))
     small = items.count() <= BROADCAST_ROWS
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    exploded = with_windows(keyed, words_of(F.col("text"))).select("key", F.posexplode_outer("windows").alias("at", "hash"))
+    text = F.col("text")
+    # numbers read as several words differ from numbers as units in texts with separated numbers only
+    both = {1: words_of(text, True), 0: F.when(text.rlike(_SEPARATED), words_of(text)).otherwise(F.array().cast("array<string>"))}
+    readings = with_windows(keyed, both).select("key", F.explode_outer("readings").alias("r"))
+    exploded = readings.select("key", "r.units", F.posexplode_outer("r.windows").alias("at", "hash"))
     wanted = items.select("hash").distinct()
     hits = exploded.join(F.broadcast(wanted) if small else wanted, "hash")
-    found = cut(hits.groupBy("key", "hash").agg(F.min("at").alias("at")))
+    found = cut(hits.distinct())
     # candidate pairs with enough windows; then the words in their slots
-    pairs = found.join(items.select("item", "item_windows", "place", "hash"), "hash")
-    enough = pairs.groupBy("key", "item", "item_windows").agg(F.countDistinct("place").alias("windows")).where(F.col("windows") >= SHARE * F.col("item_windows"))
-    chosen = cut(enough.select("key", "item", "windows", "item_windows"))
-    held = found.join(chosen.select("key").distinct(), "key").groupBy("key").agg(F.collect_list(F.struct("hash", "at")).alias("held"))
+    group = ["key", "units", "item", "reading"]
+    pairs = found.join(items.select("item", "reading", "item_windows", "place", "hash"), "hash")
+    enough = pairs.groupBy(*group, "item_windows").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= SHARE * F.col("item_windows"))
+    chosen = cut(enough.select(*group, "item_windows"))
+    held = found.join(chosen.select("key", "units", "item", "reading"), ["key", "units"]).join(items.select("item", "reading", "hash").distinct(), ["item", "reading", "hash"])
+    held = held.select("key", "units", "hash", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("units", "hash", "at")).alias("held"))
     texts = join_ids(keyed, held, "key", chosen.count()).dropDuplicates(["key"])
-    raws = texts.select("key", "doc", "held", words_of(F.col("text")).alias("raw")).select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["hash"].alias("hash"), F.slice("raw", x["at"] + 1, WINDOW).alias("doc_raw")))).alias("x"))
-    slots = raws.select("key", "doc", "x.*").join(items, "hash").join(chosen.select("key", "item"), ["key", "item"])
-    values = F.filter(F.arrays_zip("item_raw", "doc_raw"), lambda p: _placeholder(template(p["item_raw"])))
-    slots = slots.select("key", "doc", "item", F.explode_outer(values).alias("v"))
-    slots = slots.groupBy("key", "doc", "item").agg(
-        F.countDistinct("v").alias("pairs"), F.countDistinct("v.item_raw").alias("slots"), F.countDistinct(F.when(F.col("v.item_raw") != F.col("v.doc_raw"), F.col("v"))).alias("changed")
-    )
-    kept = slots.where("pairs = slots").join(chosen, ["key", "item"])
-    return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "windows", "item_windows", "changed")
+    texts = texts.select("key", "doc", "held", words_of(text, True).alias("raw1"), words_of(text).alias("raw0"))
+    raws = texts.select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["units"].alias("units"), x["hash"].alias("hash"), x["at"].alias("at"), _values(F.slice(F.when(x["units"] == 1, F.col("raw1")).otherwise(F.col("raw0")), x["at"] + 1, WINDOW)).alias("doc_raw")))).alias("x"))
+    matches = _places(raws.select("key", "doc", "x.*").join(items, "hash").join(chosen.select(*group), group))
+    values = F.filter(F.arrays_zip("item_raw", "doc_raw", "slot"), lambda p: p["slot"])
+    slots = matches.select(*group, "doc", "item_windows", "place", F.explode("place_of").alias("place_of"), values.alias("values"))
+    slots = slots.select(*group, "doc", "item_windows", "place", "place_of", F.explode_outer("values").alias("v"))
+    v = F.struct("v.item_raw", "v.doc_raw")
+    slots = slots.groupBy(*group, "doc", "item_windows", "place_of").agg(
+        F.size(F.collect_set("place")).alias("windows"), F.size(F.collect_set(F.when(F.col("v").isNotNull(), v))).alias("pairs"), F.size(F.collect_set("v.item_raw")).alias("slots"),
+        F.size(F.collect_set(F.when(F.col("v.item_raw") != F.col("v.doc_raw"), v))).alias("changed"),
+    )
+    kept = slots.where((F.col("pairs") == F.col("slots")) & (F.col("windows") >= SHARE * F.col("item_windows")))
+    best = F.struct(-F.col("windows") / F.col("item_windows"), "changed", -F.col("item_windows"))
+    kept = kept.groupBy("key", "doc", "item").agg(F.min_by(F.struct("windows", "item_windows", "changed"), best).alias("b"))
+    return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.windows", "b.item_windows", "b.changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

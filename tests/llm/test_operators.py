@@ -254,6 +254,24 @@ def test_decontamination(spark, none):
     assert template_decontam.leaks(none, bench).count() == 0 and template_decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_by_alignment_and_whole_numbers(spark):
+    item = "A train leaves Boston at 900 km per hour and reaches Denver after 12 hours of travel. How far is it from there to here by road or by rail in fine weather?"
+    steps = "Anna walks from the old mill to the new town hall and back again before dinner. Then she walks from the old mill to the river."
+    bench = spark.createDataFrame([(1, item), (2, "Maria sells the fresh apples at the market for cash. Peter sells the ripe pears at the station. Olga sells the sweet plums at the harbour."), (3, steps)], "item_id int, text string")
+    half = "A train leaves Paris at 80 km per hour and reaches Rome after 15 hours of travel."
+    edited = item.replace("of travel", "of slow but very steady and quite pleasant travel by rail")
+    rows = [
+        (1, f"{half} {item}"), (2, f"{half} Some words. {item.replace('900', '1,200').replace('12', '3.75')}"), (3, item.replace("900", "1,200")), (4, item.replace("12 hours", "3.75 hours")),
+        (5, f"{half} {edited}"), (6, "Clara sells the fresh apples at the market for cash. Frank sells the ripe pears at the station. Nadia sells the sweet plums at the harbour."), (7, half),
+        (8, f"{steps.replace('old mill', 'old Mill')} {steps}"), (9, f"{item.replace('Denver', 'Rome')} {half} {half}"), (10, "At 1,200 words and 3.75 pages nothing of it is here."), (11, item.replace("900", "1 200")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = template_decontam.leaks(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (8, 3), (9, 1), (11, 1)]
+    changed = {r.doc_id: r.changed for r in found}
+    assert changed[1] == 0 and changed[2] == 2 and changed[3] == 1 and changed[8] == 0 and changed[9] == 1
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
