@@ -9,7 +9,8 @@ Labelled findings are a table (before, candidate, after, path, label); ``labelle
 ``FINDINGS`` rows from fixed rules and a seed, so that the library needs no real secrets.
 
 Defined results: null and empty texts have no findings; a finding's span counts code points; overlapping candidates
-give one finding, the longer, then the earlier; repeated rows each get theirs; a null path is an empty one; an empty
+are all judged, and those accepted give one finding, assigned and known ones first, then the longer, then the earlier;
+repeated rows each get theirs; a null path is an empty one; an empty
 table gives none; extra columns are ignored.
 """
 
@@ -19,14 +20,17 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quarry.llm._session import cut, join_ids, slices
 
@@ -37,6 +41,8 @@ _KEYED = re.compile(rf"(?:^|[^A-Za-z])(?:{_KEYS})[A-Za-z_]*[\"']?\s*$", re.I)
 _ASSIGN = re.compile(r"[:=]")
 _VALUE = re.compile(r"[:=]?\s*[\"']?([^\s\"'<>,;]{6,})")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*")
+#: Signs between the parts of a run without spaces; not those of padding at a part's end or of a URL's scheme.
+_PART = re.compile(r"[\"'`,;{}\[\]()<>|&?]|=(?!=*(?:\Z|[\"'`,;{}\[\]()<>|&?]))|:(?!//)")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|~^"
 #: Words that look-alikes are often made of.
 COMMON = ("the and for that with this from have test example sample user name data value file page index table image model default config version build release branch commit package module class function object string number secret password token access key api".split())
@@ -50,37 +56,54 @@ _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of spans that may be secrets."""
-    found: list[tuple[int, int, str]] = []
+    """(start, end, kind) of spans that may be secrets, each span once; they may overlap. A run without spaces is a
+    candidate as a whole only where nothing finer in it is one."""
+    found: dict[tuple[int, int], str] = {}
     for m in _ASSIGN.finditer(text):
         if _KEYED.search(text[max(0, m.start() - 40) : m.start()]):
             v = _VALUE.match(text, m.end())
             if v and not v.group(1).startswith("//"):
-                end = v.start(1) + len(v.group(1).rstrip(_EDGE))
-                if end - v.start(1) >= 6:
-                    found.append((v.start(1), end, "assigned"))
+                for value in (v.group(1), _PART.split(v.group(1), maxsplit=1)[0]):
+                    end = v.start(1) + len(value.rstrip(_EDGE))
+                    if end - v.start(1) >= 6:
+                        found.setdefault((v.start(1), end), "assigned")
+    fine: dict[str, str] = {}
+    coarse: dict[str, None] = {}
     seen = set()
     for word in text.split():
-        if len(word) < 16 or word in seen or (word.isalpha() and not (word.isupper() and len(word) == 20)):
+        if len(word) < 15 or word in seen or (word.isalpha() and not _KNOWN.search(word)):
             continue
         seen.add(word)
         core = word.strip(_EDGE)
-        known = _KNOWN.search(core)
-        if known:
-            inner, kind = known.group(), "known"
-        else:
-            inner, kind = core.rpartition("=")[2].strip(_EDGE) if "=" in core.rstrip("=") else core, "mixed"
-            if len(inner) < 16 or not any(map(str.isdigit, inner)):
-                continue
-        at = text.find(inner)
-        while at >= 0:
-            found.append((at, at + len(inner), kind))
-            at = text.find(inner, at + len(inner))
-    out: list[tuple[int, int, str]] = []
-    for a, b, kind in sorted(found, key=lambda x: (x[0] - x[1], x[0], x[2])):
-        if all(b <= c or a >= d for c, d, _ in out):
-            out.append((a, b, kind))
-    return sorted(out)
+        known = [m.group() for m in _KNOWN.finditer(core)]
+        for inner in known:
+            fine[inner] = "known"
+        for inner in _PART.split(core):
+            inner = inner.strip(_EDGE)
+            if len(inner) >= 16 and any(map(str.isdigit, inner)) and not any(k in inner for k in known):
+                fine.setdefault(inner, "mixed")
+        inner = core.rpartition("=")[2].strip(_EDGE) if "=" in core.rstrip("=") else core
+        if not known and len(inner) >= 16 and any(map(str.isdigit, inner)):
+            coarse[inner] = None
+    for inner, kind in fine.items():
+        for at in _places(text, inner):
+            found.setdefault((at, at + len(inner)), kind)
+    # begins are sorted, and the longest reach up to each tells whether a finer span overlaps
+    begins = sorted(found)
+    reach = list(accumulate((end for _, end in begins), max))
+    for inner in coarse:
+        for at in _places(text, inner):
+            before = bisect_left(begins, (at + len(inner), 0))
+            if not before or reach[before - 1] <= at:
+                found.setdefault((at, at + len(inner)), "mixed")
+    return sorted((a, b, kind) for (a, b), kind in found.items())
+
+
+def _places(text: str, inner: str) -> Iterator[int]:
+    at = text.find(inner)
+    while at >= 0:
+        yield at
+        at = text.find(inner, at + len(inner))
 
 
 def _class(c: str) -> str:
@@ -222,7 +245,22 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
     found = find(docs, id_col, text_col, path_col)
     scored = model.transform(found.withColumn("features", array_to_vector("x")))
     scored = scored.select("key", "id", "start", "end", "kind", "sha256", vector_to_array("probability")[1].alias("probability"))
-    return scored.where("probability >= 0.5")
+    return _settled(scored.where("probability >= 0.5"))
+
+
+def _settled(accepted: DataFrame) -> DataFrame:
+    """Accepted findings without those that overlap a better one; repeated rows keep theirs."""
+    columns = accepted.columns
+    each = accepted.groupBy(*columns).agg(F.count("*").alias("n"))
+    order = W.partitionBy("key").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    each = each.withColumn("apart", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("group", F.sum("apart").over(order))
+    finding = F.struct(F.when(F.col("kind") == "mixed", 1).otherwise(0).alias("rank"), (F.col("start") - F.col("end")).alias("short"), *(c for c in ("start", "end", "kind", "sha256", "probability", "n")))
+    groups = each.groupBy("key", "id", "group").agg(F.array_sort(F.collect_list(finding)).alias("found"))
+    none = F.slice("found", 1, 0)
+    kept = F.aggregate("found", none, lambda out, x: F.when(F.exists(out, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])), out).otherwise(F.concat(out, F.array(x))))
+    rows = groups.select("key", "id", F.explode(kept).alias("x")).select("key", "id", "x.*")
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*columns)
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, mark: str = "<SECRET>") -> DataFrame:

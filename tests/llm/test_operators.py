@@ -322,6 +322,21 @@ def test_secrets(spark, docs, none):
     assert secret_scan.scan(none, model).count() == 0
 
 
+def test_secrets_in_compact_text(spark):
+    keys = ["AKIA" + "SJDZWJNP6ZRYWK44", "AKIA" + "QW3RTYZ7PASD2FGH"]
+    token = "9eb9c654e721b4f812088970e66a6345cee33dd6"
+    rows = [(1, '{"user":"bob1","password":"Xk29dkLq81"}'), (2, "password:Xk29dkLq81zz90"), (3, ",".join(keys)), (4, f'{{"a":"{keys[0]}","b":"{keys[1]}"}}'), (5, f'{{"name":"bob1","token":"{token}","n":1}}'), (5, f'{{"name":"bob1","token":"{token}","n":1}}')]
+    spans = {i: {text[a:b] for a, b, _ in secret_scan.candidates(text)} for i, text in rows}
+    assert "Xk29dkLq81" in spans[1] and "Xk29dkLq81zz90" in spans[2] and set(keys) <= spans[3] and set(keys) <= spans[4] and spans[5] == {token}
+    table = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table, secret_scan.train(spark)).collect()}
+    assert clean == {1: '{"user":"bob1","password":"<SECRET>"}', 2: "password:<SECRET>", 3: "<SECRET>,<SECRET>", 4: '{"a":"<SECRET>","b":"<SECRET>"}', 5: '{"name":"bob1","token":"<SECRET>","n":1}'}
+    # of overlapping findings that were accepted, the assigned one stays; repeated rows keep theirs
+    rows = [(7, 1, 0, 40, "mixed", "x", 0.9), (7, 1, 20, 30, "assigned", "y", 0.6), (7, 1, 20, 30, "assigned", "y", 0.6), (7, 1, 40, 60, "mixed", "z", 0.7)]
+    found = spark.createDataFrame(rows, "key long, id long, start long, end long, kind string, sha256 string, probability double")
+    assert sorted(r.sha256 for r in secret_scan._settled(found).collect()) == ["y", "y", "z"]
+
+
 def test_forest_holds_out():
     """Accuracy on labelled findings of another seed."""
     from pyspark.ml.functions import array_to_vector
