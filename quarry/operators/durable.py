@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``). On a cluster it must be set; a local session, as
+    in tests, gets a temporary one."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if path:
+        return path
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="quarry-checkpoints-")
+    sc.setCheckpointDir(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager checkpoint in the folder that executors share (``spark.checkpoint.dir``); a temporary one in tests."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoints-"))
+    """Eager checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(True)
