@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,29 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.durable import cut, shared_dir
+
 #: A list of ids is broadcast up to this many rows (8 to 40 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quarry-checkpoints-")
-        sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with an eager checkpoint in the shared folder.
-
-    Shuffle files of a cut lineage go when the driver's JVM collects its garbage, which Spark asks for only every half
-    hour; asking here keeps the executors' disks from filling with them."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(True)
-    df.sparkSession._jvm.System.gc()
-    return out
+#: A key is hot if it has more than one of so many rows, so there are never more hot keys than this.
+HOT_KEYS = 10_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -42,17 +24,39 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(lo, rows)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a wider intermediate table as Parquet (columnar, compressed) in the shared folder and reads it back."""
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Writes a wider intermediate table as Parquet (columnar, compressed) in the shared folder and reads it back; its
+    path is added to ``paths``, for ``remove``."""
     path = f"{shared_dir(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_ids(rows: DataFrame, ids: DataFrame, key: str, n_ids: int, how: str = "inner") -> DataFrame:
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that no later step reads."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], n_ids: int, how: str = "inner") -> DataFrame:
     """Joins ``rows`` with a table of ids, broadcast only if its counted rows stay within BROADCAST_ROWS."""
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, how)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Joins ``rows`` with a table of one row a key that says in ``count`` how many of ``total`` rows have the key. Keys
+    with more than 1 / HOT_KEYS of the rows, fewer than HOT_KEYS of them, are broadcast, so no task gets a hot key; the
+    others are shuffled at every size."""
+    is_hot = F.col(count) * HOT_KEYS > total
+    hot = F.broadcast(table.where(is_hot))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).union(rest.join(table.where(~is_hot).hint("merge"), key))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["BROADCAST_ROWS", "HOT_KEYS", "cut", "join_counted", "join_ids", "read_table", "remove", "shared_dir", "slices", "stored"]

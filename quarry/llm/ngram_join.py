@@ -1,22 +1,27 @@
 """Set-similarity join on word n-grams by vertical partitioning.
 
-The n-grams have one global order, that of their 64-bit hashes. Documents with equal sets are one class. Candidates
-come from prefixes of the order: of a set of n grams, linked partners share at least c = ceil(t n) grams, so the
-(n - c + e)-prefixes of both share at least e grams. Of these, each document keeps all but the e - 1 most frequent
+The n-grams have one global order, that of their 64-bit hashes. Documents with equal sets (by 128 bits) are one class.
+Candidates come from prefixes of the order: of a set of n grams, linked partners share at least c = ceil(t n) grams, so
+the (n - c + e)-prefixes of both share at least e grams. Of these, each document keeps all but the e - 1 most frequent
 ones, so boilerplate that many documents share makes no candidates. The order is then cut into fragments, the overlap
 of each candidate pair is counted separately in each fragment, and the counts are summed per pair.
 
 Within the documents of one gram, all are compared with one pivot first, which settles a group of near copies with one
-pair each. What does not link to its pivot is then joined by differences: with D(x) the symmetric difference of x and
+pair each. The pivot's fragments go to the documents compared with it; a pivot of many documents is dealt over several
+tasks, which get its fragments once each. The same comparison keeps by what each document differs from its pivot: what
+does not link to it is then joined by differences. With D(x) the symmetric difference of x and
 the pivot p, that of x and y is |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so x and y link only if their differences overlap by
 a number that grows with them. Copies with edits of their own share few differences, so the same prefix filter, over
 differences ordered by frequency, leaves few pairs to compare. Documents far from the pivot get another pivot in the next round, as
-the triangle inequality keeps them from linking with those near it. No link between different sets is lost, and no group is
-expanded into all its pairs.
+the triangle inequality keeps them from linking with those near it. What is far from all its pivots is compared within
+bands of like sizes. No link between different sets is lost.
+
+Equal hashes stand for equal grams: a pair is misjudged only if two different grams of its two sets share 64 bits.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer words than n has one
-gram, the whole sequence; repeated rows are copies; rows that share an id are one document, of which the set of the
-smallest digest is compared; rows without an id have no component; extra columns are ignored.
+gram, the whole sequence; very long texts are hashed whole, one at a time; ties take the smallest id; repeated rows are
+copies; rows that share an id are one document, of which the set of the smallest digest is compared; rows without an id
+have no component; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.llm import _words
-from quarry.llm._session import cut, join_ids, slices, stored
+from quarry.llm._session import cut, join_counted, join_ids, remove, slices, stored
+from quarry.operators.graph import components
 
 #: Fragments of the global order in which overlaps are counted.
-FRAGMENTS = 2
+FRAGMENTS = 4
+#: Documents compared with one pivot in one task, about.
+DEAL = 1000
 #: For each round of pivots, the Jaccard distance up to which differences from the pivot are joined. Documents whose
 #: partners may be farther than that get another pivot; after the last round, where documents share no more than
 #: boilerplate with their pivot, those of like size are compared directly.
@@ -75,45 +83,25 @@ def extra(n: int, percent: int) -> int:
     return min(shared_least(n, percent), n // 20 + 4)
 
 
-def describe(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Size and digest of each document's set."""
+def describe(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Number, size, digest and extended prefix of each document's set, in one pass over the texts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, d1, d2 = [], [], []
+            sizes, digests, prefixes = [], [], []
             for grams in gram_sets(batch.column(1).to_pylist(), n):
-                a, b = _digest(grams)
-                sizes.append(len(grams))
-                d1.append(a)
-                d2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, d1, d2))], names=["doc_id", "n_shingles", "d1", "d2"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long")
-
-
-def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc, size, gram) of the extended prefixes of class representatives (doc, d1, text)."""
-    kind = docs.schema["doc"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            want = batch.column(1).to_pylist()
-            rows, sizes, out = [], [], []
-            for i, grams in enumerate(gram_sets(batch.column(2).to_pylist(), n)):
-                if _digest(grams)[0] == want[i]:
-                    k = len(grams)
-                    prefix = grams[: k - shared_least(k, percent) + extra(k, percent)]
-                    rows.append(np.full(len(prefix), i))
-                    sizes.append(np.full(len(prefix), k))
-                    out.append(prefix)
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(out).view(np.int64))],
-                    names=["doc", "size", "gram"],
-                )
+                k = len(grams)
+                sizes.append(k)
+                digests.append(_digest(grams))
+                prefixes.append(grams[: k - shared_least(k, percent) + extra(k, percent)].view(np.int64))
+            d1, d2 = zip(*digests, strict=True) if digests else ((), ())
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, d1, d2)), lists], names=["doc_id", "row", "n_shingles", "d1", "d2", "prefix"])
 
-    return docs.select("doc", "d1", "text").mapInArrow(run, f"doc {kind}, size int, gram long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -134,16 +122,18 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, FRAGMENTS))), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(rows))), lists], names=["doc", "fragment", "grams"])
 
-    return docs.select("doc", "d1", "text").mapInArrow(run, f"doc {kind}, fragment int, grams array<long>").dropDuplicates(["doc", "fragment"])
+    return docs.select("doc", "d1", "text").mapInArrow(run, f"doc {kind}, fragment int, grams array<long>")
 
 
 def _side_by_side(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with the grams of both in each fragment; only fragments of their documents travel."""
-    wanted = cut(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-    parts = join_ids(parts, wanted, "doc", wanted.count(), "left_semi")
-    spread = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    left = spread.join(parts.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("grams_a")), ["a", "fragment"])
-    return left.join(parts.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
+    """Pairs (a, b, ...) with the grams of both in each fragment. Each b's fragments move to the task of its a, and each
+    a's fragments once to each of its tasks, of about DEAL pairs."""
+    tasks = cut(pairs.groupBy("a").agg((F.count("*") / DEAL).cast("int").alias("tasks")))
+    dealt = cut(pairs.join(tasks, "a").withColumn("task", F.pmod(F.xxhash64("b"), F.col("tasks") + 1).cast("int")).drop("tasks"))
+    right = join_ids(parts.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("grams_b")), dealt, "b", dealt.count())
+    left = join_ids(parts.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("grams_a")), tasks, "a", tasks.count())
+    left = left.withColumn("task", F.explode(F.sequence(F.lit(0), "tasks"))).drop("tasks")
+    return right.join(left.hint("shuffle_hash"), ["a", "task", "fragment"])
 
 
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -152,62 +142,61 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(doc, component) of all documents that have a link (a, b): the smallest id reachable.
-
-    Every round takes the smallest component among a document's neighbours, then that component's own component, so
-    chains shorten by half; lineage is cut each round."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("near")).select("doc", F.least("doc", "near").alias("component")))
-    while True:
-        seen = edges.join(labels.withColumnRenamed("doc", "b"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("component").alias("near"))
-        step = labels.join(seen, "doc").select("doc", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("doc").alias("component"), F.col("component").alias("above"))
-        step = cut(step.join(up, "component", "left").select("doc", "old", F.least("component", F.coalesce("above", "component")).alias("component")))
-        labels = step.select("doc", "component")
-        if not step.where("component < old").limit(1).count():
-            return labels
+def _compared(pairs: DataFrame, parts: DataFrame, paths: list[str]) -> DataFrame:
+    """(a, b, size_a, size_b, fragment, shared, added, lost): the overlap of pairs in each fragment, the grams that only
+    b has and those that only a has."""
+    both = _side_by_side(pairs, parts)
+    shared = F.size(F.array_intersect("grams_a", "grams_b")).alias("shared")
+    return stored(both.select("a", "b", "size_a", "size_b", "fragment", shared, F.array_except("grams_b", "grams_a").alias("added"), F.array_except("grams_a", "grams_b").alias("lost")), "compared", paths)
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link at a Jaccard similarity of percent / 100."""
-    described = cut(describe(docs, n, id_col, text_col))
-    one = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles")).alias("s")).select("doc_id", "s.*")
-    classes = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"))
-    reps = cut(classes)
+    paths: list[str] = []
+    described = stored(describe(docs, n, percent, id_col, text_col), "sets")
+    one = described.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "row")).alias("s")).select("doc_id", "s.*")
+    reps = cut(one.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.first("n_shingles").alias("size")).select("d1", "d2", F.col("r.doc_id").alias("doc"), "r.row", "size"))
     # a set that differs from an equally large or larger one by a single gram is the smallest that can link
     least = next(k for k in range(1, 101) if 100 * k >= percent * (k + 1))
+    able = reps.where(F.col("size") >= least).select("row", "doc", "size")
+    grams = join_ids(described.select("row", "prefix"), able, "row", able.count()).select("doc", F.col("size").cast("int").alias("size"), F.explode("prefix").alias("gram"))
+    blocks = stored(_blocks(grams, percent), "blocks", paths)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    able = reps.where(F.col("size") >= least).select("doc", "d1")
-    grams = _prefixes(join_ids(texts, able, "doc", able.count()), n, percent)
-    blocks = stored(_blocks(grams, percent), "blocks")
     members = cut(blocks.select("doc").distinct().join(reps.select("doc", "d1"), "doc"))
-    parts = stored(_fragments(join_ids(texts, members, "doc", members.count()), n), "fragments")
+    parts = _fragments(join_ids(texts, members, "doc", members.count()), n)
+    if described.where("doc_id IS NOT NULL").select("doc_id").distinct().count() < described.where("doc_id IS NOT NULL").count():
+        parts = parts.dropDuplicates(["doc", "fragment"])  # rows that share an id
+    parts = stored(parts, "fragments", paths)
     linked = F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent
     distance = 1 - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))
     compared = []
     for limit in NEAR:
         # the pivot of a gram is the document with the most grams in common with others: that from which copies were made
         degrees = blocks.join(blocks.groupBy("doc").agg(F.count("*").alias("degree")), "doc")
-        pivots = degrees.groupBy("gram").agg(F.min_by(F.struct("doc", "size"), F.struct(-F.col("degree"), "doc")).alias("pivot"))
-        star = blocks.join(pivots, "gram").where(F.col("doc") != F.col("pivot.doc"))
-        star = star.select("gram", F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
-        pairs = cut(overlaps(cut(star.drop("gram").distinct()), parts).select("*", linked.alias("linked"), distance.alias("distance")))
-        compared.append(pairs.where(F.col("distance") <= limit))
-        far = star.join(pairs.where(F.col("distance") > limit - (1 - percent / 100) - 1e-9).select("a", "b", "distance"), ["a", "b"]).select("gram", F.col("b").alias("doc"), F.col("size_b").alias("size"), "distance")
-        several = far.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1").select("gram")
-        far = cut(far.join(several, "gram"))
+        pivots = cut(degrees.groupBy("gram").agg(F.min_by(F.struct("doc", "size"), F.struct(-F.col("degree"), "doc")).alias("pivot"), F.count("*").alias("docs")))
+        star = join_counted(blocks, pivots, "gram", "docs", blocks.count()).where(F.col("doc") != F.col("pivot.doc"))
+        star = star.select("gram", "docs", F.col("pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("pivot.size").alias("size_a"), F.col("size").alias("size_b"))
+        # sets of very unlike sizes are farther apart than the limit, whatever they share
+        alike = F.least("size_a", "size_b") >= (1 - limit) * F.greatest("size_a", "size_b") - 1e-9
+        fragments = _compared(cut(star.where(alike).drop("gram", "docs").distinct()), parts, paths)
+        pairs = cut(fragments.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared")).select("*", linked.alias("linked"), distance.alias("distance")))
+        compared.append((pairs.where(F.col("distance") <= limit), fragments))
+        far = star.join(pairs.select("a", "b", "distance"), ["a", "b"], "left").where(F.coalesce("distance", F.lit(1.0)) > limit - (1 - percent / 100) - 1e-9)
+        far = far.select("gram", "docs", F.col("b").alias("doc"), F.col("size_b").alias("size"), "distance")
+        several = far.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        far = cut(join_counted(far, several, "gram", "n", blocks.count()))
         blocks = far.select("gram", "doc", "size")
         if not blocks.limit(1).count():
             break
     left = cut(_far_pairs(far, percent))
-    links = cut(functools.reduce(DataFrame.union, compared).where("linked").select("a", "b").distinct())
-    labels = components(links)
-    rest = cut(functools.reduce(DataFrame.union, (_by_differences(pairs, parts, labels, percent) for pairs in compared), left).distinct())
+    links = cut(functools.reduce(DataFrame.union, (pairs for pairs, _ in compared)).where("linked").select("a", "b").distinct())
+    labels = components(links).withColumnRenamed("node", "doc")
+    rest = cut(functools.reduce(DataFrame.union, (_by_differences(pairs, fragments, labels, percent, paths) for pairs, fragments in compared), left).distinct())
     if rest.limit(1).count():
         later = cut(overlaps(rest, parts).where(linked).select("a", "b"))
         if later.limit(1).count():
-            labels = components(links.union(later))
+            labels = components(links.union(later)).withColumnRenamed("node", "doc")
+    remove(docs.sparkSession, paths)
     found = one.join(reps.select("d1", "d2", "doc"), ["d1", "d2"]).join(labels, "doc", "left").select("doc_id", F.coalesce("component", "doc").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return described.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", alone.alias("component_id"))
@@ -216,10 +205,10 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 def _blocks(grams: DataFrame, percent: int) -> DataFrame:
     """Prefix grams that two or more documents have, less each document's e - 1 most frequent ones, where e is what its
     smallest partner shares with it."""
-    counts = grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1")
+    counts = cut(grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1"))
     partner = f"((size * {percent} + 99) div 100)"
     keep = F.expr(f"least(({partner} * {percent} + 99) div 100, {partner} div 20 + 4)")
-    rows = grams.join(counts, "gram")
+    rows = join_counted(grams, counts, "gram", "docs", counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0])
     w = W.partitionBy("doc")
     ranked = rows.select("*", F.row_number().over(w.orderBy("docs", "gram")).alias("rank"), F.count("*").over(w).alias("kept"))
     return ranked.where(F.col("rank") <= F.col("kept") - keep + 1).select("gram", "doc", "size")
@@ -227,23 +216,28 @@ def _blocks(grams: DataFrame, percent: int) -> DataFrame:
 
 def _far_pairs(far: DataFrame, percent: int) -> DataFrame:
     """Pairs of what is far from every pivot: documents that share a rare gram, of like sizes and distances to their
-    last pivot."""
-    one = far.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("doc", "size", "distance")))
-    other = far.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("doc", "size", "distance")))
-    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    near = F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9
-    both = one.join(other, "gram").where((F.col("doc_a") < F.col("doc_b")) & fits & near)
-    return both.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "size_a", "size_b").distinct()
+    last pivot. Sizes are cut into bands such that like sizes are in the same band or the next."""
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    rows = far.withColumn("band", band)
+    one = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    one = one.select("gram", "band", *(F.col(c).alias(f"{c}_a") for c in ("doc", "size", "distance")))
+    other = rows.select("gram", "band", *(F.col(c).alias(f"{c}_b") for c in ("doc", "size", "distance")))
+    fits = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
+    near = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    both = one.join(other, ["gram", "band"]).where((F.col("doc_a") != F.col("doc_b")) & fits & near)
+    first = F.col("doc_a") < F.col("doc_b")
+    sides = (("a", F.least("doc_a", "doc_b")), ("b", F.greatest("doc_a", "doc_b")), ("size_a", F.when(first, F.col("size_a")).otherwise(F.col("size_b"))), ("size_b", F.when(first, F.col("size_b")).otherwise(F.col("size_a"))))
+    return both.select(*(c.alias(name) for name, c in sides)).distinct()
 
 
-def _by_differences(pairs: DataFrame, parts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _by_differences(pairs: DataFrame, fragments: DataFrame, labels: DataFrame, percent: int, paths: list[str]) -> DataFrame:
     """Pairs (a, b, size_a, size_b) of one pivot, of different components and not both linked to the pivot, whose
     differences from it may overlap enough for a link."""
     open_ = pairs.groupBy("a").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).where("n > 1 AND NOT all").select("a")
     pairs = cut(pairs.join(open_, "a"))
     typed = lambda grams, added: F.transform(grams, lambda g: F.struct(g.alias("element"), F.lit(added).alias("added")))
-    differ = F.concat(typed(F.array_except("grams_b", "grams_a"), True), typed(F.array_except("grams_a", "grams_b"), False))
-    elements = _side_by_side(pairs.select("a", "b"), parts).select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.explode_outer(differ).alias("e")).where("e IS NOT NULL").select("pivot", "doc", "e.*")
+    differ = join_ids(fragments.select("a", "b", "added", "lost"), pairs.select("a", "b"), ["a", "b"], pairs.count(), "left_semi")
+    elements = differ.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), F.explode(F.concat(typed(F.col("added"), True), typed(F.col("lost"), False))).alias("e")).select("pivot", "doc", "e.*")
     delta = (100 - percent) / (100 + percent)  # linked: |A ^ B| <= delta (|A| + |B|)
     size, pivot_size, d = F.col("size"), F.col("size_a"), F.col("d")
     lost = F.col("size_a") - F.col("shared")
@@ -255,10 +249,10 @@ def _by_differences(pairs: DataFrame, parts: DataFrame, labels: DataFrame, perce
     members = members.select("pivot", "doc", "linked", "size", "d", "lost", "component", any_partner.alias("least_any"), with_loose.alias("least_loose"))
     common = elements.groupBy("pivot", "element").agg(F.count("*").alias("docs")).where("docs > 1")
     w = W.partitionBy("pivot", "doc")
-    ranked = elements.join(common, ["pivot", "element"]).select("*", F.row_number().over(w.orderBy(F.desc("added"), "docs", "element")).alias("rank"), F.count("*").over(w).alias("kept"))
-    rows = ranked.join(members, ["pivot", "doc"]).where(F.col("rank") <= F.col("kept") - F.col("least_any") + 1)
+    ranked = elements.join(common.hint("merge"), ["pivot", "element"]).select("*", F.row_number().over(w.orderBy(F.desc("added"), "docs", "element")).alias("rank"), F.count("*").over(w).alias("kept"))
+    rows = ranked.join(members.hint("merge"), ["pivot", "doc"]).where(F.col("rank") <= F.col("kept") - F.col("least_any") + 1)
     own = ("doc", "linked", "size", "d", "lost", "component", "after", "listed")
-    rows = stored(rows.withColumn("listed", F.col("rank") <= F.col("kept") - F.col("least_loose") + 1).withColumn("after", F.col("kept") - F.col("rank")).select("pivot", "element", "added", *own), "differences")
+    rows = stored(rows.withColumn("listed", F.col("rank") <= F.col("kept") - F.col("least_loose") + 1).withColumn("after", F.col("kept") - F.col("rank")).select("pivot", "element", "added", *own), "differences", paths)
     side = lambda frame, s: frame.select("pivot", "element", *(["added"] if s == "a" else []), *(F.col(c).alias(f"{c}_{s}") for c in own))
     both = side(rows.where("NOT linked"), "a").join(side(rows.where("listed"), "b"), ["pivot", "element"])
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent

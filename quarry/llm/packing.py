@@ -7,7 +7,8 @@ the other. That gives windows of nearly equal length; whenever one exceeds the c
 again into one window more.
 
 A group is a run of rests within one input partition, so nothing is shuffled, memory is bounded by a group, and a lost
-task makes the same windows again. Defined results: a null or empty text is only the end id; repeated rows are packed
+task makes the same windows again. The rests at a partition's end are one group, or two halves of more than a group.
+Defined results: a null or empty text is only the end id; repeated rows are packed
 as often as they occur; an empty table gives no pieces; extra columns are ignored; ties are settled by row order.
 """
 
@@ -23,43 +24,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _bpe
+from quarry.llm._session import slices
 
 #: Rests in a group, and the longest piece of a rest: shorter pieces leave less padding, longer ones cut less.
-GROUP, PIECE = 1024, 512
+GROUP, PIECE = 512, 512
+#: Full windows that are held back before they are handed on.
+FULL = 128
 
 
 def difference(lengths: list[int], k: int) -> np.ndarray:
     """Multiway differencing: the window (0 to k-1) of each item, with nearly equal sums.
 
-    A partial partition is its k sums, descending and less the smallest, and for each part a node of items: items are
-    nodes, and two parts that meet become a new node over both."""
+    A partial partition is the sums of its parts, descending, and for each part a node of items. Only parts that hold
+    items are kept (an item alone is one part), so all partial partitions together take memory in proportion to the
+    items, not to items times windows. Of two that merge, part i of one meets part k-1-i of the other; parts that meet
+    become a new node over both, and once all k parts hold items, sums count from the smallest."""
     n = len(lengths)
     nodes, lefts, rights = n, [], []
-    heap = []
-    for i, x in enumerate(lengths):
-        sums, parts = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        if k > 1:
-            sums[0] = x
-        parts[0] = i
-        heap.append((-int(sums[0]), i, sums, parts))
+    heap = [(-int(x) if k > 1 else 0, i, np.array([x], np.int32), np.array([i], np.int32)) for i, x in enumerate(lengths)]
     heapq.heapify(heap)
     while len(heap) > 1:
         _, tie, sums_a, parts_a = heapq.heappop(heap)
         _, _, sums_b, parts_b = heapq.heappop(heap)
-        parts_b = parts_b[::-1]
-        sums, parts = sums_a + sums_b[::-1], np.maximum(parts_a, parts_b)
-        met = np.flatnonzero((parts_a >= 0) & (parts_b >= 0))
-        lefts.extend(parts_a[met].tolist())
-        rights.extend(parts_b[met].tolist())
-        parts[met] = np.arange(nodes, nodes + len(met))
-        nodes += len(met)
+        met = max(0, len(sums_a) + len(sums_b) - k)  # the smallest parts of one meet the smallest of the other, crosswise
+        alone_a, alone_b = len(sums_a) - met, len(sums_b) - met
+        both = sums_a[alone_a:] + sums_b[alone_b:][::-1]
+        lefts.extend(parts_a[alone_a:].tolist())
+        rights.extend(parts_b[alone_b:][::-1].tolist())
+        sums = np.concatenate((sums_a[:alone_a], both, sums_b[:alone_b]))
+        parts = np.concatenate((parts_a[:alone_a], np.arange(nodes, nodes + met, dtype=np.int32), parts_b[:alone_b]))
+        nodes += met
         order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums[order[-1]]
+        sums = sums[order]
+        if len(sums) == k:
+            sums = sums - sums[-1]
         heapq.heappush(heap, (-int(sums[0]), tie, sums, parts[order]))
-    window = np.full(nodes, -1, np.int64)
+    window = np.full(nodes, -1, np.int32)
     if heap:
-        parts = heap[0][3]
-        window[parts[parts >= 0]] = np.flatnonzero(parts >= 0)
+        window[heap[0][3]] = np.arange(len(heap[0][3]))
     for node in range(nodes - 1, n - 1, -1):
         window[lefts[node - n]] = window[rights[node - n]] = window[node]
     return window[:n]
@@ -104,19 +106,21 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
             sequence, full = sequence + len(full), []
             return batch
 
-        def packed() -> pa.RecordBatch:
-            nonlocal sequence, held, rests
-            lengths = [len(r[3]) // 4 for r in held]
+        def packed(n: int) -> pa.RecordBatch:
+            """The first n pieces that are held, as a group."""
+            nonlocal sequence, held
+            group, held = held[:n], held[n:]
+            lengths = [len(r[3]) // 4 for r in group]
             windows = pack(lengths, capacity).tolist()
             used, offsets = [0] * (max(windows) + 1), []
             for w, x in zip(windows, lengths, strict=True):
                 offsets.append(used[w])
                 used[w] += x
-            batch = out(held, [sequence + w for w in windows], offsets)
-            sequence, held, rests = sequence + len(used), [], 0
+            batch = out(group, [sequence + w for w in windows], offsets)
+            sequence += len(used)
             return batch
 
-        for batch in batches:
+        for batch in slices(batches, 128):
             id_type = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = [*_bpe.encode(text.as_py(), tokenizer), end_id]
@@ -125,18 +129,17 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
                 full.extend((doc_id, s, n, raw[4 * s : 4 * (s + capacity)]) for s in range(0, body, capacity))
                 held.extend((doc_id, s, n, raw[4 * s : 4 * min(n, s + piece)]) for s in range(body, n, piece))
                 rests += body < n
-                if len(full) >= GROUP:
+                if len(full) >= FULL:
                     yield whole()
-                if rests >= 2 * GROUP:  # the last group of a partition then has a full group's choice
-                    later = held[len(held) // 2 :]
-                    held = held[: len(held) // 2]
-                    batch_out = packed()
-                    held, rests = later, GROUP
-                    yield batch_out
+                if rests >= 2 * GROUP:  # what is left at a partition's end then has half a group's choice at least
+                    rests = GROUP
+                    yield packed(len(held) // 2)
         if full:
             yield whole()
+        if rests > GROUP:
+            yield packed(len(held) // 2)
         if held:
-            yield packed()
+            yield packed(len(held))
 
     schema = f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
