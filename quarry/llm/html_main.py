@@ -2,15 +2,21 @@
 
 A page is a sequence of words and tags. Words score positive, by the block that holds them, and tags negative; the
 weights are log-odds of being inside the content region, learned from labelled pages. One linear scan (the running sum
-that restarts when it falls to zero) finds the best contiguous region, whose words, less those of forms, menus,
-comments and the like inside it, are the text.
+that restarts when it falls to zero) finds the best contiguous region, whose words are the text.
+
+Menus, adverts, comments and the like are no part of any region: their words and tags weigh nothing, so they neither
+join a region nor end one. Some elements are always such (``NEVER``); others are judged by the words of their class, id
+and role, whose weights are log-odds as well: those learned, on top of ``HINTS`` as a prior. Inside a marked article,
+running text speaks against a hint. An element that holds the page's largest article, or most of the words of a page
+that marks none, is not noise, whatever its class.
 
 Labelled pages are those that mark their own region with ``article`` or ``main``; at most ``SAMPLE`` of them, chosen
 by hash, are read for the weights. Weights of tags and blocks that no labelled page has are set by hand (``PRIOR``).
 
-Defined results: null and empty pages, and pages without words, give the empty text; unclosed elements end with their
-parent or the page; of equal regions the first is taken; repeated rows give equal texts; an empty table gives none;
-extra columns are ignored.
+Defined results: null and empty pages, and pages without words, give the empty text; very long pages are read whole, in
+time linear in their length and depth; unclosed elements end with their parent or the page; of equal regions the first
+is taken; repeated rows give equal texts; an empty table gives none; extra columns are kept, but for one named ``text``;
+an id column of that name is given with ``_id`` appended.
 """
 
 from __future__ import annotations
@@ -20,85 +26,170 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._session import slices
+from quarry.llm._session import map_arrow, own_name, slices
 
-#: Labelled pages for the weights, and features kept of them, at most.
-SAMPLE, FEATURES = 400, 1000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|<!(?:[^>])*>", re.S | re.I)
+#: Labelled pages for the weights, at most.
+SAMPLE = 400
+# quotes enclose an attribute's value only right after its "="; elsewhere they are characters
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?>[^>=]|=\s*(?>\"[^\"]*\"|'[^']*')?+)*+>|<!(?:[^>])*>", re.S | re.I)
 _NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
-_NOISE = re.compile(r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|widget|menu|nav\w*|breadcrumb\w*|footer|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies|discuss\w*|login|signup|search|pagination|toolbar|disclaimer)(?:$|[\s_-])", re.I)
+_HINT = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*))", re.I)
 #: Elements within a line, elements without an end, and elements whose text is never content.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title nav footer aside form button label option dialog menu".split())
+NEVER = frozenset("head title nav footer aside button label option dialog menu legend".split())
 #: Weights of what labelled pages don't show: words by their block, tags by name.
-PRIOR = {"word p": 1.0, "word h1": 1.0, "word h2": 1.0, "word h3": 1.0, "word blockquote": 1.0, "word pre": 1.0, "word li": 1.0, "word td": 0.5, "word": 0.5, "word noise": 0.02, "word link": 0.1, "tag": -1.0, "tag noise": -6.0, "tag inline": -0.02, "tag p": -0.05, "tag li": -0.1, "tag br": -0.02}
+PRIOR = {"word p": 1.0, "word h1": 1.0, "word h2": 1.0, "word h3": 1.0, "word blockquote": 1.0, "word pre": 1.0, "word li": 1.0, "word td": 0.5, "word": 0.5, "word link": 0.1, "tag": -1.0, "tag inline": -0.02, "tag p": -0.05, "tag li": -0.1, "tag br": -0.02}
+#: Prior weights of names in class, id and role; of a name with hyphens, the whole counts, or else its last part.
+HINTS = {
+    **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsbygoogle adbox sponsor sponsored sponsors promoted comment comments commentlist replies reply respond disqus cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side-bar newsletter subscribe subscription popup modal pagination pager toolbar login signin signup complementary contentinfo".split(), -6.0),
+    **dict.fromkeys("related recommended recommendations search share sharing social notice notices alert disclaimer banner promo promotion promotions widget discuss discussion form masthead".split(), -2.0),
+}
+#: Evidence of a form or a page header without names, and the words from which on text of an article speaks for itself.
+FORM, HEADER, RUNNING = -2.0, -2.0, 25
+
+
+@dataclass
+class Element:
+    name: str
+    begin: int
+    hints: list[str]
+    marked: bool
+    end: int = 0
+
+
+@dataclass
+class Page:
+    """Parts (feature, text, breaks a line) in order, and the elements over them."""
+
+    parts: list[tuple[str, str, bool]] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+
+
+def _hints(tag: str) -> list[str]:
+    return [w for groups in _HINT.findall(tag) for w in "".join(groups).lower().split()]
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, is content of a noise element, breaks a line): kinds are features such as ``word p`` and ``tag /div``."""
-    stack: list[tuple[str, bool]] = []
-    links, at = 0, 0
+def parse(source: str) -> Page:
+    """Parts and elements; features are such as ``word p`` and ``tag /div``."""
+    page, at, links, marks = Page(), 0, 0, 0
+    stack: list[tuple[Element, str]] = []  # with the name of the block that it is or lies in
+    opened: Counter = Counter()
 
-    def words(text: str) -> tuple[str, str, bool, bool]:
-        noise = any(n for _, n in stack)
-        block = next((name for name, _ in reversed(stack)), "body")
-        return ("word noise" if noise else "word link" if links else f"word {block}", html.unescape(text) if "&" in text else text, noise, False)
+    def words(text: str) -> None:
+        page.parts.append(("word link" if links else f"word {stack[-1][1] if stack else 'body'}", html.unescape(text) if "&" in text else text, False))
 
-    for m in _TOKEN.finditer(page):
+    def close(upto: str) -> None:
+        nonlocal marks
+        while stack:
+            element, _ = stack.pop()
+            element.end = len(page.parts)
+            opened[element.name] -= 1
+            marks -= element.name in ("article", "main")
+            if element.name == upto:
+                return
+
+    last = source.rfind(">") + 1  # no tag ends later, and looking for its end at every "<" would take quadratic time
+    for m in _TOKEN.finditer(source, 0, last):
         if m.start() > at:
-            yield words(page[at : m.start()])
+            words(source[at : m.start()])
         at = m.end()
         raw = m.group()
         named = _NAME.match(raw)
         if not named or m.group(1):
             continue  # comments, declarations, scripts
-        close, name = named.group(1), named.group(2).lower()
-        if name in INLINE:
-            links = max(0, links + (-1 if close else 1)) if name == "a" else links
-            yield ("tag noise" if any(n for _, n in stack) else f"tag {close}{name}"), "", False, False
+        ends, name = named.group(1), named.group(2).lower()
+        inline = name in INLINE
+        links = max(0, links + (-1 if ends else 1)) if name == "a" else links if inline or name in VOID else 0
+        if ends:
+            if opened[name]:
+                close(name)
+            page.parts.append((f"tag /{name}", "", not inline))
             continue
-        hints = " ".join(_HINT.findall(raw)) if not close else ""
-        article = any(n in ("article", "main") for n, _ in stack)
-        noisy = name in NEVER or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and bool(_NOISE.search(hints)))
-        if close:
-            if any(n == name for n, _ in stack):
-                while stack:
-                    gone, was = stack.pop()
-                    if gone == name:
-                        noisy = was
-                        break
-            links = 0 if name not in VOID else links
-        elif name not in VOID and not raw.endswith("/>"):
-            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()
-            elif stack and stack[-1][0] == "p":
-                stack.pop()  # a block ends an open paragraph
-            stack.append((name, noisy))
-        noisy = noisy or any(n for _, n in stack)
-        yield ("tag noise" if noisy else f"tag {close}{name}"), "", noisy, True
-    if at < len(page):
-        yield words(page[at:])
-
-
-def _labelled(page: str) -> Counter:
+        hints = _hints(raw) if len(raw) > len(name) + 2 else []
+        if not inline and name not in VOID and stack:
+            if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0].name == name or stack[-1][0].name == "p":
+                close(stack[-1][0].name)  # a block ends an open paragraph, a list item the one before
+        if name not in VOID and not raw.endswith("/>") and (not inline or hints):
+            element = Element(name, len(page.parts), hints, marks > 0)
+            page.elements.append(element)
+            stack.append((element, stack[-1][1] if inline and stack else "body" if inline else name))
+            opened[name] += 1
+            marks += name in ("article", "main")
+        page.parts.append((f"tag {name}", "", not inline))
+    if at < len(source):
+        words(source[at:].partition("<!--")[0])
+    close("")
+    return page
+
+
+def _counts(page: Page) -> tuple[list[int], list[int]]:
+    """Words, and words of links, before each part."""
+    sizes = [len(text.split()) if kind.startswith("word") else 0 for kind, text, _ in page.parts]
+    return [0, *accumulate(sizes)], [0, *accumulate(n if kind == "word link" else 0 for (kind, _, _), n in zip(page.parts, sizes, strict=True))]
+
+
+def _hint_weight(name: str, weights: dict[str, float]) -> float:
+    last = re.split(r"[-_]", name)[-1]
+    prior = HINTS.get(name, HINTS.get(last, 0.0) if last in ("ad", "ads", "comments", "menu", "nav", "sidebar", "footer", "banner", "notice", "newsletter", "breadcrumbs", "share") else 0.0)
+    return prior + weights.get(f"hint {name}", 0.0)
+
+
+def noise(page: Page, weights: dict[str, float], before: list[int], linked: list[int]) -> list[bool]:
+    """Whether each part lies in an element that is no content."""
+    total = before[-1]
+    size = lambda e: before[e.end] - before[e.begin]
+    largest = max((e for e in page.elements if e.name in ("article", "main")), key=size, default=None)
+    depth = [0] * (len(page.parts) + 1)
+    for e in page.elements:
+        if e.name in ("html", "body", "article", "main"):
+            continue
+        if e.name not in NEVER:
+            score = sum(_hint_weight(h, weights) for h in e.hints)
+            score += FORM if e.name == "form" else HEADER if e.name == "header" and not e.marked else 0.0
+            if score >= 0:
+                continue
+            n = size(e)
+            if largest is not None and e.begin <= largest.begin and largest.end <= e.end:
+                continue
+            if largest is None and 2 * n > total and not any(h.startswith(("comment", "repl")) for h in e.hints):
+                continue
+            if e.marked and n >= RUNNING and 10 * (linked[e.end] - linked[e.begin]) < 3 * n and score + 1 + math.log2(n / RUNNING) >= 0:
+                continue
+        depth[e.begin] += 1
+        depth[e.end] -= 1
+    return [d > 0 for d in list(accumulate(depth))[:-1]]
+
+
+def _marked(page: Page) -> list[bool] | None:
+    """Whether each part lies in an article; None if the page marks none."""
+    depth = [0] * (len(page.parts) + 1)
+    found = [e for e in page.elements if e.name in ("article", "main")]
+    for e in found:
+        depth[e.begin + 1] += 1  # its own tag is outside
+        depth[e.end] -= 1
+    return [d > 0 for d in list(accumulate(depth))[:-1]] if found else None
+
+
+def _labelled(source: str) -> Counter:
     """Counts of (feature, inside the marked region); words count each."""
-    out: Counter = Counter()
-    inside = 0
-    for kind, text, _, _ in tokens(page):
-        if kind in ("tag /article", "tag /main"):
-            inside = max(0, inside - 1)
-        n = len(text.split()) if kind.startswith("word") else 1
+    page, out = parse(source), Counter()
+    inside = _marked(page) or [False] * len(page.parts)
+    before, _ = _counts(page)
+    for i, (kind, _, _) in enumerate(page.parts):
+        n = before[i + 1] - before[i] if kind.startswith("word") else 1
         if n:
-            out[kind, inside > 0] += n
-        if kind in ("tag article", "tag main"):
-            inside += 1
+            out[kind, inside[i]] += n
+    for e in page.elements:
+        for h in set(e.hints):
+            out[f"hint {h}", e.marked] += before[e.end] - before[e.begin]
     return out
 
 
@@ -116,12 +207,15 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 total.update(_labelled(page))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()), pa.array(total.values(), pa.int64())], names=["kind", "inside", "n"])
 
-    counts = rows.select("html").mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outer"))
+    counts = map_arrow(rows.select("html"), run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outer"))
     weights = {}
-    for r in counts.orderBy(F.desc(F.col("inner") + F.col("outer")), "kind").limit(FEATURES).collect():
+    for r in counts.collect():  # features of SAMPLE pages
         odds = math.log((r["inner"] + 0.5) / (r["outer"] + 0.5))
-        noise = r["kind"].endswith(" noise")
-        weights[r["kind"]] = max(0.02, min(odds, 3.0)) if r["kind"].startswith("word") and not noise else min(-0.02, max(odds, -6.0) / 2) if not noise else PRIOR[r["kind"]]
+        if r["kind"].startswith("hint"):
+            weights[r["kind"]] = max(-6.0, min(odds, 3.0))
+        else:
+            least = -0.3 if r["kind"].partition(" ")[2].lstrip("/") in INLINE else -3.0
+            weights[r["kind"]] = max(0.02, min(odds, 3.0)) if r["kind"].startswith("word") else min(-0.02, max(odds / 2, least))
     return weights
 
 
@@ -133,33 +227,54 @@ def weight(kind: str, weights: dict[str, float]) -> float:
     return PRIOR.get(f"{first} {name}", PRIOR["tag inline"] if first == "tag" and name in INLINE else PRIOR[first])
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """Text of the best contiguous region."""
-    parts = list(tokens(page or ""))
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the largest sum, [lo, hi), in one scan; (0, 0) if none is positive."""
     best = total = 0.0
     begin = lo = hi = 0
-    for i, (kind, text, _, _) in enumerate(parts):
-        w = weight(kind, weights)
-        if kind.startswith("word"):
-            w *= len(text.split())
+    for i, w in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += w
         if total > best:
             best, lo, hi = total, begin, i + 1
-    out = [" " if breaks else text for _, text, noise, breaks in parts[lo:hi] if breaks or not noise]
+    return lo, hi
+
+
+#: Weights of words and tags outside the articles of a page that marks some; inside, words weigh at least so much and
+#: tags cost no more.
+OUTSIDE_WORD, OUTSIDE_TAG, INSIDE_WORD, INSIDE_TAG = 0.001, -1.0, 0.5, -0.02
+
+
+def scores(page: Page, weights: dict[str, float], skip: list[bool], before: list[int]) -> list[float]:
+    """The score of each part; that of a text is the sum over its words."""
+    inside, out = _marked(page), []
+    for i, (kind, _, _) in enumerate(page.parts):
+        word, w = kind.startswith("word"), weight(kind, weights)
+        if inside is not None:
+            w = max(w, INSIDE_WORD if word else INSIDE_TAG) if inside[i] else OUTSIDE_WORD if word else OUTSIDE_TAG
+        out.append(0.0 if skip[i] else w * (before[i + 1] - before[i]) if word else w)
+    return out
+
+
+def extract(source: str | None, weights: dict[str, float]) -> str:
+    """Text of the best contiguous region."""
+    page = parse(source or "")
+    before, linked = _counts(page)
+    skip = noise(page, weights, before, linked)
+    lo, hi = best_run(scores(page, weights, skip, before))
+    out = [" " if breaks else text for (_, text, breaks), noisy in zip(page.parts[lo:hi], skip[lo:hi], strict=True) if breaks or not noisy]
     return " ".join("".join(out).split())
 
 
 def main_text(pages: DataFrame, weights: dict[str, float], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text) of every row."""
-    kind = pages.schema[id_col].dataType.simpleString()
+    kind, out_id = pages.schema[id_col].dataType.simpleString(), own_name(id_col, ("text",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [extract(page.as_py(), weights) for page in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, *range(2, batch.num_columns))), pa.array(texts, pa.string())], schema=pa.schema([*(batch.schema.field(i) for i in (0, *range(2, batch.num_columns))), pa.field("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, *range(2, batch.num_columns))), pa.array(texts, pa.string())], names=[out_id, *rest, "text"])
 
     rest = [c for c in pages.columns if c not in (id_col, html_col, "text")]
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
-    return pages.select(id_col, html_col, *rest).mapInArrow(run, f"`{id_col}` {kind}, " + (fields + ", " if fields else "") + "text string")
+    return map_arrow(pages.select(id_col, html_col, *rest), run, f"`{out_id}` {kind}, " + (fields + ", " if fields else "") + "text string")
