@@ -11,8 +11,14 @@ consistent values at one of its places: in one alignment (position less place),
 Texts are read in up to four ways, of which one match is enough: numbers with separators or decimals as one word or as
 several, and capitals that begin a sentence as plain words or as names.
 
-Defined results: null and empty texts hold no window, and neither do items of fewer words than a window; repeated rows are judged alike, and rows that share an id are told apart by content; extra columns are
-ignored.
+An item shorter than a window is one window as a whole. A window counts if half of its words at least (``LITERAL`` of
+``WINDOW``) are no placeholders; an item without such a window, such as one made of numbers, is looked for by its exact
+words. Items of fewer than ``LEAST`` words are not looked for: documents hold those by chance. Matches of window hashes are
+confirmed word by word.
+
+Defined results: null and empty texts hold no window; very long texts are read whole; equal shares take the fewest
+changed slots; repeated rows are judged alike, and rows that share an id are told apart by content; an empty table or
+benchmark gives no leaks; extra columns are ignored, or kept by ``decontaminate``, which keeps rows without an id.
 """
 
 from __future__ import annotations
@@ -26,8 +32,9 @@ from pyspark.sql import Window as W
 
 from quarry.llm._session import BROADCAST_ROWS, cut, join_ids
 
-#: Words in a window, the words of it that must not be placeholders, and the share of windows.
-WINDOW, LITERAL, SHARE = 8, 4, 0.5
+#: Words in a window, the words of it that must not be placeholders, the share of windows, and the words of an item at
+#: least.
+WINDOW, LITERAL, SHARE, LEAST = 8, 4, 0.5, 3
 #: Units of measure that count as one type.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "usd", "eur", "gbp", "percent", "euros", "dollars", "meters", "metres", "miles", "hours", "minutes", "seconds", "days", "weeks", "months", "years")
 _START, _POINT = "\u0002", "\u0003"
@@ -73,14 +80,21 @@ def _hash(names: bool) -> Callable[[Column], Column]:
     return lambda w: F.xxhash64(template(w, names))
 
 
-def _hashes(hashed: str) -> Column:
-    window = F.transform(F.sequence(F.lit(0), F.size(hashed) - WINDOW), lambda i: F.xxhash64(*(F.get(hashed, i + k) for k in range(WINDOW))))
-    return F.when(F.size(hashed) >= WINDOW, window)
+def _exact(word: Column) -> Column:
+    return F.xxhash64(F.lower(F.ltrim(word, F.lit(_START))))
 
 
-def with_windows(rows: DataFrame, words: dict[int, Column]) -> DataFrame:
-    """Adds ``readings``: structs (units, windows) with the hash of the template window from each word on, for the words
-    of each way to read numbers; those with capitals as names are null where they are the same as without. To be
+def _hashes(hashed: str, size: int = WINDOW, exact: bool = False) -> Column:
+    """The hash of ``size`` words from each word on; of other sizes or kinds, other hashes."""
+    tag = [] if size == WINDOW and not exact else [F.lit(-size if exact else size)]
+    window = F.transform(F.sequence(F.lit(0), F.size(hashed) - size), lambda i: F.xxhash64(*tag, *(F.get(hashed, i + k) for k in range(size))))
+    return F.when(F.size(hashed) >= size, window)
+
+
+def with_windows(rows: DataFrame, words: dict[int, Column], kinds: list[tuple[int, bool]] = [(WINDOW, False)]) -> DataFrame:  # noqa: B006
+    """Adds ``readings``: structs (units, size, windows) with the hash of the template window from each word on, for the
+    words of each way to read numbers and each kind (size, exact) of window that the items have; those with capitals as
+    names are null where they are the same as without. To be
     exploded as outer rows: for inner ones the optimizer would first ask for the array's size, in a filter that
     computes all hashes for each window.
 
@@ -91,31 +105,52 @@ def with_windows(rows: DataFrame, words: dict[int, Column]) -> DataFrame:
     for units in words:
         for names in (0, 1):
             rows = rows.withColumn(f"__h{units}{names}", F.transform(f"__w{units}", _hash(bool(names))))
-    for units in words:
-        for names in (0, 1):
-            rows = rows.withColumn(f"__v{units}{names}", _hashes(f"__h{units}{names}"))
-    for units in words:
-        other = F.zip_with(f"__v{units}0", f"__v{units}1", lambda a, b: F.when(a != b, b))
-        readings += [F.struct(F.lit(units).alias("units"), v.alias("windows")) for v in (F.col(f"__v{units}0"), other)]
+    if any(exact for _, exact in kinds):
+        rows = rows.withColumn("__x", F.transform("__w1", _exact))
+    for size, exact in kinds:
+        if exact:
+            rows = rows.withColumn(f"__x{size}", _hashes("__x", size, True))
+            readings.append(F.struct(F.lit(1).alias("units"), F.lit(size).alias("size"), F.col(f"__x{size}").alias("windows")))
+            continue
+        for units in words:
+            for names in (0, 1):
+                rows = rows.withColumn(f"__v{size}{units}{names}", _hashes(f"__h{units}{names}", size))
+        for units in words:
+            other = F.zip_with(f"__v{size}{units}0", f"__v{size}{units}1", lambda a, b: F.when(a != b, b))
+            readings += [F.struct(F.lit(units).alias("units"), F.lit(size).alias("size"), v.alias("windows")) for v in (F.col(f"__v{size}{units}0"), other)]
     return rows.withColumn("readings", F.array(*readings)).drop(*(c for c in rows.columns if c.startswith("__")))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, reading, item_windows, place, hash, item_raw, slot) of the benchmark's windows with enough literal words;
-    a reading is one text of an item, read in one way."""
+    """(item, reading, item_windows, size, exact, place, hash, item_raw, slot) of the benchmark's windows with enough
+    literal words; a reading is one text of an item, read in one way."""
     rows = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates()
     ways = []
     for units in (True, False):
         for names in (False, True):
             way = rows if units else rows.where(F.col("text").rlike(_SEPARATED))
-            way = way.select("item", F.xxhash64(F.col("text"), F.lit(units), F.lit(names)).alias("reading"), words_of(F.col("text"), units).alias("raw"))
+            way = way.select("item", "text", F.xxhash64(F.col("text"), F.lit(units), F.lit(names)).alias("reading"), words_of(F.col("text"), units).alias("raw"))
             ways.append(way.withColumn("t", F.transform("raw", _template(names))))
-    rows = reduce(DataFrame.union, ways).withColumn("__h", F.transform("t", lambda w: F.xxhash64(w))).withColumn("windows", _hashes("__h"))
-    rows = rows.select("item", "reading", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
-    t = F.slice("t", F.col("place") + 1, WINDOW)
-    rows = rows.where(F.size(F.filter(t, lambda w: ~_placeholder(w))) >= LITERAL)
-    rows = rows.select("item", "reading", "place", "hash", _values(F.slice("raw", F.col("place") + 1, WINDOW)).alias("item_raw"), F.transform(t, _placeholder).alias("slot"))
-    return rows.join(rows.groupBy("item", "reading").agg(F.count("*").alias("item_windows")), ["item", "reading"])
+    read = cut(reduce(DataFrame.union, ways).where(F.size("raw") >= LEAST).withColumn("__h", F.transform("t", lambda w: F.xxhash64(w))))
+    columns = ["item", "text", "reading", "size", "exact", "place", "hash", "item_raw", "slot"]
+
+    def windows(rows: DataFrame, size: int, exact: bool, hashed: str) -> DataFrame:
+        rows = rows.where(F.size("raw") >= size if size == WINDOW else F.size("raw") == size).withColumn("windows", _hashes(hashed, size, exact))
+        rows = rows.select("item", "text", "reading", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
+        t = F.slice("t", F.col("place") + 1, size)
+        if not exact:
+            rows = rows.where(F.size(F.filter(t, lambda w: ~_placeholder(w))) >= min(LITERAL, -(-size // 2)))
+        slot = F.transform(t, lambda w: F.lit(False) if exact else _placeholder(w)).alias("slot")
+        return rows.select("item", "text", "reading", F.lit(size).alias("size"), F.lit(exact).alias("exact"), "place", "hash", _values(F.slice("raw", F.col("place") + 1, size)).alias("item_raw"), slot).select(*columns)
+
+    sizes = range(LEAST, WINDOW + 1)
+    found = cut(reduce(DataFrame.union, (windows(read, size, False, "__h") for size in sizes)))
+    # an item without a template window, by its words as they are, in the first way to read it
+    bare = read.join(F.broadcast(found.select("item", "text").distinct()), ["item", "text"], "left_anti")
+    bare = cut(bare.where(F.col("reading") == F.xxhash64(F.col("text"), F.lit(True), F.lit(False))).withColumn("__x", F.transform("raw", _exact)))
+    if bare.limit(1).count():
+        found = found.union(reduce(DataFrame.union, (windows(bare, size, True, "__x") for size in sizes)))
+    return found.drop("text").join(found.groupBy("item", "reading").agg(F.count("*").alias("item_windows")), ["item", "reading"])
 
 
 def _values(raw: Column) -> Column:
@@ -141,12 +176,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     place that holds the largest share of windows."""
     items = cut(_items(benchmark, item_col, item_text))
     small = items.count() <= BROADCAST_ROWS
+    kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()] or [(WINDOW, False)]  # 2 * WINDOW at most
     keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     text = F.col("text")
     # numbers read as several words differ from numbers as units in texts with separated numbers only
     both = {1: words_of(text, True), 0: F.when(text.rlike(_SEPARATED), words_of(text)).otherwise(F.array().cast("array<string>"))}
-    readings = with_windows(keyed, both).select("key", F.explode_outer("readings").alias("r"))
-    exploded = readings.select("key", "r.units", F.posexplode_outer("r.windows").alias("at", "hash"))
+    readings = with_windows(keyed, both, sorted(kinds)).select("key", F.explode_outer("readings").alias("r"))
+    exploded = readings.select("key", "r.units", "r.size", F.posexplode_outer("r.windows").alias("at", "hash"))
     wanted = items.select("hash").distinct()
     hits = exploded.join(F.broadcast(wanted) if small else wanted, "hash")
     found = cut(hits.distinct())
@@ -156,11 +192,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     enough = pairs.groupBy(*group, "item_windows").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= SHARE * F.col("item_windows"))
     chosen = cut(enough.select(*group, "item_windows"))
     held = found.join(chosen.select("key", "units", "item", "reading"), ["key", "units"]).join(items.select("item", "reading", "hash").distinct(), ["item", "reading", "hash"])
-    held = held.select("key", "units", "hash", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("units", "hash", "at")).alias("held"))
-    texts = join_ids(keyed, held, "key", chosen.count()).dropDuplicates(["key"])
+    held = cut(held.select("key", "units", "size", "hash", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("units", "size", "hash", "at")).alias("held")))
+    texts = join_ids(keyed, held.select("key"), "key", held.count(), "left_semi").hint("merge").join(held, "key").dropDuplicates(["key"])
     texts = texts.select("key", "doc", "held", words_of(text, True).alias("raw1"), words_of(text).alias("raw0"))
-    raws = texts.select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["units"].alias("units"), x["hash"].alias("hash"), x["at"].alias("at"), _values(F.slice(F.when(x["units"] == 1, F.col("raw1")).otherwise(F.col("raw0")), x["at"] + 1, WINDOW)).alias("doc_raw")))).alias("x"))
-    matches = _places(raws.select("key", "doc", "x.*").join(items, "hash").join(chosen.select(*group), group))
+    doc_words = lambda x: _values(F.slice(F.when(x["units"] == 1, F.col("raw1")).otherwise(F.col("raw0")), x["at"] + 1, x["size"]))
+    raws = texts.select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["units"].alias("units"), x["hash"].alias("hash"), x["at"].alias("at"), doc_words(x).alias("doc_raw")))).alias("x"))
+    same = F.forall(F.arrays_zip("item_raw", "doc_raw", "slot"), lambda p: p["slot"] | (F.lower(p["item_raw"]) == F.lower(p["doc_raw"])))
+    matches = _places(raws.select("key", "doc", "x.*").join(items, "hash").where(same).join(chosen.select(*group), group))
     values = F.filter(F.arrays_zip("item_raw", "doc_raw", "slot"), lambda p: p["slot"])
     slots = matches.select(*group, "doc", "item_windows", "place", F.explode("place_of").alias("place_of"), values.alias("values"))
     slots = slots.select(*group, "doc", "item_windows", "place", "place_of", F.explode_outer("values").alias("v"))
