@@ -37,8 +37,8 @@ ORACLE_SQL = {
         x AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM (SELECT k, i FROM g QUALIFY count(*) OVER (PARTITION BY k, g) > 1)),
         r AS (SELECT k, sum(least(3, coalesce(j - i, 3))) AS n FROM x GROUP BY 1),
         l AS (SELECT k, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]'))) AS x FROM d),
-        f AS (SELECT k, x, length(replace(x, ' ', '')) AS size, length(x) - length(replace(x, ' ', '')) + 1 AS n, substr(x, 2, 2) AS s FROM l),
-        b AS (SELECT k, count(*) - count(DISTINCT x) AS dups, coalesce(sum(size) FILTER ((n >= 10 AND NOT regexp_matches(x, '[.!?;:…"'')\]]')) OR (n >= 3 AND (length(x) - length(translate(x, '|»›•', ''))) * 4 >= n)
+        f AS (SELECT k, x, length(replace(x, ' ', '')) AS size, len({_WORDS.format("x")}) AS n, substr(x, 2, 2) AS s FROM l),
+        b AS (SELECT k, count(*) - count(DISTINCT x) AS dups, coalesce(sum(size) FILTER ((n >= 10 AND NOT regexp_matches(x, '[.!?;:"'')\]]|[\p{{Thai}}\p{{Lao}}]') AND NOT regexp_matches(translate(x, chr(123) || '#%&*,/@\(-_)[]}}•·§¶†‡', ''), '[\p{{Po}}\p{{Pe}}\p{{Pf}}]')) OR (n >= 3 AND (length(x) - length(translate(x, '|»›•', ''))) * 4 >= n)
             OR (n >= 4 AND size >= 20 AND s = upper(s) AND x = upper(x) AND x <> lower(x)) OR (length(x) - length(translate(x, '#*$%&|<>', ''))) * 10 >= size), 0) AS lost FROM f GROUP BY 1),
         m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda z: length(z))), 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
             coalesce(dups, 0) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN b USING (k) LEFT JOIN r USING (k))
