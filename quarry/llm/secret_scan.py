@@ -10,8 +10,9 @@ Labelled findings are a table (before, candidate, after, path, label); ``labelle
 
 Defined results: null and empty texts have no findings; a finding's span counts code points; overlapping candidates
 are all judged, and those accepted give one finding, assigned and known ones first, then the longer, then the earlier;
-repeated rows each get theirs; a null path is an empty one; an empty
-table gives none; extra columns are ignored.
+repeated rows each get theirs; a null path is an empty one; very long texts are
+searched whole, in time linear in their length but for sorting candidates; an empty table gives none; extra columns are
+ignored, and kept by ``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm._session import cut, join_ids, slices
+from quarry.llm._session import cut, fresh, join_ids, map_arrow, slices
 
 #: Labelled findings in the training table, and the forest's size.
 FINDINGS, TREES, DEPTH = 4000, 30, 8
@@ -41,6 +42,9 @@ _KEYED = re.compile(rf"(?:^|[^A-Za-z])(?:{_KEYS})[A-Za-z_]*[\"']?\s*$", re.I)
 _ASSIGN = re.compile(r"[:=]")
 _VALUE = re.compile(r"[:=]?\s*[\"']?([^\s\"'<>,;]{6,})")
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", re.S)
+_LOGIN = re.compile(r"\w://[^\s/:@\"'<>]{1,64}:([^\s/@\"'<>]{3,128})@")
+_RUN = re.compile(r"\S{15,}")
 #: Signs between the parts of a run without spaces; not those of padding at a part's end or of a URL's scheme.
 _PART = re.compile(r"[\"'`,;{}\[\]()<>|&?]|=(?!=*(?:\Z|[\"'`,;{}\[\]()<>|&?]))|:(?!//)")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|~^"
@@ -67,43 +71,53 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                     end = v.start(1) + len(value.rstrip(_EDGE))
                     if end - v.start(1) >= 6:
                         found.setdefault((v.start(1), end), "assigned")
-    fine: dict[str, str] = {}
-    coarse: dict[str, None] = {}
-    seen = set()
-    for word in text.split():
-        if len(word) < 15 or word in seen or (word.isalpha() and not _KNOWN.search(word)):
+    for m in _PEM.finditer(text):
+        found.setdefault(m.span(), "known")
+    for m in _LOGIN.finditer(text):
+        found.setdefault(m.span(1), "assigned")
+    parts: dict[str, tuple[list[tuple[int, int, str]], list[tuple[int, int]]]] = {}
+    coarse: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        word, at = m.group(), m.start()
+        if word.isalpha() and not _KNOWN.search(word):
             continue
-        seen.add(word)
-        core = word.strip(_EDGE)
-        known = [m.group() for m in _KNOWN.finditer(core)]
-        for inner in known:
-            fine[inner] = "known"
-        for inner in _PART.split(core):
-            inner = inner.strip(_EDGE)
-            if len(inner) >= 16 and any(map(str.isdigit, inner)) and not any(k in inner for k in known):
-                fine.setdefault(inner, "mixed")
-        inner = core.rpartition("=")[2].strip(_EDGE) if "=" in core.rstrip("=") else core
-        if not known and len(inner) >= 16 and any(map(str.isdigit, inner)):
-            coarse[inner] = None
-    for inner, kind in fine.items():
-        for at in _places(text, inner):
-            found.setdefault((at, at + len(inner)), kind)
+        if word not in parts:
+            parts[word] = _parts(word)
+        fine, whole = parts[word]
+        for a, b, kind in fine:
+            found.setdefault((at + a, at + b), kind)
+        coarse += [(at + a, at + b) for a, b in whole]
     # begins are sorted, and the longest reach up to each tells whether a finer span overlaps
     begins = sorted(found)
     reach = list(accumulate((end for _, end in begins), max))
-    for inner in coarse:
-        for at in _places(text, inner):
-            before = bisect_left(begins, (at + len(inner), 0))
-            if not before or reach[before - 1] <= at:
-                found.setdefault((at, at + len(inner)), "mixed")
+    for a, b in coarse:
+        before = bisect_left(begins, (b, 0))
+        if not before or reach[before - 1] <= a:
+            found.setdefault((a, b), "mixed")
     return sorted((a, b, kind) for (a, b), kind in found.items())
 
 
-def _places(text: str, inner: str) -> Iterator[int]:
-    at = text.find(inner)
-    while at >= 0:
-        yield at
-        at = text.find(inner, at + len(inner))
+def _stripped(text: str, begin: int, end: int) -> tuple[int, int]:
+    """A span without the signs at its edges."""
+    left = end - len(text[begin:end].lstrip(_EDGE))
+    return left, max(left, begin + len(text[begin:end].rstrip(_EDGE)))
+
+
+def _parts(word: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """Spans in a run without spaces: known forms and parts that mix letters and digits; the run as a whole."""
+    begin, end = _stripped(word, 0, len(word))
+    known = [m.span() for m in _KNOWN.finditer(word, begin, end)]
+    fine = [(a, b, "known") for a, b in known]
+    long_ = lambda a, b: b - a >= 16 and any(map(str.isdigit, word[a:b]))
+    at = begin
+    for stop, after in [*(m.span() for m in _PART.finditer(word, begin, end)), (end, end)]:
+        a, b = _stripped(word, at, stop)
+        if long_(a, b) and not any(a <= x and y <= b for x, y in known):
+            fine.append((a, b, "mixed"))
+        at = after
+    equals = word.rfind("=", begin, begin + len(word[begin:end].rstrip("=")))
+    a, b = _stripped(word, equals + 1, end) if equals >= 0 else (begin, end)
+    return fine, [(a, b)] if not known and long_(a, b) else []
 
 
 def _class(c: str) -> str:
@@ -143,6 +157,8 @@ def describe(value: str, before: str, after: str, path: str, vocabulary: set[str
         float("/" in value or ".com" in value or ".org" in value or ".net" in value),
         float(bool(_KNOWN.fullmatch(value))),
         float(bool(re.search(r"[:=]\s*[\"']?\Z", left))),
+        float(bool(re.search(r"\w://[^\s/:@]+:\Z", left))),
+        float(value.startswith("-----BEGIN")),
         float(left[-1:] in "\"'" and bool(left)),
         *(float(bool(p.search(left))) for p in _BESIDE.values()),
         float(bool(_BESIDE["placeholder"].search(value))),
@@ -172,6 +188,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         lambda: (phrase(), "ghp_" + pick(mixed, 36)),
         lambda: (phrase(), "sk-" + pick(mixed, rng.choice([32, 48]))),
         lambda: (phrase(), "xoxb-" + pick("0123456789", 11) + "-" + pick(mixed, 24)),
+        lambda: (phrase() + f"{rng.choice(['postgres', 'https', 'redis', 'ftp'])}://{word()}:", pick(mixed + "!%_-", rng.randint(6, 24))),
+        lambda: (phrase(), f"-----BEGIN {rng.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n" + "\n".join(pick(mixed + "+/", 64) for _ in range(rng.randint(2, 12))) + "\n-----END PRIVATE KEY-----"),
         lambda: (phrase(), "eyJ" + pick(mixed, 20) + "." + pick(mixed, 40) + "." + pick(mixed, 30)),
     ]
     alikes = [
@@ -188,6 +206,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         lambda: (phrase(), f"{word()}{rng.choice('#*$%&|')}{word()}{rng.randint(1, 9)}{word()}{word()}"),
         lambda: (phrase(), f"+{rng.randint(1, 99)}-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}-{rng.randint(1000, 9999)}"),
         lambda: (phrase(), "AKIA" + "IOSFODNN7EXAMPLE"),
+        lambda: (phrase() + f"https://{word()}:", rng.choice(["password", "user", "<password>", "$PASSWORD", "xxxx", "changeme", "pass"])),
         lambda: (phrase(), f"{word()}-{word()}-{word()}-{rng.randint(1, 99)}.html"),
     ]
     out = []
@@ -237,7 +256,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
                 names=["key", "id", "start", "end", "kind", "sha256", "x"],
             )
 
-    return rows.select("id", "text", "path", "key").mapInArrow(run, f"key long, id {kind}, start long, end long, kind string, sha256 string, x array<double>")
+    return map_arrow(rows.select("id", "text", "path", "key"), run, f"key long, id {kind}, start long, end long, kind string, sha256 string, x array<double>")
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -265,16 +284,26 @@ def _settled(accepted: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, mark: str = "<SECRET>") -> DataFrame:
     """All documents, each secret replaced by ``mark``; all columns as given, but for the length of changed texts."""
-    spans = scan(docs, model, id_col, text_col, path_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    spans = cut(spans.withColumnRenamed("key", "__key"))
-    joined = join_ids(docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))), spans, "__key", spans.count(), "left")
+    key, spans_col, changed_col = (fresh(docs, name) for name in ("__key", "__spans", "__text"))
+    spans = scan(docs, model, id_col, text_col, path_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans_col))
+    spans = cut(spans.withColumnRenamed("key", key))
+    joined = _with_spans(docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))), spans, key, spans_col)
     # pieces between secrets: from the end of one to the start of the next
     text = F.col(text_col)
-    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.length(text).cast("long")))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_col, lambda s: s["end"]))
+    ends = F.concat(F.transform(spans_col, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     changed = F.array_join(pieces, mark)
-    out = joined.withColumn("__text", F.when(F.col("__spans").isNotNull(), changed))
+    out = joined.withColumn(changed_col, F.when(F.col(spans_col).isNotNull(), changed))
     if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.coalesce(F.length("__text"), F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.withColumn(text_col, F.coalesce("__text", text)).select(*docs.columns)
+        out = out.withColumn(length_col, F.coalesce(F.length(changed_col), F.col(length_col)).cast(docs.schema[length_col].dataType))
+    return out.withColumn(text_col, F.coalesce(changed_col, text)).select(*docs.columns)
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, key: str, spans_col: str) -> DataFrame:
+    """Documents with their spans, or null. Only the documents that have any are shuffled to them; which those are is
+    told by their keys, broadcast while those are few."""
+    n = spans.count()
+    keys, kind = spans.select(key), spans.schema[spans_col].dataType
+    without = join_ids(docs, keys, key, n, "left_anti").withColumn(spans_col, F.lit(None).cast(kind))
+    return join_ids(docs, keys, key, n, "left_semi").hint("merge").join(spans, key).unionByName(without)
