@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import os
 import re
 
@@ -45,7 +46,8 @@ def _fast(name: str):
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    special = [t.content for t in _library(name).get_added_tokens_decoder().values()]
+    with open(public_tokenizers.path(name), "rb") as f:  # not by the library, which most workers then needn't load
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators.durable import cut, shared_dir
 
@@ -15,13 +16,26 @@ from quarry.operators.durable import cut, shared_dir
 BROADCAST_ROWS = 1_000_000
 #: A key is hot if it has more than one of so many rows, so there are never more hot keys than this.
 HOT_KEYS = 10_000
+#: Rows of an Arrow batch.
+ARROW_ROWS = 256
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ARROW_ROWS rows, set for the session if its limit is Spark's own: 10,000 long
+    texts at a time are too much for the memory outside the heap that a task has for Arrow and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in smaller parts, so a task holds few texts as Python objects at a time."""
+    """Arrow batches in smaller parts, so a task holds few texts as Python objects at a time. At the end of a task, freed
+    memory goes back to the system, as the Python worker stays for later tasks."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
@@ -45,18 +59,30 @@ def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], n_ids: int,
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, how)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Joins ``rows`` with a table of one row a key that says in ``count`` how many of ``total`` rows have the key. Keys
     with more than 1 / HOT_KEYS of the rows, fewer than HOT_KEYS of them, are broadcast, so no task gets a hot key; the
     others are shuffled at every size."""
     is_hot = F.col(count) * HOT_KEYS > total
     hot = F.broadcast(table.where(is_hot))
-    rest = rows.join(F.broadcast(table.where(is_hot).select(key)), key, "left_anti")
-    return rows.join(hot, key).union(rest.join(table.where(~is_hot).hint("merge"), key))
+    rest = rows.join(F.broadcast(table.where(is_hot).select(*([key] if isinstance(key, str) else key))), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(~is_hot).hint("merge"), key))
+
+
+def own_name(id_col: str, taken: tuple[str, ...]) -> str:
+    """The id column's name in a result; with ``_id`` appended where an output column has that name."""
+    return f"{id_col}_id" if id_col in taken else id_col
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a helper column that the table doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["BROADCAST_ROWS", "HOT_KEYS", "cut", "join_counted", "join_ids", "read_table", "remove", "shared_dir", "slices", "stored"]
+__all__ = ["BROADCAST_ROWS", "HOT_KEYS", "cut", "fresh", "join_counted", "join_ids", "map_arrow", "own_name", "read_table", "remove", "shared_dir", "slices", "stored"]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.llm import _words
-from quarry.llm._session import cut, join_counted, join_ids, remove, slices, stored
+from quarry.llm._session import cut, join_counted, join_ids, map_arrow, remove, slices, stored
 from quarry.operators.graph import components
 
 #: Fragments of the global order in which overlaps are counted.
@@ -80,7 +80,7 @@ def shared_least(n: np.ndarray | int, percent: int):
 
 def extra(n: int, percent: int) -> int:
     """By how much the prefix is extended for a set of n grams; doesn't fall with n."""
-    return min(shared_least(n, percent), n // 20 + 4)
+    return min(shared_least(n, percent), n // 40 + 3)
 
 
 def describe(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -101,7 +101,7 @@ def describe(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in (sizes, d1, d2)), lists], names=["doc_id", "row", "n_shingles", "d1", "d2", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, n_shingles long, d1 long, d2 long, prefix array<long>")
+    return map_arrow(rows, run, f"doc_id {kind}, row long, n_shingles long, d1 long, d2 long, prefix array<long>")
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(rows, FRAGMENTS))), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(rows))), lists], names=["doc", "fragment", "grams"])
 
-    return docs.select("doc", "d1", "text").mapInArrow(run, f"doc {kind}, fragment int, grams array<long>")
+    return map_arrow(docs.select("doc", "d1", "text"), run, f"doc {kind}, fragment int, grams array<long>")
 
 
 def _side_by_side(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _blocks(grams: DataFrame, percent: int) -> DataFrame:
     smallest partner shares with it."""
     counts = cut(grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1"))
     partner = f"((size * {percent} + 99) div 100)"
-    keep = F.expr(f"least(({partner} * {percent} + 99) div 100, {partner} div 20 + 4)")
+    keep = F.expr(f"least(({partner} * {percent} + 99) div 100, {partner} div 40 + 3)")
     rows = join_counted(grams, counts, "gram", "docs", counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0])
     w = W.partitionBy("doc")
     ranked = rows.select("*", F.row_number().over(w.orderBy("docs", "gram")).alias("rank"), F.count("*").over(w).alias("kept"))

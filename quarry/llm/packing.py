@@ -8,8 +8,10 @@ again into one window more.
 
 A group is a run of rests within one input partition, so nothing is shuffled, memory is bounded by a group, and a lost
 task makes the same windows again. The rests at a partition's end are one group, or two halves of more than a group.
-Defined results: a null or empty text is only the end id; repeated rows are packed
-as often as they occur; an empty table gives no pieces; extra columns are ignored; ties are settled by row order.
+Defined results: a null or empty text is only the end id; very long texts are cut into full windows and a rest; repeated
+rows, and rows that share an id, are packed as often as they occur; null ids are kept; an empty table gives no pieces;
+extra columns are ignored; ties are settled by row order; an id column named like an output column is given with ``_id``
+appended.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _bpe
-from quarry.llm._session import slices
+from quarry.llm._session import map_arrow, own_name, slices
 
 #: Rests in a group, and the longest piece of a rest: shorter pieces leave less padding, longer ones cut less.
 GROUP, PIECE = 512, 512
@@ -83,7 +85,7 @@ def pack(lengths: list[int], capacity: int) -> np.ndarray:
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: the id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, out_id = docs.schema[id_col].dataType.simpleString(), own_name(id_col, ("start", "length", "doc_tokens", "ids", "sequence_id", "offset"))
     piece = min(PIECE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
             longs = (starts, [len(r) // 4 for r in raws], totals)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_type), *(pa.array(x, pa.int64()) for x in longs), pa.array(raws, pa.binary()), pa.array(windows, pa.int64()), pa.array(offsets, pa.int64())],
-                names=[id_col, "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
+                names=[out_id, "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
             )
 
         def whole() -> pa.RecordBatch:
@@ -141,8 +143,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte
         if held:
             yield packed(len(held))
 
-    schema = f"`{id_col}` {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = f"`{out_id}` {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, schema)
 
 
 def sequences(packed: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:

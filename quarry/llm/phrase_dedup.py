@@ -5,17 +5,21 @@ A window is ``width`` consecutive words of one text; a word goes if a window ove
 1. Anchors: each window is known by the smallest hash among its 8-word grams (the leftmost, if equal), so equal windows
    have equal anchors. A text has about one anchor per 12 words, and the stretch of text around it holds exactly its
    windows. Anchors that occur once are dropped.
-2. Confirmation: where all stretches of an anchor are equal, all their windows recur. Else each distinct stretch is
-   looked up once, and its windows are counted; those that start twice or more are confirmed. Confirmed windows that
-   touch or overlap are one phrase.
-3. Automata: documents that hold phrases are dealt into shards of at most ``SHARD_CHARS`` characters. The phrases of a
-   shard are compiled to one Aho-Corasick automaton, through which its documents stream to locate every occurrence.
-   Shards are cut by documents, so a passage that a third of all documents share makes no shard larger.
-4. Removal: the words that no located phrase covers are kept.
-
-Defined results: null and empty texts have no words; texts shorter than the window keep all; repeated rows are
-occurrences of their own, so rows that share an id are told apart by content and lose the same words if equal; extra
-columns are ignored.
+2. Confirmation: each distinct stretch of a recurring anchor is read once, in one of the texts that hold it, and its
+   windows are counted over all its copies and all other stretches; those that start twice or more are confirmed.
+   Confirmed windows of a stretch that touch or overlap are one phrase.
+3. Automata: texts are dealt into shards of about ``SHARD_CHARS`` characters. A shard's automata are compiled from the
+   distinct phrases of the anchors seen in it, each phrase once however many texts hold it and wherever it was
+   confirmed; a window's anchor depends on the window alone, so no other phrase can occur in the shard. Letters of the
+   automata are words, numbered by the shard's own phrases.
+4. Removal: every text streams through all automata of its shard (there are none for a text without a recurring anchor,
+   which is not shuffled); the words that no hit covers are kept. Places found in steps 1 and 2 are not used: what goes
+   is decided by the hits, word by word.
+
+Windows count as equal by 128 bits (anchor and window). Defined results: null and empty texts have no words; texts
+shorter than the window keep all; very long texts are read whole, one at a time; repeated rows are occurrences of their
+own and lose the same words; rows that share an id each get a row; null ids are kept; an empty table gives an empty
+result; extra columns are ignored; an id column named like an output column is given with ``_id`` appended.
 """
 
 from __future__ import annotations
@@ -29,13 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _words
-from quarry.llm._session import BROADCAST_ROWS, cut, slices, stored
+from quarry.llm._session import BROADCAST_ROWS, cut, join_counted, join_ids, map_arrow, own_name, slices, stored
 
 GRAM = 8
-#: Characters of the documents of one shard; its automaton has no more nodes than that, but for one longer document.
-SHARD_CHARS = 1_000_000
-#: Word ranges that are broadcast to the documents, at most; more are joined by a shuffle.
-BROADCAST_RANGES = 200_000
+#: Characters of the texts of one shard, about, and words of the phrases of one automaton, at most.
+SHARD_CHARS, AUTOMATON_WORDS = 500_000, 300_000
 
 
 def anchors(words: _words.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,152 +66,175 @@ def anchors(words: _words.Words, width: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(key, anchor, stretch, first, last) of each anchor of each row: the hash of its stretch, and its windows' starts."""
+    """(shard, key, anchor, stretch, first, last) of each anchor of each row: the hash of its stretch, and its windows'
+    starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
+            texts, keys, shards = batch.column(2).to_pylist(), batch.column(1), batch.column(0)
             for lo, hi in _words.batches(texts):
                 words = _words.Words(texts[lo:hi])
                 hashes, of, first, last = anchors(words, width)
                 if len(of):
-                    stretch, begin = words.ranges(first, last + width), words.bounds[of]
+                    stretch, begin, at = words.ranges(first, last + width), words.bounds[of], pa.array(of + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(of + lo)), *(pa.array(x.view(np.int64)) for x in (hashes, stretch)), *(pa.array((x - begin).astype(np.int32)) for x in (first, last))],
-                        names=["key", "anchor", "stretch", "first", "last"],
+                        [shards.take(at), keys.take(at), *(pa.array(x.view(np.int64)) for x in (hashes, stretch)), *(pa.array((x - begin).astype(np.int32)) for x in (first, last))],
+                        names=["shard", "key", "anchor", "stretch", "first", "last"],
                     )
 
-    return docs.mapInArrow(run, "key long, anchor long, stretch long, first int, last int")
+    return map_arrow(docs.select("shard", "key", "text"), run, "shard int, key long, anchor long, stretch long, first int, last int")
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, stretch, copies, at, window) of the stretches listed with each text."""
+_STRETCHES = "array<struct<anchor:long,stretch:long,copies:long,first:int,windows:array<long>,size:int>>"
+
+
+def _passages(docs: DataFrame, width: int) -> DataFrame:
+    """(key, begin, words, stretches) of documents (key, text, listed): their listed stretches, with those that overlap
+    as one passage, from its first word on; the windows of the stretches that ask for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts, listed = batch.column(0).to_pylist(), batch.column(1)
+        for batch in slices(batches, 64):
+            keys, texts, listed = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi in _words.batches(texts):
                 words = _words.Words(texts[lo:hi])
-                hashes = words.windows(width)
-                rows: list[tuple] = []
-                places = []
+                hashes = words.windows(width).view(np.int64)
+                at, begins, joined, held = [], [], [], []
                 for i in range(lo, hi):
-                    for s in listed[i].as_py():
-                        at = np.arange(s["first"], s["last"] + 1)
-                        places.append(words.bounds[i - lo] + at)
-                        rows += [(s["anchor"], s["stretch"], s["copies"], x) for x in (at - s["first"]).tolist()]
-                if rows:
-                    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[np.concatenate(places)].view(np.int64))], names=["anchor", "stretch", "copies", "at", "window"])
-
-    return docs.select("text", "listed").mapInArrow(run, "anchor long, stretch long, copies long, at int, window long")
-
-
-def _with_ranges(docs: DataFrame, ranges: DataFrame, column: str) -> DataFrame:
-    """Documents (key, ...) that have ranges (key, array): broadcast if few, else the documents that have any are picked
-    first, by broadcast keys if those are few, and then shuffled to their ranges."""
-    ranges = cut(ranges)
-    n, keys = ranges.agg(F.coalesce(F.sum(F.size(column)), F.lit(0)), F.count("*")).first()
-    if n <= BROADCAST_RANGES:
-        return docs.join(F.broadcast(ranges), "key")
-    if keys <= BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(ranges.select("key")), "key", "left_semi")
-    return docs.join(ranges, "key")
-
-
-def repeated_spans(docs: DataFrame, width: int = 35) -> DataFrame:
-    """(key, spans) of documents (key, text) that hold repeated passages: word ranges [begin, end), in no order."""
-    docs = docs.select("key", "text")
-    found = stored(_anchor_rows(docs, width), "anchors")
-    recurring = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("n > 1")
-    occurrences = stored(found.join(recurring.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "occurrences")
-    mixed = occurrences.where("mixed")
-    distinct = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("key", "first", "last")).alias("one"))
-    listed = distinct.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "stretch", "copies", "one.first", "one.last")).alias("listed"))
-    windows = cut(_windows(_with_ranges(docs, listed, "listed").dropDuplicates(["key"]), width))
-    repeated = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    starts = windows.join(repeated, "window").groupBy("anchor", "stretch").agg(F.collect_set("at").alias("starts"))
-    span = lambda begin: F.struct(begin.cast("int").alias("begin"), (begin + width).cast("int").alias("end"))
-    whole = occurrences.where("NOT mixed").select("key", F.array(F.struct(F.col("first").alias("begin"), (F.col("last") + width).alias("end"))).alias("spans"))
-    parts = mixed.join(starts, ["anchor", "stretch"]).select("key", F.transform("starts", lambda s: span(F.col("first") + s)).alias("spans"))
-    return whole.union(parts).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
-def phrases(words: list[str], spans: list[dict]) -> list[str]:
-    """The phrases of a document: its spans, merged where they touch or overlap, between spaces."""
-    out, begin, end = [], None, None
-    for s in [*sorted(spans, key=lambda s: s["begin"]), None]:
-        if s is not None and end is not None and s["begin"] <= end:
-            end = max(end, s["end"])
-            continue
-        if end is not None:
-            out.append(" " + " ".join(words[begin:end]) + " ")
-        if s is not None:
-            begin, end = s["begin"], s["end"]
-    return out
-
-
-def locate(automaton: ahocorasick.Automaton, words: list[str]) -> list[tuple[int, int]]:
-    """Disjoint ascending word ranges that the automaton's phrases cover."""
-    text = " " + " ".join(words) + " "
-    out, reach, at, index = [], 0, 0, 0
-    for a, b in sorted((end - length + 1, end) for end, length in automaton.iter(text)):
-        if b > reach:
-            a = max(a, reach)
-            index += text.count(" ", at, a)  # spaces before a: the word after the space at a has that number
-            n = text.count(" ", a, b)
-            out.append((index, index + n))
-            index, at, reach = index + n, b, b
-    return out
+                    of, plain = words.bounds[i - lo], split(texts[i])
+                    reach, run_of = -1, []
+                    for s in [*sorted(listed[i].as_py(), key=lambda s: s["first"]), None]:
+                        if run_of and (s is None or s["first"] > reach):
+                            at.append(i)
+                            begins.append(run_of[0]["first"])
+                            joined.append(" ".join(plain[run_of[0]["first"] : reach]))
+                            held.append(run_of)
+                            run_of = []
+                        if s is not None:
+                            windows = hashes[of + s["first"] : of + s["last"] + 1].tolist() if s["counted"] else []
+                            run_of.append({"anchor": s["anchor"], "stretch": s["stretch"], "copies": s["copies"], "first": s["first"], "windows": windows, "size": s["last"] - s["first"] + width})
+                            reach = max(reach, s["last"] + width)
+                if at:
+                    kinds = (pa.int32(), pa.string(), batch_type)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, kind) for c, kind in zip((begins, joined, held), kinds, strict=True))], names=["key", "begin", "words", "stretches"])
+
+    member = pa.struct([("anchor", pa.int64()), ("stretch", pa.int64()), ("copies", pa.int64()), ("first", pa.int32()), ("windows", pa.list_(pa.int64())), ("size", pa.int32())])
+    batch_type = pa.list_(member)
+    return map_arrow(docs.select("key", "text", "listed"), run, f"key long, begin int, words string, stretches {_STRETCHES}")
+
+
+def confirmed_phrases(rows: DataFrame, width: int, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(shard, words, spans): for each shard of rows (shard, key, text), the passages with stretches that it holds, and
+    where in them the confirmed phrases are, as ranges of words. With it the keys of rows with a recurring anchor."""
+    found = stored(_anchor_rows(rows, width), "anchors", paths)
+    recurring = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    anchors_kept, total = recurring.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    again = found.join(F.broadcast(recurring), "anchor") if anchors_kept <= BROADCAST_ROWS else join_counted(found, recurring, "anchor", "n", total)
+    keys = cut(again.select("key").distinct())
+    places = again.groupBy("anchor", "stretch", "shard").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "last")).alias("one"))
+    places = stored(places, "places", paths)
+    distinct = stored(places.groupBy("anchor", "stretch").agg(F.sum("n").alias("copies"), F.count("*").alias("shards"), F.min("one").alias("one")), "stretches", paths)
+    # windows are counted where an anchor has several stretches, one of them without copies
+    several = cut(distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("anchor", "n"))
+    mixed = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several.hint("merge")
+    listed = distinct.join(mixed, "anchor", "left").select("anchor", "stretch", "copies", "one", F.col("n").isNotNull().alias("counted")).where("counted OR copies > 1")
+    listed = cut(listed.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "stretch", "copies", "one.first", "one.last", "counted")).alias("listed")))
+    texts = join_ids(rows.select("key", "text"), listed.select("key"), "key", listed.count(), "left_semi")
+    texts = texts.hint("merge").join(listed, "key").dropDuplicates(["key"])  # repeated rows
+    passages = stored(_passages(texts, width), "passages", paths)
+    stretches = passages.select("key", "begin", F.explode("stretches").alias("s")).select("key", "begin", "s.*")
+    windows = stretches.select("anchor", "stretch", "copies", F.posexplode("windows").alias("at", "window"))
+    repeated = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window")
+    starts = windows.where("copies = 1").select("anchor", "stretch", "at", "window").hint("merge").join(repeated, ["anchor", "window"])
+    starts = starts.groupBy("anchor", "stretch").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    # a stretch with copies is a phrase as a whole, else each run of its confirmed windows
+    begins = F.expr(f"filter(starts, (x, i) -> i = 0 OR starts[i - 1] < x - {width})")
+    ends = F.expr(f"filter(starts, (x, i) -> i + 1 = size(starts) OR starts[i + 1] > x + {width})")
+    span = lambda a, b: F.struct(a.cast("int").alias("begin"), b.cast("int").alias("end"))
+    at = F.col("first") - F.col("begin")
+    spans = F.when(F.col("copies") > 1, F.array(span(at, at + F.col("size")))).otherwise(F.zip_with(begins, ends, lambda a, b: span(at + a, at + b + width)))
+    confirmed = stretches.drop("windows").hint("merge").join(starts, ["anchor", "stretch"], "left").where("copies > 1 OR starts IS NOT NULL")
+    confirmed = stored(confirmed.select("anchor", "stretch", "key", "begin", spans.alias("spans")), "confirmed", paths)
+    of = confirmed.select("anchor", "stretch", "key", "begin").hint("merge").join(distinct.select("anchor", "stretch", "shards"), ["anchor", "stretch"])
+    wanted = stored(join_counted(places.select("anchor", "stretch", "shard"), of, ["anchor", "stretch"], "shards", places.count()).select("shard", "key", "begin").distinct(), "wanted", paths)
+    shards = wanted.groupBy("key", "begin").agg(F.count("*").alias("shards"))
+    known = confirmed.groupBy("key", "begin").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(shards, ["key", "begin"])
+    known = stored(passages.select("key", "begin", "words").hint("merge").join(known, ["key", "begin"]), "phrases", paths)
+    return join_counted(wanted, known, ["key", "begin"], "shards", wanted.count()).select("shard", "words", "spans"), keys
+
+
+class Phrases:
+    """Automata over distinct phrases (words between single spaces), of at most AUTOMATON_WORDS words each."""
+
+    def __init__(self, phrases: set[str]):
+        self.number: dict[str, int] = {}
+        self.automata: list[ahocorasick.Automaton] = []
+        held = AUTOMATON_WORDS
+        for phrase in phrases:
+            words = phrase.split(" ")
+            if held + len(words) > AUTOMATON_WORDS:
+                self.automata.append(ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE))
+                held = 0
+            held += len(words)
+            self.automata[-1].add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words))
+        for automaton in self.automata:
+            automaton.make_automaton()
+
+    def locate(self, words: list[str]) -> list[tuple[int, int]]:
+        """Disjoint ascending word ranges that phrases cover."""
+        letters = tuple(map(self.number.get, words, [0] * len(words))) if self.automata else ()
+        hits = sorted((end - length + 1, end + 1) for automaton in self.automata for end, length in automaton.iter(letters)) if any(letters) else []
+        out: list[tuple[int, int]] = []
+        for a, b in hits:
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    # rows are told apart by id and content: equal rows lose the same words
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    spans = cut(repeated_spans(rows, width))
-    n = spans.count()
-    with_spans = _with_ranges(rows, spans, "spans").select("id", "text", "spans")
-    without = rows.join(F.broadcast(spans.select("key")) if n <= BROADCAST_ROWS else spans.select("key"), "key", "left_anti").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-
-    def removed(shard: list[tuple]) -> pa.RecordBatch:
-        automaton = ahocorasick.Automaton()
-        for _, words, found in shard:
-            for phrase in phrases(words, found or []):
-                automaton.add_word(phrase, len(phrase))
-        if len(automaton):
-            automaton.make_automaton()
-        ids, total, gone, kept = [], [], [], []
-        for doc_id, words, found in shard:
-            left, reach = [], 0
-            for begin, end in locate(automaton, words) if found else ():
-                left += words[reach:begin]
-                reach = end
-            left += words[reach:]
-            ids.append(doc_id)
-            total.append(len(words))
-            gone.append(len(words) - len(left))
-            kept.append(" ".join(left))
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept_text"])
+    kind, out_id = docs.schema[id_col].dataType.simpleString(), own_name(id_col, ("n_words", "n_removed", "kept_text"))
+    paths: list[str] = []
+    chars = docs.agg(F.coalesce(F.sum(F.length(F.col(text_col))), F.lit(0))).first()[0]
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 + chars // SHARD_CHARS)).cast("int").alias("shard"), key.alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    phrases, keys = confirmed_phrases(rows, width, paths)
+    phrases = phrases.select("shard", F.lit(None).cast(kind).alias("id"), F.col("words").alias("text"), "spans")
+    n, plain = keys.count(), F.lit(None).cast(phrases.schema["spans"].dataType).alias("spans")
+    both = phrases.union(join_ids(rows, keys, "key", n, "left_semi").select("shard", "id", "text", plain))
+    dealt = both.repartition("shard").sortWithinPartitions("shard", F.col("spans").isNull())  # phrases first
+    # a text without a recurring anchor has no phrase to look for, so it stays where it is
+    dealt = dealt.union(join_ids(rows, keys, "key", n, "left_anti").select("shard", "id", "text", plain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
-        shard, chars = [], 0
-        for batch in batches:
-            id_type = batch.column(0).type
-            for doc_id, text, found in zip(*batch.columns, strict=True):
-                text = text.as_py()
-                shard.append((doc_id.as_py(), split(text), found.as_py()))
-                chars += len(text or "")
-                if chars >= SHARD_CHARS:
-                    yield removed(shard)
-                    shard, chars = [], 0
-        if shard:
-            yield removed(shard)
-
-    id_type = None
-    return with_spans.union(without).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_text string")
+        current, listed, automata = None, set(), None
+        for batch in slices(batches):
+            at, total, gone, kept = [], [], [], []
+            for i, (shard, _, text, found) in enumerate(zip(*batch.columns, strict=True)):
+                shard = shard.as_py()
+                if shard != current:
+                    current, listed, automata = shard, set(), None
+                if found.is_valid:
+                    passage = text.as_py().split(" ")
+                    listed.update(" ".join(passage[x["begin"] : x["end"]]) for x in found.as_py())
+                    continue
+                if automata is None:
+                    automata = Phrases(listed)
+                words = split(text.as_py())
+                left, reach = [], 0
+                for begin, end in automata.locate(words):
+                    left += words[reach:begin]
+                    reach = end
+                left += words[reach:]
+                at.append(i)
+                total.append(len(words))
+                gone.append(len(words) - len(left))
+                kept.append(" ".join(left))
+            ids = batch.column(1).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[out_id, "n_words", "n_removed", "kept_text"])
+
+    return map_arrow(dealt, run, f"`{out_id}` {kind}, n_words long, n_removed long, kept_text string")
 
 
 _SEPARATORS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})

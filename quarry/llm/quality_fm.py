@@ -8,9 +8,10 @@ for each, whose dot products weigh all pairwise interactions; by the sum-of-squa
 It is fitted on a bounded sample of labelled rows (``SAMPLE`` of each class at most, chosen by hash), never on
 held-out ones, and labels, language, source and id are no features. Scores cover every whole text.
 
-Defined results: null and empty texts are scored by their statistics; repeated rows score alike; ids with two different
-labels are not learned from; without labels of both classes the score is the label's share (0.5 without any); extra
-columns are ignored.
+Defined results: null and empty texts are scored by their statistics; very long texts are scored whole; repeated rows
+score alike, and of labelled rows that share an id one is learned from; ids with two different labels are not learned
+from; without labelled documents of both classes the score is the label's share (0.5 without any); null ids are scored;
+an empty table gives an empty result; extra columns are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._session import slices
+from quarry.llm._session import map_arrow, own_name, slices
 
 #: Buckets of hashed words, rank of the interactions, and labelled rows of each class in the sample, at most.
 BUCKETS, RANK, SAMPLE = 512, 8, 2000
@@ -125,14 +126,11 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """Fits the machine; the driver gets at most 2 * SAMPLE feature vectors."""
     known = labels.where(~is_held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("y_max")).where("y = y_max")
-    sample = None
+    sample: list = []
     for y in (0, 1):
         rows = known.where(F.col("y") == y).select(F.col(id_col).alias("id"), "y").orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE).collect()
-        sample = [*(sample or []), *rows]
+        sample += rows
     spark = docs.sparkSession
-    if len({r["y"] for r in sample}) < 2:
-        share = sample[0]["y"] if sample else 0.5
-        return Machine(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(BUCKETS + STATISTICS, np.float32), np.zeros((BUCKETS + STATISTICS, RANK), np.float32))
     kind = labels.schema[id_col].dataType.simpleString()
     chosen = spark.createDataFrame([(r["id"], int(r["y"])) for r in sample], f"id {kind}, y int")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * SAMPLE ids at most
@@ -143,24 +141,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             at, x = zip(*(features(t, memo) for t in batch.column(1).to_pylist()), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], names=["id", "y", "at", "x"])
 
-    found = rows.select("id", "text", "y").mapInArrow(run, f"id {kind}, y int, at array<int>, x array<float>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    found = map_arrow(rows.select("id", "text", "y"), run, f"id {kind}, y int, at array<int>, x array<float>").dropDuplicates(["id"]).toArrow().sort_by("id")
     x, y = np.zeros((found.num_rows, BUCKETS + STATISTICS), np.float32), found.column("y").to_numpy().astype(float)
     for i, (a, v) in enumerate(zip(found.column("at").to_pylist(), found.column("x").to_pylist(), strict=True)):
         x[i, a] = v
+    if len(set(y)) < 2:  # labelled documents of both classes are not at hand
+        share = y.mean() if len(y) else 0.5
+        return Machine(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(BUCKETS + STATISTICS, np.float32), np.zeros((BUCKETS + STATISTICS, RANK), np.float32))
     return fit(x, y)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, out_id = docs.schema[id_col].dataType.simpleString(), own_name(id_col, ("score",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in slices(batches):
             z = np.array([machine.margin(*features(t.as_py(), memo)) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=[out_id, "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, f"`{out_id}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
@@ -174,4 +175,4 @@ def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text") -> Data
             good = [machine.margin(*features(t.as_py(), memo)) >= 0 for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, types)
+    return map_arrow(docs, run, types)

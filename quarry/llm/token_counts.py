@@ -4,8 +4,9 @@ Texts are known by the SHA-256 digest of their normalised content and by the dig
 found in the cache are joined; each distinct text that is missing is encoded once and appended to the cache.
 
 Normalisation only turns null into the empty text, so counts stay those of the text as given. Defined results: a null
-or empty text has 0 bytes and 0 tokens; repeated rows each get a row; an empty table gives an empty result; extra
-columns are ignored, and null ids are kept.
+or empty text has 0 bytes and 0 tokens; very long texts are encoded whole; repeated rows and rows that share an id each
+get a row; an empty table gives an empty result; extra columns are ignored, and null ids are kept; an id column named
+like an output column is given with ``_id`` appended.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _bpe
-from quarry.llm._session import shared_dir, slices
+from quarry.llm._session import cut, join_counted, map_arrow, own_name, shared_dir, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 
@@ -41,13 +42,13 @@ def encode_misses(misses: DataFrame, tokenizer: str) -> DataFrame:
                 names=["digest", "tokenizer", "n_bytes", "n_tokens"],
             )
 
-    return misses.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
+    return map_arrow(misses.select("digest", "text"), run, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of every row. ``cache_path`` is a Parquet folder that grows by the texts not in it yet;
     each call appends before it returns, and the result reads the cache."""
-    spark = docs.sparkSession
+    spark, out_id = docs.sparkSession, own_name(id_col, ("digest", "n_bytes", "n_tokens"))
     version = _bpe.version(tokenizer)
     known = spark.read.schema(CACHE_SCHEMA).option("ignoreMissingFiles", "true").parquet(cache_path) if _exists(docs, cache_path) else spark.createDataFrame([], CACHE_SCHEMA)
     known = known.where(F.col("tokenizer") == version)
@@ -57,8 +58,11 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
     encode_misses(distinct.join(known.select("digest"), "digest", "left_anti"), tokenizer).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     counts = counts.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))  # two runs at a time may both append a text
-    digests = docs.select(F.col(id_col), content_digest(F.col(text_col)).alias("digest"))
-    return digests.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    # a text that many rows share has its count broadcast, so no task gets all of them
+    rows = docs.select(F.col(id_col).alias(out_id), content_digest(F.col(text_col)).alias("digest"))
+    copies = cut(rows.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1"))
+    counts = counts.join(copies, "digest", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return join_counted(rows, counts, "digest", "copies", docs.count()).select(out_id, "n_bytes", "n_tokens")
 
 
 def _exists(docs: DataFrame, path: str) -> bool:

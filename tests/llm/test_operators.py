@@ -117,6 +117,25 @@ def test_differencing_is_even():
     assert packing.pack([], 10).tolist() == [] and packing.pack([10, 10], 10).tolist() in ([0, 1], [1, 0])
 
 
+def naive_spread(lengths, k):
+    """Differencing as it is usually told: k sums for each partial partition."""
+    held = [sorted([x] + [0] * (k - 1), reverse=True) for x in lengths]
+    while len(held) > 1:
+        held.sort(key=lambda p: p[-1] - p[0])
+        a, b = held.pop(0), held.pop(0)
+        held.append(sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True))
+    return held[0][0] - held[0][-1]
+
+
+def test_differencing_as_even_as_a_naive_one():
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 3, 7):
+        for n in (1, 5, 40):
+            lengths = rng.integers(1, 300, n).tolist()
+            loads = np.bincount(packing.difference(lengths, k), weights=lengths, minlength=k)
+            assert loads.sum() == sum(lengths) and loads.max() - loads.min() <= naive_spread(lengths, k) + 300 * (n <= k)
+
+
 def test_token_counts_and_cache(spark, docs, none, tmp_path):
     path = f"file://{tmp_path}/cache"
     for round_ in range(2):  # the second run finds all in the cache
@@ -198,12 +217,25 @@ def test_phrase_removal(docs, none, width):
     assert phrase_dedup.remove_repeats(none, width).count() == 0
 
 
-def test_phrase_removal_by_shuffled_ranges(docs, monkeypatch):
-    monkeypatch.setattr(phrase_dedup, "BROADCAST_RANGES", 0)
+def test_phrase_removal_in_small_shards(docs, monkeypatch):
     monkeypatch.setattr(phrase_dedup, "SHARD_CHARS", 2000)
+    monkeypatch.setattr(phrase_dedup, "AUTOMATON_WORDS", 100)
+    monkeypatch.setattr(phrase_dedup, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, phrase_dedup.remove_repeats(docs, 35).collect())) == brute_removal(rows_of(docs), 35)
 
 
+def test_automata_locate_phrases_in_other_texts(spark):
+    """A phrase confirmed in two texts is located by the automaton in a third, which was not read for it."""
+    phrase = " ".join(f"p{i}" for i in range(40))
+    rows = spark.createDataFrame([(0, 1, f"a b {phrase} c d"), (0, 2, f"e {phrase}")], "shard int, key long, text string")
+    found, keys = phrase_dedup.confirmed_phrases(rows, 35, [])
+    passages = {" ".join(r.words.split(" ")[x.begin : x.end]) for r in found.collect() for x in r.spans}
+    assert {r.key for r in keys.collect()} == {1, 2} and any(phrase == p or p in phrase for p in passages)
+    third = f"x y z {phrase} w".split(" ")
+    assert phrase_dedup.Phrases(passages).locate(third) == [(3, 43)]
+    assert phrase_dedup.Phrases(passages).locate(phrase.split(" ")[:34]) == [] and phrase_dedup.Phrases(set()).locate(third) == []
+
+
 def test_line_rules(spark, docs, none):
     junk = [(900, "\n".join(["alpha | beta | gamma | delta | eps | zeta"] * 12)), (901, "\n".join(f"Line{i} says{i} that{i} all{i} is{i} well{i} and{i} good here. It{i} ends." for i in range(9))), (902, "BUY NOW!! " * 40), (903, "word*** " * 60), (904, "same line here\n" * 30), (905, " ".join(f"t{i % 40} u{i % 40} v{i % 40}" for i in range(200)))]
     more = docs.select("doc_id", "text").union(spark.createDataFrame(junk, "doc_id long, text string"))
@@ -223,6 +255,33 @@ def test_line_rules(spark, docs, none):
     assert {r.doc_id for r in line_rules.clean(more).collect()} == {d for d, r in got.items() if r.kept}
 
 
+def test_line_rules_of_other_scripts(spark):
+    hindi = "\n".join(f"यह वाक्य संख्या {i} है और इसमें बहुत सारे शब्द लिखे गए हैं।" for i in range(9))
+    arabic = "\n".join(f"هل هذا هو السؤال رقم {i} الذي نكتب فيه كلمات كثيرة اليوم؟" for i in range(9))
+    thai = "\n".join(" ".join(["ภาษาไทย"] * 8 + [f"คำ{i}{j}" for j in range(9)]) for i in range(9))
+    bare = "\n".join(f"all of these {i} words stand in a line without any mark at its end{i}" for i in range(9))
+    got = {r.doc_id: r.lost_chars for r in line_rules.judge(spark.createDataFrame([(1, hindi), (2, arabic), (3, thai), (4, bare), (5, "a  b   c")], "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[3] == got[5] == 0 and got[4] > 300
+
+
+def test_rule_tables(spark):
+    """Thousands of rules, some without a literal token, against trying each rule on each url."""
+    assert url_filters.literal_tokens(r"^evil\.example\.(com|org)/x") == ("evil", "example")
+    assert url_filters.literal_tokens(r"[^/]*ads") == () and url_filters.literal_tokens(r"[^/]*\bshop-[0-9]+(-sale)?\b") == ("shop",)
+    rows = [(f"host{i}.example.com/{'en/' if i % 3 else ''}", "block" if i % 2 else "allow", "host") for i in range(2000)] + [(rf"[^/]*/item-{i}\b", "block", "pattern") for i in range(1000)]
+    rows += [(r"[^/]*/[a-z]*zz", "block", "pattern"), (r"[^/]*x(yy|ww)\.", "block", "pattern"), (None, "block", "host"), rows[0]]
+    rules = url_filters.table_rules(spark.createDataFrame(rows, "rule string, verdict string, kind string"))
+    assert len(rules) == 3002
+    urls = [(i, f"https://{'www.' if i % 2 else ''}host{i * 7 % 2500}.example.com/{'en' if i % 4 else 'de'}/item-{i * 3}{'a' if i % 5 == 0 else ''}") for i in range(600)] + [(600, "http://q.com/abzz"), (601, "http://axyy.com/"), (602, None)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    for i, url in urls:
+        whole = "".join(url_filters.split_url(url))
+        fits = [r for r in rules if re.match(r.pattern, whole)]
+        listed = sorted((r for r in fits if r.listed), key=lambda r: -len(r.text))
+        want = (listed[0].text, listed[0].verdict) if listed else (None, "block" if any(r.verdict == "block" for r in fits) else "allow")
+        assert got[i] == want, url
+
+
 def test_url_filters(spark):
     urls = ["http://a.Example.NET/en/1?x=/fr/", "https://x.net/", "https://x.net", "https://net/q", "http://w.org/fr/a", "http://w.org/de", "http://s.example.com/de/1#y", "http://www.cheap-pills.example.com/en/", "https://casino-x.example.org/fr/1", "mailto:someone", None, "", "http://xnet/", "http://a.net:80/x", "http://h#/path", "HTTP://Q.ORG/FR/"]
     pages = spark.createDataFrame([(i, u, "k", "v") for i, u in enumerate(urls)] + [(0, urls[0], "k", "v")], "page_id long, url string, host string, verdict string")
@@ -272,6 +331,13 @@ def test_decontamination_by_alignment_and_whole_numbers(spark):
     assert changed[1] == 0 and changed[2] == 2 and changed[3] == 1 and changed[8] == 0 and changed[9] == 1
 
 
+def test_decontamination_of_short_and_numeric_items(spark):
+    items = [(1, "What is the boiling point of water?"), (2, "12 + 7 - 3 * 4 / 6 = 17 and 18"), (3, "short one"), (4, "3 + 4 = 7")]
+    rows = [(1, "He asked: what is the boiling point of water? Then left."), (2, "see 12 + 7 - 3 * 4 / 6 = 17 and 18 here"), (3, "short one"), (4, "we know 3 + 4 = 7 yes"), (5, "we know 3 + 5 = 8 yes"), (6, "What is the melting point of water")]
+    bench, docs = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in template_decontam.leaks(docs, bench).collect()) == [(1, 1), (2, 2), (4, 4)]
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -322,6 +388,16 @@ def test_secrets(spark, docs, none):
     assert secret_scan.scan(none, model).count() == 0
 
 
+def test_secrets_in_blocks_and_urls(spark):
+    rng = np.random.default_rng(6)
+    body = "\n".join("".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 64)) for _ in range(6))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"the key is {pem} so"), (2, "connect to postgres://admin:hU7_kq29Zx@db.example.com/x now"), (3, "visit https://user:password@example.com/ now"), (4, "a" * 300_000 + " " + "0a1b2c3d" * 3)]
+    model = secret_scan.train(spark)
+    clean = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert clean[1] == "the key is <SECRET> so" and clean[2] == "connect to postgres://admin:<SECRET>@db.example.com/x now" and clean[3] == rows[2][1]
+
+
 def test_secrets_in_compact_text(spark):
     keys = ["AKIA" + "SJDZWJNP6ZRYWK44", "AKIA" + "QW3RTYZ7PASD2FGH"]
     token = "9eb9c654e721b4f812088970e66a6345cee33dd6"
@@ -366,6 +442,36 @@ def test_html(spark):
     assert html_main.main_text(pages.where("false"), html_main.learn(pages.where("false"))).count() == 0
 
 
+def test_html_keeps_what_belongs_to_the_article(spark):
+    page = "<body><nav>menu items</nav><article>%s</article><footer>foot</footer></body>"
+    running = "some running text of the page. " * 12
+    cases = [
+        (page % "<p title=don't>Hello there my friend</p><p>this isn't gone</p>", "Hello there my friend this isn't gone"),
+        (page % "<p>Short opening line.</p><div class='ad'>Buy now</div><p>and the rest of it</p>", "Short opening line. and the rest of it"),
+        (page % f"<p>Intro here</p><section class='related-work'><h2>Related work</h2><p>{running}</p></section><p>end</p>", f"Intro here Related work {running}end"),
+        (page % "<p>Hello <span class='ad'>buy this</span> world</p>", "Hello world"),
+        (page % "<h1>T</h1><div><div><ul><li>one</li><li>two</li></ul></div></div>", "T one two"),
+        (page % f"<p>text of it</p><div class='comments'><p>{running}</p></div>", "text of it"),
+        (f"<div class='site has-sidebar'><p>{running}</p><div class='sidebar'><p>side</p></div></div>", running.strip()),
+        (f"<form id=aspnetForm><p>{running}</p><label>Name</label></form>", running.strip()),
+        ("<p>no end of a tag <a", "no end of a tag <a"),
+    ]
+    weights = html_main.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    for source, want in cases:
+        assert html_main.extract(source, weights) == want
+    for deep in ("<div>" * 20000 + "x", '<a ="\'' * 20000, "<" * 100000):
+        html_main.extract(deep, weights)
+
+
+def test_best_run():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        scores = rng.normal(size=rng.integers(0, 12)).tolist()
+        lo, hi = html_main.best_run(scores)
+        want = max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0.0)
+        assert sum(scores[lo:hi]) == pytest.approx(max(want, 0.0))
+
+
 def test_html_of_all_marked_pages(spark):
     import html
 
