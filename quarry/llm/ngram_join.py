@@ -41,6 +41,8 @@ from quarry.operators.graph import components
 
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 4
+#: Documents whose grams are counted beforehand, and the part of them, one in so many, that makes a gram common.
+PROBE, COMMON = 20_000, 1000
 #: Documents compared with one pivot in one task, about.
 DEAL = 1000
 #: For each round of pivots, the Jaccard distance up to which differences from the pivot are joined. Documents whose
@@ -80,7 +82,7 @@ def shared_least(n: np.ndarray | int, percent: int):
 
 def extra(n: int, percent: int) -> int:
     """By how much the prefix is extended for a set of n grams; doesn't fall with n."""
-    return min(shared_least(n, percent), n // 40 + 3)
+    return min(shared_least(n, percent), n // 16 + 4)
 
 
 def describe(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -159,8 +161,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     # a set that differs from an equally large or larger one by a single gram is the smallest that can link
     least = next(k for k in range(1, 101) if 100 * k >= percent * (k + 1))
     able = reps.where(F.col("size") >= least).select("row", "doc", "size")
-    grams = join_ids(described.select("row", "prefix"), able, "row", able.count()).select("doc", F.col("size").cast("int").alias("size"), F.explode("prefix").alias("gram"))
-    blocks = stored(_blocks(grams, percent), "blocks", paths)
+    prefixes = join_ids(described.select("row", "prefix"), able, "row", able.count()).select("doc", F.col("size").cast("int").alias("size"), "prefix")
+    blocks = stored(_blocks(prefixes, percent), "blocks", paths)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     members = cut(blocks.select("doc").distinct().join(reps.select("doc", "d1"), "doc"))
     parts = _fragments(join_ids(texts, members, "doc", members.count()), n)
@@ -188,7 +190,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         blocks = far.select("gram", "doc", "size")
         if not blocks.limit(1).count():
             break
-    left = cut(_far_pairs(far, percent))
+    left = cut(_far_pairs(far, parts, percent))
     links = cut(functools.reduce(DataFrame.union, (pairs for pairs, _ in compared)).where("linked").select("a", "b").distinct())
     labels = components(links).withColumnRenamed("node", "doc")
     rest = cut(functools.reduce(DataFrame.union, (_by_differences(pairs, fragments, labels, percent, paths) for pairs, fragments in compared), left).distinct())
@@ -202,29 +204,52 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     return described.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(F.col("doc_id").alias(id_col), "n_shingles", alone.alias("component_id"))
 
 
-def _blocks(grams: DataFrame, percent: int) -> DataFrame:
-    """Prefix grams that two or more documents have, less each document's e - 1 most frequent ones, where e is what its
-    smallest partner shares with it."""
-    counts = cut(grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1"))
+def _blocks(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(gram, doc, size): prefix grams that two or more documents have, less each document's e - 1 most frequent ones,
+    where e is what its smallest partner shares with it.
+
+    Rows are shuffled by gram once, and counted there. Grams that are frequent in PROBE documents, which are fewer than
+    COMMON for each place in a prefix, don't take part: their counts are combined before the shuffle and broadcast."""
+    grams = prefixes.select("doc", "size", F.explode("prefix").alias("gram"))
+    docs = prefixes.count()
+    probe = prefixes.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, docs // PROBE))) == 0)
+    common = grams.sparkSession.createDataFrame([], "gram long")
+    n = probe.count()
+    if n:
+        common = cut(probe.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where((F.col("n") * COMMON > n) & (F.col("n") > 8)).select("gram"))
+    often = cut(grams.join(F.broadcast(common), "gram").groupBy("gram").agg(F.count("*").alias("docs")))
+    counted = grams.join(F.broadcast(often), "gram").select("gram", "doc", "size", "docs")
+    rest = grams.join(F.broadcast(common), "gram", "left_anti").withColumn("docs", F.count("*").over(W.partitionBy("gram"))).where("docs > 1")
     partner = f"((size * {percent} + 99) div 100)"
-    keep = F.expr(f"least(({partner} * {percent} + 99) div 100, {partner} div 40 + 3)")
-    rows = join_counted(grams, counts, "gram", "docs", counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0])
+    keep = F.expr(f"least(({partner} * {percent} + 99) div 100, {partner} div 16 + 4)")
     w = W.partitionBy("doc")
+    rows = counted.union(rest.select("gram", "doc", "size", "docs")).where("docs > 1")
     ranked = rows.select("*", F.row_number().over(w.orderBy("docs", "gram")).alias("rank"), F.count("*").over(w).alias("kept"))
     return ranked.where(F.col("rank") <= F.col("kept") - keep + 1).select("gram", "doc", "size")
 
 
-def _far_pairs(far: DataFrame, percent: int) -> DataFrame:
-    """Pairs of what is far from every pivot: documents that share a rare gram, of like sizes and distances to their
-    last pivot. Sizes are cut into bands such that like sizes are in the same band or the next."""
+def _far_pairs(far: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of what is far from every pivot. Of these documents, which are few, the prefixes are cut again from the
+    stored fragments, extended by half of what linked sets share, and each loses as many of its most frequent grams but
+    one. So documents that have no more than boilerplate in common, up to a third of each, make no pair. Sizes are cut
+    into bands such that like sizes are in the same band or the next."""
+    docs = cut(far.select("doc", "size").distinct())
+    least = f"((size * {percent} + 99) div 100)"
+    whole = join_ids(parts, docs, "doc", docs.count()).groupBy("doc", "size").agg(F.array_sort(F.collect_list(F.struct("fragment", "grams"))).alias("f"))
+    prefix = F.slice(F.flatten(F.transform("f", lambda x: x["grams"])), F.lit(1), F.expr(f"size - {least} + ({least} + 1) div 2"))
+    grams = cut(whole.select("doc", "size", F.explode(prefix).alias("gram")))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("docs")).where("docs > 1")
+    w = W.partitionBy("doc")
+    rows = join_counted(grams, cut(counts), "gram", "docs", grams.count())
+    rows = rows.select("*", F.row_number().over(w.orderBy("docs", "gram")).alias("rank"), F.count("*").over(w).alias("kept"))
+    rows = rows.where(F.expr(f"rank <= kept - (({least} * {percent} + 99) div 100 + 1) div 2 + 1"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    rows = far.withColumn("band", band)
+    rows = cut(rows.select("gram", "doc", "size", band.alias("band")))
     one = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    one = one.select("gram", "band", *(F.col(c).alias(f"{c}_a") for c in ("doc", "size", "distance")))
-    other = rows.select("gram", "band", *(F.col(c).alias(f"{c}_b") for c in ("doc", "size", "distance")))
+    one = one.select("gram", "band", F.col("doc").alias("doc_a"), F.col("size").alias("size_a"))
+    other = rows.select("gram", "band", F.col("doc").alias("doc_b"), F.col("size").alias("size_b"))
     fits = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
-    near = F.coalesce(F.abs(F.col("distance_a") - F.col("distance_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    both = one.join(other, ["gram", "band"]).where((F.col("doc_a") != F.col("doc_b")) & fits & near)
+    both = one.join(other, ["gram", "band"]).where((F.col("doc_a") != F.col("doc_b")) & fits)
     first = F.col("doc_a") < F.col("doc_b")
     sides = (("a", F.least("doc_a", "doc_b")), ("b", F.greatest("doc_a", "doc_b")), ("size_a", F.when(first, F.col("size_a")).otherwise(F.col("size_b"))), ("size_b", F.when(first, F.col("size_b")).otherwise(F.col("size_a"))))
     return both.select(*(c.alias(name) for name, c in sides)).distinct()
