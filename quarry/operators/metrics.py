@@ -71,3 +71,12 @@ def ranking(iptm: Column, ptm: Column, disorder: Column, clash: Column, weights:
     """Weighted sum of scores; the clash weight is negative and subtracted, as in the published setting."""
     a, b, c, d = weights
     return a * iptm + b * ptm + c * disorder - d * clash
+
+
+def aligned_scores(pairs: DataFrame, structure: str, row: str, size: str, error: str, by: list[str]) -> DataFrame:
+    """(structure, *by, score): template modelling scores from expected errors of pairs (structure, row, error, and the
+    structure's size): for each residue the mean over its partners, for each group the best residue. ``by`` splits the
+    pairs, such as into chain and partner's chain for scores between chains."""
+    term = 1 / (1 + F.pow(F.col(error) / tm_scale(F.col(size)), F.lit(2.0)))
+    rows = pairs.groupBy(structure, *by, row).agg(F.avg(term).alias("__mean"))
+    return rows.groupBy(structure, *by).agg(F.max("__mean").alias("score"))

@@ -49,16 +49,36 @@ def gpde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("label", contact.alias("c"), error.alias("e")).groupBy("label").agg(F.round(F.sum(F.col("c") * F.col("e")) / (F.sum("c") + 1e-8), 6).alias("gpde"))
 
 
+def _residue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an order's lines as residues: expected error and distances, chains (by supplier) and types."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("row"), (F.col("l_suppkey") % 3).alias("chain"), F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").alias("price"), "l_quantity")
+    sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    rows = lines.join(sizes, "l_orderkey")
+    other = lines.select("l_orderkey", *(F.col(c).alias(f"{c}_2") for c in ("row", "chain", "kind", "price", "l_quantity")))
+    both = rows.join(other, "l_orderkey").where("row <> row_2")
+    return both.withColumns({"error": F.abs(F.col("price") - F.col("price_2")) / 1000, "true": F.abs(F.col("price") - F.col("price_2")) / 4000, "made": F.abs(F.col("l_quantity") - F.col("l_quantity_2")) / 2})
+
+
 def chain_pair_iptm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetric table of mean scores between chains (cosine of label means), with each chain's mean over the others."""
-    v = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 7).alias("chain"), *(F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(3)))
-    m = v.groupBy("chain").agg(*(F.avg(f"e{i}").alias(f"m{i}") for i in range(3)))
-    other = m.select(F.col("chain").alias("other"), *(F.col(f"m{i}").alias(f"o{i}") for i in range(3)))
-    both = m.join(other, F.col("chain") != F.col("other")).withColumn("score", 1 / (1 + sum(((F.col(f"m{i}") - F.col(f"o{i}")) ** 2 for i in range(3)), F.lit(0.0))))
-    mean = both.groupBy("chain").agg(F.avg("score").alias("chain_mean"))
-    back = mean.select(F.col("chain").alias("other"), F.col("chain_mean").alias("other_mean"))
-    out = both.join(mean, "chain").join(back, "other")
-    return out.select("chain", "other", F.round("score", 6).alias("score"), F.round(F.when(F.col("chain") == 6, F.col("chain_mean")).otherwise((F.col("chain_mean") + F.col("other_mean")) / 2), 6).alias("bespoke"))
+    """Score between each chain and each other one of a structure: its best residue's mean over the other chain."""
+    pairs = _residue_pairs(spark, sf_dir).where("chain <> chain_2")
+    return metrics.aligned_scores(pairs, "l_orderkey", "row", "n", "error", ["chain", "chain_2"]).withColumn("score", F.round("score", 6))
+
+
+def structure_ptm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole structures, and of their chains alone and against all others."""
+    pairs = _residue_pairs(spark, sf_dir)
+    of = lambda rows, by, name: metrics.aligned_scores(rows, "l_orderkey", "row", "n", "error", by).select("l_orderkey", (F.col("chain") if by else F.lit(-1)).cast("bigint").alias("chain"), F.lit(name).alias("kind"), F.round("score", 6).alias("score"))
+    return of(pairs, [], "ptm").union(of(pairs.where("chain <> chain_2"), [], "iptm")).union(of(pairs.where("chain = chain_2"), ["chain"], "chain_ptm")).union(of(pairs.where("chain <> chain_2"), ["chain"], "chain_iptm"))
+
+
+def typed_lddt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance tests by the types of both residues, within chains and between them, with clashes."""
+    pairs = _residue_pairs(spark, sf_dir).withColumn("between", F.col("chain") != F.col("chain_2"))
+    return pairs.groupBy("kind", "kind_2", "between").agg(
+        F.count("*").alias("pairs"), F.round(metrics.lddt(F.col("true"), F.col("made"), 15.0), 6).alias("lddt"), F.round(metrics.drmsd(F.col("true"), F.col("made")), 6).alias("drmsd"),
+        F.round(metrics.steric_clash(F.col("made"), 1.1), 6).alias("clash"),
+    )
 
 
 def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +101,10 @@ def sample_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = "p AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) * 10 AS e{i}" for i in range(6)) + " FROM embeddings)"
 _SOFT = """l AS (SELECT vec_id, label, vec_id % 7 AS chain, i - 1 AS i, exp(CAST(embedding[10 + i] AS DOUBLE)) AS x FROM embeddings, range(1, 9) r(i)),
         s AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p, count(*) OVER (PARTITION BY label) / 8 AS n FROM l)"""
+_PAIRS = """a AS (SELECT l_orderkey AS k, md5(concat_ws('|', l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS row, l_suppkey % 3 AS chain, l_returnflag AS kind, l_extendedprice AS x, l_quantity AS q, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+        p AS (SELECT a.k, a.row, a.chain, b.chain AS c2, a.kind, b.kind AS k2, abs(a.x - b.x) / 4000 AS t, abs(a.q - b.q) / 2 AS m, 1 / (1 + pow(abs(a.x - b.x) / 1000 / (1.24 * pow(greatest(a.n, 19) - 15, CAST(1 AS DOUBLE) / 3) - 1.8), 2)) AS score FROM a JOIN a b ON a.k = b.k AND a.row <> b.row)"""
 _SHARE = lambda cuts: "round((" + " + ".join(f"avg(CASE WHEN d <= {c} THEN 1 ELSE 0 END)" for c in cuts) + f") / {len(cuts)}, 6)"
-NAMES = "lddt_gdt_rmsd ptm_scores gpde chain_pair_iptm model_selection sample_ranking".split()
+NAMES = "lddt_gdt_rmsd ptm_scores gpde chain_pair_iptm structure_ptm typed_lddt model_selection sample_ranking".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 ORACLE_SQL = {
     "lddt_gdt_rmsd": f"""
@@ -99,11 +121,15 @@ ORACLE_SQL = {
     "gpde": f"""
         WITH {_SOFT}, t AS (SELECT label, vec_id, sum(p) FILTER (i < 2) AS c, sum(p * (i + 0.5) * 4) AS e FROM s GROUP BY 1, 2)
         SELECT label, round(sum(c * e) / (sum(c) + 1e-8), 6) AS gpde FROM t GROUP BY 1""",
-    "chain_pair_iptm": """
-        WITH m AS (SELECT vec_id % 7 AS chain, avg(CAST(embedding[1] AS DOUBLE)) AS a, avg(CAST(embedding[2] AS DOUBLE)) AS b, avg(CAST(embedding[3] AS DOUBLE)) AS c FROM embeddings GROUP BY 1),
-        s AS (SELECT x.chain, y.chain AS other, 1 / (1 + (x.a-y.a)*(x.a-y.a) + (x.b-y.b)*(x.b-y.b) + (x.c-y.c)*(x.c-y.c)) AS score FROM m x JOIN m y ON x.chain <> y.chain),
-        n AS (SELECT chain, avg(score) AS mean FROM s GROUP BY 1)
-        SELECT s.chain, s.other, round(score, 6) AS score, round(CASE WHEN s.chain = 6 THEN n.mean ELSE (n.mean + o.mean) / 2 END, 6) AS bespoke FROM s JOIN n ON n.chain = s.chain JOIN n o ON o.chain = s.other""",
+    "chain_pair_iptm": f"WITH {_PAIRS}, r AS (SELECT k, chain, c2, row, avg(score) AS m FROM p WHERE chain <> c2 GROUP BY ALL) SELECT k AS l_orderkey, chain, c2 AS chain_2, round(max(m), 6) AS score FROM r GROUP BY ALL",
+    "structure_ptm": f"""
+        WITH {_PAIRS}, ga AS (SELECT k, row, avg(score) AS m FROM p GROUP BY ALL), gb AS (SELECT k, row, avg(score) AS m FROM p WHERE chain <> c2 GROUP BY ALL),
+        gc AS (SELECT k, chain, row, avg(score) AS m FROM p WHERE chain = c2 GROUP BY ALL), gd AS (SELECT k, chain, row, avg(score) AS m FROM p WHERE chain <> c2 GROUP BY ALL)
+        SELECT k AS l_orderkey, CAST(-1 AS BIGINT) AS chain, 'ptm' AS kind, round(max(m), 6) AS score FROM ga GROUP BY k UNION ALL SELECT k, -1, 'iptm', round(max(m), 6) FROM gb GROUP BY k
+        UNION ALL SELECT k, chain, 'chain_ptm', round(max(m), 6) FROM gc GROUP BY k, chain UNION ALL SELECT k, chain, 'chain_iptm', round(max(m), 6) FROM gd GROUP BY k, chain""",
+    "typed_lddt": f"""
+        WITH {_PAIRS} SELECT kind, k2 AS kind_2, chain <> c2 AS between, count(*) AS pairs, round(avg(CASE WHEN t < 15 THEN ((abs(t - m) < 0.5)::INT + (abs(t - m) < 1)::INT + (abs(t - m) < 2)::INT + (abs(t - m) < 4)::INT) / 4 END), 6) AS lddt,
+            round(sqrt(avg((t - m) * (t - m))), 6) AS drmsd, round(avg(greatest(0, 1.1 - m) / 1.1), 6) AS clash FROM p GROUP BY 1, 2, 3""",
     "model_selection": """
         SELECT l_partkey, round(0.5 * (arg_min(l_discount, ROW(l_tax, l_orderkey, l_linenumber, l_suppkey)) + max(l_discount)), 6) AS selection FROM lineitem GROUP BY 1""",
     "sample_ranking": """

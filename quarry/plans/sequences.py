@@ -10,8 +10,6 @@ from quarry.functions import sequences as fs
 from quarry.operators import sequence
 from quarry.sources.tables import read_table
 
-LENGTH = 60
-
 
 def running_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: runs of equal event types are one token, but each purchase is its own."""
@@ -33,15 +31,16 @@ def sym_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").where("length(text) > 0")
-    return sequence.profile(docs, ["lang"], F.lower(F.substring("text", 1, 24))).withColumn("share", F.round("share", 8))
+    return sequence.profile(docs, ["lang"], F.lower("text")).withColumn("share", F.round("share", 8))
 
 
 def identity_coverage_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity and coverage of each text's start to that of its language's first text; best first."""
-    gapped = F.regexp_replace(F.rpad(F.substring("text", 1, LENGTH), LENGTH, "-"), r"[ \n]", "-")
+    """Identity and coverage of each text to its language's first text, letter by letter; best first."""
+    gapped = F.regexp_replace("text", r"[ \n]", "-")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", gapped.alias("s"))
     query = docs.groupBy("lang").agg(F.min_by("s", "doc_id").alias("q"))
-    identity, coverage = fs.identity_and_coverage(F.col("q"), F.col("s"))
+    n = F.greatest(F.length("q"), F.length("s"))
+    identity, coverage = fs.identity_and_coverage(F.rpad("q", n, "-"), F.rpad("s", n, "-"))
     rows = docs.join(query, "lang").select("doc_id", "lang", F.round(identity, 6).alias("identity"), F.round(coverage, 6).alias("coverage"))
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("identity"), "doc_id")).cast("bigint"))
 
@@ -54,7 +53,7 @@ def species_pairing_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def main_minus_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the main sources, in order of source, that equal no paired row of their group."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring("text", 1, LENGTH).alias("s"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("text").alias("s"))
     paired = docs.where("source IN ('src0', 'src1', 'src2')").select("lang", "s").distinct()
     main = docs.where("source NOT IN ('src0', 'src1', 'src2')").join(paired, ["lang", "s"], "left_anti")
     return main.withColumn("row_idx", F.row_number().over(W.partitionBy("lang").orderBy("source", "doc_id")).cast("bigint")).select("doc_id", "lang", "row_idx")
@@ -109,13 +108,13 @@ ORACLE_SQL = {
     "uniquify_ids": "SELECT event_id, event_type || '_' || row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS unique_id FROM events",
     "sym_id": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS sym_id FROM lineitem",
     "residue_profile": """
-        WITH t AS (SELECT lang, lower(substr(text, 1, 24)) AS s, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE length(text) > 0),
-        c AS (SELECT lang, n, i - 1 AS "column", substr(s, CAST(i AS INT), 1) AS residue FROM t, range(1, 25) r(i) WHERE i <= length(s))
+        WITH t AS (SELECT lang, lower(text) AS s, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE length(text) > 0),
+        c AS (SELECT lang, n, i - 1 AS "column", substr(s, CAST(i AS INT), 1) AS residue FROM t, LATERAL (SELECT unnest(range(1, length(s) + 1)) AS i))
         SELECT lang, "column", residue, round(count(*) / any_value(n), 8) AS share FROM c GROUP BY 1, 2, 3""",
     "identity_coverage_sort": f"""
-        WITH d AS (SELECT doc_id, lang, regexp_replace(rpad(substr(text, 1, {LENGTH}), {LENGTH}, '-'), '[ \\n]', '-', 'g') AS s FROM documents),
+        WITH d AS (SELECT doc_id, lang, regexp_replace(text, '[ \\n]', '-', 'g') AS s FROM documents),
         q AS (SELECT lang, arg_min(s, doc_id) AS q FROM d GROUP BY 1),
-        c AS (SELECT doc_id, lang, substr(q, CAST(i AS INT), 1) AS a, substr(s, CAST(i AS INT), 1) AS b FROM d JOIN q USING (lang), range(1, {LENGTH + 1}) r(i)),
+        c AS (SELECT doc_id, lang, coalesce(nullif(substr(q, CAST(i AS INT), 1), ''), '-') AS a, coalesce(nullif(substr(s, CAST(i AS INT), 1), ''), '-') AS b FROM d JOIN q USING (lang), LATERAL (SELECT unnest(range(1, greatest(length(q), length(s)) + 1)) AS i)),
         m AS (SELECT doc_id, lang, round(count(*) FILTER (a = b AND a <> '-') / count(*) FILTER (a <> '-'), 6) AS identity, round(count(*) FILTER (a <> '-' AND b <> '-') / count(*) FILTER (a <> '-'), 6) AS coverage FROM c GROUP BY 1, 2)
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY identity DESC, doc_id) AS rank FROM m""",
     "species_pairing_level": """
@@ -123,7 +122,7 @@ ORACLE_SQL = {
         l AS (SELECT *, count(*) OVER (PARTITION BY user_id, k) AS level, max(c) OVER (PARTITION BY user_id) AS m FROM n)
         SELECT event_id, user_id, event_type, k, level FROM l WHERE level BETWEEN 2 AND 5 AND m <= 600""",
     "main_minus_paired": f"""
-        WITH d AS (SELECT doc_id, lang, source, substr(text, 1, {LENGTH}) AS s FROM documents)
+        WITH d AS (SELECT doc_id, lang, source, text AS s FROM documents)
         SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS row_idx FROM d
         WHERE source NOT IN ('src0', 'src1', 'src2') AND NOT EXISTS (SELECT 1 FROM d p WHERE p.source IN ('src0', 'src1', 'src2') AND p.lang = d.lang AND p.s = d.s)""",
     "header_split": "SELECT page_id, CAST(len(f) AS BIGINT) AS n_fields, coalesce(f[4], '') AS fourth FROM (SELECT page_id, string_split_regex(url, '[|_/:-]') AS f FROM pages)",

@@ -72,7 +72,7 @@ def pair_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric list of pairs of nations that trade (customer and supplier of a line), each both ways."""
     c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    lines = read_table(spark, sf_dir, "lineitem").where("l_quantity >= 50").join(read_table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    lines = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     p = lines.join(c, "o_custkey").join(s, "l_suppkey").select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
     return p.union(p.select("b", "a")).distinct()
 
@@ -165,7 +165,7 @@ ORACLE_SQL = {
         WITH {_ATOMS} SELECT a.label, CAST(greatest(0, least(10, ceil(({_D} - CAST(0.05 AS DOUBLE)) / ((CAST(0.95 AS DOUBLE) - CAST(0.05 AS DOUBLE)) / 9)))) AS BIGINT) AS bin, count(*) AS n
         FROM atoms a JOIN atoms b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2""",
     "pair_mask": """
-        WITH p AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50)
+        WITH p AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
         SELECT a, b FROM p UNION SELECT b, a FROM p""",
     "loss_weights": f"SELECT {_K}, CAST(CASE WHEN l_quantity = 7 THEN 0 WHEN l_quantity = 9 THEN 1 WHEN l_quantity / 10 < 0.1 OR l_quantity / 10 > 4.0 THEN 0 ELSE 1 END AS DOUBLE) AS weight FROM lineitem",
     "msa_stack": """

@@ -198,3 +198,36 @@ def test_streams(spark, tmp_path):
     assert events.remaining(spark.range(25).select(F.col("id").cast("int").alias("event_id")), done, ["event_id"]).count() == 5
     counts = events.windowed_counts(table.withColumn("k", F.lit("a")), ["k"], "30 minutes").collect()
     assert sorted(r.n for r in counts) == [30, 30]
+
+
+def test_components_of_a_table_against_a_plain_search(spark):
+    from quarry.operators.graph import components
+
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b]
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        if node not in want:
+            todo = [node]
+            while todo:
+                x = todo.pop()
+                if x not in want:
+                    want[x] = node
+                    todo += near[x]
+    assert {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_record_functions(spark):
+    from quarry.functions import records
+
+    rows = spark.createDataFrame([("AC-DE", "ABxC-", "A.12-B.7;A.13-B.9", "?", ".", "2.1"), ("A", "-", None, None, "1.5", "9")], "q string, h string, c string, r1 string, r2 string, r3 string")
+    got = rows.select(
+        records.insertions_lowered(F.col("q"), F.col("h")).alias("a3m"), records.contacts(F.col("c")).alias("c"), records.first_number(F.col("r1"), F.col("r2"), F.col("r3")).alias("n"),
+        records.released_before(F.lit("2020-01-01"), F.lit("2020-01-01")).alias("strict"), records.released_before(F.lit("2020-01-01"), F.lit("2020-01-01"), False).alias("loose"),
+    ).collect()
+    assert [r.a3m for r in got] == ["ABxC-", "-"] and [r.n for r in got] == [2.1, 1.5] and (got[0].strict, got[0].loose) == (False, True)
+    assert [tuple(x) for x in got[0].c] == [("A", 12, "B", 7), ("A", 13, "B", 9)] and got[1].c == []
