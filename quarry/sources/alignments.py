@@ -130,6 +130,45 @@ def hit_header(header: str) -> tuple[str, str, int, int] | None:
     return (m["entry"], m["chain"], int(m["start"]), int(m["end"])) if m else None
 
 
+HIT_SCHEMA = "file string, index int, entry_id string, chain_id string, start int, query string, aligned string"
+#: The description of a sequence in a Stockholm file, by its name.
+STOCKHOLM_DESCRIPTION = re.compile(r"^#=GS\s+(\S+)\s+DE\s+(.*)$", re.MULTILINE)
+
+
+def template_records(file: str, text: str) -> list[tuple[str, str, str]]:
+    """(name, description, row as A3M) of an alignment of templates, the query first."""
+    if file.endswith(".a3m"):
+        return [(h.split(" ")[0], h, s) for h, s in records(text)]
+    described = dict(STOCKHOLM_DESCRIPTION.findall(text))
+    rows = stockholm_rows(text)
+    query = rows[0][1] if rows else ""
+    lowered = lambda row: "".join(c if q not in "-." else c.lower() for q, c in zip(query, row, strict=True) if q not in "-." or c not in "-.")
+    return [(name, described.get(name, ""), lowered(row)) for name, row in rows]
+
+
+def read_template_hits(spark: SparkSession, path: str | list[str], max_hits: int | None = None) -> DataFrame:
+    """(file, index, entry_id, chain_id, start, query, aligned) of the templates in A3M and Stockholm files, by extension.
+
+    Row 0 is the query, whose residues start at 1, and doesn't count as a hit. Insertions are lower-case letters, ``query``
+    is the aligned query of the file. Hits are named like ``1abc_A/5-80``; a name without residues or a description
+    without ``mol:protein`` raises, as the alignment would have to be made anew. Other files and empty ones give no rows;
+    M8 tables have a reader of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+                found = template_records(file, text) if file.endswith((".a3m", ".sto")) else []
+                for i, (name, description, row) in enumerate(found[: None if max_hits is None else max_hits + 1]):
+                    at = hit_header(name) if i else (name.split("/")[0].partition("_")[0], name.split("/")[0].partition("_")[2] or "1", 1, 0)
+                    if at is None or (i and "mol:protein" not in description):
+                        raise ValueError(f"{file}: {name} has no residues or is no protein")
+                    rows.append((file, i, at[0], at[1], at[2], found[0][2], row))
+            yield pd.DataFrame(rows, columns=["file", "index", "entry_id", "chain_id", "start", "query", "aligned"])
+
+    return _whole(spark, path).mapInPandas(run, HIT_SCHEMA)
+
+
 def write_fasta(rows: DataFrame, path: str, header: str = "header", sequence: str = "sequence") -> None:
     """Two lines per record, in order of header."""
     rows.orderBy(header).select(F.concat(F.lit(">"), F.col(header), F.lit("\n"), F.col(sequence)).alias("value")).write.text(path)
