@@ -9,20 +9,23 @@ from pyspark.sql import Window as W
 from quarry.operators.durable import cut
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: Column) -> tuple[DataFrame, DataFrame]:
+def prefix_sum(df: DataFrame, order: list[str], value: Column, running: str = "running", part: str = "part") -> tuple[DataFrame, DataFrame]:
     """Rows with ``running`` (the inclusive total up to them, by ``order``, which must be unique) and ``part``, and the
-    range [since, until) of each part. Rows are dealt by range of the order; only the parts' sums meet in one place."""
-    dealt = cut(df.withColumn("__v", value).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sums = dealt.groupBy("part").agg(F.sum("__v").alias("__s"))
-    until = F.sum("__s").over(W.orderBy("part"))  # as many rows as partitions
-    parts = cut(sums.select("part", (until - F.col("__s")).alias("since"), until.alias("until")))
-    inner = F.sum("__v").over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return dealt.withColumn("__i", inner).join(F.broadcast(parts.select("part", "since")), "part").withColumn("running", F.col("since") + F.col("__i")).drop("__v", "__i", "since"), parts
+    range [since, until) of each part. Rows are dealt by range of the order; only the parts' sums meet in one place. The
+    names of the two new columns must not be those of columns given."""
+    dealt = cut(df.withColumn("__v", value).repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(part).agg(F.sum("__v").alias("__s"))
+    until = F.sum("__s").over(W.orderBy(part))  # as many rows as partitions
+    parts = cut(sums.select(part, (until - F.col("__s")).alias("since"), until.alias("until")))
+    inner = F.sum("__v").over(W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    before = F.broadcast(parts.select(part, F.col("since").alias("__since")))
+    return dealt.withColumn("__i", inner).join(before, part).withColumn(running, F.col("__since") + F.col("__i")).drop("__v", "__i", "__since"), parts
 
 
 def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``position``, from 0, by a unique order."""
-    return prefix_sum(df, order, F.lit(1).cast("long"))[0].withColumn("position", F.col("running") - 1).drop("part", "running")
+    numbered = prefix_sum(df, order, F.lit(1).cast("long"), "__running", "__part")[0]
+    return numbered.withColumn("position", F.col("__running") - 1).drop("__part", "__running")
 
 
 def cyclic(df: DataFrame, order: list[str], cursor: int, count: int) -> DataFrame:

@@ -29,12 +29,12 @@ def clusters_then_members(df: DataFrame, kind: str, cluster: str, quota: Column,
 def by_weight(df: DataFrame, weight: str, order: list[str], draws: int, step: int) -> DataFrame:
     """``draws`` rows with replacement, in proportion to whole-number weights: point i * step modulo the total falls
     into the row whose running total covers it. Points meet rows by partition, so neither side is gathered."""
-    running, parts = prefix_sum(df.where(F.col(weight) > 0), order, F.col(weight).cast("long"))
+    running, parts = prefix_sum(df.where(F.col(weight) > 0), order, F.col(weight).cast("long"), "__running", "__part")
     total = parts.agg(F.max("until")).first()[0] or 0
     if not total:
         return df.limit(0).withColumn("draw", F.lit(0).cast("long"))
     points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.col("id") * step % total).alias("point"))
     # parts: few rows, one for each partition
-    placed = points.join(F.broadcast(parts), (F.col("point") >= F.col("since")) & (F.col("point") < F.col("until"))).select("draw", "point", "part")
-    hit = (F.col("point") >= F.col("running") - F.col(weight)) & (F.col("point") < F.col("running"))
-    return running.join(placed, "part").where(hit).drop("part", "point", "running")
+    placed = points.join(F.broadcast(parts), (F.col("point") >= F.col("since")) & (F.col("point") < F.col("until"))).select(F.col("draw").alias("__draw"), F.col("point").alias("__point"), "__part")
+    hit = (F.col("__point") >= F.col("__running") - F.col(weight)) & (F.col("__point") < F.col("__running"))
+    return running.join(placed, "__part").where(hit).withColumn("draw", F.col("__draw")).drop("__part", "__point", "__running", "__draw")
