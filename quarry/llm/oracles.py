@@ -44,4 +44,13 @@ ORACLE_SQL = {
             coalesce(dups, 0) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM d LEFT JOIN b USING (k) LEFT JOIN r USING (k))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
             NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars <= 0.5 * word_chars AS kept, lost_chars FROM m""",
+    "op13_fill_middle": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS s, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        n AS (SELECT *, len(s) - CASE WHEN s[-1] = '' THEN 1 ELSE 0 END AS n FROM d),
+        c AS (SELECT *, least(('0x' || substr(h, 1, 8))::UBIGINT % (n + 1), ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1))::BIGINT AS lo, greatest(('0x' || substr(h, 1, 8))::UBIGINT % (n + 1), ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1))::BIGINT AS hi,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::UBIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+        e AS (SELECT *, CASE WHEN lo = n THEN t WHEN lo = 0 THEN '' ELSE array_to_string(s[:lo], chr(10)) || chr(10) END AS p, CASE WHEN hi = n THEN t WHEN hi = 0 THEN '' ELSE array_to_string(s[:hi], chr(10)) || chr(10) END AS q FROM c),
+        f AS (SELECT *, substr(q, length(p) + 1) AS m, substr(t, length(q) + 1) AS x FROM e)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""",
 }

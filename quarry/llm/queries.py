@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
+from quarry.llm import fill_middle, html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
 from quarry.llm._session import read_table
 from quarry.llm.oracles import ORACLE_SQL
 
@@ -90,6 +90,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and digests of every row of ``documents``, cut at lines, and of the text rebuilt from each output. Null and empty
+    texts, and those with a mark, stay plain; very long ones are cut whole; repeated rows alike; an empty table gives none."""
+    made = fill_middle.fill_in_middle(read_table(spark, sf_dir, "documents"), units="lines", percent=100, spm_percent=50, seed=7)
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_packing": op2_packing,
@@ -101,6 +109,7 @@ QUERIES = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_template_decontam": op9_template_decontam,
     "op10_quality_rules": op10_quality_rules,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
