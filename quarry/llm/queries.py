@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fill_middle, html_main, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
+from quarry.llm import fill_middle, html_main, importance_tries, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
 from quarry.llm._session import read_table
 from quarry.llm.oracles import ORACLE_SQL
 
@@ -90,6 +90,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op12_importance_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights and scores of every row of ``documents`` against ``benchmark``, and the ranks of a tenth drawn of those with 20
+    words. Null and empty texts weigh 0 and are not drawn; very long ones are walked whole; equal scores go to the smaller
+    id; repeated rows are scored each; an empty table gives none."""
+    docs, target = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    drawn = importance_tries.resample(docs, target, n=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and digests of every row of ``documents``, cut at lines, and of the text rebuilt from each output. Null and empty
     texts, and those with a mark, stay plain; very long ones are cut whole; repeated rows alike; an empty table gives none."""
@@ -109,6 +118,7 @@ QUERIES = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_template_decontam": op9_template_decontam,
     "op10_quality_rules": op10_quality_rules,
+    "op12_importance_tries": op12_importance_tries,
     "op13_fill_middle": op13_fill_middle,
 }
 
