@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import fill_middle, html_main, importance_tries, line_rules, ngram_join, packing, phrase_dedup, quality_fm, secret_scan, template_decontam, token_counts, url_filters
+from quarry.llm import fill_middle, html_main, importance_tries, line_rules, ngram_join, packing, phrase_dedup, pitman_yor, quality_fm, secret_scan, template_decontam, token_counts, url_filters
 from quarry.llm._session import read_table
 from quarry.llm.oracles import ORACLE_SQL
 
@@ -90,6 +90,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of ``documents`` by the model and by single words. Null and empty texts are the end token; very long
+    ones are scored whole; repeated rows are scored each; an empty table gives none."""
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    scored = pitman_yor.score_texts(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_importance_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights and scores of every row of ``documents`` against ``benchmark``, and the ranks of a tenth drawn of those with 20
     words. Null and empty texts weigh 0 and are not drawn; very long ones are walked whole; equal scores go to the smaller
@@ -118,6 +127,7 @@ QUERIES = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_template_decontam": op9_template_decontam,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_importance_tries": op12_importance_tries,
     "op13_fill_middle": op13_fill_middle,
 }
