@@ -99,19 +99,24 @@ class Machine:
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.04, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Logistic loss, classes weighted alike, by full-batch Adam."""
+    """Logistic loss, classes weighted alike, by full-batch Adam; the batch is gone through in blocks of rows, so the driver
+    holds few numbers besides it."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     params = [np.zeros(1), np.zeros(d), rng.normal(0, 0.05, (d, RANK))]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    x2 = x * x
     for step in range(1, steps + 1):
         b, w, v = params
-        s = x @ v
-        z = b[0] + x @ w + 0.5 * ((s**2).sum(1) - x2 @ (v**2).sum(1))
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grads = [np.array([g.sum()]), x.T @ g + decay * w, x.T @ (g[:, None] * s) - v * (x2.T @ g)[:, None] + decay * v]
+        grads = [np.zeros(1), decay * w, decay * v]
+        for lo in range(0, len(y), 256):
+            part = x[lo : lo + 256].astype(float)
+            part2, s = part * part, part @ v
+            z = b[0] + part @ w + 0.5 * ((s**2).sum(1) - part2 @ (v**2).sum(1))
+            g = weight[lo : lo + 256] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo : lo + 256])
+            grads[0] += g.sum()
+            grads[1] += part.T @ g
+            grads[2] += part.T @ (g[:, None] * s) - v * (part2.T @ g)[:, None]
         for p, m, q, grad in zip(params, means, squares, grads, strict=True):
             m += 0.1 * (grad - m)
             q += 0.001 * (grad**2 - q)
