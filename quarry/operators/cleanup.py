@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.operators.durable import cut
+from quarry.operators.graph import components
+
 #: Names of water, hydrogen and of the types that are polymers.
 WATERS, HYDROGENS, POLYMERS = ("HOH", "DOD"), ("H", "D"), ("PROTEIN", "DNA", "RNA")
 CHAIN, RESIDUE = ["structure", "chain"], ["structure", "chain", "res_id"]
@@ -39,9 +42,9 @@ def is_polymer(mol_type: Column | str = "mol_type") -> Column:
 
 
 def small_polymer_chains(atoms: DataFrame, max_residues: int = 3) -> DataFrame:
-    """Polymer chains of at most so many resolved residues."""
-    resolved = F.count_distinct(F.when(F.col("occupancy") > 0, F.col("res_id")))
-    return atoms.where(is_polymer()).groupBy(*CHAIN).agg(resolved.alias("n")).where(F.col("n") <= max_residues).select(*CHAIN)
+    """Polymer chains of at most so many resolved residues; a chain without any resolved atom isn't judged, and stays."""
+    resolved = atoms.where(is_polymer() & (F.col("occupancy") > 0))
+    return resolved.groupBy(*CHAIN).agg(F.count_distinct("res_id").alias("n")).where(F.col("n") <= max_residues).select(*CHAIN)
 
 
 def unknown_polymer_chains(atoms: DataFrame, unknown: str = "UNK") -> DataFrame:
@@ -50,9 +53,8 @@ def unknown_polymer_chains(atoms: DataFrame, unknown: str = "UNK") -> DataFrame:
 
 
 def small_ligand_chains(atoms: DataFrame, max_atoms: int = 5) -> DataFrame:
-    """Ligand chains of at most so many atoms."""
-    ligands = F.count_if(F.col("mol_type") == "LIGAND")
-    return atoms.groupBy(*CHAIN).agg(F.count("*").alias("n"), ligands.alias("l")).where((F.col("n") == F.col("l")) & (F.col("n") <= max_atoms)).select(*CHAIN)
+    """Chains with ligand atoms, at most so many; what else the chain has isn't counted."""
+    return atoms.where(F.col("mol_type") == "LIGAND").groupBy(*CHAIN).agg(F.count("*").alias("n")).where(F.col("n") <= max_atoms).select(*CHAIN)
 
 
 def small_ligand_mask(atoms: DataFrame, max_atoms: int = 5) -> DataFrame:
@@ -61,13 +63,36 @@ def small_ligand_mask(atoms: DataFrame, max_atoms: int = 5) -> DataFrame:
     return atoms.join(small, CHAIN, "left").withColumn("small_ligand", F.coalesce("__small", F.lit(False))).drop("__small")
 
 
-def drop_chains(atoms: DataFrame, chains: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
-    """Without some chains and, given bonds, without the ligand chains bonded to them."""
-    if bonds is not None:
-        ends = bonded_chains(atoms, bonds)
-        attached = ends.where("type_2 = 'LIGAND'").join(chains, CHAIN, "left_semi").select("structure", F.col("chain_2").alias("chain"))
-        chains = chains.union(attached).distinct()
-    return atoms.join(chains, CHAIN, "left_anti")
+def attached_ligands(atoms: DataFrame, chains: DataFrame, bonds: DataFrame, hetero: Column) -> DataFrame:
+    """(structure, idx): hetero atoms that are connected with the first atom of one of the chains through that chain's atoms
+    and hetero atoms alone, over any number of ligands. A chain that is all hetero has none.
+
+    Hetero atoms are joined to components once; then each chain's atoms and the components beside them are."""
+    marked = atoms.select("structure", "chain", "idx", F.coalesce(hetero, F.lit(False)).alias("hetero"))
+    key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c))
+    both = _ends(marked, bonds, ["chain", "hetero"])
+    ligands = components(both.where("hetero_1 AND hetero_2").select(key("structure", "idx_1").alias("a"), key("structure", "idx_2").alias("b")))
+    nodes = marked.withColumn("node", key("structure", "idx")).join(ligands, "node", "left")
+    nodes = cut(nodes.withColumn("node", F.when(F.col("hetero"), F.concat(F.lit("h"), F.coalesce("component", "node"))).otherwise(F.col("node"))).select("structure", "chain", "idx", "hetero", "node"))
+    part = nodes.groupBy(*CHAIN).agg(F.min_by("node", "idx").alias("start"), F.bool_and("hetero").alias("all")).where("NOT all").join(chains.select(*CHAIN).distinct(), CHAIN, "left_semi")
+    ends = _ends(nodes, bonds, ["chain", "hetero", "node"]).where("node_1 <> node_2")
+    own = lambda n, m: ends.where(f"hetero_{m} OR chain_1 = chain_2").select("structure", F.col(f"chain_{n}").alias("chain"), "node_1", "node_2")
+    near = part.join(own("1", "2").union(own("2", "1")).distinct(), CHAIN)
+    within = lambda c: F.concat_ws("|", F.col("chain").cast("string"), F.col(c))
+    joined = components(near.select(within("node_1").alias("a"), within("node_2").alias("b")))
+    beside = near.select(*CHAIN, "start", F.explode(F.array("node_1", "node_2")).alias("node")).union(part.select(*CHAIN, "start", F.col("start").alias("node"))).distinct()
+    at = lambda c, name: joined.select(F.col("node").alias(f"__{name}"), F.col("component").alias(name))
+    beside = beside.withColumn("__one", within("node")).withColumn("__two", within("start")).join(at("node", "one"), "__one", "left").join(at("start", "two"), "__two", "left")
+    found = beside.where((F.col("node") == F.col("start")) | (F.col("one") == F.col("two"))).where(F.col("node").startswith("h")).select("structure", "node").distinct()
+    return nodes.where("hetero").join(found, ["structure", "node"]).select("structure", "idx")
+
+
+def drop_chains(atoms: DataFrame, chains: DataFrame, bonds: DataFrame | None = None, hetero: Column | None = None) -> DataFrame:
+    """Without some chains and, given bonds, without the ligand atoms connected with them (``hetero``; ligands if not given)."""
+    left = atoms.join(chains, CHAIN, "left_anti")
+    if bonds is None:
+        return left
+    return left.join(attached_ligands(atoms, chains, bonds, F.col("mol_type") == "LIGAND" if hetero is None else hetero), ["structure", "idx"], "left_anti")
 
 
 def _ends(atoms: DataFrame, bonds: DataFrame, columns: list[str]) -> DataFrame:
@@ -104,12 +129,15 @@ def canonical_order(atoms: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.withColumn("__start", start).withColumn("position", F.row_number().over(order)).drop("__start", "place")
 
 
-def remove_terminal_atoms(atoms: DataFrame, standard: tuple[str, ...]) -> DataFrame:
-    """Without OXT of the last and OP3 of the first standard residue of each polymer chain."""
-    at = F.when(is_polymer() & F.col("res_name").isin(*standard), F.col("res_id"))
-    rows = atoms.withColumn("__first", F.min(at).over(W.partitionBy(*CHAIN))).withColumn("__last", F.max(at).over(W.partitionBy(*CHAIN)))
-    end = ((F.col("atom_name") == "OXT") & (F.col("res_id") == F.col("__last"))) | ((F.col("atom_name") == "OP3") & (F.col("res_id") == F.col("__first")))
-    return rows.where(~F.coalesce(end & F.col("res_name").isin(*standard), F.lit(False))).drop("__first", "__last")
+def remove_terminal_atoms(atoms: DataFrame, protein: tuple[str, ...], nucleic: tuple[str, ...]) -> DataFrame:
+    """Without OXT of a protein chain's last residue and OP3 of a nucleic acid chain's first, where that residue is standard:
+    others are tokens atom by atom and may have ends. The type of a chain is that of its first atom."""
+    w = W.partitionBy(*CHAIN)
+    end = F.struct("res_id", "res_name")
+    rows = atoms.withColumn("__first", F.min_by(F.struct("mol_type", end.alias("r")), "idx").over(w)).withColumn("__last", F.max_by(end, "idx").over(w))
+    oxt = (F.col("__first.mol_type") == "PROTEIN") & F.col("__last.res_name").isin(*protein) & (F.col("res_id") == F.col("__last.res_id")) & (F.col("atom_name") == "OXT")
+    op3 = F.col("__first.mol_type").isin("DNA", "RNA") & F.col("__first.r.res_name").isin(*nucleic) & (F.col("res_id") == F.col("__first.r.res_id")) & (F.col("atom_name") == "OP3")
+    return rows.where(~F.coalesce(oxt, F.lit(False)) & ~F.coalesce(op3, F.lit(False))).drop("__first", "__last")
 
 
 def selenium_to_sulfur(atoms: DataFrame) -> DataFrame:
@@ -144,10 +172,11 @@ def dative_to_single(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def remove_covalent_nonprotein(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Without the atoms of chains that are no protein and have a bond to one."""
-    e = _ends(atoms, bonds, ["chain", "mol_type"])
-    side = lambda a, b: e.where(f"mol_type_{a} <> 'PROTEIN' AND mol_type_{b} = 'PROTEIN' AND chain_{a} <> chain_{b}").select("structure", F.col(f"chain_{a}").alias("chain"), F.col(f"mol_type_{a}").alias("mol_type"))
-    return atoms.join(side("1", "2").union(side("2", "1")).distinct(), [*CHAIN, "mol_type"], "left_anti")
+    """Without the chains in which an atom that is no protein's has a covalent bond to another chain's protein; a bond of
+    coordination, as of a metal, doesn't count."""
+    e = _ends(atoms, bonds.where("kind IS NULL OR kind <> 'COORDINATION'"), ["chain", "mol_type"]).where("chain_1 <> chain_2")
+    side = lambda a, b: e.where(f"mol_type_{a} <> 'PROTEIN' AND mol_type_{b} = 'PROTEIN'").select("structure", F.col(f"chain_{a}").alias("chain"))
+    return atoms.join(side("1", "2").union(side("2", "1")).distinct(), CHAIN, "left_anti")
 
 
 def bond_tuples(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import WindowSpec
 
 from quarry.operators.cleanup import RESIDUE, _ends, is_polymer
 
-#: Atoms of a polymer's backbone, and the atoms that represent residues.
-BACKBONE = ("N", "CA", "C", "O", "OXT", "P", "OP1", "OP2", "O5'", "C5'", "C4'", "C3'", "O3'")
+#: Atoms of peptide bonds and of those between nucleotides, and residues by what represents them.
+PEPTIDE, PHOSPHODIESTER = ("N", "C"), ("P", "O3'", "O5'")
 PURINES, PYRIMIDINES = ("A", "G", "DA", "DG"), ("C", "U", "DC", "DT")
 
 
@@ -39,9 +39,12 @@ def standard_residue_starts(atoms: DataFrame, standard: tuple[str, ...]) -> Data
 
 
 def modified_residues(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Residues of polymers with a bond to another residue by an atom that is none of the backbone."""
-    e = _ends(atoms, bonds, ["chain", "res_id", "atom_name", "mol_type"]).where("NOT (chain_1 <=> chain_2 AND res_id_1 <=> res_id_2)")
-    side = lambda n: e.where(is_polymer(f"mol_type_{n}") & ~F.col(f"atom_name_{n}").isin(*BACKBONE)).select("structure", F.col(f"chain_{n}").alias("chain"), F.col(f"res_id_{n}").alias("res_id"))
+    """Residues with a bond to another one that is neither a peptide bond (both atoms of PEPTIDE) nor one of a nucleic acid's
+    backbone (both of PHOSPHODIESTER): both residues of the bond."""
+    e = _ends(atoms, bonds, ["chain", "res_id", "atom_name"]).where("NOT (chain_1 <=> chain_2 AND res_id_1 <=> res_id_2)")
+    plain = lambda names: F.coalesce(F.col("atom_name_1").isin(*names) & F.col("atom_name_2").isin(*names), F.lit(False))
+    e = e.where(~plain(PEPTIDE) & ~plain(PHOSPHODIESTER))
+    side = lambda n: e.select("structure", F.col(f"chain_{n}").alias("chain"), F.col(f"res_id_{n}").alias("res_id"))
     return side("1").union(side("2")).distinct()
 
 
@@ -83,9 +86,11 @@ def token_bonds(tokens: DataFrame, bonds: DataFrame) -> DataFrame:
     return one.union(e.select("structure", "token_id_2", "token_id_1")).distinct()
 
 
-def representative(res_name: Column, atom_name: Column, atomized: Column) -> Column:
-    """Whether an atom represents its token: CB (CA of glycine), C4 of purines, C2 of pyrimidines, an atomized one itself."""
-    want = F.when(res_name == "GLY", "CA").when(res_name.isin(*PURINES), "C4").when(res_name.isin(*PYRIMIDINES), "C2").otherwise("CB")
+def representative(mol_type: Column, res_name: Column, atom_name: Column, atomized: Column) -> Column:
+    """Whether an atom represents its token: of proteins CB (CA of glycine), of nucleic acids C4 of purines and C2 of
+    pyrimidines, of an atomized token itself; other residues of nucleic acids have none."""
+    want = F.when(mol_type == "PROTEIN", F.when(res_name == "GLY", "CA").otherwise("CB"))
+    want = want.when(mol_type.isin("DNA", "RNA"), F.when(res_name.isin(*PURINES), "C4").when(res_name.isin(*PYRIMIDINES), "C2"))
     return F.coalesce(atomized | (atom_name == want), F.lit(False))
 
 

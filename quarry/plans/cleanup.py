@@ -13,12 +13,12 @@ from quarry.sources.tables import read_table
 #: The proxy tables, in SQL that Spark and DuckDB read alike.
 ATOMS = """SELECT l_orderkey AS structure, l_suppkey % 3 AS chain, l_linenumber AS res_id,
     CASE l_partkey % 8 WHEN 0 THEN 'HOH' WHEN 1 THEN 'UNK' WHEN 2 THEN 'MSE' WHEN 3 THEN 'GLY' WHEN 4 THEN 'ARG' WHEN 5 THEN 'ARG' WHEN 6 THEN 'ALA' ELSE 'DOD' END AS res_name,
-    CASE CAST(l_quantity AS INT) % 7 WHEN 0 THEN 'CA' WHEN 1 THEN 'SE' WHEN 2 THEN 'OXT' WHEN 3 THEN 'CD' WHEN 4 THEN 'NH1' WHEN 5 THEN 'NH2' ELSE 'CB' END AS atom_name,
+    CASE CAST(l_quantity AS INT) % 11 WHEN 0 THEN 'CA' WHEN 1 THEN 'SE' WHEN 2 THEN 'OXT' WHEN 3 THEN 'CD' WHEN 4 THEN 'NH1' WHEN 5 THEN 'NH2' WHEN 6 THEN 'N' WHEN 7 THEN 'C' WHEN 8 THEN 'P' WHEN 9 THEN 'OP3' ELSE 'CB' END AS atom_name,
     CASE CAST(l_quantity AS INT) % 9 WHEN 0 THEN 'H' WHEN 1 THEN 'SE' WHEN 2 THEN 'D' ELSE 'C' END AS element,
     CASE l_suppkey % 3 WHEN 0 THEN 'PROTEIN' WHEN 1 THEN 'LIGAND' ELSE 'RNA' END AS mol_type, l_tax AS occupancy, l_extendedprice AS x, l_discount AS y, l_tax AS z,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 3, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax) AS idx FROM {lineitem}"""
 BONDS = "SELECT structure, idx AS idx_1, idx + 1 AS idx_2, CASE WHEN idx % 3 = 0 THEN 'COORDINATION' ELSE 'SINGLE' END AS kind FROM ({atoms}) AS a"
-STANDARD = ("GLY", "ARG", "ALA")
+STANDARD, NUCLEIC = ("GLY", "ARG", "ALA"), ("ARG", "ALA")
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def atom_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polymer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atoms without small and unknown polymer chains and the ligand chains bonded to them."""
+    """Atoms without small and unknown polymer chains and the ligand atoms connected with them."""
     a, bonds = atoms_and_bonds(spark, sf_dir)
     gone = cleanup.small_polymer_chains(a, 1).union(cleanup.unknown_polymer_chains(a)).distinct()
     return cleanup.drop_chains(a, gone, bonds).select("structure", "idx")
@@ -67,7 +67,7 @@ def defined_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terminal_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanup.remove_terminal_atoms(atoms(spark, sf_dir), STANDARD).select("structure", "idx")
+    return cleanup.remove_terminal_atoms(atoms(spark, sf_dir), STANDARD, NUCLEIC).select("structure", "idx")
 
 
 def single_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def atomized_bond_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each atom's number in its token, and whether it represents the token."""
     t = tokens.atom_offsets(tokens.tokenize(atoms(spark, sf_dir), STANDARD))
-    return t.select("structure", "idx", "offset", tokens.representative(F.col("res_name"), F.col("atom_name"), F.col("atomized")).alias("representative"))
+    return t.select("structure", "idx", "offset", tokens.representative(F.col("mol_type"), F.col("res_name"), F.col("atom_name"), F.col("atomized")).alias("representative"))
 
 
 def token_atoms_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,12 @@ def modified_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.modified_residues(*atoms_and_bonds(spark, sf_dir))
 
 
+def modified_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens where residues with unusual bonds are taken apart as well."""
+    a, bonds = atoms_and_bonds(spark, sf_dir)
+    return tokens.tokenize(a, STANDARD, tokens.modified_residues(a, bonds)).select("structure", "idx", "token_id", "atomized", "center")
+
+
 def record_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments as aligned strings, and their numbers as texts."""
     c, segment = read_table(spark, sf_dir, "customer"), F.col("c_mktsegment")
@@ -140,7 +146,7 @@ def record_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     atom_cleanup, polymer_cleanup, small_ligands, covalent_cleanup, defined_atoms, terminal_atoms, single_bonds, bond_records, atom_tokens, structure_token_counts,
-    token_bond_pairs, atomized_bond_pairs, token_representatives, token_atoms_padded, standard_starts, modified_residues, record_functions,
+    token_bond_pairs, atomized_bond_pairs, token_representatives, token_atoms_padded, standard_starts, modified_residues, modified_tokens, record_functions,
 )}
 
 _A = f"atoms AS ({ATOMS.format(lineitem='lineitem')}), bonds AS ({BONDS.format(atoms='SELECT * FROM atoms')})"
@@ -149,6 +155,8 @@ _WHOLE = "(mol_type IN ('PROTEIN', 'DNA', 'RNA') AND res_name IN ('GLY', 'ARG',
 _T = f"""s AS (SELECT *, NOT {_WHOLE} AS atomized, lag(chain) OVER o IS DISTINCT FROM chain AS new_chain, lag(chain) OVER o IS DISTINCT FROM chain OR lag(res_id) OVER o IS DISTINCT FROM res_id OR lag(res_name) OVER o IS DISTINCT FROM res_name AS new_res FROM atoms WINDOW o AS (PARTITION BY structure ORDER BY idx)),
     t AS (SELECT *, atomized OR atom_name = 'CA' AS center, CAST(count(*) FILTER (atomized OR new_res) OVER o AS BIGINT) - 1 AS token_id, CAST(count(*) FILTER (new_res) OVER o AS BIGINT) - 1 AS residue_index, CAST(count(*) FILTER (new_chain) OVER o AS BIGINT) AS chain_run
         FROM s WINDOW o AS (PARTITION BY structure ORDER BY idx ROWS UNBOUNDED PRECEDING))"""
+_M = """f AS (SELECT * FROM e WHERE (chain_1 <> chain_2 OR res_id_1 <> res_id_2) AND NOT (atom_name_1 IN ('N', 'C') AND atom_name_2 IN ('N', 'C')) AND NOT (atom_name_1 = 'P' AND atom_name_2 = 'P')),
+    m AS (SELECT structure, chain_1 AS chain, res_id_1 AS res_id FROM f UNION SELECT structure, chain_2, res_id_2 FROM f)"""
 _FAR = "(({a}.x - cd.x) * ({a}.x - cd.x) + ({a}.y - cd.y) * ({a}.y - cd.y) + ({a}.z - cd.z) * ({a}.z - cd.z))"
 
 ORACLE_SQL = {
@@ -158,22 +166,25 @@ ORACLE_SQL = {
         r AS (SELECT * EXCLUDE (atom_name), CASE WHEN res_name = 'ARG' AND {_FAR.format(a='n2')} < {_FAR.format(a='n1')} AND atom_name IN ('NH1', 'NH2') THEN CASE atom_name WHEN 'NH1' THEN 'NH2' ELSE 'NH1' END ELSE atom_name END AS atom_name FROM n),
         m AS (SELECT structure, idx, CASE res_name WHEN 'MSE' THEN 'MET' ELSE res_name END AS res_name, CASE WHEN res_name = 'MSE' AND atom_name = 'SE' THEN 'SD' ELSE atom_name END AS atom_name, CASE WHEN res_name = 'MSE' AND atom_name = 'SE' THEN 'S' ELSE element END AS element FROM r)
         SELECT * FROM m WHERE res_name NOT IN ('HOH', 'DOD', 'GLY') AND element NOT IN ('H', 'D')""",
+    # all atoms of a structure are one path, on which the ligand chain lies between the others
     "polymer_cleanup": f"""
-        WITH {_A}, {_E}, g AS (SELECT structure, chain FROM atoms WHERE mol_type <> 'LIGAND' GROUP BY 1, 2 HAVING count(DISTINCT res_id) FILTER (occupancy > 0) <= 1 OR bool_and(res_name = 'UNK')),
-        l AS (SELECT structure, chain_2 AS chain FROM e SEMI JOIN g ON g.structure = e.structure AND g.chain = e.chain_1 WHERE chain_1 <> chain_2 AND mol_type_2 = 'LIGAND'
-            UNION SELECT structure, chain_1 FROM e SEMI JOIN g ON g.structure = e.structure AND g.chain = e.chain_2 WHERE chain_1 <> chain_2 AND mol_type_1 = 'LIGAND' UNION SELECT * FROM g)
-        SELECT structure, idx FROM atoms ANTI JOIN l USING (structure, chain)""",
-    "small_ligands": f"WITH {_A} SELECT structure, idx, count(*) OVER (PARTITION BY structure, chain) <= 2 AND bool_and(mol_type = 'LIGAND') OVER (PARTITION BY structure, chain) AS small_ligand FROM atoms",
+        WITH {_A}, n AS (SELECT structure, chain, count(DISTINCT res_id) FILTER (occupancy > 0) AS n, bool_and(res_name = 'UNK') AS unknown FROM atoms WHERE mol_type <> 'LIGAND' GROUP BY 1, 2),
+        g AS (SELECT structure, chain FROM n WHERE n = 1 OR unknown)
+        SELECT structure, idx FROM atoms WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.structure = atoms.structure AND (g.chain = atoms.chain OR mol_type = 'LIGAND'))""",
+    "small_ligands": f"WITH {_A} SELECT structure, idx, count(*) FILTER (mol_type = 'LIGAND') OVER (PARTITION BY structure, chain) BETWEEN 1 AND 2 AS small_ligand FROM atoms",
     "covalent_cleanup": f"""
-        WITH {_A}, {_E}, c AS (SELECT structure, chain_1 AS chain FROM e WHERE chain_1 <> chain_2 AND mol_type_1 <> 'PROTEIN' AND mol_type_2 = 'PROTEIN' UNION SELECT structure, chain_2 FROM e WHERE chain_1 <> chain_2 AND mol_type_2 <> 'PROTEIN' AND mol_type_1 = 'PROTEIN')
+        WITH {_A}, {_E}, k AS (SELECT * FROM e WHERE chain_1 <> chain_2 AND kind <> 'COORDINATION' AND (mol_type_1 = 'PROTEIN') <> (mol_type_2 = 'PROTEIN')),
+        c AS (SELECT structure, CASE WHEN mol_type_1 = 'PROTEIN' THEN chain_2 ELSE chain_1 END AS chain FROM k)
         SELECT structure, idx FROM atoms ANTI JOIN c USING (structure, chain)""",
     "defined_atoms": f"""
         WITH {_A}, k AS (SELECT DISTINCT res_name, atom_name FROM atoms WHERE atom_name <> 'OXT'), p AS (SELECT *, row_number() OVER (PARTITION BY res_name ORDER BY atom_name DESC) AS place FROM k),
         r AS (SELECT structure, idx, place, min(idx) OVER (PARTITION BY structure, chain, res_id) AS start FROM atoms JOIN p USING (res_name, atom_name))
         SELECT structure, idx, row_number() OVER (PARTITION BY structure ORDER BY start, place, idx) AS position FROM r""",
     "terminal_atoms": f"""
-        WITH {_A}, r AS (SELECT *, max(CASE WHEN {_WHOLE} THEN res_id END) OVER (PARTITION BY structure, chain) AS last FROM atoms)
-        SELECT structure, idx FROM r WHERE NOT coalesce(atom_name = 'OXT' AND res_id = last AND res_name IN ('GLY', 'ARG', 'ALA'), false)""",
+        WITH {_A}, l AS (SELECT structure, chain, res_id, res_name, mol_type FROM atoms QUALIFY row_number() OVER (PARTITION BY structure, chain ORDER BY idx DESC) = 1),
+        f AS (SELECT structure, chain, res_id, res_name, mol_type FROM atoms QUALIFY row_number() OVER (PARTITION BY structure, chain ORDER BY idx) = 1)
+        SELECT a.structure, idx FROM atoms a JOIN l USING (structure, chain) JOIN f USING (structure, chain)
+        WHERE NOT (a.atom_name = 'OXT' AND a.res_id = l.res_id AND f.mol_type = 'PROTEIN' AND l.res_name IN ('GLY', 'ARG', 'ALA')) AND NOT (a.atom_name = 'OP3' AND a.res_id = f.res_id AND f.mol_type IN ('RNA', 'DNA') AND f.res_name IN ('ARG', 'ALA'))""",
     "single_bonds": f"WITH {_A}, {_E} SELECT structure, idx_1, CASE WHEN chain_1 = chain_2 AND res_id_1 = res_id_2 THEN 'SINGLE' ELSE kind END AS kind FROM e",
     "bond_records": f"WITH {_A}, {_E} SELECT structure, idx_1, res_name_1, atom_name_1, res_name_2, atom_name_2, chain_1 <> chain_2 AS across FROM e",
     "atom_tokens": f"WITH {_A}, {_T} SELECT structure, idx, token_id, atomized, center, dense_rank() OVER (PARTITION BY structure ORDER BY token_id) - 1 AS token_position, residue_index, chain_run FROM t",
@@ -183,14 +194,16 @@ ORACLE_SQL = {
         SELECT structure, a AS token_1, b AS token_2 FROM p UNION SELECT structure, b, a FROM p""",
     "atomized_bond_pairs": f"WITH {_A}, {_T} SELECT b.structure, idx_1 FROM bonds b JOIN t x ON x.structure = b.structure AND x.idx = idx_1 JOIN t y ON y.structure = b.structure AND y.idx = idx_2 WHERE x.atomized AND y.atomized",
     "token_representatives": f"""
-        WITH {_A}, {_T} SELECT structure, idx, row_number() OVER (PARTITION BY structure, token_id ORDER BY idx) - 1 AS "offset", atomized OR atom_name = CASE res_name WHEN 'GLY' THEN 'CA' ELSE 'CB' END AS representative FROM t""",
+        WITH {_A}, {_T} SELECT structure, idx, row_number() OVER (PARTITION BY structure, token_id ORDER BY idx) - 1 AS "offset", atomized OR (mol_type = 'PROTEIN' AND atom_name = CASE res_name WHEN 'GLY' THEN 'CA' ELSE 'CB' END) AS representative FROM t""",
     "token_atoms_padded": f"""
         WITH {_A}, {_T}, c AS (SELECT structure, token_id, count(*) AS n, bool_or(center) AS mask FROM t GROUP BY 1, 2)
         SELECT structure, CAST(9 AS BIGINT) AS tokens, count(*) FILTER (mask) AS real, CAST(coalesce(sum(n) FILTER (mask), 0) AS BIGINT) AS atoms, CAST(coalesce(sum(n) FILTER (mask), 0) AS BIGINT) - 1 AS last FROM c WHERE token_id < 9 GROUP BY 1""",
     "standard_starts": f"WITH {_A}, {_T} SELECT structure, idx FROM t WHERE new_res AND {_WHOLE}",
-    "modified_residues": f"""
-        WITH {_A}, {_E}, f AS (SELECT * FROM e WHERE NOT (chain_1 = chain_2 AND res_id_1 = res_id_2))
-        SELECT structure, chain_1 AS chain, res_id_1 AS res_id FROM f WHERE mol_type_1 <> 'LIGAND' AND atom_name_1 NOT IN ('CA', 'OXT') UNION SELECT structure, chain_2, res_id_2 FROM f WHERE mol_type_2 <> 'LIGAND' AND atom_name_2 NOT IN ('CA', 'OXT')""",
+    "modified_residues": f"WITH {_A}, {_E}, {_M} SELECT * FROM m",
+    "modified_tokens": f"""
+        WITH {_A}, {_E}, {_M}, q AS (SELECT a.*, NOT {_WHOLE} OR m.res_id IS NOT NULL AS atomized FROM atoms a LEFT JOIN m USING (structure, chain, res_id)),
+        s AS (SELECT *, lag(chain) OVER o IS DISTINCT FROM chain OR lag(res_id) OVER o IS DISTINCT FROM res_id OR lag(res_name) OVER o IS DISTINCT FROM res_name AS new_res FROM q WINDOW o AS (PARTITION BY structure ORDER BY idx))
+        SELECT structure, idx, CAST(count(*) FILTER (atomized OR new_res) OVER (PARTITION BY structure ORDER BY idx ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS token_id, atomized, atomized OR atom_name = 'CA' AS center FROM s""",
     "record_functions": """
         WITH c AS (SELECT *, translate(c_mktsegment, 'IO', '--') AS g FROM customer), l AS (SELECT *, string_split(g, '') AS s FROM c)
         SELECT c_custkey, c_custkey % 2 = 0 AS integer, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code,
