@@ -1,15 +1,16 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Words become templates: numbers, names (capitalised words within a sentence) and units turn into typed placeholders,
-all other words are lower-cased. Windows of ``WINDOW`` template words are hashed; those of the documents are joined
-with those of the benchmark. Where a window matches, the values in its slots are compared: each value of the item must
-stand for one value of the document throughout, so questions with consistently replaced numbers or names are caught
-and chance matches of placeholders are not. An item has leaked into a document that holds half of its windows with
-consistent values at one of its places: in one alignment (position less place), in alignments less than a window apart
-(edits), in a run of ascending places (longer insertions), or by the first position of each window.
-
-Texts are read in up to four ways, of which one match is enough: numbers with separators or decimals as one word or as
-several, and capitals that begin a sentence as plain words or as names.
+Words become templates: numbers (digits and number words), names (runs of capitalised words within a sentence) and units
+(compound ones such as km per hour, too) turn into one typed placeholder each, however many words they have; all other
+words are lower-cased. Windows of ``WINDOW`` template words are hashed; those of the documents are joined with those of the
+benchmark. Where a window matches, the values in its slots are compared: each value of the item must stand for one
+value of the document throughout, so questions with consistently replaced numbers or names are caught and chance
+matches of placeholders are not. Two values of the item may become one of the document, as when both trains of a question go
+to the same town. An item has leaked into a document that holds half of its windows with consistent values at one of
+its places: in one alignment (position less place), in alignments less than a window apart (edits), in a run of
+ascending places (longer insertions), or by the first position of each window.
+
+Texts are read in two ways, of which one match is enough: capitals that begin a sentence as plain words or as names.
 
 An item shorter than a window is one window as a whole. A window counts if half of its words at least (``LITERAL`` of
 ``WINDOW``) are no placeholders; an item without such a window, such as one made of numbers, is looked for by its exact
@@ -35,34 +36,64 @@ from quarry.llm._session import BROADCAST_ROWS, cut, join_ids
 #: Words in a window, the words of it that must not be placeholders, the share of windows, and the words of an item at
 #: least.
 WINDOW, LITERAL, SHARE, LEAST = 8, 4, 0.5, 3
-#: Units of measure that count as one type.
-UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "usd", "eur", "gbp", "percent", "euros", "dollars", "meters", "metres", "miles", "hours", "minutes", "seconds", "days", "weeks", "months", "years")
-_START, _POINT = "\u0002", "\u0003"
+#: Units of measure that count as one type, those that are so after "per" alone, and number words.
+UNITS = (
+    "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "kmh", "mph", "kb", "mb", "gb", "tb", "hz", "khz", "mhz", "ghz", "w", "kw", "v", "usd", "eur", "gbp", "percent", "euro", "euros", "dollar", "dollars",
+    "meter", "meters", "metre", "metres", "kilometers", "kilometres", "mile", "miles", "hour", "hours", "minute", "minutes", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "gram", "grams", "liter", "liters", "litre", "litres",
+)
+PER_UNITS = (*UNITS, "second")
+NUMBERS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion",
+)
+#: Ways to read a text: capitals that begin a sentence as words or as names, and words as they are.
+PLAIN, NAMED, EXACT = 0, 1, 2
+_START, _POINT, _JOIN = "\u0002", "\u0003", "\u0004"
 #: Between the digits of one number: separators of thousands, then of decimals.
 _THOUSANDS = r"(?<=(?<!\d)\d{1,3}|[,.'\u2019_ \u00a0\u202f]\d{3})[,'\u2019_ \u00a0\u202f](?=\d{3}(?!\d))"
 _DECIMAL = r"(?<=\d)[.,](?=\d)"
 _SEPARATED = r"\d[,.'\u2019_ \u00a0\u202f]\d"
-
-
-def words_of(text: Column, units: bool = False) -> Column:
-    """Words (letters and digits); the first of a sentence is marked, so that its capital is not taken for a name. As
-    ``units``, numbers with separators or decimals are one word."""
+_NUMBER, _UNIT, _PER = ("|".join(sorted(x, key=lambda w: (-len(w), w))) for x in (NUMBERS, UNITS, PER_UNITS))
+_CAPITAL = r"\p{Lu}[\p{L}\p{N}]*"
+#: What is joined to one word, each only in texts in which its first pattern is found: pattern, what is replaced, by what.
+_JOINS = (
+    (r"\d\p{L}", rf"(?<=\d)(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", " "),
+    (r"\d \d", r"(?<=\d) (?=\d)", _JOIN),
+    (rf"(?i)(?:{_NUMBER})[ -](?:{_NUMBER}|and )", rf"(?i)(?<![\p{{L}}\p{{N}}])({_NUMBER})[ -](?:and (?<=hundred and |thousand and ))?(?=(?:{_NUMBER})(?![\p{{L}}\p{{N}}]))", f"$1{_JOIN}"),
+    (r" per |\p{L}/\p{L}", rf"(?<![\p{{L}}])({_UNIT})(?: per |/)(?=(?:{_PER})(?![\p{{L}}\p{{N}}]))", f"$1{_JOIN}per{_JOIN}"),
+)
+
+
+def words_of(text: Column, way: int = PLAIN) -> Column:
+    """Words (letters and digits). Numbers with separators or decimals, runs of numbers, of number words and of capitalised
+    words, and units per another are one word; the first of a sentence is marked, so that its capital is not taken for a
+    name. EXACT: words as they are, in lower case."""
     text = F.coalesce(text, F.lit(""))
-    if units:
-        joined = F.regexp_replace(F.regexp_replace(text, _THOUSANDS, ""), _DECIMAL, _POINT)
-        text = F.when(text.rlike(_SEPARATED), joined).otherwise(text)
-    marked = F.regexp_replace(text, r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}")
-    return F.filter(F.split(marked, rf"[^\p{{L}}\p{{N}}{_START}{_POINT if units else ''}]+"), lambda w: w != "")
+    if way == EXACT:
+        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    whole = F.regexp_replace(F.regexp_replace(text, _THOUSANDS, ""), _DECIMAL, _POINT)
+    text = F.when(text.rlike(_SEPARATED), whole).otherwise(text)
+    for found, replaced, by in _JOINS:
+        text = F.when(text.rlike(found), F.regexp_replace(text, replaced, by)).otherwise(text)
+    text = F.regexp_replace(text, r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}")
+    before = rf"(?<![\p{{L}}\p{{N}}{_START if way == PLAIN else ''}])"
+    runs = F.regexp_replace(text, rf"{before}({_CAPITAL})[ '\u2019-](?=\p{{Lu}})", f"$1{_JOIN}")
+    return F.filter(F.split(runs, rf"[^\p{{L}}\p{{N}}{_START}{_POINT}{_JOIN}]+"), lambda w: w != "")
 
 
 def template(word: Column, names: bool = False) -> Column:
-    """A word or its placeholder; words that begin with a to z, nearly all, take two comparisons. With ``names``, words
+    """A word or its placeholder; words that begin with a to z, nearly all, take few comparisons. With ``names``, words
     that begin a sentence with a capital are names."""
     first = F.substring(word, 1, 1)
+
+    def small(w: Column) -> Column:
+        joined = F.when(F.substring_index(w, _JOIN, 1).isin(*UNITS), F.lit("<unit>")).otherwise(F.lit("<num>"))
+        return F.when(w.isin(*UNITS), F.lit("<unit>")).when(w.isin(*NUMBERS), F.lit("<num>")).when(F.contains(w, F.lit(_JOIN)), joined).otherwise(w)
+
     return (
-        F.when((word >= "a") & (word < "{"), F.when(word.isin(*UNITS), F.lit("<unit>")).otherwise(word))
+        F.when((word >= "a") & (word < "{"), small(word))
         .when((first >= "0") & (first <= "9"), F.lit("<num>"))
-        .when(first == _START, F.lit("<name>") if names else F.lower(F.substring(word, 2, 1_000_000)))
+        .when(first == _START, F.lit("<name>") if names else small(F.lower(F.substring(word, 2, 1_000_000))))
         .when(first != F.lower(first), F.lit("<name>"))
         .otherwise(word)
     )
@@ -72,16 +103,12 @@ def _placeholder(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
 
-def _template(names: bool) -> Callable[[Column], Column]:
-    return lambda w: template(w, names)
+def _template(way: int) -> Callable[[Column], Column]:
+    return (lambda w: w) if way == EXACT else (lambda w: template(w, way == NAMED))
 
 
-def _hash(names: bool) -> Callable[[Column], Column]:
-    return lambda w: F.xxhash64(template(w, names))
-
-
-def _exact(word: Column) -> Column:
-    return F.xxhash64(F.lower(F.ltrim(word, F.lit(_START))))
+def _hash(way: int) -> Callable[[Column], Column]:
+    return lambda w: F.xxhash64(_template(way)(w))
 
 
 def _hashes(hashed: str, size: int = WINDOW, exact: bool = False) -> Column:
@@ -91,33 +118,28 @@ def _hashes(hashed: str, size: int = WINDOW, exact: bool = False) -> Column:
     return F.when(F.size(hashed) >= size, window)
 
 
-def with_windows(rows: DataFrame, words: dict[int, Column], kinds: list[tuple[int, bool]] = [(WINDOW, False)]) -> DataFrame:  # noqa: B006
-    """Adds ``readings``: structs (units, size, windows) with the hash of the template window from each word on, for the
-    words of each way to read numbers and each kind (size, exact) of window that the items have; those with capitals as
-    names are null where they are the same as without. To be
-    exploded as outer rows: for inner ones the optimizer would first ask for the array's size, in a filter that
-    computes all hashes for each window.
+def with_windows(rows: DataFrame, text: Column, kinds: list[tuple[int, bool]] = [(WINDOW, False)]) -> DataFrame:  # noqa: B006
+    """Adds ``readings``: structs (way, size, windows) with the hash of the template window from each word on, for each way
+    to read the text and each kind (size, exact) of window that the items have; those with capitals as names are null
+    where they are the same as without. To be exploded as outer rows: for inner ones the optimizer would first ask for the
+    array's size, in a filter that computes all hashes for each window.
 
     Word hashes are columns of their own, which the windows name WINDOW times, so they are computed once a text."""
+    ways = [w for w in (PLAIN, NAMED, EXACT) if any(exact == (w == EXACT) for _, exact in kinds)]
+    for way in ways:
+        rows = rows.withColumn(f"__w{way}", words_of(text, way))
+    for way in ways:
+        rows = rows.withColumn(f"__h{way}", F.transform(f"__w{way}", _hash(way)))
     readings = []
-    for units, w in words.items():
-        rows = rows.withColumn(f"__w{units}", w)
-    for units in words:
-        for names in (0, 1):
-            rows = rows.withColumn(f"__h{units}{names}", F.transform(f"__w{units}", _hash(bool(names))))
-    if any(exact for _, exact in kinds):
-        rows = rows.withColumn("__x", F.transform("__w1", _exact))
     for size, exact in kinds:
-        if exact:
-            rows = rows.withColumn(f"__x{size}", _hashes("__x", size, True))
-            readings.append(F.struct(F.lit(1).alias("units"), F.lit(size).alias("size"), F.col(f"__x{size}").alias("windows")))
-            continue
-        for units in words:
-            for names in (0, 1):
-                rows = rows.withColumn(f"__v{size}{units}{names}", _hashes(f"__h{units}{names}", size))
-        for units in words:
-            other = F.zip_with(f"__v{size}{units}0", f"__v{size}{units}1", lambda a, b: F.when(a != b, b))
-            readings += [F.struct(F.lit(units).alias("units"), F.lit(size).alias("size"), v.alias("windows")) for v in (F.col(f"__v{size}{units}0"), other)]
+        for way in [EXACT] if exact else [PLAIN, NAMED]:
+            rows = rows.withColumn(f"__v{size}{way}", _hashes(f"__h{way}", size, exact))
+        for way in [EXACT] if exact else [PLAIN, NAMED]:
+            v = F.col(f"__v{size}{way}")
+            if way == NAMED:
+                plain = f"__v{size}{PLAIN}"
+                v = F.when(F.size(plain) == F.size(v), F.zip_with(plain, v, lambda a, b: F.when(a != b, b))).otherwise(v)
+            readings.append(F.struct(F.lit(way).alias("way"), F.lit(size).alias("size"), v.alias("windows")))
     return rows.withColumn("readings", F.array(*readings)).drop(*(c for c in rows.columns if c.startswith("__")))
 
 
@@ -125,17 +147,17 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, reading, item_windows, size, exact, place, hash, item_raw, slot) of the benchmark's windows with enough
     literal words; a reading is one text of an item, read in one way."""
     rows = benchmark.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates()
-    ways = []
-    for units in (True, False):
-        for names in (False, True):
-            way = rows if units else rows.where(F.col("text").rlike(_SEPARATED))
-            way = way.select("item", "text", F.xxhash64(F.col("text"), F.lit(units), F.lit(names)).alias("reading"), words_of(F.col("text"), units).alias("raw"))
-            ways.append(way.withColumn("t", F.transform("raw", _template(names))))
-    read = cut(reduce(DataFrame.union, ways).where(F.size("raw") >= LEAST).withColumn("__h", F.transform("t", lambda w: F.xxhash64(w))))
+    rows = rows.where(F.size(words_of(F.col("text"), EXACT)) >= LEAST)
+
+    def read(rows: DataFrame, way: int) -> DataFrame:
+        own = rows.select("item", "text", F.xxhash64(F.col("text"), F.lit(way)).alias("reading"), words_of(F.col("text"), way).alias("raw"))
+        own = own.withColumn("t", F.transform("raw", _template(way)))
+        return own.withColumn("__h", F.transform("t", lambda w: F.xxhash64(w)))
+
     columns = ["item", "text", "reading", "size", "exact", "place", "hash", "item_raw", "slot"]
 
-    def windows(rows: DataFrame, size: int, exact: bool, hashed: str) -> DataFrame:
-        rows = rows.where(F.size("raw") >= size if size == WINDOW else F.size("raw") == size).withColumn("windows", _hashes(hashed, size, exact))
+    def windows(rows: DataFrame, size: int, exact: bool) -> DataFrame:
+        rows = rows.where(F.size("raw") >= size if size == WINDOW else F.size("raw") == size).withColumn("windows", _hashes("__h", size, exact))
         rows = rows.select("item", "text", "reading", "raw", "t", F.posexplode_outer("windows").alias("place", "hash"))
         t = F.slice("t", F.col("place") + 1, size)
         if not exact:
@@ -144,24 +166,24 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return rows.select("item", "text", "reading", F.lit(size).alias("size"), F.lit(exact).alias("exact"), "place", "hash", _values(F.slice("raw", F.col("place") + 1, size)).alias("item_raw"), slot).select(*columns)
 
     sizes = range(LEAST, WINDOW + 1)
-    found = cut(reduce(DataFrame.union, (windows(read, size, False, "__h") for size in sizes)))
-    # an item without a template window, by its words as they are, in the first way to read it
-    bare = read.join(F.broadcast(found.select("item", "text").distinct()), ["item", "text"], "left_anti")
-    bare = cut(bare.where(F.col("reading") == F.xxhash64(F.col("text"), F.lit(True), F.lit(False))).withColumn("__x", F.transform("raw", _exact)))
+    templated = cut(read(rows, PLAIN).union(read(rows, NAMED)))
+    found = cut(reduce(DataFrame.union, (windows(templated, size, False) for size in sizes)))
+    # an item without a template window, by its words as they are
+    bare = cut(read(rows.join(F.broadcast(found.select("item", "text").distinct()), ["item", "text"], "left_anti"), EXACT))
     if bare.limit(1).count():
-        found = found.union(reduce(DataFrame.union, (windows(bare, size, True, "__x") for size in sizes)))
+        found = found.union(reduce(DataFrame.union, (windows(bare, size, True) for size in sizes)))
     return found.drop("text").join(found.groupBy("item", "reading").agg(F.count("*").alias("item_windows")), ["item", "reading"])
 
 
 def _values(raw: Column) -> Column:
     """Words without their marks."""
-    return F.transform(raw, lambda w: F.ltrim(w, F.lit(_START)))
+    return F.transform(raw, lambda w: F.translate(F.translate(w, _START, ""), _JOIN + _POINT, " ."))
 
 
 def _places(pairs: DataFrame) -> DataFrame:
-    """Adds ``place_of``: the places of the document to which a match of (key, units, item, reading, place, at) belongs.
+    """Adds ``place_of``: the places of the document to which a match of (key, way, item, reading, place, at) belongs.
     Each is (kind, number): one alignment, alignments less than a window apart, ascending places, first positions."""
-    group = ["key", "units", "item", "reading"]
+    group = ["key", "way", "item", "reading"]
     near, run = W.partitionBy(*group).orderBy("shift"), W.partitionBy(*group).orderBy("at", "place")
     pairs = pairs.withColumn("shift", F.col("at") - F.col("place"))
     pairs = pairs.withColumn("__near", F.when(F.col("shift") - F.lag("shift").over(near) >= WINDOW, 1).otherwise(0)).withColumn("__run", F.when(F.col("place") <= F.lag("place").over(run), 1).otherwise(0))
@@ -177,26 +199,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = cut(_items(benchmark, item_col, item_text))
     small = items.count() <= BROADCAST_ROWS
     kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()] or [(WINDOW, False)]  # 2 * WINDOW at most
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    text = F.col("text")
-    # numbers read as several words differ from numbers as units in texts with separated numbers only
-    both = {1: words_of(text, True), 0: F.when(text.rlike(_SEPARATED), words_of(text)).otherwise(F.array().cast("array<string>"))}
-    readings = with_windows(keyed, both, sorted(kinds)).select("key", F.explode_outer("readings").alias("r"))
-    exploded = readings.select("key", "r.units", "r.size", F.posexplode_outer("r.windows").alias("at", "hash"))
+    one = [F.col(id_col), F.col(text_col)]
+    key = F.struct(F.xxhash64(*one).alias("a"), F.xxhash64(F.lit(1), *one).alias("b"))  # of 128 bits, as it says which text is judged
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), key.alias("key"))
+    readings = with_windows(keyed, F.col("text"), sorted(kinds)).select("key", F.explode_outer("readings").alias("r"))
+    exploded = readings.select("key", "r.way", "r.size", F.posexplode_outer("r.windows").alias("at", "hash"))
     wanted = items.select("hash").distinct()
     hits = exploded.join(F.broadcast(wanted) if small else wanted, "hash")
     found = cut(hits.distinct())
     # candidate pairs with enough windows; then the words in their slots
-    group = ["key", "units", "item", "reading"]
+    group = ["key", "way", "item", "reading"]
     pairs = found.join(items.select("item", "reading", "item_windows", "place", "hash"), "hash")
     enough = pairs.groupBy(*group, "item_windows").agg(F.countDistinct("place").alias("n")).where(F.col("n") >= SHARE * F.col("item_windows"))
     chosen = cut(enough.select(*group, "item_windows"))
-    held = found.join(chosen.select("key", "units", "item", "reading"), ["key", "units"]).join(items.select("item", "reading", "hash").distinct(), ["item", "reading", "hash"])
-    held = cut(held.select("key", "units", "size", "hash", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("units", "size", "hash", "at")).alias("held")))
+    held = found.join(chosen.select("key", "way", "item", "reading"), ["key", "way"]).join(items.select("item", "reading", "hash").distinct(), ["item", "reading", "hash"])
+    held = cut(held.select("key", "way", "size", "hash", "at").distinct().groupBy("key").agg(F.collect_list(F.struct("way", "size", "hash", "at")).alias("held")))
     texts = join_ids(keyed, held.select("key"), "key", held.count(), "left_semi").hint("merge").join(held, "key").dropDuplicates(["key"])
-    texts = texts.select("key", "doc", "held", words_of(text, True).alias("raw1"), words_of(text).alias("raw0"))
-    doc_words = lambda x: _values(F.slice(F.when(x["units"] == 1, F.col("raw1")).otherwise(F.col("raw0")), x["at"] + 1, x["size"]))
-    raws = texts.select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["units"].alias("units"), x["hash"].alias("hash"), x["at"].alias("at"), doc_words(x).alias("doc_raw")))).alias("x"))
+    texts = texts.select("key", "doc", "held", *(words_of(F.col("text"), way).alias(f"raw{way}") for way in (PLAIN, NAMED, EXACT)))
+    raw = lambda x: F.when(x["way"] == PLAIN, F.col("raw0")).when(x["way"] == NAMED, F.col("raw1")).otherwise(F.col("raw2"))
+    doc_words = lambda x: _values(F.slice(raw(x), x["at"] + 1, x["size"]))
+    raws = texts.select("key", "doc", F.explode_outer(F.transform("held", lambda x: F.struct(x["way"].alias("way"), x["hash"].alias("hash"), x["at"].alias("at"), doc_words(x).alias("doc_raw")))).alias("x"))
     same = F.forall(F.arrays_zip("item_raw", "doc_raw", "slot"), lambda p: p["slot"] | (F.lower(p["item_raw"]) == F.lower(p["doc_raw"])))
     matches = _places(raws.select("key", "doc", "x.*").join(items, "hash").where(same).join(chosen.select(*group), group))
     values = F.filter(F.arrays_zip("item_raw", "doc_raw", "slot"), lambda p: p["slot"])

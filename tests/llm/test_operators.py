@@ -338,6 +338,78 @@ def test_decontamination_of_short_and_numeric_items(spark):
     assert sorted((r.doc_id, r.item_id) for r in template_decontam.leaks(docs, bench).collect()) == [(1, 1), (2, 2), (4, 4)]
 
 
+def test_decontamination_of_runs_number_words_and_units(spark):
+    """Placeholders stand for runs: names, numbers and units of other lengths are the same question."""
+    item = "A train leaves Boston at 900 km per hour and reaches Denver after 12 hours of travel. How far is it?"
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    texts = {
+        1: item.replace("Boston", "New York").replace("Denver", "San Francisco"),
+        2: item.replace("900", "ninety").replace("12", "twelve"),
+        3: item.replace("900 km per hour", "80 mph"),
+        4: item.replace("900 km per hour", "80mph").replace("Boston", "Rio de Janeiro").replace("12", "one hundred and twenty-five"),
+        5: item.replace("900 km per hour", "1 200 m/s").replace("12 hours", "3 days").replace("Boston", "Baden-Baden"),
+        6: item.replace("train leaves", "boat meets").replace("travel", "sailing").replace("reaches", "or").replace("far", "long").replace("after", "in"),
+        7: item.replace("Denver", "Boston"),
+    }
+    docs = spark.createDataFrame([(k, f"Well then. {t} So it goes.") for k, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r for r in template_decontam.leaks(docs, bench).collect()}
+    assert sorted(found) == [1, 2, 3, 4, 5, 7]
+    assert found[1].changed == 2 and found[3].changed == 2 and found[7].changed == 1 and found[2].windows == found[2].item_windows
+    words = spark.range(1).select(*(template_decontam.words_of(F.lit(t)).alias(str(i)) for i, t in enumerate(["He saw New York City, not new York", "The New York train", "twenty five or two hundred and six", "5 km/h and 3 m per second", "tenfold one"])))
+    shown = [[w.translate(str.maketrans("\u0002\u0004", "^_")) for w in x] for x in words.first()]
+    assert shown == [["^He", "saw", "New_York_City", "not", "new", "York"], ["^The", "New_York", "train"], ["twenty_five", "or", "two_hundred_six"], ["5", "km_per_h", "and", "3", "m_per_second"], ["tenfold", "one"]]
+
+
+def plain_template(text, named):
+    """Placeholders by going through the words one by one: [(template, value)]."""
+    numbers, units = set(template_decontam.NUMBERS), set(template_decontam.UNITS)
+    found, begins, out = list(re.finditer(r"[^\W_]+", text)), True, []
+    for i, m in enumerate(found):
+        word, gap = m.group(), text[found[i - 1].end() : m.start()] if i else ""
+        begins = i == 0 or re.search(r"[.!?:;\n]", gap) is not None
+        name = word[0].isupper() and (named or not begins)
+        kind = "<num>" if word[0].isdigit() or word.lower() in numbers else "<unit>" if word.lower() in units else "<name>" if name else word.lower()
+        if kind == "<name>" and out and out[-1][0] == "<name>" and gap in (" ", "-", "'") and (named or not out[-1][2]):
+            out[-1] = ("<name>", f"{out[-1][1]} {word}", out[-1][2])
+        else:
+            out.append((kind, word, begins and word[0].isupper()))
+    return [(k, v) for k, v, _ in out]
+
+
+def plain_leak(text, item):
+    """Whether half of the item's windows are in the text in one alignment, with a value of the text for each of the item's."""
+    for named in (False, True):
+        t, q = plain_template(text, named), plain_template(item, named)
+        size = min(template_decontam.WINDOW, len(q))
+        windows = [i for i in range(len(q) - size + 1) if sum(not k.startswith("<") for k, _ in q[i : i + size]) >= min(template_decontam.LITERAL, -(-size // 2))]
+        for shift in range(-len(q), len(t)):
+            held = [i for i in windows if 0 <= i + shift and i + shift + size <= len(t) and [k for k, _ in t[i + shift : i + shift + size]] == [k for k, _ in q[i : i + size]]]
+            values = {(q[j][1], t[j + shift][1]) for i in held for j in range(i, i + size) if q[j][0].startswith("<")}
+            if windows and 2 * len(held) >= len(windows) and len(values) == len({a for a, _ in values}):
+                return True
+    return False
+
+
+def test_decontamination_against_a_plain_matcher(spark):
+    rng = np.random.default_rng(12)
+    names, plain = ["Anna", "Boston", "New York", "Rio", "Old Sam Hill"], ["sells", "walks", "apples", "to", "the", "market", "with", "green", "bag", "from"]
+
+    def sentence():
+        return " ".join(str(rng.choice(names)) if x < 0.2 else str(rng.integers(2, 900)) if x < 0.35 else "km" if x < 0.4 else str(rng.choice(plain)) for x in rng.random(rng.integers(9, 22))) + "."
+
+    items = [(i, sentence() + " " + sentence()) for i in range(12)]
+    rows = []
+    for i in range(60):
+        words = items[i % 12][1].split(" ")
+        for k in rng.choice(len(words), rng.integers(0, 6), replace=False):
+            words[k] = str(rng.integers(2, 900)) if words[k].isdigit() else "Rome" if words[k][0].isupper() else str(rng.choice(plain))
+        rows.append((i, f"{sentence()} {' '.join(words)} {sentence()}"))
+    found = {(r.doc_id, r.item_id) for r in template_decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in rows for i, q in items if plain_leak(t, q)}
+    # other places (edits, ascending runs) may hold more than one alignment does
+    assert want <= found and len(want) > 20 and all(i == d % 12 for d, i in found - want)
+
+
 def test_decontamination_finds_planted_items(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
