@@ -37,7 +37,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and ``n_chars`` in step. Null and empty texts stay as they are;
     repeated rows are changed alike."""
-    return secret_scan.redact(docs, secret_scan.train(spark), length_col="n_chars")
+    words = secret_scan.dictionary(docs)
+    return secret_scan.redact(docs, secret_scan.train(spark, words=words), length_col="n_chars", words=words)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

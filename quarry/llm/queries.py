@@ -22,7 +22,9 @@ URL_RULES = (
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in the texts of ``documents``: id, span in code points, kind, digest, probability. Null and empty texts have
     none; very long ones are searched whole; repeated rows each get theirs; an empty table gives none."""
-    found = secret_scan.scan(read_table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    docs = read_table(spark, sf_dir, "documents")
+    words = secret_scan.dictionary(docs)
+    found = secret_scan.scan(docs, secret_scan.train(spark, words=words), words=words)
     return found.select(F.col("id").alias("doc_id"), "start", "end", "kind", "sha256", "probability")
 
 

@@ -1,18 +1,19 @@
 """Secret scans with a random forest against false positives.
 
 Candidates are found by their form: values assigned to a key word, known prefixes, and long runs that mix character
-classes. Each is described by its length, the transitions between its characters' classes, how far the words of its
-own text and a list of common words cover it, the path it comes from and the words beside it. A random forest trained
-on labelled findings then tells secrets from look-alikes (digests, identifiers, placeholders, addresses).
+classes. Each is described by its length, the transitions between its characters' classes, how far words cover it (those of
+its own text, of a dictionary counted over the corpus, and of a list of common parts), the path it comes from and the words
+beside it. A random forest trained on labelled findings then tells secrets from look-alikes (digests, identifiers,
+placeholders, addresses).
 
 Labelled findings are a table (before, candidate, after, path, label); ``labelled_findings`` makes one of
 ``FINDINGS`` rows from fixed rules and a seed, so that the library needs no real secrets.
 
 Defined results: null and empty texts have no findings; a finding's span counts code points; overlapping candidates
 are all judged, and those accepted give one finding, assigned and known ones first, then the longer, then the earlier;
-repeated rows each get theirs; a null path is an empty one; very long texts are
-searched whole, in time linear in their length but for sorting candidates; an empty table gives none; extra columns are
-ignored, and kept by ``redact`` whatever their names.
+repeated rows each get theirs; a null path is an empty one; very long texts are searched whole, in time linear in their
+length but for sorting candidates; an empty table gives none, and an empty dictionary; extra columns are ignored, and kept
+by ``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,13 +43,17 @@ _KEYS = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|au
 _KEYED = re.compile(rf"(?:^|[^A-Za-z])(?:{_KEYS})[A-Za-z_]*[\"']?\s*$", re.I)
 _ASSIGN = re.compile(r"[:=]")
 _VALUE = re.compile(r"[:=]?\s*[\"']?([^\s\"'<>,;]{6,})")
-_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*")
-_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", re.S)
+_KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|(?<![\w-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*")
+_BEGIN, _END = (re.compile(rf"-----{x} [A-Z0-9 ]{{0,40}}PRIVATE KEY-----") for x in ("BEGIN", "END"))
 _LOGIN = re.compile(r"\w://[^\s/:@\"'<>]{1,64}:([^\s/@\"'<>]{3,128})@")
 _RUN = re.compile(r"\S{15,}")
 #: Signs between the parts of a run without spaces; not those of padding at a part's end or of a URL's scheme.
-_PART = re.compile(r"[\"'`,;{}\[\]()<>|&?]|=(?!=*(?:\Z|[\"'`,;{}\[\]()<>|&?]))|:(?!//)")
+_PART = re.compile(r"[\"'`,;{}\[\]()<>|&?]|(?<!=)=++(?!\Z|[\"'`,;{}\[\]()<>|&?])|:(?!//)")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$%&|~^"
+#: An assigned value is taken as a whole up to this length, if it lies in a run of which a whole was taken before.
+WHOLE = 256
+#: Words of the dictionary: those in the most documents.
+WORDS = 20_000
 #: Words that look-alikes are often made of.
 COMMON = ("the and for that with this from have test example sample user name data value file page index table image model default config version build release branch commit package module class function object string number secret password token access key api".split())
 _BESIDE = {
@@ -63,16 +69,33 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of spans that may be secrets, each span once; they may overlap. A run without spaces is a
     candidate as a whole only where nothing finer in it is one."""
     found: dict[tuple[int, int], str] = {}
+    run = 0  # the end of the last value that was taken
     for m in _ASSIGN.finditer(text):
         if _KEYED.search(text[max(0, m.start() - 40) : m.start()]):
-            v = _VALUE.match(text, m.end())
-            if v and not v.group(1).startswith("//"):
-                for value in (v.group(1), _PART.split(v.group(1), maxsplit=1)[0]):
-                    end = v.start(1) + len(value.rstrip(_EDGE))
-                    if end - v.start(1) >= 6:
-                        found.setdefault((v.start(1), end), "assigned")
-    for m in _PEM.finditer(text):
-        found.setdefault(m.span(), "known")
+            stop = len(text) if m.end() >= run else min(run, m.end() + WHOLE)
+            v = _VALUE.match(text, m.end(), stop)
+            if v and not text.startswith("//", v.start(1)):
+                begin, cut_off = v.start(1), v.end(1) == stop < run
+                value = run if cut_off else v.end(1)
+                part = _PART.search(text, begin, value)
+                for end in [part.start() if part else value, *([] if cut_off else [value])]:
+                    while end > begin and text[end - 1] in _EDGE:
+                        end -= 1
+                    if end - begin >= 6:
+                        found.setdefault((begin, end), "assigned")
+                run = max(run, value)
+    at = 0
+    ends = iter([*(m.span() for m in _END.finditer(text)), (len(text) + 1, 0)])
+    begin, end = next(ends)
+    for m in _BEGIN.finditer(text):
+        if m.start() < at:  # inside the block before
+            continue
+        while begin < m.end():
+            begin, end = next(ends)
+        if not end:
+            break
+        found.setdefault((m.start(), end), "known")
+        at = end
     for m in _LOGIN.finditer(text):
         found.setdefault(m.span(1), "assigned")
     parts: dict[str, tuple[list[tuple[int, int, str]], list[tuple[int, int]]]] = {}
@@ -107,12 +130,19 @@ def _parts(word: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]
     """Spans in a run without spaces: known forms and parts that mix letters and digits; the run as a whole."""
     begin, end = _stripped(word, 0, len(word))
     known = [m.span() for m in _KNOWN.finditer(word, begin, end)]
+    firsts = [a for a, _ in known]
+
+    def holds(a: int, b: int) -> bool:
+        """Whether a known form lies in the span."""
+        i = bisect_left(firsts, a)
+        return i < len(known) and known[i][1] <= b
+
     fine = [(a, b, "known") for a, b in known]
     long_ = lambda a, b: b - a >= 16 and any(map(str.isdigit, word[a:b]))
     at = begin
     for stop, after in [*(m.span() for m in _PART.finditer(word, begin, end)), (end, end)]:
         a, b = _stripped(word, at, stop)
-        if long_(a, b) and not any(a <= x and y <= b for x, y in known):
+        if long_(a, b) and not holds(a, b):
             fine.append((a, b, "mixed"))
         at = after
     equals = word.rfind("=", begin, begin + len(word[begin:end].rstrip("=")))
@@ -124,7 +154,23 @@ def _class(c: str) -> str:
     return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o"
 
 
-def describe(value: str, before: str, after: str, path: str, vocabulary: set[str]) -> list[float]:
+@dataclass
+class Vocabulary:
+    """Words of a text and of the dictionary."""
+
+    own: set[str]
+    words: frozenset[str]
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.own or word in self.words
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell a row by its id and text: what is found by them is cut out of a text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("\u0001")), F.lit("\u0000"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
+def describe(value: str, before: str, after: str, path: str, vocabulary: Vocabulary | set[str] | frozenset[str]) -> list[float]:
     """Features of a candidate: form, transitions, coverage, path, neighbours."""
     n = max(len(value), 1)
     classes = [_class(c) for c in value]
@@ -218,22 +264,50 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, str, float]] | None = None) -> RandomForestClassificationModel:
-    """Fits the forest to labelled findings (before, candidate, after, path, label)."""
+def dictionary(docs: DataFrame, size: int = WORDS, text_col: str = "text") -> frozenset[str]:
+    """The words of letters alone, in lower case, that the most documents have; of equally frequent ones the first by the
+    alphabet. Counts are added up in each task before they are shuffled; the driver gets ``size`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        for batch in slices(batches, 128):
+            for text in batch.column(0):
+                counts.update({w for w in map(_plain_word, set((text.as_py() or "").split())) if w})
+            if len(counts) > 200_000:
+                yield held()
+                counts.clear()
+        yield held()
+
+    counts = map_arrow(docs.select(text_col), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return frozenset(r.word for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+
+
+def _plain_word(word: str) -> str | None:
+    """A word of 3 to 30 letters without the signs at its edges, in lower case."""
+    word = word.strip(_EDGE)
+    return word.lower() if 3 <= len(word) <= 30 and word.isalpha() else None
+
+
+def train(spark: SparkSession, findings: list[tuple[str, str, str, str, float]] | None = None, words: frozenset[str] = frozenset()) -> RandomForestClassificationModel:
+    """Fits the forest to labelled findings (before, candidate, after, path, label); ``words``: the dictionary."""
     rows = []
     for before, value, after, path, label in findings or labelled_findings():
-        vocabulary = {w.lower() for w in re.findall(r"[^\W\d_]+", f"{before} {after}")} - {value.lower()}
+        vocabulary = {w.lower() for w in re.findall(r"[^\W\d_]+", f"{before} {after}")} - {value.lower()} | words
         rows.append((describe(value, before, after, path, vocabulary), label))
     table = spark.createDataFrame(rows, "x array<double>, label double").coalesce(1)
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=3, maxBins=32, featureSubsetStrategy="sqrt")
     return forest.fit(cut(table.select(array_to_vector("x").alias("features"), "label")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", words: frozenset[str] = frozenset()) -> DataFrame:
     """(key, id, start, end, kind, sha256, x): all candidates with their features."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"), _key(id_col, text_col).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -242,7 +316,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
                 text = text.as_py() or ""
                 found = candidates(text)
                 if found:
-                    vocabulary = {w.lower().strip(_EDGE) for w in text.split() if w.isalpha() or w[:-1].isalpha()}
+                    vocabulary = Vocabulary({w.lower().strip(_EDGE) for w in text.split() if w.isalpha() or w[:-1].isalpha()}, words)
                 for a, b, what in found:
                     at.append(i)
                     starts.append(a)
@@ -256,12 +330,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
                 names=["key", "id", "start", "end", "kind", "sha256", "x"],
             )
 
-    return map_arrow(rows.select("id", "text", "path", "key"), run, f"key long, id {kind}, start long, end long, kind string, sha256 string, x array<double>")
+    return map_arrow(rows.select("id", "text", "path", "key"), run, f"key binary, id {kind}, start long, end long, kind string, sha256 string, x array<double>")
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", words: frozenset[str] = frozenset()) -> DataFrame:
     """The findings that the forest takes for secrets: (key, id, start, end, kind, sha256, probability)."""
-    found = find(docs, id_col, text_col, path_col)
+    found = find(docs, id_col, text_col, path_col, words)
     scored = model.transform(found.withColumn("features", array_to_vector("x")))
     scored = scored.select("key", "id", "start", "end", "kind", "sha256", vector_to_array("probability")[1].alias("probability"))
     return _settled(scored.where("probability >= 0.5"))
@@ -282,12 +356,12 @@ def _settled(accepted: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select(*columns)
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, mark: str = "<SECRET>", words: frozenset[str] = frozenset()) -> DataFrame:
     """All documents, each secret replaced by ``mark``; all columns as given, but for the length of changed texts."""
     key, spans_col, changed_col = (fresh(docs, name) for name in ("__key", "__spans", "__text"))
-    spans = scan(docs, model, id_col, text_col, path_col).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans_col))
+    spans = scan(docs, model, id_col, text_col, path_col, words).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(spans_col))
     spans = cut(spans.withColumnRenamed("key", key))
-    joined = _with_spans(docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col))), spans, key, spans_col)
+    joined = _with_spans(docs.withColumn(key, _key(id_col, text_col)), spans, key, spans_col)
     # pieces between secrets: from the end of one to the start of the next
     text = F.col(text_col)
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_col, lambda s: s["end"]))
