@@ -4,14 +4,19 @@ A page is a sequence of words and tags. Words score positive, by the block that
 weights are log-odds of being inside the content region, learned from labelled pages. One linear scan (the running sum
 that restarts when it falls to zero) finds the best contiguous region, whose words are the text.
 
+A block is the text between two tags that break a line. Its words are weighed by its length, its sentence marks and its
+share of links first, and by the name of its element second, so that running text in elements that labelled pages show
+as noise alone still counts. Tags that only lay a page out (``LAYOUT``) cost little, whatever was learned of them.
+
 Menus, adverts, comments and the like are no part of any region: their words and tags weigh nothing, so they neither
-join a region nor end one. Some elements are always such (``NEVER``); others are judged by the words of their class, id
-and role, whose weights are log-odds as well: those learned, on top of ``HINTS`` as a prior. Inside a marked article,
-running text speaks against a hint. An element that holds the page's largest article, or most of the words of a page
-that marks none, is not noise, whatever its class.
+join a region nor end one. Some elements are always such (``NEVER``); others are judged by the parts of the names in their
+class, id and role: those of ``NOISE`` are such, and those of ``DOUBTFUL``, with what was learned of names, unless they hold
+running text. What follows a heading such as "Comments" is such up to the end of the heading's parent. An element
+that holds the page's largest article, or most of its words, is not noise, whatever its class.
 
 Labelled pages are those that mark their own region with ``article`` or ``main``; at most ``SAMPLE`` of them, chosen
-by hash, are read for the weights. Weights of tags and blocks that no labelled page has are set by hand (``PRIOR``).
+by hash, are read for the weights. The marks are labels for learning; for extraction ``article`` is a tag like others. Prior
+weights (``PRIOR``) are set by hand, and hold where labelled pages show little.
 
 Defined results: null and empty pages, and pages without words, give the empty text; very long pages are read whole, in
 time linear in their length and depth; unclosed elements end with their parent or the page; of equal regions the first
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,15 +51,29 @@ _HINT = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head title nav footer aside button label option dialog menu legend".split())
-#: Weights of what labelled pages don't show: words by their block, tags by name.
-PRIOR = {"word p": 1.0, "word h1": 1.0, "word h2": 1.0, "word h3": 1.0, "word blockquote": 1.0, "word pre": 1.0, "word li": 1.0, "word td": 0.5, "word": 0.5, "word link": 0.1, "tag": -1.0, "tag inline": -0.02, "tag p": -0.05, "tag li": -0.1, "tag br": -0.02}
-#: Prior weights of names in class, id and role; of a name with hyphens, the whole counts, or else its last part.
-HINTS = {
-    **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsbygoogle adbox sponsor sponsored sponsors promoted comment comments commentlist replies reply respond disqus cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side-bar newsletter subscribe subscription popup modal pagination pager toolbar login signin signup complementary contentinfo".split(), -6.0),
-    **dict.fromkeys("related recommended recommendations search share sharing social notice notices alert disclaimer banner promo promotion promotions widget discuss discussion form masthead".split(), -2.0),
-}
-#: Evidence of a form or a page header without names, and the words from which on text of an article speaks for itself.
-FORM, HEADER, RUNNING = -2.0, -2.0, 25
+#: Elements that lay a page out, of which those of lines, lists and tables, and the most that one of their tags can cost.
+ROWS, ROW_COST = frozenset("p br li td th tr dt dd".split()), 0.02
+LAYOUT, LAYOUT_COST = frozenset("div section td tr th table tbody thead tfoot ul ol li dl dt dd center figure figcaption p br blockquote pre hr h1 h2 h3 h4 h5 h6".split()), 0.05
+#: Prior weights. Words by their block: its share of links, legal phrases, sentence marks, and length; by their element,
+#: added to that; tags. Words of evidence that a prior counts as.
+PRIOR = {
+    "block link": 0.02, "block legal": 0.02, "block short": 0.3, "block middle": 0.3, "block long": 0.5, "block short sentence": 0.6, "block middle sentence": 1.0, "block long sentence": 1.0,
+    "word h1": 1.0, "word h2": 1.0, "word h3": 1.0, "word": 0.0, "tag": -0.5, "tag inline": -0.02, "tag layout": -0.04, "tag row": -0.02,
+}
+EVIDENCE = 200
+#: What an element's name can take from a word's weight, the least weight of words, and that of some blocks.
+ELEMENT, WORD, LEAST = 0.5, 0.2, {"block link": 0.02, "block legal": 0.02}
+#: Parts of names in class, id and role. Those of parts with hyphens, underscores or inner capitals count each.
+NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle adbox sponsor sponsored sponsors promoted promo promos promotion promotions banner comment comments commentlist commenter replies reply respond disqus cookie cookies consent gdpr nav navbar navigation menu submenu breadcrumb breadcrumbs footer sidebar newsletter subscribe subscription signup popup modal pagination pager toolbar login signin complementary contentinfo notice notices alert disclaimer masthead".split())
+DOUBTFUL = frozenset("related recommended recommendations search share sharing social widget widgets discuss discussion form".split())
+#: Parts before these that make a name one of a wrapper: it has what it names, or has not.
+WRAPPER = frozenset("has no with without is".split())
+#: Evidence of a doubtful name, a header of the page, and the words from which on running text speaks for itself.
+DOUBT, HEADER, RUNNING = -2.0, -2.0, 25
+#: Headings after which comments, or links to other pages, follow.
+_AFTER = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|latest|recent)s?\s+)?(?:comments?|replies|responses|leave a (?:comment|reply)|(?:add|post|write) a (?:comment|reply)|related (?:articles|posts|stories|links|content)|you (?:may|might) also like|share this(?: \w+)?)\W*(?:\(?\d+\)?\W*)?\Z", re.I)
+_LEGAL = re.compile(r"\u00a9|\(c\)|copyright|all rights reserved|privacy policy|terms of (?:use|service)|cookie", re.I)
+_PARTS = re.compile(r"[^\W_]+")
 
 
 @dataclass
@@ -62,8 +82,12 @@ class Element:
     begin: int
     hints: list[str]
     marked: bool
+    parent: Element | None = None
     end: int = 0
 
+    def parent_end(self, page: Page) -> int:
+        return self.parent.end if self.parent else len(page.parts)
+
 
 @dataclass
 class Page:
@@ -74,7 +98,7 @@ class Page:
 
 
 def _hints(tag: str) -> list[str]:
-    return [w for groups in _HINT.findall(tag) for w in "".join(groups).lower().split()]
+    return [w for groups in _HINT.findall(tag) for w in "".join(groups).split()]
 
 
 def parse(source: str) -> Page:
@@ -118,7 +142,7 @@ def parse(source: str) -> Page:
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0].name == name or stack[-1][0].name == "p":
                 close(stack[-1][0].name)  # a block ends an open paragraph, a list item the one before
         if name not in VOID and not raw.endswith("/>") and (not inline or hints):
-            element = Element(name, len(page.parts), hints, marks > 0)
+            element = Element(name, len(page.parts), hints, marks > 0, stack[-1][0] if stack else None)
             page.elements.append(element)
             stack.append((element, stack[-1][1] if inline and stack else "body" if inline else name))
             opened[name] += 1
@@ -136,10 +160,42 @@ def _counts(page: Page) -> tuple[list[int], list[int]]:
     return [0, *accumulate(sizes)], [0, *accumulate(n if kind == "word link" else 0 for (kind, _, _), n in zip(page.parts, sizes, strict=True))]
 
 
-def _hint_weight(name: str, weights: dict[str, float]) -> float:
-    last = re.split(r"[-_]", name)[-1]
-    prior = HINTS.get(name, HINTS.get(last, 0.0) if last in ("ad", "ads", "comments", "menu", "nav", "sidebar", "footer", "banner", "notice", "newsletter", "breadcrumbs", "share") else 0.0)
-    return prior + weights.get(f"hint {name}", 0.0)
+def _blocks(page: Page, before: list[int], linked: list[int]) -> list[str]:
+    """The kind of block that each part lies in; a part that breaks a line lies in none."""
+    kinds, lo = [""] * len(page.parts), 0
+    for i in range(len(page.parts) + 1):
+        if i < len(page.parts) and not page.parts[i][2]:
+            continue
+        n, links = before[i] - before[lo], linked[i] - linked[lo]
+        if n:
+            text = "".join(t for _, t, _ in page.parts[lo:i]) if n < 40 else next(t for _, t, _ in reversed(page.parts[lo:i]) if t.strip())
+            if 2 * links > n:
+                kind = "block link"
+            elif n < 40 and _LEGAL.search(text):
+                kind = "block legal"
+            else:
+                ends = text.rstrip().rstrip("\"'\u201d\u2019)]")[-1:] in set(".!?:;\u2026\u3002")
+                kind = ("block short" if n < 8 else "block middle" if n < 25 else "block long") + " sentence" * ends
+            kinds[lo:i] = [kind] * (i - lo)
+        lo = i + 1
+    return kinds
+
+
+def _names(hint: str) -> list[str]:
+    """Parts of a name, in lower case, but for those that a wrapper says it has or has not."""
+    parts = [p.lower() for p in _PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", hint).replace("_", "-"))]
+    return [p for i, p in enumerate(parts) if not (i and parts[i - 1] in WRAPPER)]
+
+
+def _is_noise(e: Element, weights: dict[str, float], running: bool) -> bool:
+    """Whether an element's names, or its own, tell that it is no content."""
+    score = 0.0
+    for hint in e.hints:
+        parts = _names(hint)
+        if not NOISE.isdisjoint(parts):
+            return True
+        score += weights.get(f"hint {hint.lower()}", 0.0) + (0.0 if DOUBTFUL.isdisjoint(parts) else DOUBT)
+    return e.name == "form" or score < 0 and not running
 
 
 def noise(page: Page, weights: dict[str, float], before: list[int], linked: list[int]) -> list[bool]:
@@ -147,29 +203,35 @@ def noise(page: Page, weights: dict[str, float], before: list[int], linked: list
     total = before[-1]
     size = lambda e: before[e.end] - before[e.begin]
     largest = max((e for e in page.elements if e.name in ("article", "main")), key=size, default=None)
+    if largest is not None and 2 * size(largest) < total - size(largest):
+        largest = None  # as an article that holds only the heading
+    headed = sorted(e.begin for e in page.elements if e.name in ("h1", "h2") and before[e.end] - before[e.begin] > linked[e.end] - linked[e.begin])
     depth = [0] * (len(page.parts) + 1)
     for e in page.elements:
+        lo, hi = e.begin, e.end
         if e.name in ("html", "body", "article", "main"):
             continue
-        if e.name not in NEVER:
-            score = sum(_hint_weight(h, weights) for h in e.hints)
-            score += FORM if e.name == "form" else HEADER if e.name == "header" and not e.marked else 0.0
-            if score >= 0:
-                continue
+        if re.fullmatch("h[1-6]", e.name) and _AFTER.match(" ".join("".join(t for _, t, _ in page.parts[lo : min(hi, lo + 40)]).split())) and before[hi] - before[lo] <= 6:
+            hi = e.parent_end(page)  # what follows the heading
+        elif e.name not in NEVER:
             n = size(e)
-            if largest is not None and e.begin <= largest.begin and largest.end <= e.end:
+            running = n >= RUNNING and 10 * (linked[e.end] - linked[e.begin]) < 3 * n
+            if e.name == "header":  # of the page, and not of what it heads
+                if e.marked or (k := bisect_left(headed, lo)) < len(headed) and headed[k] < hi:
+                    continue
+            elif not _is_noise(e, weights, running):
                 continue
-            if largest is None and 2 * n > total and not any(h.startswith(("comment", "repl")) for h in e.hints):
+            if largest is not None and lo <= largest.begin and largest.end <= hi:
                 continue
-            if e.marked and n >= RUNNING and 10 * (linked[e.end] - linked[e.begin]) < 3 * n and score + 1 + math.log2(n / RUNNING) >= 0:
+            if not e.marked and 2 * n > total and not any(p in ("comment", "comments", "commentlist", "replies") for h in e.hints for p in _names(h)):
                 continue
-        depth[e.begin] += 1
-        depth[e.end] -= 1
+        depth[lo] += 1
+        depth[hi] -= 1
     return [d > 0 for d in list(accumulate(depth))[:-1]]
 
 
 def _marked(page: Page) -> list[bool] | None:
-    """Whether each part lies in an article; None if the page marks none."""
+    """Whether each part lies in an article, for learning; None if the page marks none."""
     depth = [0] * (len(page.parts) + 1)
     found = [e for e in page.elements if e.name in ("article", "main")]
     for e in found:
@@ -179,22 +241,25 @@ def _marked(page: Page) -> list[bool] | None:
 
 
 def _labelled(source: str) -> Counter:
-    """Counts of (feature, inside the marked region); words count each."""
+    """Counts of (feature, inside the marked region); words count each, for their block and for their element."""
     page, out = parse(source), Counter()
     inside = _marked(page) or [False] * len(page.parts)
-    before, _ = _counts(page)
+    before, linked = _counts(page)
+    blocks = _blocks(page, before, linked)
     for i, (kind, _, _) in enumerate(page.parts):
         n = before[i + 1] - before[i] if kind.startswith("word") else 1
         if n:
             out[kind, inside[i]] += n
+            if kind.startswith("word"):
+                out[blocks[i], inside[i]] += n
     for e in page.elements:
         for h in set(e.hints):
-            out[f"hint {h}", e.marked] += before[e.end] - before[e.begin]
+            out[f"hint {h.lower()}", e.marked] += before[e.end] - before[e.begin]
     return out
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
-    """Weights from at most SAMPLE labelled pages; words are clipped above zero and tags below."""
+    """Weights from at most SAMPLE labelled pages."""
     marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
     chosen = marked.orderBy(F.md5(F.col("id").cast("string")), "id").limit(SAMPLE)
     ids = pages.sparkSession.createDataFrame(chosen.collect(), marked.schema).distinct()
@@ -208,23 +273,33 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()), pa.array(total.values(), pa.int64())], names=["kind", "inside", "n"])
 
     counts = map_arrow(rows.select("html"), run, "kind string, inside boolean, n long").groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("outer"))
-    weights = {}
-    for r in counts.collect():  # features of SAMPLE pages
-        odds = math.log((r["inner"] + 0.5) / (r["outer"] + 0.5))
-        if r["kind"].startswith("hint"):
-            weights[r["kind"]] = max(-6.0, min(odds, 3.0))
-        else:
-            least = -0.3 if r["kind"].partition(" ")[2].lstrip("/") in INLINE else -3.0
-            weights[r["kind"]] = max(0.02, min(odds, 3.0)) if r["kind"].startswith("word") else min(-0.02, max(odds / 2, least))
-    return weights
+    return {r["kind"]: _learned(r["kind"], r["inner"], r["outer"]) for r in counts.collect()}  # features of SAMPLE pages
+
+
+def _learned(kind: str, inner: int, outer: int) -> float:
+    """The log-odds of a feature, drawn to its prior by EVIDENCE, within its limits."""
+    if kind.startswith("hint"):
+        return max(-6.0, min(math.log((inner + 0.5) / (outer + 0.5)), 3.0))
+    prior = _prior(kind)
+    odds = math.log((inner + EVIDENCE / (1 + math.exp(-prior))) / (outer + EVIDENCE / (1 + math.exp(prior))))
+    if kind.startswith("block"):
+        return LEAST.get(kind, max(WORD, min(odds, 3.0)))
+    if kind.startswith("word"):
+        return max(-ELEMENT, min(odds, 1.0))
+    name = kind.partition(" ")[2].lstrip("/")
+    most = 0.1 if name in INLINE else ROW_COST if name in ROWS else LAYOUT_COST if name in LAYOUT else 3.0
+    return min(-0.02, max(odds, -most))
+
+
+def _prior(kind: str) -> float:
+    first, _, name = kind.partition(" ")
+    name = name.lstrip("/")
+    group = PRIOR["tag inline" if name in INLINE else "tag row" if name in ROWS else "tag layout" if name in LAYOUT else "tag"]
+    return PRIOR.get(f"{first} {name}", group if first == "tag" else PRIOR["word"])
 
 
 def weight(kind: str, weights: dict[str, float]) -> float:
-    if kind in weights:
-        return weights[kind]
-    name = kind.partition(" ")[2].lstrip("/")
-    first = kind.partition(" ")[0]
-    return PRIOR.get(f"{first} {name}", PRIOR["tag inline"] if first == "tag" and name in INLINE else PRIOR[first])
+    return weights[kind] if kind in weights else _prior(kind)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -240,19 +315,17 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return lo, hi
 
 
-#: Weights of words and tags outside the articles of a page that marks some; inside, words weigh at least so much and
-#: tags cost no more.
-OUTSIDE_WORD, OUTSIDE_TAG, INSIDE_WORD, INSIDE_TAG = 0.001, -1.0, 0.5, -0.02
-
-
-def scores(page: Page, weights: dict[str, float], skip: list[bool], before: list[int]) -> list[float]:
+def scores(page: Page, weights: dict[str, float], skip: list[bool], before: list[int], linked: list[int]) -> list[float]:
     """The score of each part; that of a text is the sum over its words."""
-    inside, out = _marked(page), []
-    for i, (kind, _, _) in enumerate(page.parts):
-        word, w = kind.startswith("word"), weight(kind, weights)
-        if inside is not None:
-            w = max(w, INSIDE_WORD if word else INSIDE_TAG) if inside[i] else OUTSIDE_WORD if word else OUTSIDE_TAG
-        out.append(0.0 if skip[i] else w * (before[i + 1] - before[i]) if word else w)
+    out = []
+    for i, ((kind, _, _), block) in enumerate(zip(page.parts, _blocks(page, before, linked), strict=True)):
+        if skip[i]:
+            out.append(0.0)
+        elif kind.startswith("word"):
+            n = before[i + 1] - before[i]
+            out.append(n * LEAST.get(block, max(WORD, weight(block, weights) + weight(kind, weights))) if n else 0.0)
+        else:
+            out.append(weight(kind, weights))
     return out
 
 
@@ -261,7 +334,7 @@ def extract(source: str | None, weights: dict[str, float]) -> str:
     page = parse(source or "")
     before, linked = _counts(page)
     skip = noise(page, weights, before, linked)
-    lo, hi = best_run(scores(page, weights, skip, before))
+    lo, hi = best_run(scores(page, weights, skip, before, linked))
     out = [" " if breaks else text for (_, text, breaks), noisy in zip(page.parts[lo:hi], skip[lo:hi], strict=True) if breaks or not noisy]
     return " ".join("".join(out).split())
 

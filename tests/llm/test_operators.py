@@ -566,6 +566,41 @@ def test_html_keeps_what_belongs_to_the_article(spark):
         html_main.extract(deep, weights)
 
 
+def test_html_of_other_layouts(spark):
+    """Pages that mark no article, exclusions inside articles, and articles that hold little."""
+    weights = html_main.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    line, page = "Twenty plain words of running text stand here. ", "<body><nav>menu items</nav><article>%s</article><footer>foot</footer></body>"
+    run = line * 4
+    table = "<table><tr><th>Name</th><th>Size</th></tr>" + "".join(f"<tr><td>row {i}</td><td>{i}.5</td></tr>" for i in range(12)) + "</table>"
+    cells = "Name Size " + " ".join(f"row {i} {i}.5" for i in range(12))
+    menu = "<ul>" + "".join(f"<li><a href=/x>Item {i}</a></li>" for i in range(9)) + "</ul>"
+    cases = [
+        (f"<body>{menu}<div class=content><p>{run}</p>{table}<p>tail of it.</p></div><div class=footer>Imprint</div></body>", f"{run}{cells} tail of it."),
+        (f"<body>{menu}<div><div><h1>The heading here</h1></div></div><div class=content><p>{run}</p></div><div><div><p>One last line.</p></div></div><p>&copy; 2020 All rights reserved.</p></body>", f"The heading here {run}One last line."),
+        (f"<body><article><h1>Only the heading</h1></article><div>{''.join(f'<p>{run}</p>' for _ in range(8))}</div></body>", "Only the heading " + (run * 8).strip()),
+        (f"<body>{menu}<table><tr><td>{menu}</td><td>{run}<br>{run}</td></tr></table>{menu}</body>", f"{run}{run}".strip()),
+        (f"<body><div>{run}</div><div>{run}</div>{menu}</body>", f"{run}{run}".strip()),
+        *((page % f"<p>{run}</p><div class='{name}'><p>{run}</p></div><p>end of it.</p>", f"{run}end of it.") for name in "ad-wrapper ad-slot-1 comment-list comment-body sidebar-left newsletter-signup promo-box cookieNotice site_banner".split()),
+        (page % f"<p>{run}</p><section><h2>Comments (3)</h2><p>{run}</p></section>", run.strip()),
+        (page % f"<p>{run}</p><h3>Reader comments</h3><p>{run}</p>", run.strip()),
+        (page % f"<p>{run}</p><form><p>{run}</p><input><button>Send</button></form><p>end of it.</p>", f"{run}end of it."),
+        (page % f"<p>{run}</p><div class=notice><p>{line * 14}</p></div><p>end of it.</p>", f"{run}end of it."),
+        (page % f"<header class='article-header'><h1>Title here</h1></header><p>{run}</p><h2>Comments on the law</h2><p>{run}</p>", f"Title here {run}Comments on the law {run}".strip()),
+        (f"<header><a href=/>Site</a> the motto of this site.</header><div class='page no-sidebar'><p>{run}</p></div>", run.strip()),
+    ]
+    for source, want in cases:
+        assert html_main.extract(source, weights) == want.strip(), source
+
+
+def test_html_marks_are_labels_only(spark):
+    """The same text comes from pages without their marks, by the weights and the scan alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_main.learn(pages)
+    for r in pages.collect():
+        bare = re.sub(r"</?article[^>]*>", "", r.html)
+        assert html_main.extract(bare, weights) == html_main.extract(re.sub("article", "div", r.html), weights) == html_main.extract(r.html, weights)
+
+
 def test_best_run():
     rng = np.random.default_rng(4)
     for _ in range(200):
