@@ -1,116 +1,99 @@
 """Readers of sequence and alignment text files: FASTA, A3M, Stockholm and M8 tables.
 
-Files are read whole by Spark (``wholetext``), one row per file, and parsed in Arrow batches; every reader gives rows with
-the file's name and explicit row numbers, so later steps never rely on order.
+Spark splits files at their records or lines, wherever these fall, so a file of any size is read by many tasks; a row's
+number in its file comes from the counts of the blocks before its own. Rows are taken apart by column functions.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.functions.sequences import characters, deletions_before, without_insertions
+
 M8_COLUMNS = "query_id string, template_id string, seq_identity double, aln_len int, n_gaps int, n_mismatches int, query_start int, query_end int, template_start int, template_end int, e_value double, bit_score double, cigar string"
-MSA_SCHEMA = "file string, row_idx int, header string, aligned string, deletions array<int>"
-
-
-def records(text: str) -> list[tuple[str, str]]:
-    """(header, sequence) of FASTA-like text: sequences may span lines; blank and ``#`` lines are skipped."""
-    out: list[tuple[str, list[str]]] = []
-    for line in text.splitlines():
-        line = line.strip()
-        if line.startswith(">"):
-            out.append((line[1:], []))
-        elif line and not line.startswith("#") and out:
-            out[-1][1].append(line)
-    return [(h, "".join(s)) for h, s in out]
-
-
-def a3m_row(sequence: str) -> tuple[str, list[int]]:
-    """Aligned columns of an A3M row, and the insertions (lower-case letters) right before each."""
-    kept, deletions, run = [], [], 0
-    for c in sequence:
-        if c.islower():
-            run += 1
-        else:
-            kept.append(c)
-            deletions.append(run)
-            run = 0
-    return "".join(kept), deletions
-
-
-def stockholm_rows(text: str) -> list[tuple[str, str]]:
-    """(name, row) of a Stockholm alignment: wrapped blocks joined by name, in order of first appearance."""
-    rows: dict[str, list[str]] = {}
-    for line in text.splitlines():
-        if line.strip() and not line.startswith(("#", "//")):
-            name, _, row = line.strip().partition(" ")
-            rows.setdefault(name, []).append(row.strip())
-    return [(n, "".join(r)) for n, r in rows.items()]
-
-
-def stockholm_columns(rows: list[tuple[str, str]], gaps: str = "-.") -> list[tuple[str, str, list[int]]]:
-    """Rows without the columns where the first row has a gap; residues in those count as deletions before the next."""
-    if not rows:
-        return []
-    keep = [c not in gaps for c in rows[0][1]]
-    out = []
-    for name, row in rows:
-        kept, deletions, run = [], [], 0
-        for k, c in zip(keep, row, strict=True):
-            if k:
-                kept.append(c)
-                deletions.append(run)
-                run = 0
-            elif c not in gaps:
-                run += 1
-        out.append((name, "".join(kept), deletions))
-    return out
-
-
-def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+#: What stands for a gap in a Stockholm row, and the extensions of alignments.
+GAPS, A3M, STOCKHOLM = ("-", "."), ".a3m", ".sto"
+
+
+def pieces(spark: SparkSession, path: str | list[str], mark: str) -> DataFrame:
+    """(file, block, at, value): the text between marks; ``at`` orders those of a block, and ``block`` (the byte at which a
+    task began) a file's blocks."""
+    read = spark.read.option("lineSep", mark).text(path)
+    return read.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def numbered(rows: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Adds a row's number in its file, from 0. Rows are numbered within a block, and blocks by the rows before them, so
+    no task gets more than a block's."""
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(W.partitionBy("file", "block").orderBy("at"))
+    return rows.join(sizes.select("file", "block", before.alias("__before")), ["file", "block"]).withColumn(name, (F.col("__before") + inner - 1).cast("int")).drop("__before")
+
+
+def fasta_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, at, header, sequence) of FASTA-like files: a record starts with ``>`` at a line's start, its sequence may
+    span lines; blank lines and those that start with ``#`` are skipped."""
+    rows = pieces(spark, path, "\n>")
+    # what comes before a file's first record is none
+    first = (F.col("block") == 0) & (F.col("at") == F.min("at").over(W.partitionBy("file", "block")))
+    rows = rows.withColumn("__first", first).where(~F.col("__first") | F.col("value").startswith(">"))
+    lines = F.transform(F.split(F.when(F.col("__first"), F.expr("substring(value, 2)")).otherwise(F.col("value")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "\\s+$", "")))
+    kept = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: (x != "") & ~x.startswith("#"))
+    return rows.select("file", "block", "at", F.get(lines, F.lit(0)).alias("header"), F.array_join(kept, "").alias("sequence"))
+
+
+def stockholm_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, name, row, row_idx, description): a row's parts in all blocks of the alignment joined, rows in order of first
+    appearance; the description is that of a ``#=GS name DE`` line."""
+    lines = numbered(pieces(spark, path, "\n").withColumn("value", F.trim(F.regexp_replace("value", "\\s+$", ""))), "line")
+    parts = lines.where("value <> '' AND NOT value LIKE '#%' AND NOT value LIKE '//%'").select("file", "line", F.regexp_extract("value", r"^(\S+)\s*(.*)$", 1).alias("name"), F.regexp_extract("value", r"^(\S+)\s*(.*)$", 2).alias("part"))
+    rows = parts.groupBy("file", "name").agg(F.min("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), "").alias("row"))
+    about = lines.select("file", "line", F.regexp_extract("value", r"^#=GS\s+(\S+)\s+DE\s+(.*)$", 1).alias("name"), F.regexp_extract("value", r"^#=GS\s+(\S+)\s+DE\s+(.*)$", 2).alias("text"))
+    about = about.where("name <> ''").groupBy("file", "name").agg(F.max_by("text", "line").alias("description"))
+    order = F.row_number().over(W.partitionBy("file").orderBy("line")) - 1  # an alignment's rows, not a file's lines
+    return rows.join(about, ["file", "name"], "left").select("file", "name", "row", order.alias("row_idx"), F.coalesce("description", F.lit("")).alias("description"))
+
+
+def against_query(query: Column, row: Column) -> Column:
+    """A Stockholm row as one of A3M: columns in which the query has a gap are insertions, in lower case, or left out."""
+    both = F.arrays_zip(characters(query).alias("q"), characters(row).alias("c"))
+    kept = F.filter(both, lambda x: ~x["q"].isin(*GAPS) | ~x["c"].isin(*GAPS))
+    return F.array_join(F.transform(kept, lambda x: F.when(x["q"].isin(*GAPS), F.lower(x["c"])).otherwise(F.upper(x["c"]))), "")
+
+
+def alignment_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, row_idx, name, header, a3m) of A3M and Stockholm files, by extension; others give no rows. The first row is the
+    query."""
+    a3m = numbered(fasta_records(spark, path).where(F.col("file").endswith(A3M)))
+    one = a3m.select("file", "row_idx", F.element_at(F.split("header", " "), 1).alias("name"), "header", F.col("sequence").alias("a3m"))
+    sto = stockholm_lines(spark, path).where(F.col("file").endswith(STOCKHOLM))
+    query = sto.where("row_idx = 0").select("file", F.col("row").alias("query"))
+    two = sto.join(query, "file").select("file", "row_idx", "name", F.col("description").alias("header"), against_query(F.col("query"), F.col("row")).alias("a3m"))
+    return one.unionByName(two)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, row_idx, header, sequence)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f, i, h, s) for f, t in zip(pdf["file"], pdf["text"], strict=True) for i, (h, s) in enumerate(records(t))]
-            yield pd.DataFrame(rows, columns=["file", "row_idx", "header", "sequence"])
-
-    return _whole(spark, path).mapInPandas(run, "file string, row_idx int, header string, sequence string")
+    return numbered(fasta_records(spark, path)).select("file", "row_idx", "header", "sequence")
 
 
 def first_by_header(fasta: DataFrame) -> DataFrame:
     """Of records with one header in a file, the first."""
-    w = W.partitionBy("file", "header").orderBy("row_idx")
-    return fasta.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    best = F.min_by(F.struct(*fasta.columns), "row_idx").alias("r")
+    return fasta.groupBy("file", "header").agg(best).select("r.*")
 
 
 def read_msa(spark: SparkSession, path: str | list[str], max_rows: int | None = None) -> DataFrame:
-    """(file, row_idx, header, aligned, deletions) of A3M and Stockholm files, by extension; others give no rows. A cap
-    on rows counts the query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file, text in zip(pdf["file"], pdf["text"], strict=True):
-                if file.endswith(".a3m"):
-                    found = [(h, *a3m_row(s)) for h, s in records(text)]
-                elif file.endswith(".sto"):
-                    found = stockholm_columns(stockholm_rows(text))
-                else:
-                    found = []
-                rows += [(file, i, *r) for i, r in enumerate(found[:max_rows])]
-            yield pd.DataFrame(rows, columns=["file", "row_idx", "header", "aligned", "deletions"])
-
-    return _whole(spark, path).mapInPandas(run, MSA_SCHEMA)
+    """(file, row_idx, header, aligned, deletions) of A3M and Stockholm files. A cap on rows counts the query."""
+    rows = alignment_rows(spark, path)
+    rows = rows if max_rows is None else rows.where(F.col("row_idx") < max_rows)
+    header = F.when(F.col("file").endswith(A3M), F.col("header")).otherwise(F.col("name"))
+    return rows.select("file", "row_idx", header.alias("header"), without_insertions(F.col("a3m")).alias("aligned"), deletions_before(F.col("a3m")).alias("deletions"))
 
 
 def read_m8(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -130,43 +113,31 @@ def hit_header(header: str) -> tuple[str, str, int, int] | None:
     return (m["entry"], m["chain"], int(m["start"]), int(m["end"])) if m else None
 
 
-HIT_SCHEMA = "file string, index int, entry_id string, chain_id string, start int, query string, aligned string"
-#: The description of a sequence in a Stockholm file, by its name.
-STOCKHOLM_DESCRIPTION = re.compile(r"^#=GS\s+(\S+)\s+DE\s+(.*)$", re.MULTILINE)
-
-
-def template_records(file: str, text: str) -> list[tuple[str, str, str]]:
-    """(name, description, row as A3M) of an alignment of templates, the query first."""
-    if file.endswith(".a3m"):
-        return [(h.split(" ")[0], h, s) for h, s in records(text)]
-    described = dict(STOCKHOLM_DESCRIPTION.findall(text))
-    rows = stockholm_rows(text)
-    query = rows[0][1] if rows else ""
-    lowered = lambda row: "".join(c if q not in "-." else c.lower() for q, c in zip(query, row, strict=True) if q not in "-." or c not in "-.")
-    return [(name, described.get(name, ""), lowered(row)) for name, row in rows]
-
-
 def read_template_hits(spark: SparkSession, path: str | list[str], max_hits: int | None = None) -> DataFrame:
-    """(file, index, entry_id, chain_id, start, query, aligned) of the templates in A3M and Stockholm files, by extension.
+    """(file, index, entry_id, chain_id, start, query, aligned, reason) of the templates in A3M and Stockholm files.
 
     Row 0 is the query, whose residues start at 1, and doesn't count as a hit. Insertions are lower-case letters, ``query``
-    is the aligned query of the file. Hits are named like ``1abc_A/5-80``; a name without residues or a description
-    without ``mol:protein`` raises, as the alignment would have to be made anew. Other files and empty ones give no rows;
-    M8 tables have a reader of their own."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file, text in zip(pdf["file"], pdf["text"], strict=True):
-                found = template_records(file, text) if file.endswith((".a3m", ".sto")) else []
-                for i, (name, description, row) in enumerate(found[: None if max_hits is None else max_hits + 1]):
-                    at = hit_header(name) if i else (name.split("/")[0].partition("_")[0], name.split("/")[0].partition("_")[2] or "1", 1, 0)
-                    if at is None or (i and "mol:protein" not in description):
-                        raise ValueError(f"{file}: {name} has no residues or is no protein")
-                    rows.append((file, i, at[0], at[1], at[2], found[0][2], row))
-            yield pd.DataFrame(rows, columns=["file", "index", "entry_id", "chain_id", "start", "query", "aligned"])
-
-    return _whole(spark, path).mapInPandas(run, HIT_SCHEMA)
+    is the aligned query of the file. Hits are named like ``1abc_A/5-80``; one without residues in its name, or without
+    ``mol:protein`` in its description, has a ``reason`` and no entry, as its alignment would have to be made anew. Other
+    files and empty ones give no rows; M8 tables have a reader of their own."""
+    rows = alignment_rows(spark, path)
+    rows = rows if max_hits is None else rows.where(F.col("row_idx") <= max_hits)
+    query = rows.where("row_idx = 0").select("file", F.col("a3m").alias("query"))
+    at = lambda k: F.regexp_extract("name", HIT_HEADER.pattern.replace("?P<", "?<"), k)
+    own = F.split(F.element_at(F.split("name", "/"), 1), "_", 2)
+    named, is_query = at(1) != "", F.col("row_idx") == 0
+    reason = F.when(~is_query & ~named, "no residues in its name").when(~is_query & ~F.col("header").contains("mol:protein"), "no protein")
+    good = is_query | reason.isNull()
+    return rows.join(query, "file").select(
+        "file",
+        F.col("row_idx").alias("index"),
+        F.when(is_query, own[0]).when(good, at(1)).alias("entry_id"),
+        F.when(is_query, F.coalesce(F.when(F.get(own, F.lit(1)) != "", F.get(own, F.lit(1))), F.lit("1"))).when(good, at(2)).alias("chain_id"),
+        F.when(is_query, F.lit(1)).when(good, at(3).try_cast("int")).alias("start"),
+        "query",
+        F.col("a3m").alias("aligned"),
+        reason.alias("reason"),
+    )
 
 
 def write_fasta(rows: DataFrame, path: str, header: str = "header", sequence: str = "sequence") -> None:

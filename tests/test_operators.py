@@ -141,6 +141,32 @@ def test_alignment_files(spark, tmp_path):
     assert alignments.hit_header("1abc_A/5-80 mol:protein") == ("1abc", "A", 5, 80) and alignments.hit_header("plain") is None
 
 
+def test_files_split_anywhere(spark, tmp_path):
+    """Records and lines keep their numbers when a file is read in many blocks."""
+    rng = np.random.default_rng(0)
+    want = [(f"r{i} a>b", "".join(rng.choice(list("ACDE"), rng.integers(0, 90)))) for i in range(400)]
+    cut = lambda s: "\r\n".join(s[k : k + 20] for k in range(0, len(s), 20))
+    (tmp_path / "x.fasta").write_text("# a note\n\n" + "\n".join(f">{h}\n{cut(s)}\n\n#skip" for h, s in want) + "\n", newline="")
+    names = [f"n{i}" for i in range(30)]
+    rows = {n: "".join(rng.choice(list("AC-."), 120)) for n in names}
+    (tmp_path / "y.sto").write_text("# STOCKHOLM 1.0\n" + "\n\n".join("\n".join(f"{n}   {rows[n][k : k + 30]}" for n in names) for k in range(0, 120, 30)) + "\n//\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = alignments.read_fasta(spark, str(tmp_path / "x.fasta"))
+        assert alignments.fasta_records(spark, str(tmp_path / "x.fasta")).select("block").distinct().count() > 5
+        assert [(r.row_idx, r.header, r.sequence) for r in got.orderBy("row_idx").collect()] == [(i, h, s) for i, (h, s) in enumerate(want)]
+        sto = alignments.read_msa(spark, str(tmp_path / "y.sto")).orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.header for r in sto] == names
+    keep = [i for i, c in enumerate(rows["n0"]) if c not in "-."]
+    for r in sto:
+        assert r.aligned == "".join(rows[r.header][i] for i in keep)
+        assert r.deletions == [sum(c not in "-." for c in rows[r.header][a + 1 : b]) for a, b in zip([-1, *keep], keep)]
+
+
 CIF = """data_x
 loop_
 _atom_site.group_PDB
@@ -182,8 +208,9 @@ def test_metadata_round_trip(spark, tmp_path):
     }
     (tmp_path / "d.json").write_text(json.dumps(doc))
     tables = structures.read_metadata(spark, str(tmp_path / "d.json"))
-    structures.metadata_document("t", *tables).write.json(str(tmp_path / "out"))
-    for one, other in zip(tables, structures.read_metadata(spark, str(tmp_path / "out")), strict=True):
+    structures.metadata_parts("t", *tables).write.json(str(tmp_path / "out"))
+    assert structures.metadata_parts("t", *tables).count() == 3
+    for one, other in zip(tables, structures.read_metadata(spark, str(tmp_path / "out"), lines=True), strict=True):
         assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
 
 

@@ -22,8 +22,9 @@ def test_readers_agree_on_hits(spark, tmp_path):
     maps = alignments.read_template_hits(spark, str(tmp_path / "a.a3m")).where("index = 1").select(t.index_map(F.col("query"), F.col("aligned"), F.lit(1), F.col("start")).alias("m")).first().m
     assert [tuple(p) for p in maps] == [(1, 5), (2, -1), (3, 6), (4, 8), (-1, 9), (5, 10)]
     (tmp_path / "e.a3m").write_text(">q\nAC\n>1abc_A/1-2 mol:na\nAC\n")
-    with pytest.raises(Exception, match="no protein"):
-        alignments.read_template_hits(spark, str(tmp_path / "e.a3m")).collect()
+    (tmp_path / "f.a3m").write_text(">q\nAC\n>plain mol:protein\nAC\n>2xyz_B/1-2 mol:protein\nAC\n")
+    rows = alignments.read_template_hits(spark, [str(tmp_path / x) for x in ("e.a3m", "f.a3m")]).where("index > 0").orderBy("file", "index").collect()
+    assert [(r.entry_id, r.reason) for r in rows] == [(None, "no protein"), (None, "no residues in its name"), ("2xyz", None)]
 
 
 def test_index_map_drops_columns_of_two_gaps(spark):
