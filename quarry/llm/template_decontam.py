@@ -55,29 +55,39 @@ _DECIMAL = r"(?<=\d)[.,](?=\d)"
 _SEPARATED = r"\d[,.'\u2019_ \u00a0\u202f]\d"
 _NUMBER, _UNIT, _PER = ("|".join(sorted(x, key=lambda w: (-len(w), w))) for x in (NUMBERS, UNITS, PER_UNITS))
 _CAPITAL = r"\p{Lu}[\p{L}\p{N}]*"
-#: What is joined to one word, each only in texts in which its first pattern is found: pattern, what is replaced, by what.
-_JOINS = (
-    (r"\d\p{L}", rf"(?<=\d)(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", " "),
-    (r"\d \d", r"(?<=\d) (?=\d)", _JOIN),
-    (rf"(?i)(?:{_NUMBER})[ -](?:{_NUMBER}|and )", rf"(?i)(?<![\p{{L}}\p{{N}}])({_NUMBER})[ -](?:and (?<=hundred and |thousand and ))?(?=(?:{_NUMBER})(?![\p{{L}}\p{{N}}]))", f"$1{_JOIN}"),
-    (r" per |\p{L}/\p{L}", rf"(?<![\p{{L}}])({_UNIT})(?: per |/)(?=(?:{_PER})(?![\p{{L}}\p{{N}}]))", f"$1{_JOIN}per{_JOIN}"),
+#: Steps by which what is one placeholder becomes one word: what a text must hold for it, what is replaced, by what. Patterns
+#: begin with what is rare, as a number word or a unit would be looked for at each word.
+_STEPS = (
+    (lambda t: t.rlike(_SEPARATED), _THOUSANDS, ""),
+    (lambda t: t.rlike(_SEPARATED), _DECIMAL, _POINT),
+    (lambda t: t.rlike(r"\d\p{L}"), rf"(?<=\d)(?=(?:{_UNIT})(?![\p{{L}}\p{{N}}]))", " "),
+    (None, r"(?<=\d) (?=\d)", _JOIN),
+    (lambda t: reduce(Column.__or__, (F.contains(t, F.lit(x)) for x in ("ty ", "ty-", "hundred", "thousand", "illion"))), rf"(?<![\p{{L}}\p{{N}}])({_NUMBER})[ -](?:and (?<=hundred and |thousand and ))?(?=(?:{_NUMBER})(?![\p{{L}}\p{{N}}]))", f"$1{_JOIN}"),
+    (lambda t: F.contains(t, F.lit(" per ")) | F.contains(t, F.lit("/")), rf"(?: per |/)(?<=(?<!\p{{L}})(?:{_UNIT})(?: per |/))(?=(?:{_PER})(?![\p{{L}}\p{{N}}]))", f"{_JOIN}per{_JOIN}"),
+    (None, r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}"),
 )
 
 
-def words_of(text: Column, way: int = PLAIN) -> Column:
-    """Words (letters and digits). Numbers with separators or decimals, runs of numbers, of number words and of capitalised
-    words, and units per another are one word; the first of a sentence is marked, so that its capital is not taken for a
-    name. EXACT: words as they are, in lower case."""
+def joined(text: Column) -> Column:
+    """A text in which numbers with separators or decimals, runs of numbers and of number words, and units per another are one
+    word each, and the first word of a sentence is marked, so that its capital is not taken for a name."""
+
+    def step(holds: Callable[[Column], Column] | None, replaced: str, by: str) -> Callable[[Column], Column]:
+        return lambda t: F.regexp_replace(t, replaced, by) if holds is None else F.when(holds(t), F.regexp_replace(t, replaced, by)).otherwise(t)
+
     text = F.coalesce(text, F.lit(""))
+    for s in _STEPS:
+        text = F.get(F.transform(F.array(text), step(*s)), F.lit(0))  # so that a step that names its text twice computes it once
+    return text
+
+
+def words_of(text: Column, way: int = PLAIN, ready: bool = False) -> Column:
+    """Words (letters and digits), with runs of capitalised words as one; ``ready``: the text is ``joined`` already. EXACT: words
+    as they are, in lower case."""
     if way == EXACT:
-        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    whole = F.regexp_replace(F.regexp_replace(text, _THOUSANDS, ""), _DECIMAL, _POINT)
-    text = F.when(text.rlike(_SEPARATED), whole).otherwise(text)
-    for found, replaced, by in _JOINS:
-        text = F.when(text.rlike(found), F.regexp_replace(text, replaced, by)).otherwise(text)
-    text = F.regexp_replace(text, r"(^|[.!?:;\n][^\p{L}\p{N}]*)(?=\p{Lu})", f"$1 {_START}")
+        return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     before = rf"(?<![\p{{L}}\p{{N}}{_START if way == PLAIN else ''}])"
-    runs = F.regexp_replace(text, rf"{before}({_CAPITAL})[ '\u2019-](?=\p{{Lu}})", f"$1{_JOIN}")
+    runs = F.regexp_replace(text if ready else joined(text), rf"{before}({_CAPITAL})[ '\u2019-](?=\p{{Lu}})", f"$1{_JOIN}")
     return F.filter(F.split(runs, rf"[^\p{{L}}\p{{N}}{_START}{_POINT}{_JOIN}]+"), lambda w: w != "")
 
 
@@ -126,8 +136,10 @@ def with_windows(rows: DataFrame, text: Column, kinds: list[tuple[int, bool]] =
 
     Word hashes are columns of their own, which the windows name WINDOW times, so they are computed once a text."""
     ways = [w for w in (PLAIN, NAMED, EXACT) if any(exact == (w == EXACT) for _, exact in kinds)]
+    if PLAIN in ways:
+        rows = rows.withColumn("__joined", joined(text))
     for way in ways:
-        rows = rows.withColumn(f"__w{way}", words_of(text, way))
+        rows = rows.withColumn(f"__w{way}", words_of(text, way) if way == EXACT else words_of(F.col("__joined"), way, True))
     for way in ways:
         rows = rows.withColumn(f"__h{way}", F.transform(f"__w{way}", _hash(way)))
     readings = []
