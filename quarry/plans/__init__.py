@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "sampling", "sequences", "spatial", "metrics", "structure", "cleanup", "templates", "msa", "lookups", "pairing", "symmetry", "permutation", "events")
+MODULES = ("relational", "sampling", "sequences", "spatial", "metrics", "structure", "cleanup", "templates", "msa", "lookups", "pairing", "symmetry", "permutation", "fingerprints", "events")
 
 
 def _merged(name: str) -> dict:
