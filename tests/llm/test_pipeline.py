@@ -50,3 +50,34 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, shared and null ids, and clashing extra columns."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").limit(1).collect()
+    good = spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id = {labels[0].doc_id}").first().text
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    extra = ("k", 1, "s", 0.5, 7)
+    texts = [(1, good), (1, good), (2, None), (2, ""), (None, good + " one more"), (None, None), (3, good + " and so on. " * 3), (3, "another text of that id " * 30), (4, f"{good} {item} {good}"), (5, "long " * 200_000), (6, f'{good} token = "{"0123456789abcdef" * 2}01234567"')]
+    rows = [(i, t, "en", "src0", None if t is None else len(t), *extra) for i, t in texts] + [(7, good[::-1], None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, gram string, score double, at int"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "packing":
+            packed = out.collect()
+            assert sum(r.length for r in packed) == sum(len(_bpe.encode(t, "byte_bpe_50k.json")) + 1 for _, t, *_ in rows)
+            continue
+        assert out.columns == docs.columns and out.schema == docs.schema
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert set(k[0] for k in kept) <= {1, 2, 3, 4, 5, 6, 7, None}
+        if name == "ngram_jaccard_join":
+            # copies and near copies of doc 1 leave one; of rows that share an id one stays, rows without an id stay
+            assert sorted(i for i, _ in kept if i is not None) == [1, 2, 3, 5, 7] or sorted(i for i, _ in kept if i is not None) == [1, 2, 3, 4, 5, 7]
+            assert sum(i is None for i, _ in kept) == 2
+        if name == "benchmark_decontamination":
+            assert sorted((i is None, i or 0) for i, _ in kept) == sorted((i is None, i or 0) for i, *_ in rows if i != 4)
+        if name == "secret_scans":
+            assert len(kept) == len(rows) and [t for i, t in kept if i == 6] == [f'{good} token = "<SECRET>"']
+            assert {r.n_chars for r in out.where("doc_id = 6").collect()} == {len(f'{good} token = "<SECRET>"')}
+            assert sorted(str(k) for k in kept if k[0] != 6) == sorted(str(r[:2]) for r in rows if r[0] != 6)
