@@ -40,8 +40,8 @@ def score_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share and mean of smoothed values over the residues that were returned."""
-    found = lookups.disorder(lines(spark, sf_dir), "area", HALF, THRESHOLD, F.col("flag") == "R").where("NOT isnan(mean)")
+    """Share and mean of smoothed values over the residues that were returned; not a number where none was."""
+    found = lookups.disorder(lines(spark, sf_dir), "area", HALF, THRESHOLD, F.col("flag") == "R")
     return found.select("structure", F.round("disorder", 6).alias("disorder"), F.round("mean", 6).alias("mean"))
 
 
@@ -66,7 +66,7 @@ ORACLE_SQL = {
         k AS (SELECT *, greatest(2 * (n - 1), 1) AS period, unnest(range({-HALF}, {HALF + 1})) AS o FROM l),
         p AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE least((((i + o) % period) + period) % period, period - (((i + o) % period) + period) % period) END AS j FROM k),
         s AS (SELECT p.structure, p.chain, p.i, any_value(p.flag) AS flag, avg(q.area) AS v FROM p JOIN l AS q ON q.structure = p.structure AND q.chain = p.chain AND q.i = p.j GROUP BY 1, 2, 3)
-        SELECT structure, round(avg(CASE WHEN v > {THRESHOLD} THEN 1.0 ELSE 0.0 END), 6) AS disorder, round(avg(v), 6) AS mean FROM s WHERE flag = 'R' GROUP BY 1""",
+        SELECT structure, coalesce(round(avg(CASE WHEN v > {THRESHOLD} THEN 1.0 ELSE 0.0 END) FILTER (flag = 'R'), 6), 'NaN'::DOUBLE) AS disorder, coalesce(round(avg(v) FILTER (flag = 'R'), 6), 'NaN'::DOUBLE) AS mean FROM s GROUP BY 1""",
     "validation_order": """
         WITH c AS (SELECT o_orderkey, count(l_orderkey) AS token_count FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
         SELECT *, row_number() OVER (ORDER BY token_count, o_orderkey) - 1 AS position FROM c""",

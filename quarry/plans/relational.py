@@ -63,8 +63,10 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size"), "l_partkey", "left")
     cluster = F.when((F.col("l_returnflag") == "A") & (F.col("p_size") >= 10), F.concat(F.lit("name:"), "p_name")).when(F.col("l_returnflag") != "R", F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).otherwise("UNKNOWN")
     lines = lines.select(*KEY, cluster.alias("cluster_id"))
-    sizes = lines.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
-    return lines.join(sizes, "cluster_id").select(*KEY, "cluster_id", F.when(F.col("cluster_id") == "UNKNOWN", 1).otherwise(F.col("cluster_size")).alias("cluster_size"))
+    known = lines.where("cluster_id <> 'UNKNOWN'")  # the others, a third of all, are not shuffled
+    sizes = known.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"))
+    alone = lines.where("cluster_id = 'UNKNOWN'").withColumn("cluster_size", F.lit(1).cast("long"))
+    return known.join(sizes, "cluster_id").select(*KEY, "cluster_id", "cluster_size").unionByName(alone)
 
 
 def eligibility_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions import sequences as fs
-from quarry.operators import sequence
+from quarry.operators import order, sequence
 from quarry.sources.tables import read_table
 
 
@@ -65,10 +65,10 @@ def header_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_seed_cross_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries by size, once for each seed."""
+    """Queries in order of size, once for each seed, with their place."""
     size = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("size"))
     seeds = F.explode(F.array(F.lit(42), F.lit(43))).alias("seed")
-    return size.select("conv_id", "size", seeds)
+    return order.positions(size.select("conv_id", "size", seeds), ["size", "conv_id", "seed"]).select("conv_id", "size", "seed", "position")
 
 
 def skip_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,10 @@ def skip_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collab_dedup_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: distinct texts and an order-independent digest of their digests, where there are several."""
-    docs = read_table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("rep"))
-    groups = docs.groupBy("source").agg(F.count_distinct("rep").alias("n_texts"), F.collect_set(F.substring("rep", 1, 8)).alias("reps")).where("n_texts > 1")
-    return groups.select("source", "n_texts", fs.group_digest(F.col("reps")).alias("complex_id"))
+    docs = read_table(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("rep")).distinct()
+    lanes = [F.sum(F.conv(F.substring("rep", at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16, 31, 46)]
+    groups = docs.groupBy("source").agg(F.count("*").alias("n_texts"), F.sha2(F.concat_ws("|", *lanes), 256).alias("complex_id"))
+    return groups.where("n_texts > 1").select("source", "n_texts", "complex_id")
 
 
 def smooth_reflect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +127,14 @@ ORACLE_SQL = {
         SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS row_idx FROM d
         WHERE source NOT IN ('src0', 'src1', 'src2') AND NOT EXISTS (SELECT 1 FROM d p WHERE p.source IN ('src0', 'src1', 'src2') AND p.lang = d.lang AND p.s = d.s)""",
     "header_split": "SELECT page_id, CAST(len(f) AS BIGINT) AS n_fields, coalesce(f[4], '') AS fourth FROM (SELECT page_id, string_split_regex(url, '[|_/:-]') AS f FROM pages)",
-    "query_seed_cross_sorted": "SELECT conv_id, CAST(size AS BIGINT) AS size, CAST(seed AS INTEGER) AS seed FROM (SELECT conv_id, sum(length(text)) AS size FROM conversations GROUP BY 1), (VALUES (42), (43)) s(seed)",
+    "query_seed_cross_sorted": "SELECT conv_id, CAST(size AS BIGINT) AS size, CAST(seed AS INTEGER) AS seed, row_number() OVER (ORDER BY size, conv_id, seed) - 1 AS position FROM (SELECT conv_id, sum(length(text)) AS size FROM conversations GROUP BY 1), (VALUES (42), (43)) s(seed)",
     "skip_completed": """
         SELECT conv_id, count(*) AS n_missing FROM (SELECT DISTINCT conv_id FROM conversations) c, range(4) t(turn)
         WHERE NOT EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = t.turn) GROUP BY 1""",
     "collab_dedup_sha": """
-        SELECT source, count(*) AS n_texts, sha256(string_agg(r, '' ORDER BY r)) AS complex_id FROM (SELECT DISTINCT source, substr(sha256(text), 1, 8) AS r FROM documents) GROUP BY 1 HAVING count(*) > 1""",
+        SELECT source, count(*) AS n_texts, sha256(concat_ws('|', """
+    + ", ".join(f"CAST(sum(('0x' || substr(r, {at}, 15))::HUGEINT) AS VARCHAR)" for at in (1, 16, 31, 46))
+    + """)) AS complex_id FROM (SELECT DISTINCT source, sha256(text) AS r FROM documents) GROUP BY 1 HAVING count(*) > 1""",
     "smooth_reflect": """
         WITH e AS (SELECT event_id, user_id, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         p AS (SELECT event_id, user_id, CASE WHEN n = 1 THEN 0 ELSE (n - 1) - abs((n - 1) - ((i + d) % (2 * (n - 1)) + 2 * (n - 1)) % (2 * (n - 1))) END AS j FROM e, range(-3, 4) t(d))
