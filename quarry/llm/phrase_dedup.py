@@ -9,8 +9,8 @@ A window is ``width`` consecutive words of one text; a word goes if a window ove
    windows are counted over all its copies and all other stretches; those that start twice or more are confirmed.
    Confirmed windows of a stretch that touch or overlap are one phrase.
 3. Automata: texts are dealt into shards of about ``SHARD_CHARS`` characters. A shard's automata are compiled from the
-   distinct phrases of the anchors seen in it, each phrase once however many texts hold it and wherever it was
-   confirmed; a window's anchor depends on the window alone, so no other phrase can occur in the shard. Letters of the
+   distinct phrases of the stretches that its texts hold, each phrase once however many texts hold it and wherever it was
+   confirmed; a window lies in the stretch of its anchor, so no other phrase can occur in the shard. Letters of the
    automata are words, numbered by the shard's own phrases.
 4. Removal: every text streams through all automata of its shard (there are none for a text without a recurring anchor,
    which is not shuffled); the words that no hit covers are kept. Places found in steps 1 and 2 are not used: what goes
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _words
-from quarry.llm._session import BROADCAST_ROWS, cut, join_counted, join_ids, map_arrow, own_name, slices, stored
+from quarry.llm._session import BROADCAST_ROWS, cut, join_counted, join_ids, map_arrow, own_name, remove, slices, stored
 
 GRAM = 8
 #: Characters of the texts of one shard, about, and words of the phrases of one automaton, at most.
@@ -158,7 +158,9 @@ def confirmed_phrases(rows: DataFrame, width: int, paths: list[str]) -> tuple[Da
     wanted = stored(join_counted(places.select("anchor", "stretch", "shard"), of, ["anchor", "stretch"], "shards", places.count()).select("shard", "key", "begin").distinct(), "wanted", paths)
     shards = wanted.groupBy("key", "begin").agg(F.count("*").alias("shards"))
     known = confirmed.groupBy("key", "begin").agg(F.flatten(F.collect_list("spans")).alias("spans")).join(shards, ["key", "begin"])
+    done = [p for p in paths if "-wanted-" not in p]
     known = stored(passages.select("key", "begin", "words").hint("merge").join(known, ["key", "begin"]), "phrases", paths)
+    remove(rows.sparkSession, done)  # what follows reads the last two tables
     return join_counted(wanted, known, ["key", "begin"], "shards", wanted.count()).select("shard", "words", "spans"), keys
 
 
