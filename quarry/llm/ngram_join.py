@@ -245,11 +245,11 @@ def _far_pairs(far: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     rows = rows.where(F.expr(f"rank <= kept - (({least} * {percent} + 99) div 100 + 1) div 2 + 1"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     rows = cut(rows.select("gram", "doc", "size", band.alias("band")))
-    one = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    one = one.select("gram", "band", F.col("doc").alias("doc_a"), F.col("size").alias("size_a"))
+    one = rows.select("gram", F.posexplode(F.array(F.col("band"), F.col("band") + 1)).alias("next", "band"), F.col("doc").alias("doc_a"), F.col("size").alias("size_a"))
     other = rows.select("gram", "band", F.col("doc").alias("doc_b"), F.col("size").alias("size_b"))
     fits = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
-    both = one.join(other, ["gram", "band"]).where((F.col("doc_a") != F.col("doc_b")) & fits)
+    once = (F.col("next") == 1) | (F.col("doc_a") < F.col("doc_b"))  # within a band each pair one way round
+    both = one.join(other, ["gram", "band"]).where(once & fits)
     first = F.col("doc_a") < F.col("doc_b")
     sides = (("a", F.least("doc_a", "doc_b")), ("b", F.greatest("doc_a", "doc_b")), ("size_a", F.when(first, F.col("size_a")).otherwise(F.col("size_b"))), ("size_b", F.when(first, F.col("size_b")).otherwise(F.col("size_a"))))
     return both.select(*(c.alias(name) for name, c in sides)).distinct()
