@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.operators.durable import cut, shared_dir
+from quarry.operators.durable import cut, shared_dir, stored
 
 #: A list of ids is broadcast up to this many rows (8 to 40 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -38,16 +37,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     pa.default_memory_pool().release_unused()
 
 
-def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
-    """Writes a wider intermediate table as Parquet (columnar, compressed) in the shared folder and reads it back; its
-    path is added to ``paths``, for ``remove``."""
-    path = f"{shared_dir(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if paths is not None:
-        paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes stored tables that no later step reads."""
     for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):

@@ -5,13 +5,15 @@ Atoms are rows of ``structure``, ``chain``, ``atom`` (the place in the structure
 bonds; its graph has a node for each chain, labelled by a digest of its atoms, and one for each atom with a bond to
 another chain, labelled by its place in its chain.
 
-Labels are refined by those of neighbours, in joins over all structures at once, until no more kinds of nodes come
-apart. Where that leaves nodes of a molecule alike, the molecule alone (never a group of them) is put into a canonical
-form, so that equal forms are equal graphs; no two molecules are ever compared.
+A structure's bonds are one group of a task, where chains are joined to molecules. Molecules of several chains are written
+down as they stand, chains and bonds in order; each different way to stand is put into a canonical form once, so that equal
+forms are equal graphs, and no two molecules are ever compared. A chain alone is its label. What is left of a molecule is
+one row, numbered with those of its structure.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,10 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.durable import cut
-from quarry.operators.graph import components
-
-_NODE = ["structure", "chain", "link"]
+from quarry.operators.durable import stored
+from quarry.operators.graph import components_within
 
 
 def chain_labels(atoms: DataFrame) -> DataFrame:
@@ -37,36 +37,27 @@ def chain_labels(atoms: DataFrame) -> DataFrame:
 
 
 def cross_chain_bonds(atoms: DataFrame, bonds: DataFrame, chains: DataFrame) -> DataFrame:
-    """(structure, chain_1, link_1, chain_2, link_2): bonds between chains, atoms by their place in their chain."""
-    place = atoms.select("structure", "chain", "atom").join(chains.select("structure", "chain", "first"), ["structure", "chain"])
-    ends = [place.select("structure", F.col("atom").alias(f"atom_{i}"), F.col("chain").alias(f"chain_{i}"), (F.col("atom") - F.col("first")).cast("bigint").alias(f"link_{i}")) for i in (1, 2)]
-    both = bonds.select("structure", "atom_1", "atom_2").join(ends[0], ["structure", "atom_1"]).join(ends[1], ["structure", "atom_2"])
-    return both.where("chain_1 <> chain_2").select("structure", "chain_1", "link_1", "chain_2", "link_2").distinct()
+    """(structure, chain_1, link_1, chain_2, link_2, first_1, first_2): bonds between chains, atoms by their place in their chain.
+    Chains have no gaps, so an atom is of the chain that begins last before it, within that chain's length; bonds and
+    chains are shuffled once, by structure."""
+    kind = {c: atoms.schema[c].dataType for c in ("chain", "atom")}
+    none = lambda name: F.lit(None).cast(kind[name])
+    own = chains.select("structure", F.struct("first", "atoms", "chain").alias("c"), none("atom").alias("atom_1"), none("atom").alias("atom_2"))
+    ends = bonds.where("atom_1 IS NOT NULL AND atom_2 IS NOT NULL").select("structure", F.lit(None).cast(own.schema["c"].dataType).alias("c"), "atom_1", "atom_2")
+    rows = own.union(ends).repartition("structure")
+    for i in (1, 2):
+        w = W.partitionBy("structure").orderBy(F.coalesce(f"atom_{i}", "c.first"), F.col(f"atom_{i}").isNotNull())
+        rows = rows.withColumn(f"c{i}", F.last("c", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    within = " AND ".join(f"atom_{i} < c{i}.first + c{i}.atoms" for i in (1, 2))
+    place = lambda i: (F.col(f"atom_{i}") - F.col(f"c{i}.first")).cast("bigint").alias(f"link_{i}")
+    both = rows.where(f"atom_1 IS NOT NULL AND {within} AND c1.first <> c2.first")
+    return both.select("structure", F.col("c1.chain").alias("chain_1"), place(1), F.col("c2.chain").alias("chain_2"), place(2), F.col("c1.first").alias("first_1"), F.col("c2.first").alias("first_2")).distinct()
 
 
 def molecules(chains: DataFrame, links: DataFrame) -> DataFrame:
     """Chains with ``molecule``, the first atom of the molecule that they belong to."""
-    key = lambda c: F.to_json(F.struct(F.col("structure").cast("string").alias("s"), F.col(c).cast("string").alias("c")))
-    found = components(links.select(key("chain_1").alias("a"), key("chain_2").alias("b")))
-    named = chains.withColumn("node", key("chain")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    starts = named.groupBy("component").agg(F.min("first").alias("molecule"))
-    return named.join(starts, "component").drop("node", "component")
-
-
-def refined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with ``colour``, refined by the colours of neighbours until their number stays."""
-    colours, kinds = cut(nodes.withColumn("colour", F.md5("label"))), -1
-    both = cut(edges.union(edges.select(*(edges.columns[i] for i in (0, 3, 4, 1, 2)))).toDF("structure", "chain", "link", "chain_2", "link_2").distinct())
-    while True:
-        # a molecule with fewer kinds than nodes may come apart further; the number of kinds can only grow
-        now = colours.select("structure", "molecule", "colour").distinct().count()
-        if now <= kinds:
-            return colours
-        kinds = now
-        beside = colours.select("structure", F.col("chain").alias("chain_2"), F.col("link").alias("link_2"), F.col("colour").alias("near"))
-        around = both.join(beside, ["structure", "chain_2", "link_2"]).groupBy(*_NODE).agg(F.array_join(F.sort_array(F.collect_list("near")), ",").alias("around"))
-        step = colours.join(around, _NODE, "left").withColumn("colour", F.md5(F.concat_ws("|", "colour", F.coalesce("around", F.lit("")))))
-        colours = cut(step.drop("around"))
+    found = components_within(links, "structure", "first_1", "first_2").select("structure", F.col("node").alias("first"), F.col("component").alias("molecule"))
+    return chains.join(found, ["structure", "first"], "left").withColumn("molecule", F.coalesce("molecule", "first")).select(*chains.columns, "molecule")
 
 
 def canonical(labels: list[str], edges: list[tuple[int, int]]) -> tuple[str, list[int]]:
@@ -117,14 +108,22 @@ def canonical(labels: list[str], edges: list[tuple[int, int]]) -> tuple[str, lis
     return f"{ordered}{form}", place
 
 
+def _graph(labels: list[str], bonds: list[dict]) -> tuple[list[str], list[tuple[int, int]]]:
+    """Nodes and edges of a molecule: its chains, then the atoms with a bond to another chain, each chain's in order."""
+    joints = sorted({(b[x], b[y]) for b in bonds for x, y in (("o1", "l1"), ("o2", "l2"))})
+    number = {j: len(labels) + i for i, j in enumerate(joints)}
+    edges = {(j[0], n) for j, n in number.items()} | {tuple(sorted((number[b["o1"], b["l1"]], number[b["o2"], b["l2"]]))) for b in bonds}
+    return labels + [f"atom {j[1]}" for j in joints], sorted(edges)
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         forms, places = [], []
-        for labels, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            form, place = canonical(labels, list(zip(a, b, strict=True)))
-            forms.append(form)
-            places.append(place)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["structure", "molecule", "form", "places"])
+        for labels, bonds in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            form, place = canonical(*_graph(labels, bonds))
+            forms.append(hashlib.md5(form.encode()).digest())
+            places.append(place[: len(labels)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["stand", "certificate", "places"])
 
 
 def symmetric_molecules(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -132,53 +131,39 @@ def symmetric_molecules(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     numbered from 1 in each structure by the first molecule of the same entities and size, then by their own first; instances
     are numbered from 1. ``slot``: the place of the chain among those of its molecule when these are put into the order of the
     entity's first molecule; kept as it is where it fits already."""
-    chains = cut(chain_labels(atoms))
-    links = cut(cross_chain_bonds(atoms, bonds, chains))
-    members = cut(molecules(chains, links))
-    home = members.select("structure", "chain", "molecule")
-    # nodes and edges of molecules of several chains; the others are their label
-    ends = links.select("structure", F.col("chain_1").alias("chain"), F.col("link_1").alias("link")).union(links.select("structure", "chain_2", "link_2")).distinct()
-    linked = ends.select("structure", "chain").distinct()
-    joints = ends.join(home, ["structure", "chain"]).select("structure", "molecule", "chain", "link", F.col("link").cast("string").alias("label"))
-    heads = members.join(linked, ["structure", "chain"]).select("structure", "molecule", "chain", F.lit(-1).cast("bigint").alias("link"), "label")
-    edges = links.union(ends.select("structure", "chain", F.lit(-1).cast("bigint"), F.col("chain").alias("c2"), F.col("link").alias("l2")))
-    colours = refined(heads.unionByName(joints), edges)
-    # molecules with nodes alike: settled one by one
-    alike = colours.groupBy("structure", "molecule").agg(F.count("*").alias("n"), F.count_distinct("colour").alias("k")).where("k < n").select("structure", "molecule")
-    number = F.row_number().over(W.partitionBy("structure", "molecule").orderBy("chain", "link")) - 1
-    numbered = cut(colours.join(alike, ["structure", "molecule"]).withColumn("i", number))
-    at = [numbered.select("structure", "molecule", F.col("chain").alias(f"chain_{k}"), F.col("link").alias(f"link_{k}"), F.col("i").alias(f"i{k}")) for k in (1, 2)]
-    pairs = edges.join(at[0], ["structure", "chain_1", "link_1"]).join(at[1].drop("molecule"), ["structure", "chain_2", "link_2"])
-    pairs = pairs.groupBy("structure", "molecule").agg(F.collect_list(F.struct("i1", "i2")).alias("e"))
-    whole = numbered.groupBy("structure", "molecule").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("labels")).join(pairs, ["structure", "molecule"])
-    kind = {c: atoms.schema[c].dataType.simpleString() for c in ("structure", "atom")}
-    asked = whole.select("structure", "molecule", "labels", F.col("e")["i1"].alias("a"), F.col("e")["i2"].alias("b"))
-    settled = cut(asked.mapInArrow(_settle, f"structure {kind['structure']}, molecule {kind['atom']}, form string, places array<int>"))
-    by_form = numbered.join(settled, ["structure", "molecule"]).select(*_NODE, F.get("places", F.col("i")).cast("string").alias("place"))
-    form = colours.groupBy("structure", "molecule").agg(F.array_join(F.sort_array(F.collect_list("colour")), ",").alias("plain"))
-    form = form.join(settled.select("structure", "molecule", "form"), ["structure", "molecule"], "left").select("structure", "molecule", F.md5(F.coalesce("form", "plain")).alias("certificate"))
-    place = colours.where("link = -1").join(by_form, _NODE, "left").select("structure", "chain", F.coalesce("place", "colour").alias("place"))
-    rows = members.join(form, ["structure", "molecule"], "left").withColumn("certificate", F.coalesce("certificate", "label")).join(place, ["structure", "chain"], "left")
-    rows = rows.withColumn("place", F.coalesce("place", F.lit(""))).withColumn("own", F.row_number().over(W.partitionBy("structure", "molecule").orderBy("first")) - 1)
-    # as they stand: chains and bonds in the order given
-    stands = [rows.select("structure", "molecule", F.col("chain").alias(f"chain_{k}"), F.col("own").alias(f"own_{k}")) for k in (1, 2)]
-    bound = links.join(stands[0], ["structure", "chain_1"]).join(stands[1].drop("molecule"), ["structure", "chain_2"])
-    one, two = F.struct(F.col("own_1").alias("o"), F.col("link_1").alias("l")), F.struct(F.col("own_2").alias("o"), F.col("link_2").alias("l"))
-    bound = bound.groupBy("structure", "molecule").agg(F.to_json(F.array_sort(F.collect_set(F.struct(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))))).alias("bound"))
-    whole = rows.groupBy("structure", "molecule", "certificate").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set(F.col("entity").cast("string")))).alias("entities"), F.sum("atoms").alias("size"), F.to_json(F.array_sort(F.collect_list(F.struct("own", "label")))).alias("stand")
+    chains = stored(chain_labels(atoms), "chains")
+    links = stored(cross_chain_bonds(atoms, bonds, chains), "links")
+    home = stored(components_within(links, "structure", "first_1", "first_2").select("structure", F.col("node").alias("first"), F.col("component").alias("molecule")), "molecules")
+    own = ["structure", "molecule"]
+    alone = chains.join(home, ["structure", "first"], "left_anti").select(
+        "structure", F.col("first").alias("molecule"), F.array("chain").alias("chains"), F.unhex(F.md5("label")).alias("stand"), F.unhex(F.md5("label")).alias("certificate"),
+        F.lit(None).cast("array<int>").alias("places"), F.coalesce(F.col("entity").cast("string"), F.lit("")).alias("entities"), F.col("atoms").alias("size"),
     )
-    whole = whole.join(bound, ["structure", "molecule"], "left").withColumn("stand", F.md5(F.concat_ws("|", "stand", F.coalesce("bound", F.lit("")))))
-    kinds = whole.groupBy("structure", "entities", "size", "certificate").agg(F.min("molecule").alias("first_one"), F.min_by("stand", "molecule").alias("first_stand"))
-    kinds = kinds.withColumn("first_group", F.min("first_one").over(W.partitionBy("structure", "entities", "size")))
-    kinds = kinds.withColumn("mol_entity_id", F.row_number().over(W.partitionBy("structure").orderBy("first_group", "first_one")).cast("bigint"))
-    named = whole.join(kinds, ["structure", "entities", "size", "certificate"]).withColumn("fits", F.col("stand") == F.col("first_stand"))
-    named = named.withColumn("mol_sym_id", F.row_number().over(W.partitionBy("structure", "mol_entity_id").orderBy("molecule")).cast("bigint"))
-    out = rows.join(named.select("structure", "molecule", "first_one", "fits", "mol_entity_id", "mol_sym_id"), ["structure", "molecule"])
-    model = rows.select("structure", F.col("molecule").alias("first_one"), "place", F.col("own").alias("slot")).join(linked.withColumnRenamed("chain", "__c").select("structure").distinct(), "structure")
-    out = out.join(model, ["structure", "first_one", "place"], "left")
-    slot = F.when(F.col("fits"), F.col("own")).otherwise(F.coalesce("slot", "own")).cast("bigint")
-    return out.select("structure", "chain", "molecule", "mol_entity_id", "mol_sym_id", slot.alias("slot"))
+    # a molecule as it stands: labels of its chains in order, and bonds by the places of chains and atoms
+    parts = chains.join(home, ["structure", "first"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("first", "chain", "label", "entity", "atoms"))).alias("c"))
+    joined = links.join(home.withColumnRenamed("first", "first_1"), ["structure", "first_1"]).groupBy(*own).agg(F.collect_list(F.struct("first_1", "link_1", "first_2", "link_2")).alias("b"))
+    at = lambda first: (F.array_position("f", first) - 1).cast("int")
+    one, two = (lambda b, i=i: F.struct(at(b[f"first_{i}"]).alias("o"), b[f"link_{i}"].alias("l")) for i in (1, 2))
+    pair = lambda b: F.struct(F.least(one(b), two(b)).alias("a"), F.greatest(one(b), two(b)).alias("b"))
+    flat = lambda p: F.struct(p["a"]["o"].alias("o1"), p["a"]["l"].alias("l1"), p["b"]["o"].alias("o2"), p["b"]["l"].alias("l2"))
+    whole = parts.join(joined, own).withColumn("f", F.col("c")["first"]).withColumn("labels", F.col("c")["label"])
+    whole = whole.withColumn("bound", F.array_sort(F.array_distinct(F.transform("b", lambda b: flat(pair(b))))))
+    entities = F.array_join(F.array_sort(F.array_distinct(F.transform("c", lambda c: c["entity"].cast("string")))), ",")
+    size = F.aggregate("c", F.lit(0).cast("bigint"), lambda n, c: n + c["atoms"])
+    stand = F.unhex(F.md5(F.to_json(F.struct("labels", "bound"))))
+    whole = stored(whole.select(*own, F.col("c")["chain"].alias("chains"), stand.alias("stand"), "labels", "bound", entities.alias("entities"), size.alias("size")), "whole")
+    ways = whole.groupBy("stand").agg(F.first("labels").alias("labels"), F.first("bound").alias("bound"))
+    settled = ways.mapInArrow(_settle, "stand binary, certificate binary, places array<int>")
+    several = whole.drop("labels", "bound").join(settled, "stand").select(alone.columns)
+    rows = alone.union(several).repartition("structure")
+    kind = W.partitionBy("structure", "entities", "size", "certificate")
+    rows = rows.withColumns({"first_one": F.min("molecule").over(kind), "model": F.min_by(F.struct("stand", "places"), "molecule").over(kind)})
+    rows = rows.withColumn("first_group", F.min("first_one").over(W.partitionBy("structure", "entities", "size")))
+    rows = rows.withColumn("mol_entity_id", F.dense_rank().over(W.partitionBy("structure").orderBy("first_group", "first_one")).cast("bigint"))
+    rows = rows.withColumn("mol_sym_id", F.row_number().over(W.partitionBy("structure", "mol_entity_id").orderBy("molecule")).cast("bigint"))
+    each = rows.withColumn("fits", F.col("stand") == F.col("model.stand")).select("*", F.posexplode("chains").alias("own", "chain"))
+    slot = F.when(F.col("fits"), F.col("own")).otherwise(F.array_position("model.places", F.get("places", F.col("own"))) - 1).cast("bigint")
+    return each.select("structure", "chain", "molecule", "mol_entity_id", "mol_sym_id", slot.alias("slot"))
 
 
 def reordered(atoms: DataFrame, symmetric: DataFrame) -> DataFrame:

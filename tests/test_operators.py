@@ -258,3 +258,33 @@ def test_record_functions(spark):
     ).collect()
     assert [r.a3m for r in got] == ["ABxC-", "-"] and [r.n for r in got] == [2.1, 1.5] and (got[0].strict, got[0].loose) == (False, True)
     assert [tuple(x) for x in got[0].c] == [("A", 12, "B", 7), ("A", 13, "B", 9)] and got[1].c == []
+
+
+def test_components_within_groups(spark):
+    """Against a plain version, over groups that share nodes and are cut into small pieces."""
+    import random
+
+    from quarry.operators.graph import components_within, whole_groups
+
+    draw = random.Random(5)
+    edges = [(f"g{g}", draw.randrange(-5, 40), draw.randrange(-5, 40)) for g in range(30) for _ in range(g)]
+    near: dict = {}
+    for g, a, b in edges:
+        near.setdefault((g, a), set()).add(b)
+        near.setdefault((g, b), set()).add(a)
+    want = {}
+    for g, a in near:
+        seen, todo = {a}, [a]
+        while todo:
+            more = near[g, todo.pop()] - seen
+            seen |= more
+            todo += more
+        want[g, a] = min(seen)
+    found = components_within(spark.createDataFrame(edges, "g string, a long, b long"), "g")
+    assert {(r.g, r.node): r.component for r in found.collect()} == want and found.count() == len(want)
+    import pyarrow as pa
+
+    values = [k for k in (0, 1, 2, 3) for _ in range(7)]
+    batches = [pa.RecordBatch.from_pydict({"g": values[i : i + 3]}) for i in range(0, len(values), 3)]
+    pieces = [t.column(0).to_pylist() for _, t in whole_groups(iter(batches), 5)]
+    assert sum(pieces, []) == values and not any(set(x) & set(y) for x, y in zip(pieces, pieces[1:], strict=False))
