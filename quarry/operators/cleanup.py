@@ -8,12 +8,15 @@ to the atoms.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.durable import cut
-from quarry.operators.graph import components
+from quarry.operators.graph import smallest_reachable, whole_groups
 
 #: Names of water, hydrogen and of the types that are polymers.
 WATERS, HYDROGENS, POLYMERS = ("HOH", "DOD"), ("H", "D"), ("PROTEIN", "DNA", "RNA")
@@ -63,33 +66,68 @@ def small_ligand_mask(atoms: DataFrame, max_atoms: int = 5) -> DataFrame:
     return atoms.join(small, CHAIN, "left").withColumn("small_ligand", F.coalesce("__small", F.lit(False))).drop("__small")
 
 
+def _of_chains(atoms: DataFrame, chains: DataFrame) -> DataFrame:
+    """Atoms with ``__of``: whether their chain is one of ``chains``. These are listed by structure, so atoms are joined by
+    structure alone and stay where the windows over structures have put them."""
+    listed = chains.groupBy("structure").agg(F.collect_set("chain").alias("__chains"))
+    return atoms.join(listed, "structure", "left").withColumn("__of", F.coalesce(F.array_contains("__chains", F.col("chain")), F.lit(False))).drop("__chains")
+
+
+def _attached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of whole structures (structure, idx_1, idx_2, chain, hetero, of; an atom has no idx_2 and a bond has only it besides),
+    the attached ligand atoms: hetero atoms are merged to components, then each chain's atoms with those beside them."""
+    for group, table in whole_groups(batches):
+        is_bond = table.column("idx_2").is_valid().to_numpy()
+        names, place = np.unique(np.concatenate([table.column(c).combine_chunks().fill_null(0).to_numpy() for c in ("idx_1", "idx_2")]), return_inverse=True)
+        first, second = (group * np.int64(len(names)) + p for p in np.split(place, 2))
+        atom, row = np.unique(first[~is_bond], return_index=True)
+        row, n = np.flatnonzero(~is_bond)[row], len(atom)
+        if not n:
+            continue
+        hetero, of = (table.column(c).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)[row] for c in ("hetero", "of"))
+        code = table.column("chain").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()[row]
+        chain = np.unique(group[row] * np.int64(code.max() + 1) + code, return_inverse=True)[1]
+        ends = [np.minimum(np.searchsorted(atom, x[is_bond]), n - 1) for x in (first, second)]
+        known = (atom[ends[0]] == first[is_bond]) & (atom[ends[1]] == second[is_bond])
+        a, b = ends[0][known], ends[1][known]
+        both = hetero[a] & hetero[b]
+        node = np.where(hetero, smallest_reachable(a[both], b[both], n), np.arange(n))
+        # atoms are in order of structure and number, so a chain's first row is its first atom
+        start = np.zeros(chain.max() + 1, np.int64)
+        start[chain[::-1]] = node[::-1]
+        asked = np.bincount(chain, of) > 0
+        asked &= np.bincount(chain, ~hetero) > 0
+        sides = [(chain[x], node[x], node[y]) for x, y in ((a, b), (b, a)) for keep in [asked[chain[x]] & (hetero[y] | (chain[x] == chain[y])) & (node[x] != node[y])] for x, y in [(x[keep], y[keep])]]
+        part, one, two = (np.concatenate(x) for x in zip(*sides, strict=True))
+        starts = np.flatnonzero(asked)
+        keys, number = np.unique(np.concatenate([starts * n + start[starts], part * n + one, part * n + two]), return_inverse=True)
+        k, m = len(starts), len(part)
+        label = smallest_reachable(number[k : k + m], number[k + m :], len(keys))
+        home = np.full(len(start), -1)
+        home[starts] = label[number[:k]]
+        found = np.zeros(n, bool)
+        found[keys[label == home[keys // n]] % n] = True
+        out = row[hetero & found[node]]
+        yield pa.RecordBatch.from_arrays([table.column(i).combine_chunks().take(pa.array(out)) for i in (0, 1)], names=["structure", "idx"])
+
+
 def attached_ligands(atoms: DataFrame, chains: DataFrame, bonds: DataFrame, hetero: Column) -> DataFrame:
     """(structure, idx): hetero atoms that are connected with the first atom of one of the chains through that chain's atoms
     and hetero atoms alone, over any number of ligands. A chain that is all hetero has none.
 
-    Hetero atoms are joined to components once; then each chain's atoms and the components beside them are."""
-    marked = atoms.select("structure", "chain", "idx", F.coalesce(hetero, F.lit(False)).alias("hetero"))
-    key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c))
-    both = _ends(marked, bonds, ["chain", "hetero"])
-    ligands = components(both.where("hetero_1 AND hetero_2").select(key("structure", "idx_1").alias("a"), key("structure", "idx_2").alias("b")))
-    nodes = marked.withColumn("node", key("structure", "idx")).join(ligands, "node", "left")
-    nodes = cut(nodes.withColumn("node", F.when(F.col("hetero"), F.concat(F.lit("h"), F.coalesce("component", "node"))).otherwise(F.col("node"))).select("structure", "chain", "idx", "hetero", "node"))
-    part = nodes.groupBy(*CHAIN).agg(F.min_by("node", "idx").alias("start"), F.bool_and("hetero").alias("all")).where("NOT all").join(chains.select(*CHAIN).distinct(), CHAIN, "left_semi")
-    ends = _ends(nodes, bonds, ["chain", "hetero", "node"]).where("node_1 <> node_2")
-    own = lambda n, m: ends.where(f"hetero_{m} OR chain_1 = chain_2").select("structure", F.col(f"chain_{n}").alias("chain"), "node_1", "node_2")
-    near = part.join(own("1", "2").union(own("2", "1")).distinct(), CHAIN)
-    within = lambda c: F.concat_ws("|", F.col("chain").cast("string"), F.col(c))
-    joined = components(near.select(within("node_1").alias("a"), within("node_2").alias("b")))
-    beside = near.select(*CHAIN, "start", F.explode(F.array("node_1", "node_2")).alias("node")).union(part.select(*CHAIN, "start", F.col("start").alias("node"))).distinct()
-    at = lambda c, name: joined.select(F.col("node").alias(f"__{name}"), F.col("component").alias(name))
-    beside = beside.withColumn("__one", within("node")).withColumn("__two", within("start")).join(at("node", "one"), "__one", "left").join(at("start", "two"), "__two", "left")
-    found = beside.where((F.col("node") == F.col("start")) | (F.col("one") == F.col("two"))).where(F.col("node").startswith("h")).select("structure", "node").distinct()
-    return nodes.where("hetero").join(found, ["structure", "node"]).select("structure", "idx")
+    Atoms and bonds are shuffled once, by structure; a task holds one structure, or many small ones side by side."""
+    kinds = {c: atoms.schema[c].dataType for c in ("structure", "chain", "idx")}
+    own = _of_chains(atoms.select("structure", "chain", "idx", F.coalesce(hetero, F.lit(False)).alias("hetero")).where("idx IS NOT NULL"), chains)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = own.select("structure", F.col("idx").cast("bigint").alias("idx_1"), none("bigint").alias("idx_2"), "chain", "hetero", F.col("__of").alias("of"))
+    rows = rows.union(bonds.where("idx_1 IS NOT NULL AND idx_2 IS NOT NULL").select("structure", F.col("idx_1").cast("bigint"), F.col("idx_2").cast("bigint"), none(kinds["chain"]), none("boolean"), none("boolean")))
+    found = rows.repartition("structure").sortWithinPartitions("structure").mapInArrow(_attached, f"structure {kinds['structure'].simpleString()}, idx bigint")
+    return found.select("structure", F.col("idx").cast(kinds["idx"]).alias("idx"))
 
 
 def drop_chains(atoms: DataFrame, chains: DataFrame, bonds: DataFrame | None = None, hetero: Column | None = None) -> DataFrame:
     """Without some chains and, given bonds, without the ligand atoms connected with them (``hetero``; ligands if not given)."""
-    left = atoms.join(chains, CHAIN, "left_anti")
+    left = _of_chains(atoms, chains).where("NOT __of").drop("__of")
     if bonds is None:
         return left
     return left.join(attached_ligands(atoms, chains, bonds, F.col("mol_type") == "LIGAND" if hetero is None else hetero), ["structure", "idx"], "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import records
 from quarry.operators import cleanup, tokens
+from quarry.operators.durable import stored
 from quarry.sources.tables import read_table
 
 #: The proxy tables, in SQL that Spark and DuckDB read alike.
@@ -27,7 +28,12 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def atoms_and_bonds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = atoms(spark, sf_dir)
-    return a, a.select("structure", F.col("idx").alias("idx_1"), (F.col("idx") + 1).alias("idx_2"), F.when(F.col("idx") % 3 == 0, "COORDINATION").otherwise("SINGLE").alias("kind"))
+    return a, bonds_between(a)
+
+
+def bonds_between(a: DataFrame) -> DataFrame:
+    """Bonds of atoms that follow each other; the last atom's leads nowhere."""
+    return a.select("structure", F.col("idx").alias("idx_1"), (F.col("idx") + 1).alias("idx_2"), F.when(F.col("idx") % 3 == 0, "COORDINATION").otherwise("SINGLE").alias("kind"))
 
 
 def dictionary(a: DataFrame) -> DataFrame:
@@ -46,7 +52,8 @@ def atom_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polymer_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms without small and unknown polymer chains and the ligand atoms connected with them."""
-    a, bonds = atoms_and_bonds(spark, sf_dir)
+    a = stored(atoms(spark, sf_dir).select("structure", "chain", "res_id", "res_name", "mol_type", "occupancy", "idx"), "atoms")
+    bonds = bonds_between(a)
     gone = cleanup.small_polymer_chains(a, 1).union(cleanup.unknown_polymer_chains(a)).distinct()
     return cleanup.drop_chains(a, gone, bonds).select("structure", "idx")
 
