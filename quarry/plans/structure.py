@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators import graph, metrics, sampling, similarity, spatial, structure
+from quarry.llm import ngram_join
+from quarry.operators import metrics, sampling, similarity, spatial, structure
 from quarry.plans.relational import KEY
 from quarry.plans.spatial import AXES, atoms
 from quarry.sources.tables import read_table
@@ -119,15 +120,11 @@ def type_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of texts whose four-word shingles are alike; texts of fewer than nine cluster with equal ones only."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", similarity.shingles(F.col("text"), 4).alias("items"))
-    long = docs.where(F.size("items") >= 9)
-    one = long.groupBy(F.array_sort("items").alias("items")).agg(F.min("doc_id").alias("rep"))
-    pairs = similarity.jaccard_join(one.select(F.col("rep").alias("x"), "items"), one.select(F.col("rep").alias("y"), "items"), 0.8, "x", "y").where("x < y")
-    found = graph.components(pairs, "x", "y")
-    members = long.withColumn("items", F.array_sort("items")).join(one, "items").select("doc_id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    short = docs.where(F.size("items") < 9).withColumn("h", F.sha2("text", 256))
-    equal = short.join(short.groupBy("h").agg(F.min("doc_id").alias("cluster")), "h").select("doc_id", "cluster")
-    return members.select("doc_id", F.coalesce("component", "rep").alias("cluster")).union(equal)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", similarity.has_shingles(F.col("text"), 4, 9).alias("long"))
+    groups = ngram_join.similar_groups(docs.select("doc_id", F.when(F.col("long"), F.lower("text")).alias("text")), n=4, percent=80)
+    members = groups.where("n_shingles > 0").select("doc_id", F.col("component_id").alias("cluster"))
+    equal = F.min("doc_id").over(W.partitionBy("h"))
+    return members.union(docs.where("NOT long").select("doc_id", F.sha2("text", 256).alias("h")).select("doc_id", equal.alias("cluster")))
 
 
 _K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
