@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -315,3 +316,32 @@ def test_texts_with_enough_shingles(spark):
     texts = ["a b c d e f g h i j k l", "a b c d e f g h i j k", "x " * 400, "x " * 400 + "a b c d e f g h i j k l", "w" * 519 + "1 2 3 4", None, " ".join(f"word{i}" for i in range(300))]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r.h for r in rows.select(similarity.has_shingles(F.col("text"), 4, 9).alias("h")).collect()] == [True, False, False, True, False, False, True]
+
+
+def test_fingerprints_by_strips_against_all_pairs(spark, monkeypatch):
+    """Many strips and tiles, classes of several ids, empty and null fingerprints; counts are those of the pairs."""
+    from quarry.operators import fingerprints
+
+    monkeypatch.setattr(fingerprints, "STRIP", 16)
+    monkeypatch.setattr(fingerprints, "TILE", (4, 8))
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(24), rng.randint(0, 14))) for _ in range(60)]
+    sets += sets[:20]
+    features = spark.createDataFrame([(i, [str(b) for b in s] + [None] * (i % 2)) for i, s in enumerate(sets)] + [(999, None)], "id int, features array<string>")
+    rows = fingerprints.folded(features, 128)
+    numbers = features.where("id < 999").select("id", fingerprints.packed(fingerprints.bit_numbers(F.filter("features", lambda f: f.isNotNull()), 128), 128).alias("fingerprint"))
+    want_rows = {r.id: r.fingerprint for r in numbers.collect()}
+    assert {r.id: r.fingerprint for r in rows.collect()} == want_rows | {999: None}
+    bits = {i: {(w, b) for w, x in enumerate(f) for b in range(64) if x >> b & 1} for i, f in want_rows.items()}
+    for threshold, strict in ((0.5, True), (0.5, False), (0.85, False)):
+        want = {}
+        for i in range(0, len(sets), 3):
+            for j in bits:
+                either = len(bits[i] | bits[j])
+                s = len(bits[i] & bits[j]) / either if either else -1
+                if s > threshold or s == threshold and not strict:
+                    want[i, j] = s
+        queries = rows.where("id % 3 = 0 AND id < 999")
+        assert {(r["query"], r.target): r.similarity for r in fingerprints.similar(queries, rows, threshold, strict).collect()} == want
+        got = {r["query"]: r.n for r in fingerprints.count_similar(queries, rows, threshold, strict).collect()}
+        assert got == {i: sum(a == i for a, _ in want) for i, _ in want}
