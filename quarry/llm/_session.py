@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from quarry.operators.durable import cut, shared_dir, stored
+from quarry.operators.durable import ARROW_ROWS, cut, map_arrow, shared_dir, stored
 
 #: A list of ids is broadcast up to this many rows (8 to 40 bytes each); beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: A key is hot if it has more than one of so many rows, so there are never more hot keys than this.
 HOT_KEYS = 10_000
-#: Rows of an Arrow batch.
-ARROW_ROWS = 256
-
-
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` in batches of at most ARROW_ROWS rows, set for the session if its limit is Spark's own: 10,000 long
-    texts at a time are too much for the memory outside the heap that a task has for Arrow and Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(ARROW_ROWS))
-    return df.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -74,4 +62,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["BROADCAST_ROWS", "HOT_KEYS", "cut", "fresh", "join_counted", "join_ids", "map_arrow", "own_name", "read_table", "remove", "shared_dir", "slices", "stored"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "HOT_KEYS", "cut", "fresh", "join_counted", "join_ids", "map_arrow", "own_name", "read_table", "remove", "shared_dir", "slices", "stored"]

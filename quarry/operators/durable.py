@@ -1,11 +1,17 @@
-"""Cuts of lineage that survive lost executors."""
+"""Cuts of lineage that survive lost executors, and Arrow batches that fit a task."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Rows of an Arrow batch.
+ARROW_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +42,12 @@ def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     if paths is not None:
         paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ARROW_ROWS rows, set for the session if its limit is Spark's own: 10,000 long
+    texts at a time are too much for the memory outside the heap that a task has for Arrow and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)

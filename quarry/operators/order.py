@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 from quarry.operators.durable import cut
 
+#: Groups whose first places are broadcast; of more, the join shuffles.
+GROUPS_SENT = 1_000_000
+
 
 def prefix_sum(df: DataFrame, order: list[str], value: Column, running: str = "running", part: str = "part") -> tuple[DataFrame, DataFrame]:
     """Rows with ``running`` (the inclusive total up to them, by ``order``, which must be unique) and ``part``, and the
@@ -28,6 +31,16 @@ def positions(df: DataFrame, order: list[str]) -> DataFrame:
     return numbered.withColumn("position", F.col("__running") - 1).drop("__part", "__running")
 
 
+def ranks(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their place, from 1, in their group by an order that is unique within it: a place in the whole table, less
+    that of the group's first row, so no task sees all of a group."""
+    numbered = cut(positions(df, [*group, *order]))
+    first = numbered.groupBy(*group).agg(F.min("position").alias("__first"))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    found = numbered.alias("a").join(F.broadcast(first.alias("b")) if first.count() <= GROUPS_SENT else first.alias("b"), same)
+    return found.select("a.*", (F.col("position") - F.col("__first") + 1).alias(name)).drop("position")
+
+
 def cyclic(df: DataFrame, order: list[str], cursor: int, count: int) -> DataFrame:
     """``count`` rows from position ``cursor`` on, wrapping around, with their place in the slice."""
     numbered = positions(df, order)

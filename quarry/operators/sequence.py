@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.operators.durable import map_arrow
+
 
 def starts(value: Column, within: list[str], order: list[str]) -> Column:
     """True where the value differs from the row before it (first rows, too)."""
@@ -41,11 +47,72 @@ def smooth_reflected(df: DataFrame, value: str, within: list[str], order: list[s
     return spread.withColumn("smoothed", mean).where(F.col("__p") == F.col("__i")).drop("__i", "__n", "__p")
 
 
+#: Characters that are counted together before a row is made of each count.
+PROFILE_CHARACTERS = 4_000_000
+
+
+def _code_points(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-32-le"), "<u4")
+
+
 def profile(rows: DataFrame, group: list[str], text: Column) -> DataFrame:
-    """(group, column, residue, share): how often each character stands in each column of a group of strings."""
+    """(group, column, residue, share): how often each character stands in each column of a group of strings. Tasks count
+    some million characters at a time, so a row is made of each count, not of each character."""
     n = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    cells = rows.select(*group, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("column", "residue"))
-    return cells.groupBy(*group, "column", "residue").agg(F.count("*").alias("k")).join(n, group).select(*group, F.col("column").cast("bigint").alias("column"), "residue", (F.col("k") / F.col("__n")).alias("share"))
+
+    def counted(keys: list[pa.Array], texts: list[np.ndarray]) -> pa.RecordBatch:
+        own = pa.Table.from_arrays(keys, names=group).append_column("__row", pa.array(np.arange(len(texts))))
+        # the first row with an equal key stands for all
+        first = own.group_by(group).aggregate([("__row", "min"), ("__row", "list")])
+        stands = np.empty(len(texts), np.int64)
+        lists = first.column("__row_list").combine_chunks()
+        stands[lists.flatten().to_numpy()] = np.repeat(first.column("__row_min").to_numpy(), lists.value_lengths().to_numpy())
+        lengths = np.array([len(t) for t in texts])
+        width = int(lengths.max()) + 1
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        letters, letter = np.unique(np.concatenate(texts), return_inverse=True)
+        cells, k = np.unique((np.repeat(stands, lengths) * width + place) * len(letters) + letter, return_counts=True)
+        cells, letter = np.divmod(cells, len(letters)) if len(letters) else (cells, cells)
+        row, place = np.divmod(cells, width)
+        residues = pa.DictionaryArray.from_arrays(pa.array(letter), pa.array([chr(c) for c in letters], pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([key.take(pa.array(row)) for key in keys] + [pa.array(place), residues, pa.array(k.astype(np.int64))], names=[*group, "column", "residue", "k"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            at = 0
+            for i, text in enumerate(batch.column(len(group))):
+                texts.append(_code_points(text.as_py()))
+                size += len(texts[-1])
+                if size >= PROFILE_CHARACTERS:
+                    keys.append(batch.slice(at, i + 1 - at))
+                    yield counted([pa.concat_arrays([b.column(c) for b in keys]) for c in range(len(group))], texts)
+                    keys, texts, size, at = [], [], 0, i + 1
+            keys.append(batch.slice(at))
+        if texts:
+            yield counted([pa.concat_arrays([b.column(c) for b in keys]) for c in range(len(group))], texts)
+
+    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group)
+    cells = map_arrow(rows.select(*group, text.alias("__text")), count, f"{kinds}, column bigint, residue string, k bigint")
+    return cells.groupBy(*group, "column", "residue").agg(F.sum("k").alias("k")).join(n, group).select(*group, "column", "residue", (F.col("k") / F.col("__n")).alias("share"))
+
+
+def compared(rows: DataFrame, query: str, other: str) -> DataFrame:
+    """Rows with two columns of aligned strings in place of which stand ``matches`` (columns where both have the same residue)
+    and ``covered`` (columns where both have one), as far as the shorter goes. Gaps are ``-``; null is the empty string."""
+    kept = [f for f in rows.schema.fields if f.name not in (query, other)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((2, batch.num_rows), np.int64)
+            for i, (q, t) in enumerate(zip(batch.column(query), batch.column(other), strict=True)):
+                a, b = _code_points(q.as_py()), _code_points(t.as_py())
+                a, b = a[: len(b)], b[: len(a)]
+                some = a != ord("-")
+                found[:, i] = np.count_nonzero(some & (a == b)), np.count_nonzero(some & (b != ord("-")))
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(x) for x in found], names=[*(f.name for f in kept), "matches", "covered"])
+
+    return map_arrow(rows.select(*(f.name for f in kept), query, other), count, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "matches bigint, covered bigint"]))
 
 
 def paired_rows(rows: DataFrame, chain: str, species: str, order: list[str], n_chains: int, most: int, least_chains: int = 2) -> DataFrame:

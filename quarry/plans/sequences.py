@@ -8,8 +8,12 @@ from pyspark.sql import Window as W
 
 from quarry.functions import sequences as fs
 from quarry.operators import order, sequence
+from quarry.operators.durable import cut, stored
 from quarry.sources.tables import read_table
 
+#: First texts of languages that are broadcast; of more, the join shuffles.
+QUERIES_SENT = 100
+
 
 def running_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: runs of equal event types are one token, but each purchase is its own."""
@@ -38,11 +42,17 @@ def identity_coverage_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity and coverage of each text to its language's first text, letter by letter; best first."""
     gapped = F.regexp_replace("text", r"[ \n]", "-")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", gapped.alias("s"))
-    query = docs.groupBy("lang").agg(F.min_by("s", "doc_id").alias("q"))
-    n = F.greatest(F.length("q"), F.length("s"))
-    identity, coverage = fs.identity_and_coverage(F.rpad("q", n, "-"), F.rpad("s", n, "-"))
-    rows = docs.join(query, "lang").select("doc_id", "lang", F.round(identity, 6).alias("identity"), F.round(coverage, 6).alias("coverage"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("identity"), "doc_id")).cast("bigint"))
+    # the smallest ids first, so no text is sorted or shuffled but the chosen ones
+    first = cut(docs.where("s IS NOT NULL").groupBy("lang").agg(F.min("doc_id").alias("doc_id")).where("lang IS NOT NULL AND doc_id IS NOT NULL"))
+    few = first.count() <= QUERIES_SENT
+    chosen = docs.join(F.broadcast(first) if few else first, ["lang", "doc_id"]).where("s IS NOT NULL").groupBy("lang").agg(F.min("s").alias("q"))
+    query = cut(chosen.withColumn("residues", F.length(F.replace("q", F.lit("-"), F.lit(""))).cast("long")))
+    both = docs.join(F.broadcast(query) if few else query, "lang").where("length(q) > 0 OR length(s) > 0")
+    # no more of the query than the text has, so a row is no longer than its text allows
+    short = both.select("doc_id", "lang", "residues", F.expr("substring(q, 1, coalesce(length(s), 0))").alias("q"), "s")
+    share = lambda k: F.round(F.when(F.col("residues") > 0, F.col(k) / F.nullif("residues", F.lit(0).cast("long"))), 6)
+    rows = stored(sequence.compared(short, "q", "s").select("doc_id", "lang", share("matches").alias("identity"), share("covered").alias("coverage")), "identities")
+    return order.ranks(rows.withColumn("worse", -F.col("identity")), ["lang"], ["worse", "doc_id"], "rank").drop("worse")
 
 
 def species_pairing_level(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -345,3 +346,37 @@ def test_fingerprints_by_strips_against_all_pairs(spark, monkeypatch):
         assert {(r["query"], r.target): r.similarity for r in fingerprints.similar(queries, rows, threshold, strict).collect()} == want
         got = {r["query"]: r.n for r in fingerprints.count_similar(queries, rows, threshold, strict).collect()}
         assert got == {i: sum(a == i for a, _ in want) for i, _ in want}
+
+
+def test_profile_counts_characters_together(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "PROFILE_CHARACTERS", 7)
+    rows = spark.createDataFrame([("a", "xyé"), ("a", "x\U0001f600"), ("a", None), ("b", ""), ("b", "xxxxxxxxxx"), ("a", "y")], "g string, s string")
+    found = sequence.profile(rows, ["g"], F.col("s"))
+    assert "Generate" not in found._jdf.queryExecution().toString()  # no row for each character
+    got = {(r.g, r.column, r.residue): r.share for r in found.collect()}
+    want = {("a", 0, "x"): 0.5, ("a", 0, "y"): 0.25, ("a", 1, "y"): 0.25, ("a", 1, "\U0001f600"): 0.25, ("a", 2, "é"): 0.25} | {("b", i, "x"): 0.5 for i in range(10)}
+    assert got == want
+
+
+def test_identity_of_odd_texts(spark, tmp_path):
+    """Null and empty texts, a language without residues, and one of empty texts only; ranks without a window over a language."""
+    from quarry.plans import sequences
+
+    rows = [(1, "en", "ab c"), (2, "en", None), (3, "en", "ab"), (4, "en", "ab cde"), (5, "xx", " "), (6, "xx", "a"), (7, "no", ""), (8, "no", ""), (9, "nn", None), (10, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.identity, r.coverage, r.rank) for r in sequences.identity_coverage_sort(spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, 1.0, 1), 4: (1.0, 1.0, 2), 3: (0.666667, 0.666667, 3), 2: (0.0, 0.0, 4), 5: (None, None, 1), 6: (None, None, 2)}
+
+
+def test_homology_makes_no_row_for_each_order_of_a_part(spark, tmp_path):
+    """Two parts in 300 old orders each, of which one is common: pairs follow the orders' lines, not 300 for each pair."""
+    from quarry.plans import spatial as plan
+
+    lines = [(o, 1) for o in range(300)] + [(o, 2) for o in range(299, 599)] + [(1000, 1), (1000, 2), (1000, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(1001).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") < 1000, F.lit("2000-01-01")).otherwise(F.lit("2000-07-01")).cast("timestamp").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = plan.interface_disjoint_homology(spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [(1000, 3, 2)]
+    plan_text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, \(l_partkey#\d+L = l_partkey#\d+L\)", plan_text)  # no pair meets all orders of a part
