@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch.
 ARROW_ROWS = 256
+#: Rows that ``dealt`` has a task get.
+TASK_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def dealt(table: DataFrame, *key: str) -> DataFrame:
+    """A stored table, dealt by a key to as many tasks as its rows need, so what a task sorts doesn't grow with the table. Windows,
+    groups and joins on the key and more use the same deal. Counting reads the files' footers only."""
+    tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+    return table.repartition(tasks, *key)
+
+
 def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Writes a wider intermediate table as Parquet (columnar, compressed) in the shared folder and reads it back; its
     path is added to ``paths``, for ``remove``."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.operators import order, sampling
+from quarry.operators.durable import dealt
 from quarry.plans.relational import KEY
 from quarry.sources.tables import read_table
 
@@ -39,12 +40,15 @@ def two_stage_cluster_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quota_sample_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of adjacent lines by type of pair, each type up to its quota."""
-    lines = read_table(spark, sf_dir, "lineitem")
+    lines = dealt(read_table(spark, sf_dir, "lineitem").select(*KEY, "l_returnflag"), "l_orderkey")
     after = F.lead("l_returnflag").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     pairs = lines.withColumn("next", after).where("next IS NOT NULL").withColumn("pair_type", F.concat_ws("-", F.least("l_returnflag", "next"), F.greatest("l_returnflag", "next")))
-    quota = spark.createDataFrame([("A-A", 60), ("A-N", 30), ("N-N", 25), ("R-R", 10), ("A-R", 45)], "pair_type string, quota int")
-    rank = F.row_number().over(W.partitionBy("pair_type").orderBy(sampling.draw(SEED, *KEY), *KEY))
-    return pairs.join(F.broadcast(quota), "pair_type").withColumn("r", rank).where("r <= quota").select("pair_type", *KEY)
+    quotas = [("A-A", 60), ("A-N", 30), ("N-N", 25), ("R-R", 10), ("A-R", 45)]
+    quota = spark.createDataFrame(quotas, "pair_type string, quota int")
+    rank = F.row_number().over(W.partitionBy("pair_type").orderBy("drawn", *KEY))
+    # no type has more than the largest quota: a constant, by which Spark cuts each task's rows before they are shuffled
+    first = pairs.select("pair_type", *KEY, sampling.draw(SEED, *KEY).alias("drawn")).withColumn("r", rank).where(F.col("r") <= max(q for _, q in quotas))
+    return first.join(F.broadcast(quota), "pair_type").where("r <= quota").select("pair_type", *KEY)
 
 
 def weighted_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

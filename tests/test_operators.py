@@ -380,3 +380,17 @@ def test_homology_makes_no_row_for_each_order_of_a_part(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1000, 3, 2)]
     plan_text = found._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Join Inner, \(l_partkey#\d+L = l_partkey#\d+L\)", plan_text)  # no pair meets all orders of a part
+
+
+def test_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks of the queries over lines grow in number with the table, and types are cut before rows of a type meet."""
+    from quarry.operators import durable
+    from quarry.plans import cleanup, lookups, sampling
+
+    monkeypatch.setattr(durable, "TASK_ROWS", 100)
+    folder = "/root/testdata/sf0.001"
+    tasks = -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 100)
+    for query in (lookups.structure_disorder, cleanup.modified_tokens, sampling.quota_sample_by_type):
+        plan_text = query(spark, folder)._jdf.queryExecution().toString()
+        assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {tasks}\)", plan_text)
+    assert "WindowGroupLimit" in sampling.quota_sample_by_type(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
