@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import records
 from quarry.operators import cleanup, tokens
 from quarry.operators.durable import stored
+from quarry.operators.durable import dealt
 from quarry.sources.tables import read_table
 
 #: The proxy tables, in SQL that Spark and DuckDB read alike.
@@ -23,7 +24,7 @@ STANDARD, NUCLEIC = ("GLY", "ARG", "ALA"), ("ARG", "ALA")
 
 
 def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ATOMS, lineitem=read_table(spark, sf_dir, "lineitem"))
+    return spark.sql(ATOMS, lineitem=dealt(read_table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
 def atoms_and_bonds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

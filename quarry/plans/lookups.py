@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import lookups, order
+from quarry.operators.durable import dealt
 from quarry.sources.tables import read_table
 
 #: The proxy tables, in SQL that Spark and DuckDB read alike.
@@ -17,7 +18,7 @@ TYPES, THRESHOLD, HALF = ("PROTEIN", "LIGAND", "RNA", "DNA"), 0.041, 2
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES, lineitem=read_table(spark, sf_dir, "lineitem"))
+    return spark.sql(LINES, lineitem=dealt(read_table(spark, sf_dir, "lineitem"), "l_orderkey"))
 
 
 def entity_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
