@@ -68,6 +68,19 @@ def test_space(spark):
     assert spatial.radius_join(df.where("false"), df, 0.3).count() == 0
 
 
+def test_radius_pairs_once_from_half_of_the_cells(spark):
+    rng = np.random.default_rng(5)
+    points = [(int(i), *map(float, x)) for i, x in zip(rng.permutation(60), rng.uniform(-1, 1, (60, 3)), strict=True)]
+    df = spark.createDataFrame([*points, (60, None, 0.0, 0.0), (61, float("nan"), 0.0, 0.0), points[0], (None, 0.0, 0.0, 0.0)], "i long, x double, y double, z double")
+    pairs = spatial.radius_pairs(df, 0.4, "i")
+    whole = spatial.radius_join(df, df, 0.4).where("l.i < r.i")
+    columns = ("l.i", "r.i", "distance")
+    got = sorted(map(tuple, pairs.select(*columns).collect()))
+    assert got and got == sorted(map(tuple, whole.select(*columns).collect()))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # not one for each axis
+    assert spatial.radius_pairs(df.where("false"), 0.4, "i").count() == 0
+
+
 def test_superposition_ignores_rigid_motion(spark):
     rng = np.random.default_rng(1)
     p = rng.normal(size=(30, 3))
