@@ -2,9 +2,11 @@
 
 Each word is a context with a restaurant of its own; its customers are the words that follow. The restaurants share one
 parent, the restaurant of single words, whose parent is uniform over the words and one unknown. A dish's customers sit at
-tables; a table is a customer of the parent. Gibbs moves take a customer from its table and seat it anew: at a table
-in proportion to its size less the discount, or at a new one in proportion to what the parent gives the word. Seatings
-after the first sweeps are averaged to the predictive probabilities that score all texts.
+tables; a table is a customer of the parent. A sweep moves every customer. In a dish of few, Gibbs moves take one after
+another from its table and seat it anew: at a table in proportion to its size less the discount, or at a new one in
+proportion to what the parent gives the word. A dish of many is seated anew as a whole: its number of tables, all that
+the model needs of it, is drawn from the distribution that such moves lead to. Seatings after the first sweeps are averaged
+to the predictive probabilities that score all texts.
 
 All texts are counted, and the work is cut so that no word, pair or text is one task's:
 
@@ -46,8 +48,10 @@ from quarry.llm._session import map_arrow, own_name
 BLOCK, PART = 4_000_000, 2_000_000
 #: Words with a larger share of the training tokens are spread over all parts.
 HOT_SHARE = 1e-5
-#: Customers of a dish that are moved in a sweep; of more, so many drawn at random.
-MOVES = 16
+#: Dishes of up to so many customers are moved customer by customer, larger ones as a whole.
+SINGLE = 16
+#: How far a stride between rows of ``carried`` goes, and the largest part of its series that is left out.
+REACH, LEFT_OUT = 4.0, 1e-13
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _U64 = np.uint64
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -133,23 +137,115 @@ class Tables:
         self._open(dishes[~stays], np.ones(int((~stays).sum()), np.int64))
 
     def sweep(self, fresh: np.ndarray) -> None:
-        """As many moves of a dish as it has customers, MOVES at most."""
-        for i in range(MOVES):
+        """As many moves of a dish as it has customers."""
+        for i in range(int(self.customers.max(initial=0))):
             n = int(np.searchsorted(-self.customers, -max(i, 1)))  # dishes of more than i customers
             if not n:
                 return
             self.move(n, fresh)
 
 
+def carried(row: np.ndarray, a: int, c: int, discount: float) -> np.ndarray:
+    """From the row of a customers to that of c, where row[m] is S(a, m + 1) d^m m! / S(a, 1), with the generalised Stirling
+    numbers S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t). So row[m] grows by d m (row[m - 1] - row[m]) / (c - d) with each
+    customer. The steps of several customers are one polynomial in the same differences."""
+    rates = discount * np.arange(1, len(row))
+    if not len(rates):
+        return row
+    top = rates[-1]
+    while a < c:
+        b = min(c, max(a + 1, int((a - discount) * (1 + REACH / top))))  # the sum of the weights times top is REACH at most
+        weights = 1 / (np.arange(a, b) - discount)
+        if b - a <= 24:
+            for x in weights.tolist():
+                row[1:] += x * rates * (row[:-1] - row[1:])
+        else:
+            # elementary symmetric sums of the weights, from the sums of their powers
+            sums, power, e, term = [], np.ones(len(weights)), [1.0], row
+            for k in range(1, len(weights) + 1):
+                power = power * weights
+                sums.append(float(power.sum()))
+                e.append(sum((-1) ** i * e[k - 1 - i] * sums[i] for i in range(k)) / k)
+                term = np.concatenate(([0.0], rates * (term[:-1] - term[1:])))
+                row = row + e[k] * term
+                if e[k] * top**k < LEFT_OUT:
+                    break
+        a = b
+    return row
+
+
+def summed(n: int, c: int, discount: float) -> np.ndarray:
+    """The first n numbers of ``carried``'s row of c customers by their alternating sum, without the rows before: good to about
+    1e-10 where the row is not small, so for n up to about c^d."""
+    scale = c**-discount
+    m, row, choose = np.arange(n), np.ones(n), np.ones(n)
+    for k in range(1, min(n, 100)):
+        x = discount * (k + 1)
+        choose = choose * ((k - 1 - m) * (scale / k))
+        # the product of 1 - d k / (j - d) over the customers j before c, times c^(d k), by gamma functions
+        if c - x > 1:
+            log = math.lgamma(c - x) - math.lgamma(c - discount) + math.lgamma(1 - discount) + math.lgamma(x) + discount * k * math.log(c)
+            row += choose * (math.exp(log) * math.sin(math.pi * x) / math.pi)
+        if abs(choose[-1]) * math.exp(math.lgamma(x)) < 1e-17:
+            break
+    return row
+
+
+def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes, each drawn in proportion to fresh^t S(customers, t): a Poisson number of further tables
+    than one, times the row of ``carried``, which is as long as the dish needs but for a chance of about 1e-8. Where customers
+    are many for such a row it is ``summed``; for the others one pass over the rows, by customers, serves all dishes."""
+    out = np.ones(len(customers), np.int64)
+    if not len(customers):
+        return out
+    rate = fresh / discount
+    most = np.minimum(customers - 1, np.ceil(rate + 7 * np.sqrt(rate) + 12)).astype(np.int64)
+    log_rate = np.log(rate)
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(most.max()) + 1)))))
+
+    def draw(rows: np.ndarray, row: np.ndarray) -> None:
+        with np.errstate(divide="ignore"):
+            log_row = np.log(np.maximum(row, 0)).astype(np.float64) - log_factorial[: len(row)]
+        for lo in range(0, len(rows), 1024):
+            dishes = rows[lo : lo + 1024]
+            k = int(most[dishes[-1]]) + 1
+            weight = log_rate[dishes, None] * np.arange(k) + log_row[:k]
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+            drawn = rng.random(len(dishes)) * weight[:, -1]
+            out[dishes] = 1 + np.minimum((weight <= drawn[:, None]).sum(1), k - 1)
+
+    reach = customers.astype(np.float64) ** discount
+    order = np.lexsort((most, customers))
+    easy = (most <= 0.9 * reach) & (customers > 100)
+    own = order[easy[order]]
+    kinds, starts = np.unique(customers[own], return_index=True)
+    for c, rows in zip(kinds.tolist(), np.split(own, starts)[1:], strict=True):
+        draw(rows, summed(int(most[rows[-1]]) + 1, c, discount))
+    own = order[~easy[order]]
+    kinds, starts = np.unique(customers[own], return_index=True)
+    if not len(own):
+        return out
+    need = np.maximum.accumulate(np.maximum.reduceat(most[own], starts)[::-1])[::-1]
+    # where many customers of a large dish may sit alone, numbers get smaller than doubles can be
+    tiny = ((customers > 2000) & (rate > 2 * reach)).any()
+    row, at = np.zeros(int(need[0]) + 1, np.longdouble if tiny else np.float64), 1
+    row[0] = 1
+    for c, rows, n in zip(kinds.tolist(), np.split(own, starts)[1:], need.tolist(), strict=True):
+        row, at = carried(row[: n + 1], at, c, discount), c
+        draw(rows, row)
+    return out
+
+
 class Seating:
-    """``Tables`` for dishes of any number of customers; those for which like numbers of tables are expected are together, so
-    few dishes have long columns."""
+    """Numbers of tables of dishes of any number of customers. Those of few have ``Tables``, where dishes for which like numbers
+    of tables are expected are together; those of more than SINGLE are at one table until a sweep draws their number."""
 
     def __init__(self, customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator):
+        self.discount, self.rng = discount, rng
         self.tables = np.minimum(customers, 1).astype(np.float64)
         self.groups = []
         expected = np.minimum(customers, 1 + (fresh + discount) * np.log1p(customers / (fresh + discount)))
-        kind = np.where(customers > 1, np.ceil(np.log2(np.maximum(expected, 2))), 0)
+        kind = np.where((customers > 1) & (customers <= SINGLE), np.ceil(np.log2(np.maximum(expected, 2))), 0)
         for k in np.unique(kind[kind > 0]):
             rows = np.flatnonzero(kind == k)
             rows = rows[np.argsort(-customers[rows], kind="stable")]
@@ -159,11 +255,14 @@ class Seating:
                 group.fill(fresh[own])
                 self.groups.append((own, group))
                 self.tables[own] = group.count
+        self.large = np.flatnonzero(customers > SINGLE)
+        self.customers = customers[self.large].astype(np.int64)
 
     def sweep(self, fresh: np.ndarray) -> None:
         for own, group in self.groups:
             group.sweep(fresh[own])
             self.tables[own] = group.count
+        self.tables[self.large] = draw_tables(self.customers, fresh[self.large], self.discount, self.rng)
 
 
 def seat(word: np.ndarray, context: np.ndarray, count: np.ndarray, spread: np.ndarray, parts: int, part: int, s: Settings) -> tuple:

@@ -47,6 +47,40 @@ def test_tables_have_the_exact_distribution(customers, fresh, discount):
     assert np.abs(found - exact).max() < 0.015
 
 
+@pytest.mark.parametrize(("customers", "fresh", "discount"), [(17, 3.0, 0.75), (300, 40.0, 0.75), (300, 2000.0, 0.6), (5000, 25.0, 0.75), (5000, 0.6, 0.6), (5000, 3000.0, 0.75)])
+def test_one_sweep_moves_every_customer(customers, fresh, discount):
+    """A sweep after one with other weights: of dishes with many customers no more than 16 were moved, so their tables
+    stayed about where they were."""
+    log_s = np.full(customers + 1, -np.inf)  # of one customer, by tables
+    log_s[1] = 0
+    t = np.arange(customers + 1)
+    for c in range(1, customers):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stays = np.where(t <= c, np.log(c - discount * t) + log_s, -np.inf)
+        log_s = np.logaddexp(np.concatenate(([-np.inf], log_s[:-1])), stays)
+    log_p = log_s + t * math.log(fresh)
+    exact = np.exp(log_p - log_p.max())
+    exact = np.cumsum(exact / exact.sum())
+    n = 20_000
+    seating = py.Seating(np.full(n, customers), np.full(n, fresh / 8), discount, np.random.default_rng(5))
+    seating.sweep(np.full(n, fresh))
+    found = np.cumsum(np.bincount(seating.tables.astype(int), minlength=customers + 1) / n)
+    assert np.abs(found - exact).max() < 0.015
+
+
+def test_strides_give_the_rows_of_single_steps():
+    for n, discount in ((30, 0.6), (400, 0.75)):
+        row = np.zeros(n)
+        row[0] = 1
+        single, rates = row.copy(), discount * np.arange(1, n)
+        for c in range(1, 50_000):
+            single[1:] += rates * (single[:-1] - single[1:]) / (c - discount)
+        for at, c in ((1, 20), (20, 21), (21, 3000), (3000, 50_000)):
+            row = py.carried(row, at, c, discount)
+        assert np.abs(row - single).max() < 1e-9
+        assert np.abs(py.summed(n, 50_000, discount) - single).max() < 1e-9
+
+
 def test_sizes_add_up_to_the_customers():
     rng = np.random.default_rng(6)
     customers = rng.integers(0, 3000, 300)
