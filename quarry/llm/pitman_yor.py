@@ -50,6 +50,8 @@ BLOCK, PART = 4_000_000, 2_000_000
 HOT_SHARE = 1e-5
 #: Dishes of up to so many customers are moved customer by customer, larger ones as a whole.
 SINGLE = 16
+#: Rows of ``carried`` are made for up to so many customers; a larger dish's weights are worked out on their own.
+FAR = 400
 #: How far a stride between rows of ``carried`` goes, and the largest part of its series that is left out.
 REACH, LEFT_OUT = 4.0, 1e-13
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -191,21 +193,99 @@ def summed(n: int, c: int, discount: float) -> np.ndarray:
     return row
 
 
+def far_weights(c: int, rate: float, discount: float) -> tuple[int, np.ndarray]:
+    """The first of a range of numbers of tables, and the weights rate^t / t! a(t) of those in it, up to a factor, where a(t) is
+    the coefficient of z^c in (1 - (1 - z)^discount)^t: fresh^t S(c, t) but for what t doesn't change. Beyond the range there
+    is less than 1e-9 of the largest weight. Time grows with the square root of the rate, not with the customers.
+
+    a(t) is an integral around z = 0; with z = exp(-s), over the parabola s = s0 (1 + iu)^2 around the cut s <= 0, through the
+    saddle point of all t together, or over a circle. The trapezoidal rule is exact there but for rounding."""
+
+    def power(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log(1 - z) and 1 - (1 - z)^discount."""
+        z = np.exp(-s)
+        small = 0.5 * np.log1p(z.real**2 + z.imag**2 - 2 * z.real) + 1j * np.arctan2(-z.imag, 1 - z.real)
+        log = np.where(np.abs(z) < 0.5, small, np.log(-np.expm1(-s)))
+        return log, -np.expm1(discount * log)
+
+    # rate d z (1 - z)^(d - 1) = c, in the logarithm of s
+    lo, hi = math.log(4 / c), math.log(max(60.0, 10 + 2 * abs(math.log(rate / c))))
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        s0 = math.exp(mid)
+        log = math.log(rate * discount) - s0 + (discount - 1) * math.log(-math.expm1(-s0))
+        lo, hi = (mid, hi) if log > math.log(c) else (lo, mid)
+    s0 = math.exp(lo)
+    tables = rate * float(power(np.array([s0 + 0j]))[1].real[0])
+    z = math.exp(-s0)
+    curve = rate * discount * z * (-math.expm1(-s0)) ** (discount - 2) * (1 - discount * z)  # variance of the customers
+    width = 1 / math.sqrt(curve)
+    varied = max(curve - c * c / tables, 0.0)  # the same for a given number of tables
+    spread = math.sqrt(tables if s0 * c < 8 else tables * varied / curve)
+    step = min(0.4 / math.sqrt(curve), s0 / 10) / (2 * s0)
+    reach = 10 * spread + 20
+    while True:
+        first, last = max(1, math.floor(tables - reach)), min(c, math.ceil(tables + reach))
+        at = min(max(round(tables), first), last)
+        if varied < 100 and s0 > 0.1:  # nearly all sit alone: a whole circle, which the cut is far from
+            s = s0 + 2j * math.pi / 1024 * np.arange(513)
+            log_g = np.log(power(s)[1])
+            base = at * log_g + c * s
+            base -= base[0].real
+            base[-1] += math.log(0.5)
+        else:
+            n = 64
+            while True:
+                u = step * np.arange(n)
+                s = s0 * (1 + 1j * u) ** 2
+                log_g = np.log(power(s)[1])
+                base = at * log_g + c * s
+                base += np.log(1 + 1j * u) - base[0].real
+                # at the ends of the range, too, where the saddle point is elsewhere
+                if max(base[-1].real + k * (log_g[-1].real - log_g[0].real) for k in (first - at, 0, last - at)) < -40:
+                    break
+                n *= 2
+        base[0] += math.log(0.5)
+        t = np.arange(first, last + 1)
+        weight = np.empty(len(t))
+        for a in range(0, len(t), 2048):
+            far = (t[a : a + 2048] - at)[:, None]
+            weight[a : a + 2048] = np.exp(far * (log_g - log_g[0].real) + base).real.sum(1)
+        falling = np.concatenate(([0.0], np.cumsum(math.log(rate) + log_g[0].real - np.log(t[1:]))))
+        with np.errstate(divide="ignore"):
+            logs = falling + np.log(np.maximum(weight, 0))
+        weight = np.exp(logs - logs.max())
+        if (first == 1 or weight[0] < 1e-9) and (last == c or weight[-1] < 1e-9):
+            return first, weight
+        reach *= 2
+
+
 def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Numbers of tables of dishes, each drawn in proportion to fresh^t S(customers, t): a Poisson number of further tables
     than one, times the row of ``carried``, which is as long as the dish needs but for a chance of about 1e-8. Where customers
-    are many for such a row it is ``summed``; for the others one pass over the rows, by customers, serves all dishes."""
+    are many for such a row it is ``summed``; for others of up to FAR customers one pass over the rows, by customers, serves
+    all dishes, and larger ones, which are few, have ``far_weights`` of their own."""
     out = np.ones(len(customers), np.int64)
     if not len(customers):
         return out
     rate = fresh / discount
     most = np.minimum(customers - 1, np.ceil(rate + 7 * np.sqrt(rate) + 12)).astype(np.int64)
+    easy = (most <= 0.9 * customers.astype(np.float64) ** discount) & (customers > 100)
+    far = ~easy & (customers > FAR)
+    for i in np.flatnonzero(far).tolist():
+        first, weight = far_weights(int(customers[i]), float(rate[i]), discount)
+        weight = np.cumsum(weight)
+        out[i] = first + min(int((weight <= rng.random() * weight[-1]).sum()), len(weight) - 1)
+    order = np.lexsort((most, customers))
+    order = order[~far[order]]
+    if not len(order):
+        return out
     log_rate = np.log(rate)
-    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(most.max()) + 1)))))
+    log_factorial = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(most[order].max()) + 1)))))
 
     def draw(rows: np.ndarray, row: np.ndarray) -> None:
         with np.errstate(divide="ignore"):
-            log_row = np.log(np.maximum(row, 0)).astype(np.float64) - log_factorial[: len(row)]
+            log_row = np.log(np.maximum(row, 0)) - log_factorial[: len(row)]
         for lo in range(0, len(rows), 1024):
             dishes = rows[lo : lo + 1024]
             k = int(most[dishes[-1]]) + 1
@@ -214,9 +294,6 @@ def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, rng:
             drawn = rng.random(len(dishes)) * weight[:, -1]
             out[dishes] = 1 + np.minimum((weight <= drawn[:, None]).sum(1), k - 1)
 
-    reach = customers.astype(np.float64) ** discount
-    order = np.lexsort((most, customers))
-    easy = (most <= 0.9 * reach) & (customers > 100)
     own = order[easy[order]]
     kinds, starts = np.unique(customers[own], return_index=True)
     for c, rows in zip(kinds.tolist(), np.split(own, starts)[1:], strict=True):
@@ -226,9 +303,7 @@ def draw_tables(customers: np.ndarray, fresh: np.ndarray, discount: float, rng:
     if not len(own):
         return out
     need = np.maximum.accumulate(np.maximum.reduceat(most[own], starts)[::-1])[::-1]
-    # where many customers of a large dish may sit alone, numbers get smaller than doubles can be
-    tiny = ((customers > 2000) & (rate > 2 * reach)).any()
-    row, at = np.zeros(int(need[0]) + 1, np.longdouble if tiny else np.float64), 1
+    row, at = np.zeros(int(need[0]) + 1), 1
     row[0] = 1
     for c, rows, n in zip(kinds.tolist(), np.split(own, starts)[1:], need.tolist(), strict=True):
         row, at = carried(row[: n + 1], at, c, discount), c
