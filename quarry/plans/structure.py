@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm import ngram_join
 from quarry.operators import metrics, sampling, similarity, spatial, structure
 from quarry.plans.relational import KEY
 from quarry.plans.spatial import AXES, atoms
@@ -120,6 +119,8 @@ def type_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequence_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of texts whose four-word shingles are alike; texts of fewer than nine cluster with equal ones only."""
+    from quarry.llm import ngram_join  # here, as the other queries work without it
+
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", similarity.has_shingles(F.col("text"), 4, 9).alias("long"))
     groups = ngram_join.similar_groups(docs.select("doc_id", F.when(F.col("long"), F.lower("text")).alias("text")), n=4, percent=80)
     members = groups.where("n_shingles > 0").select("doc_id", F.col("component_id").alias("cluster"))
