@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes shuffles and checkpoints that no table refers to any more only then,
+    and a heap with much room puts it off while they fill the disks. Between steps that leave much."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], n_ids: int, how: str = "inner") -> DataFrame:
     """Joins ``rows`` with a table of ids, broadcast only if its counted rows stay within BROADCAST_ROWS."""
     return rows.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, how)
@@ -62,4 +70,4 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "HOT_KEYS", "cut", "fresh", "join_counted", "join_ids", "map_arrow", "own_name", "read_table", "remove", "shared_dir", "slices", "stored"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "HOT_KEYS", "cut", "free", "fresh", "join_counted", "join_ids", "map_arrow", "own_name", "read_table", "remove", "shared_dir", "slices", "stored"]

@@ -648,3 +648,28 @@ def test_html_of_all_marked_pages(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S).group(1)
         want = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub(r"</?(?:b|i|em|a)\b[^>]*>", "", inner))).split())
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+def test_the_join_keeps_no_prefixes_and_no_differences_of_far_pairs(spark, monkeypatch):
+    """Prefixes go with the blocks made of them; texts with boilerplate in common only had all their grams stored as differences."""
+    import os
+    import random
+
+    draw = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = [(i, shared + " " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(200))) for i in range(60)]
+    docs += [(100 + i, docs[0][1] + f" end{i}") for i in range(3)]
+    files, real = {}, ngram_join.stored
+
+    def watched(df, name, *paths):
+        if name == "fragments":
+            assert files["sets"] and not any(os.path.exists(f) for f in files["sets"])
+        out = real(df, name, *paths)
+        files[name] = [f.removeprefix("file://") for f in out.inputFiles()]
+        if dict(out.dtypes).get("added", "").startswith("array"):
+            assert out.agg(F.coalesce(F.sum(F.size("added") + F.size("lost")), F.lit(0))).first()[0] == 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: 0 if i >= 100 else i for i, _ in docs}
